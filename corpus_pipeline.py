@@ -6,10 +6,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideglass.llm import linededup, mixing, simhash
+from tideglass.llm import linededup, mixing, packing, quality, simhash
 from tideglass.llm.common import read, shared_dir
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs)
+
+
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(docs).select(*docs.columns)
 
@@ -22,7 +26,11 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
-STAGES = [("line_dedup", line_stage), ("near_dedup", near_stage), ("mixing", mix_stage)]
+def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs)
+
+
+STAGES = [("quality", quality_stage), ("line_dedup", line_stage), ("near_dedup", near_stage), ("mixing", mix_stage), ("packing", pack_stage)]
 ORACLE_SQL = None
 
 

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import itertools
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, mix64
 from .graph import components
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -59,109 +60,120 @@ def fingerprints(docs: DataFrame, n: int = 3, seed: int = 42) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp bigint")
 
 
+def _counts(fp: str) -> Column:
+    """Popcounts of the 32 segments of 2 bits, each in its segment's place."""
+    return F.expr(f"shiftleft({fp} & shiftrightunsigned({fp}, 1) & 6148914691236517205L, 1) | (({fp} ^ shiftrightunsigned({fp}, 1)) & 6148914691236517205L)")
+
+
 def _cells(fps: DataFrame, reach: int) -> DataFrame:
-    """Grid cells of each fingerprint.
+    """``(node, choice, at)``: grid cells of each fingerprint, which is its own node.
 
     The embedding is the vector of popcounts of 2-bit segments, whose Manhattan distance is a lower
     bound of the differing bits. Segments lie in GROUPS groups; vectors within ``reach`` differ in at
     most ``reach`` groups, so they agree in all coordinates of some GROUPS - reach of them: the cells
     are those choices with their coordinates, and every pair within reach meets in one at least.
     """
-    counts = F.expr("shiftleft(fp & shiftrightunsigned(fp, 1) & 6148914691236517205L, 1) | ((fp ^ shiftrightunsigned(fp, 1)) & 6148914691236517205L)")
     bits = [list(range(g, 32, GROUPS)) for g in range(GROUPS)]
     masks = []
     for k, chosen in enumerate(itertools.combinations(range(GROUPS), GROUPS - reach)):
         mask = sum(3 << (2 * s) for g in chosen for s in bits[g])
         masks.append((k, mask - (1 << 64) if mask >> 63 else mask))
     choices = F.array(*[F.struct(F.lit(k).cast("tinyint").alias("choice"), F.lit(m).cast("long").alias("mask")) for k, m in masks])
-    return fps.select("fp", counts.alias("counts"), F.explode(choices).alias("c")).select("fp", F.col("c.choice").alias("choice"), F.col("counts").bitwiseAND(F.col("c.mask")).alias("at"))
+    return fps.select("fp", _counts("fp").alias("counts"), F.explode(choices).alias("c")).select(F.col("fp").alias("node"), F.col("c.choice").alias("choice"), F.col("counts").bitwiseAND(F.col("c.mask")).alias("at"))
 
 
 def _forest(a: np.ndarray, b: np.ndarray | None, reach: int) -> list[tuple[int, int]]:
     """Links within reach in one tile (b is None) or between two, thinned to a spanning forest.
 
-    Rows are compared in slices; popcounts of the bytes give the Manhattan lower bound, and only
-    what passes it is compared bit by bit.
+    Rows are fingerprints of one or more 64-bit words. They are compared in slices: popcounts of the
+    bytes give the Manhattan lower bound, and only what passes it is compared bit by bit. Gives row
+    numbers, those of b counted on from those of a.
     """
-    every = a if b is None else np.concatenate([a, b])
     other, shift = (a, 0) if b is None else (b, len(a))
-    parent = np.arange(len(every))
-    other_parts = np.bitwise_count(other.view(np.uint8).reshape(-1, 8)).astype(np.int8)
+    every = len(a) + (0 if b is None else len(b))
+    group = np.arange(every)
+    parts = lambda x: np.bitwise_count(np.ascontiguousarray(x).view(np.uint8)).astype(np.int8).T.copy()
+    theirs = parts(other)
     found = []
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for at in range(0, len(a), 256):
-        rows = a[at : at + 256]
-        parts = np.bitwise_count(rows.view(np.uint8).reshape(-1, 8)).astype(np.int8)
+    for at in range(0, len(a), 128):
+        rows = a[at : at + 128]
         bound = np.zeros((len(rows), len(other)), dtype=np.int16)
-        for k in range(8):
-            bound += np.abs(parts[:, k, None] - other_parts[None, :, k])
+        for mine, their in zip(parts(rows), theirs, strict=True):
+            bound += np.abs(mine[:, None] - their[None, :])
         i, j = np.nonzero(bound <= reach)
         if b is None:
-            up = j > i + at
-            i, j = i[up], j[up]
-        near = np.bitwise_count(rows[i] ^ other[j]) <= reach
-        for x, y in zip((i[near] + at).tolist(), (j[near] + shift).tolist(), strict=True):
-            p, q = root(x), root(y)
-            if p != q:
-                parent[max(p, q)] = min(p, q)
-                found.append((int(every[x]), int(every[y])))
+            i, j = i[j > i + at], j[j > i + at]
+        near = np.zeros(len(i), dtype=np.int64)
+        for w in range(a.shape[1]):
+            near += np.bitwise_count(rows[i, w] ^ other[j, w])
+        i, j = i[near <= reach], j[near <= reach]
+        ends = np.searchsorted(i, np.arange(len(rows) + 1))
+        for k in range(len(rows)):
+            theirs_k = j[ends[k] : ends[k + 1]] + shift
+            if not len(theirs_k):
+                continue
+            labels, first = np.unique(group[theirs_k], return_index=True)
+            fresh = labels != group[at + k]
+            if fresh.any():
+                found += [(at + k, x) for x in theirs_k[first[fresh]].tolist()]
+                joined = np.r_[labels[fresh], group[at + k]]
+                group[np.isin(group, joined)] = joined.min()
     return found
 
 
-def links(fps: DataFrame, reach: int = 3, tile: int = TILE) -> DataFrame:
-    """Links ``(a, b)`` between distinct fingerprints that differ in at most ``reach`` bits, thinned:
-    of the links of one cell or of two tiles of it a spanning forest stays, so components are exact and
-    no group gives all its pairs. A cell of over ``tile`` fingerprints is cut into tiles, and each pair
-    of tiles is a group of its own."""
-    # what is alone in its cell goes before anything is sent as a group; the count is a partial aggregate
-    cells = _cells(fps, reach)
+def links(cells: DataFrame, reach: int, words: DataFrame | None = None, tile: int = TILE) -> DataFrame:
+    """Links ``(a, b)`` between nodes of ``cells(node, choice, at)`` that differ in at most ``reach`` bits.
+
+    ``words(node, w0, w1, ...)`` has the fingerprints; without it a node is its own fingerprint. Links
+    are thinned: of those of one cell, or of two tiles of it, a spanning forest stays, so components
+    are exact and no group gives all its pairs. A cell of over ``tile`` nodes is cut into tiles, and
+    each pair of tiles is a group of its own. What is alone in its cell goes before rows are sent.
+    """
     sized = cells.groupBy("choice", "at").agg(F.count("*").alias("n")).where("n > 1")
     cells = durable(cells.join(sized, ["choice", "at"]))
     tiles = F.ceil(F.col("n") / tile).cast("int")
-    own = F.pmod(F.xxhash64("fp"), tiles).cast("int")
+    own = F.pmod(F.xxhash64("node"), tiles).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), tiles - 1), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j")))
-    dealt = cells.select("choice", "at", "fp", own.alias("own"), F.explode(pairs).alias("pair"))
-    dealt = dealt.select("choice", "at", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "own", "fp")
-    dealt = dealt.repartition("choice", "at", "i", "j").sortWithinPartitions("choice", "at", "i", "j")
+    names = ["node"] if words is None else [c for c in words.columns if c != "node"]
+    if words is not None:
+        cells = cells.join(words, "node")
+    dealt = cells.select("choice", "at", "node", *([] if words is None else names), own.alias("own"), F.explode(pairs).alias("pair"))
+    dealt = dealt.select("choice", "at", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "own", "node", *([] if words is None else names))
+    key = ["choice", "at", "i", "j"]
+    dealt = dealt.repartition(*key).sortWithinPartitions(*key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
         def done(part: pa.Table) -> pa.RecordBatch:
-            keys = np.stack([part.column(c).to_numpy().astype(np.int64) for c in ("choice", "at", "i", "j")], axis=1)
-            own, fp = part.column("own").to_numpy(), part.column("fp").to_numpy().view(np.uint64)
+            keys = np.stack([part.column(c).to_numpy().astype(np.int64) for c in key], axis=1)
+            own, node = part.column("own").to_numpy(), part.column("node").to_numpy()
+            bits = np.stack([part.column(c).to_numpy().view(np.uint64) for c in names], axis=1)
             starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
-            out: list[tuple[int, int]] = []
+            out: list[np.ndarray] = []
             for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
                 i, j = keys[s, 2:]
-                if i == j:
-                    if e - s == 2:
-                        if int(fp[s] ^ fp[s + 1]).bit_count() <= reach:
-                            out.append((int(fp[s]), int(fp[s + 1])))
-                    else:
-                        out += _forest(fp[s:e], None, reach)
-                else:
-                    left = own[s:e] == i
-                    out += _forest(fp[s:e][left], fp[s:e][~left], reach)
-            found = np.array(out, dtype=np.uint64).reshape(-1, 2).view(np.int64)
+                if e - s < 2:
+                    continue
+                if e - s == 2:
+                    if int(np.bitwise_count(bits[s] ^ bits[s + 1]).sum()) <= reach:
+                        out.append(node[s : s + 2])
+                    continue
+                order = np.argsort(own[s:e] != i, kind="stable") + s
+                cut = int((own[s:e] == i).sum())
+                pairs = _forest(bits[order], None, reach) if i == j else _forest(bits[order[:cut]], bits[order[cut:]], reach)
+                out += [node[order[list(x)]] for x in pairs]
+            found = np.array(out, dtype=np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
+        held: list[pa.RecordBatch] = []
         for b in batches:
             if not b.num_rows:
                 continue
             held.append(b)
             table = pa.Table.from_batches(held)
-            last = [table.column(c)[-1].as_py() for c in ("choice", "at", "i", "j")]
-            # rows of the last group may go on in the next batch
-            same = np.ones(table.num_rows, dtype=bool)
-            for c, v in zip(("choice", "at", "i", "j"), last, strict=True):
-                same &= table.column(c).to_numpy() == v
+            same = np.ones(table.num_rows, dtype=bool)  # rows of the last group, which may go on in the next batch
+            for c in key:
+                column = table.column(c).to_numpy()
+                same &= column == column[-1]
             n = int(np.argmax(same))
             if n:
                 yield done(table.slice(0, n))
@@ -181,20 +193,80 @@ def near_duplicates(docs: DataFrame, n: int = 3, reach: int = 3, seed: int = 42)
     """
     fps = durable(fingerprints(docs, n, seed))
     owners = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("owner")))
-    near = components(links(owners.select("fp"), reach))
+    near = components(links(_cells(owners, reach), reach))
     moved = near.join(owners, near["node"] == owners["fp"]).groupBy("component").agg(F.min("owner").alias("least"))
     groups = near.join(moved, "component").select(F.col("node").alias("fp"), "least")
     known = owners.join(groups, "fp", "left").select("fp", F.coalesce("least", "owner").alias("component_id"))
     return fps.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, n: int = 5, reach: int = 3, seed: int = 42) -> DataFrame:
-    """``docs`` without documents that aren't their component's first; columns stay.
+#: Words of the wide fingerprint, samples of each text, and shingles of a sample, in the similarity search.
+WORDS, SAMPLES, SAMPLE = 8, 8, 3
 
-    Rows that repeat a doc_id are one document and stay or go together, but equal rows with one id
-    are counted once: of exactly equal ids all stay. Texts without words are one group. Null ids go
-    only where their group has another.
+
+def sketch(text: str | None, n: int = 5, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """A wide SimHash of a text's distinct shingles, and SimHashes of small samples of them.
+
+    A sample is the SAMPLE shingles that are lowest under one of SAMPLES orders, so texts that share
+    a part J of their shingles have an equal sample with chance near J**SAMPLE.
+    """
+    h = np.unique(shingle_hashes(text, n, seed))
+    if not len(h):
+        return np.zeros(WORDS, dtype=np.uint64), np.zeros(SAMPLES, dtype=np.uint64)
+    orders = [mix64(h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))) for k in range(1, max(WORDS, SAMPLES) + 1)]
+    wide = np.array([_majority(x) for x in orders[:WORDS]], dtype=np.uint64)
+    samples = np.empty(SAMPLES, dtype=np.uint64)
+    for k, x in enumerate(orders[:SAMPLES]):
+        low = np.sort(np.partition(x, SAMPLE - 1)[:SAMPLE] if len(x) > SAMPLE else x)
+        a, b, c = mix64(np.r_[low, [low[0]] * (SAMPLE - len(low))].astype(np.uint64))
+        samples[k] = (a & b) | (a & c) | (b & c)
+    return wide, samples
+
+
+def differing_bits(similarity: float, bits: int = 64 * WORDS, sigmas: float = 1.6) -> int:
+    """Bits of ``bits`` in which fingerprints of texts with that Jaccard similarity differ at most, but
+    for one case in twenty: each bit differs with chance acos(2J / (1 + J)) / pi."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * p + sigmas * math.sqrt(bits * p * (1 - p)))
+
+
+def similar_groups(docs: DataFrame, n: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+    """``(doc_id, component_id)`` of documents of which word shingles agree to about ``similarity``.
+
+    Plain 64-bit fingerprints of such texts differ in ten bits, too many for grid cells to hold them
+    together. So cells are popcount vectors of SimHashes of small samples, several per text, and
+    what shares a cell is compared by its wide fingerprint: Manhattan bound, then exact bits, within what
+    texts of that similarity differ in. The similarity is so estimated, to about 0.03, not counted.
+    Null, empty and wordless texts are one group; component_id is the smallest doc_id of a group.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [sketch(t.as_py(), n, seed) for t in b.column("text")]
+            wide = np.array([x[0] for x in made], dtype=np.uint64).reshape(-1, WORDS).view(np.int64)
+            samples = np.array([x[1] for x in made], dtype=np.uint64).reshape(-1, SAMPLES).view(np.int64)
+            columns = [pa.array(np.ascontiguousarray(x[:, k])) for x in (wide, samples) for k in range(x.shape[1])]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], names=["doc_id", *w, *s])
+
+    w, s = [f"w{k}" for k in range(WORDS)], [f"s{k}" for k in range(SAMPLES)]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    made = durable(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} bigint" for c in w + s)))
+    nodes = made.groupBy(*w).agg(F.min("doc_id").alias("owner"), *[F.min(c).alias(c) for c in s])
+    nodes = durable(nodes.withColumn("node", F.monotonically_increasing_id()))
+    each = F.explode(F.array(*[F.struct(F.lit(k).cast("tinyint").alias("choice"), F.col(c).alias("fp")) for k, c in enumerate(s)]))
+    cells = nodes.select("node", each.alias("c")).select("node", F.col("c.choice").alias("choice"), _counts("c.fp").alias("at"))
+    near = components(links(cells, differing_bits(similarity), nodes.select("node", *w), tile=2048))
+    least = near.join(nodes.select("node", "owner"), "node").groupBy("component").agg(F.min("owner").alias("least"))
+    known = nodes.join(near.join(least, "component").select("node", "least"), "node", "left").select(*w, F.coalesce("least", "owner").alias("component_id"))
+    return made.join(known, w).select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+    """``docs`` without documents that aren't their group's first by doc_id; columns stay.
+
+    Rows that repeat a doc_id with equal text stay or go together. Texts without words are one group.
+    A null doc_id goes only where its group has another. No rows: no rows.
     """
-    found = near_duplicates(docs, n, reach, seed).select(F.col("doc_id").alias("near_id"), "component_id").distinct()
-    gone = found.where("not (near_id <=> component_id)").select("near_id")
+    found = similar_groups(docs, n, similarity, seed)
+    gone = durable(found.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("near_id")).distinct())
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["near_id"]), "left_anti")
