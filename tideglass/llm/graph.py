@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,3 +46,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b"), F.col("b")).distinct())
+
+
+class Thinner:
+    """Links of one task's rows, thinned as they come to those of a spanning forest."""
+
+    def __init__(self, rows: int):
+        self.group = np.arange(rows)
+        self.links: list[tuple[int, int]] = []
+
+    def add(self, row: int, others: np.ndarray) -> None:
+        labels, first = np.unique(self.group[others], return_index=True)
+        fresh = labels != self.group[row]
+        if fresh.any():
+            self.links += [(row, x) for x in others[first[fresh]].tolist()]
+            joined = np.r_[labels[fresh], self.group[row]]
+            self.group[np.isin(self.group, joined)] = joined.min()

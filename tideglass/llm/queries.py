@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup, mixing, packing, quality, simhash
+from . import langid, linededup, mixing, packing, pii, quality, secrets, simhash, vectors, webp
 from .common import read
 
 
@@ -17,10 +17,18 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(read(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(read(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read(spark, sf_dir, "documents")).drop("source")
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets_report(read(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
@@ -29,13 +37,22 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+def op9_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.media_report(read(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.dedup_lines(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", F.col("text").alias("clean_text"))
 
 
 def queries() -> dict:
-    return {"op1_language": op1_language, "op2_quality": op2_quality, "op4_mixing": op4_mixing, "op6_packing": op6_packing, "op7_simhash": op7_simhash, "op10_line_dedup": op10_line_dedup}
+    made = (op1_language, op2_quality, op3_pii, op4_mixing, op5_secrets, op6_packing, op7_simhash, op8_embeddings, op9_webp, op10_line_dedup)
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, mix64
-from .graph import components
+from .graph import Thinner, components
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -91,10 +91,9 @@ def _forest(a: np.ndarray, b: np.ndarray | None, reach: int) -> list[tuple[int,
     """
     other, shift = (a, 0) if b is None else (b, len(a))
     every = len(a) + (0 if b is None else len(b))
-    group = np.arange(every)
+    thin = Thinner(every)
     parts = lambda x: np.bitwise_count(np.ascontiguousarray(x).view(np.uint8)).astype(np.int8).T.copy()
     theirs = parts(other)
-    found = []
     for at in range(0, len(a), 128):
         rows = a[at : at + 128]
         bound = np.zeros((len(rows), len(other)), dtype=np.int16)
@@ -109,16 +108,9 @@ def _forest(a: np.ndarray, b: np.ndarray | None, reach: int) -> list[tuple[int,
         i, j = i[near <= reach], j[near <= reach]
         ends = np.searchsorted(i, np.arange(len(rows) + 1))
         for k in range(len(rows)):
-            theirs_k = j[ends[k] : ends[k + 1]] + shift
-            if not len(theirs_k):
-                continue
-            labels, first = np.unique(group[theirs_k], return_index=True)
-            fresh = labels != group[at + k]
-            if fresh.any():
-                found += [(at + k, x) for x in theirs_k[first[fresh]].tolist()]
-                joined = np.r_[labels[fresh], group[at + k]]
-                group[np.isin(group, joined)] = joined.min()
-    return found
+            if ends[k] < ends[k + 1]:
+                thin.add(at + k, j[ends[k] : ends[k + 1]] + shift)
+    return thin.links
 
 
 def links(cells: DataFrame, reach: int, words: DataFrame | None = None, tile: int = TILE) -> DataFrame:
