@@ -1,9 +1,304 @@
-"""The library's queries over the driver's tables, and the SQL that gives the same rows."""
+"""The library's queries over the driver's tables, and the SQL that gives the same rows.
+
+Each entry is (query, SQL or None). Doubles are rounded to 6 places on both sides.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql import Window as W
+
+from . import oracle as Q
+from .functions import scalars as S
+from .operators import gauges, taxonomy, universe, validate
+from .params import Params
+from .plans import demo
+from .sources import landing, store
+from .streaming import prices as streams
+
+LONG = Params()
+#: Windows that lie in the demo days.
+DEMO_EVENTS = (("early days", "2024-01-10", "2024-01-14", ("GLOBAL", "WAR")), ("late days", "2024-01-20", "2024-01-24", ("GLOBAL", "CRYPTO")), ("no days", "2030-01-01", "2030-01-02", ("GLOBAL",)))
+_DEMO_EVENT_ROWS = "(VALUES " + ", ".join(f"('{n}', DATE '{a}', DATE '{b}', '{i}')" for n, a, b, xs in DEMO_EVENTS for i in xs) + ") AS e(event, \"start\", \"end\", \"index\")"
+
+
+def _round(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(F.col(f"`{f.name}`"), 6).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`") for f in df.schema.fields])
+
+
+def _scratch(spark: SparkSession) -> str:
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared.rstrip('/')}/tideglass-{uuid.uuid4().hex}" if shared else "file://" + tempfile.mkdtemp(prefix="tideglass-") + "/t"
+
+
+def _flagged(s, d):
+    return demo.flagged(s, d)[0]
+
+
+def _facts(s, d):
+    meta, panel, _ = demo.panel(s, d)
+    return universe.with_facts(meta, panel, demo.DEMO)[0]
+
+
+def _lineitem(s, d):
+    return gauges.compute_indices(demo.lineitem_flagged(s, d), LONG)
+
+
+def _lineitem_joined(s, d):
+    return validate.align(gauges.select_series(_lineitem(s, d)[0], "GLOBAL", "turbulence"), demo.benchmark(s, d))
+
+
+def _fanned(s, d):
+    return gauges.fan_out(_flagged(s, d))
+
+
+def _documents(s, d):
+    return demo.read(s, d, "documents")
+
+
+# landed pages, made from events with to_json and then read back
+
+
+def _pages_a(s, d):
+    e = demo.read(s, d, "events").where("user_id % 2 = 0")
+    tokens = F.when(F.col("event_id") % 5 == 0, F.lit("[]")).when(F.col("event_id") % 5 == 1, F.lit(None)).otherwise(F.to_json(F.array(F.concat(F.lit("7700000000000000000000"), F.col("event_id").cast("string")))))
+    market = F.struct(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("question"), F.concat(F.lit(" "), "event_type", F.lit(" ")).alias("category"), tokens.alias("clobTokenIds"), F.when(F.col("event_id") % 3 > 0, F.col("value").cast("string")).alias("volumeNum"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("startDate"), F.when(F.col("event_id") % 7 == 0, F.lit("soon")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'00:00:00'Z'")).alias("endDate"))
+    pages = e.groupBy("user_id").agg(F.to_json(F.struct(F.collect_list(market).alias("markets"))).alias("page"))
+    return landing.parse_pages(pages, "page", landing.PAGES_A)
+
+
+def _pages_b(s, d):
+    e = demo.read(s, d, "events").where("user_id % 2 = 1")
+    market = F.struct(F.concat(F.lit("T-"), F.col("event_id").cast("string")).alias("ticker"), F.concat(F.lit("EV"), F.col("user_id").cast("string"), F.lit("-X")).alias("event_ticker"), F.when(F.col("event_id") % 2 == 0, F.lit("SER")).otherwise("").alias("series_ticker"), F.col("event_type").alias("title"), F.col("value").cast("string").alias("volume_fp"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("open_time"), F.lit(None).cast("string").alias("close_time"))
+    pages = e.groupBy("user_id").agg(F.to_json(F.struct(F.collect_list(market).alias("markets"))).alias("page"))
+    return landing.parse_pages(pages, "page", landing.PAGES_B)
+
+
+def _epoch():
+    return F.unix_seconds(F.to_timestamp(F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("Z"))))
+
+
+def _history(s, d):
+    e = demo.read(s, d, "events").where("user_id % 2 = 0").withColumn("t", _epoch())
+    point = F.struct("event_id", "t", F.when(F.col("event_id") % 11 > 0, F.col("value") / 100).alias("p"))
+    rows = e.groupBy(F.concat(F.lit("pm_"), F.col("user_id").cast("string")).alias("market_id")).agg(F.array_sort(F.collect_list(point)).alias("h"))
+    return rows.select("market_id", F.from_json(F.to_json(F.struct(F.transform("h", lambda x: F.struct(x["t"].alias("t"), x["p"].alias("p"))).alias("history"))), "history array<struct<t:bigint,p:double>>")["history"].alias("history"))
+
+
+def _candles(s, d):
+    e = demo.read(s, d, "events").where("user_id % 2 = 1").withColumn("t", _epoch())
+    candle = F.struct("event_id", F.col("t").alias("end_period_ts"), F.struct(F.when(F.col("event_id") % 6 > 0, (F.col("value") / 100).cast("string")).alias("close_dollars")).alias("price"), F.lit("40").alias("volume_fp"))
+    rows = e.groupBy(F.concat(F.lit("ka_"), F.col("user_id").cast("string")).alias("market_id")).agg(F.array_sort(F.collect_list(candle)).alias("c"))
+    return rows.select("market_id", F.transform("c", lambda x: F.struct(x["end_period_ts"].alias("end_period_ts"), x["price"].alias("price"), x["volume_fp"].alias("volume_fp"))).alias("candlesticks"))
+
+
+# the store: three batches of one table, the second changes some days of the first
+
+
+def _parts(s, d):
+    pa, pb = demo.prices(s, d)
+    rows = taxonomy.union_venues(pa, pb).withColumn("seq", F.lit(0).cast("long"))
+    first = rows.where("date <= '2024-01-20'").withColumn("batch_id", F.lit(0).cast("long"))
+    second = rows.where("date >= '2024-01-15'").withColumn("close_prob", F.col("close_prob") / 2).withColumn("batch_id", F.lit(1).cast("long"))
+    return first.unionByName(second)
+
+
+def store_roundtrip(s, d):
+    path = _scratch(s)
+    pa, pb = demo.prices(s, d)
+    rows = taxonomy.union_venues(pa, pb)
+    store.append_batch(rows.where("date <= '2024-01-20'"), path + "/parts", 0)
+    store.append_batch(rows.where("date >= '2024-01-15'").withColumn("close_prob", F.col("close_prob") / 2), path + "/parts", 1)
+    return store.finalize(s, None, s.read.parquet(path + "/parts"), path + "/final")
+
+
+_STORE = ", parts AS (SELECT *, 0 AS batch FROM allp WHERE date <= DATE '2024-01-20' UNION ALL SELECT market_id, date, close_prob / 2, daily_notional_usd, 1 FROM allp WHERE date >= DATE '2024-01-15')"
+_ALLP = Q.PANEL + ", allp AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'pm_' ELSE 'ka_' END || user_id AS market_id, date, CASE WHEN user_id % 7 = 3 AND date >= DATE '2024-01-20' THEN 0.995 ELSE v / (v + 35) END AS close_prob, CASE WHEN user_id % 2 = 1 THEN notional END AS daily_notional_usd FROM days)"
+_STORED = Q.over(_ALLP + _STORE, "SELECT market_id, date, round(close_prob, 6) AS close_prob, round(daily_notional_usd, 6) AS daily_notional_usd FROM (SELECT *, row_number() OVER (PARTITION BY market_id, date ORDER BY batch DESC) AS k FROM parts) WHERE k = 1")
+
+
+def stream_daily_close(s, d):
+    """The stream reads the events table as files, in one run to its end."""
+    path = _scratch(s)
+    static = demo.read(s, d, "events")
+    ticks = s.readStream.schema(static.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet" if _is_folder(s, f"{d}/events.parquet") else f"{d}/events*.parquet")
+    rows = ticks.select(F.concat(F.lit("m_"), F.col("user_id").cast("string")).alias("market_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("price"))
+    closes = streams.daily_closes(rows)
+    q = closes.writeStream.outputMode("update").foreachBatch(lambda b, n: store.append_batch(b, path + "/parts", n)).option("checkpointLocation", path + "/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return landing.keep_last(s.read.parquet(path + "/parts"), ["market_id", "date"], ["batch_id", "seq"])
+
+
+def _is_folder(s, path):
+    p = s._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(s._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
+def stream_upsert_prices(s, d):
+    path = _scratch(s)
+    pa, pb = demo.prices(s, d)
+    taxonomy.union_venues(pa, pb).write.parquet(path + "/in")
+    stream = s.readStream.schema(s.read.parquet(path + "/in").schema).parquet(path + "/in")
+    streams.upsert_prices(stream, path + "/parts", path + "/state").awaitTermination()
+    return store.latest(s.read.parquet(path + "/parts"))
+
+
+def robustness_series(s, d):
+    meta, panel, _ = demo.panel(s, d)
+    return validate.variant_series(meta, panel, demo.DEMO)
+
+
+def _indices_part(s, d, columns):
+    return demo.indices(s, d)[0].select(*columns)
+
+
+_IDX = 'SELECT date, "index", gauge, round(raw, 6) AS raw, round(value, 6) AS value FROM indices'
+_META = "market_id, venue, question, category, event_ticker, round(total_volume_usd, 6) AS total_volume_usd, open_date, close_date"
+_WINDOWS = lambda rows: f'SELECT e.event, e."index", round(max(i.value), 6) AS window_max, coalesce(max(i.value) >= 90, false) AS passed FROM {rows} LEFT JOIN indices i ON i."index" = e."index" AND i.gauge = \'turbulence\' AND i.date BETWEEN e."start" AND e."end" GROUP BY e.event, e."index"'
+_LAGS = ", lags AS (SELECT l.lag, " + Q.corr("CASE WHEN b.d_bench IS NOT NULL THEN a.d_idx END", "CASE WHEN a.d_idx IS NOT NULL THEN b.d_bench END") + " AS corr FROM (SELECT CAST(unnest(range(-10, 11)) AS INTEGER) AS lag) l CROSS JOIN d a LEFT JOIN d b ON b.rn = a.rn - l.lag GROUP BY l.lag)"
+
+
+def _j(select: str) -> str:
+    return Q.over(Q.FLAGGED, select)
+
+
+def _spec() -> dict:
+    rule = lambda name: _j(f"SELECT market_id, date, {name} AS flag FROM judged")
+    flag = lambda c: lambda s, d: _facts(s, d).select("market_id", "date", c.alias("flag"))
+    no, yes = F.lit(False), F.lit(True)
+    a, b = F.coalesce(F.col("venue") == "polymarket", no), F.coalesce(F.col("venue") == "kalshi", no)
+    midnight = F.col("date").cast("timestamp_ntz")
+    scalar = lambda c: lambda s, d: demo.read(s, d, "events").select("event_id", c.alias("x"))
+    p = (F.col("value") / 100).alias("p")
+    q_p = "greatest(0.01, least(0.99, value / 100))"
+    text = lambda c: lambda s, d: _documents(s, d).select("doc_id", c.alias("x"))
+    ev = "SELECT event_id, {} AS x FROM events"
+    return {
+        # composites
+        "build_panel": (lambda s, d: demo.panel(s, d)[1], Q.over(Q.PANEL, "SELECT market_id, date, round(close_prob, 6) AS close_prob, round(daily_notional_usd, 6) AS daily_notional_usd FROM panel")),
+        "project_meta": (lambda s, d: demo.panel(s, d)[0], Q.over(Q.PANEL, f"SELECT {_META} FROM meta")),
+        "drop_sports_unmapped": (lambda s, d: demo.panel(s, d)[2].select("market_id", "category"), Q.over(Q.MARKETS, "SELECT market_id, category FROM marked WHERE category IN ('SPORTS', 'UNMAPPED')")),
+        "apply_pit_rules": (_flagged, _j("SELECT market_id, date, round(close_prob, 6) AS close_prob, round(daily_notional_usd, 6) AS daily_notional_usd, venue, category, event_ticker, round(total_volume_usd, 6) AS total_volume_usd, open_date, close_date, round(weight, 6) AS weight, eligible FROM flagged")),
+        "compute_indices": (lambda s, d: demo.indices(s, d)[0], Q.over(Q.INDICES, _IDX)),
+        "constituents": (lambda s, d: demo.indices(s, d)[1], Q.over(Q.INDICES, "SELECT date, \"index\", n_constituents FROM constituents")),
+        "index_series": (lambda s, d: gauges.index_series(_fanned(s, d), ["index"]), Q.over(Q.INDICES, 'SELECT "index", date, round(turbulence, 6) AS turbulence, round(unresolvedness, 6) AS unresolvedness, n_constituents FROM raws')),
+        "index_unresolvedness": (lambda s, d: gauges.index_series(_fanned(s, d), ["index"]).select("index", "date", "unresolvedness", "n_constituents"), Q.over(Q.INDICES, 'SELECT "index", date, round(unresolvedness, 6) AS unresolvedness, n_constituents FROM raws')),
+        "compute_indices_long": (lambda s, d: _lineitem(s, d)[0], Q.over(Q.LINEITEM, _IDX)),
+        # sources and sinks
+        "src_markets_a": (lambda s, d: landing.markets_a(_pages_a(s, d)), "SELECT 'pm_' || event_id AS market_id, 'polymarket' AS venue, event_type AS question, event_type AS venue_category, '7700000000000000000000' || event_id AS yes_token_id, CASE WHEN event_id % 3 > 0 THEN round(value, 6) ELSE 0.0 END AS total_volume_usd, ts AS open_date, CASE WHEN event_id % 7 > 0 THEN date_trunc('day', ts) END AS close_date FROM events WHERE user_id % 2 = 0 AND event_id % 5 > 1"),
+        "src_markets_b": (lambda s, d: landing.markets_b(_pages_b(s, d)), "SELECT 'ka_T-' || event_id AS market_id, 'kalshi' AS venue, event_type AS question, '' AS venue_category, 'EV' || user_id || '-X' AS event_ticker, 'T-' || event_id AS ticker, CASE WHEN event_id % 2 = 0 THEN 'SER' ELSE 'EV' || user_id END AS series_ticker, round(value * 0.5, 6) AS total_volume_usd, date_trunc('second', ts) AS open_date, CAST(NULL AS TIMESTAMP) AS close_date FROM events WHERE user_id % 2 = 1"),
+        "src_history_a": (lambda s, d: landing.history_a(_history(s, d)), "SELECT 'pm_' || user_id AS market_id, CAST(ts AS DATE) AS date, round(arg_max(value / 100, event_id) FILTER (event_id % 11 > 0), 6) AS close_prob FROM events WHERE user_id % 2 = 0 GROUP BY ALL"),
+        "src_candles_b": (lambda s, d: landing.candles_b(_candles(s, d)), "SELECT 'ka_' || user_id AS market_id, CAST(ts AS DATE) AS date, round(arg_max(value / 100, event_id), 6) AS close_prob, round(arg_max(value / 100, event_id) * 40, 6) AS daily_notional_usd FROM events WHERE user_id % 2 = 1 AND event_id % 6 > 0 GROUP BY ALL"),
+        "src_pages_union": (lambda s, d: taxonomy.union_venues(landing.markets_a(_pages_a(s, d)), landing.markets_b(_pages_b(s, d))).groupBy("venue").agg(F.count("*").alias("n")), "SELECT CASE WHEN user_id % 2 = 0 THEN 'polymarket' ELSE 'kalshi' END AS venue, count(*) AS n FROM events WHERE user_id % 2 = 1 OR event_id % 5 > 1 GROUP BY 1"),
+        "filter_no_tokens": (lambda s, d: landing.markets_a(_pages_a(s, d)).select("market_id", "yes_token_id"), "SELECT 'pm_' || event_id AS market_id, '7700000000000000000000' || event_id AS yes_token_id FROM events WHERE user_id % 2 = 0 AND event_id % 5 > 1"),
+        "filter_null_close": (lambda s, d: landing.candles_b(_candles(s, d)).groupBy("market_id").agg(F.count("*").alias("days")), "SELECT 'ka_' || user_id AS market_id, count(DISTINCT CAST(ts AS DATE)) AS days FROM events WHERE user_id % 2 = 1 AND event_id % 6 > 0 GROUP BY 1"),
+        "store_finalize": (lambda s, d: store.latest(_parts(s, d)), _STORED),
+        "store_append_checkpoint": (store_roundtrip, _STORED),
+        "store_done_ids": (lambda s, d: store.done_ids(_parts(s, d)), "SELECT DISTINCT CASE WHEN user_id % 2 = 0 THEN 'pm_' ELSE 'ka_' END || user_id AS market_id FROM events"),
+        "history_todo_a": (lambda s, d: landing.history_todo(demo.markets(s, d)[0], store.done_ids(_parts(s, d)).where("market_id like '%2'"), 50_000).select("market_id"), Q.over(Q.MARKETS, "SELECT market_id FROM raw_meta WHERE venue = 'polymarket' AND total_volume_usd >= 50000 AND market_id NOT LIKE '%2'")),
+        "history_todo_b": (lambda s, d: landing.history_todo(demo.markets(s, d)[1], store.done_ids(_parts(s, d)).where("market_id like '%3'"), 80_000, 2.0).select("market_id"), Q.over(Q.MARKETS, "SELECT market_id FROM raw_meta WHERE venue = 'kalshi' AND total_volume_usd * 2 >= 80000 AND market_id NOT LIKE '%3'")),
+        "filter_backfill_start": (lambda s, d: landing.since_backfill(taxonomy.union_venues(*demo.markets(s, d)), "2024-02-03").select("market_id"), Q.over(Q.MARKETS, "SELECT market_id FROM raw_meta WHERE close_date >= TIMESTAMP '2024-02-03'")),
+        "src_bench_ymd": (lambda s, d: landing.bench_ymd(demo.read(s, d, "orders").select(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"), F.dayofmonth("o_orderdate").alias("day"), F.col("o_totalprice").alias("v")), "v"), "SELECT CAST(o_orderdate AS DATE) AS date, round(o_totalprice, 6) AS value FROM orders"),
+        "src_bench_lowercase": (lambda s, d: landing.bench_lowercase(demo.read(s, d, "orders").select(F.col("o_orderdate").alias("DATE"), F.col("o_totalprice").alias("GPRD"))), "SELECT CAST(o_orderdate AS DATE) AS date, round(o_totalprice, 6) AS value FROM orders"),
+        # rules
+        "pit_price_present": (flag(F.col("close_prob").isNotNull()), rule("price_present")),
+        "pit_open_window": (flag(F.coalesce(midnight >= F.col("open_date"), yes)), rule("open_window")),
+        "pit_close_cutoff": (flag(F.coalesce(midnight < F.col("close_date") - F.make_dt_interval(F.lit(3)), no)), rule("before_close")),
+        "pit_terminal_pin": (flag(F.col("pinned")), rule("pinned")),
+        "terminal_pin_suffix": (lambda s, d: _facts(s, d).where("pinned").groupBy("market_id").agg(F.min("date").alias("from_day")), _j("SELECT market_id, min(date) AS from_day FROM judged WHERE pinned GROUP BY 1")),
+        "pit_floor_a": (flag(a & F.coalesce(F.col("total_volume_usd") < 50_000, no)), rule("below_a")),
+        "pit_floor_b": (flag(b & ~F.coalesce(F.col("rolling") >= 5_000, no)), rule("below_b")),
+        "pit_weight": (lambda s, d: _flagged(s, d).select("market_id", "date", "weight"), _j("SELECT market_id, date, round(weight, 6) AS weight FROM judged")),
+        "pit_flag": (lambda s, d: _flagged(s, d).select("market_id", "date", "eligible"), _j("SELECT market_id, date, eligible FROM flagged")),
+        "filter_eligible": (lambda s, d: _flagged(s, d).where("eligible").select("market_id", "date"), _j("SELECT market_id, date FROM flagged WHERE eligible")),
+        "rolling_notional": (lambda s, d: _facts(s, d).select("market_id", "date", "rolling"), _j("SELECT market_id, date, round(rolling, 6) AS rolling FROM facts")),
+        "equal_weight": (lambda s, d: gauges.index_series(gauges.fan_out(_flagged(s, d).withColumn("weight", F.lit(1.0))), ["index"]), Q.over(Q.FLAGGED + ", evened AS (SELECT * REPLACE (1.0 AS weight) FROM flagged)" + Q.series("evened", 5), 'SELECT "index", date, round(turbulence, 6) AS turbulence, round(unresolvedness, 6) AS unresolvedness, n_constituents FROM raws')),
+        # joins
+        "join_panel_meta": (lambda s, d: universe.join_panel_meta(demo.panel(s, d)[1], demo.panel(s, d)[0]).select("market_id", "date", "venue", "category", "total_volume_usd"), _j("SELECT market_id, date, venue, category, round(total_volume_usd, 6) AS total_volume_usd FROM facts")),
+        "semi_panel_meta": (lambda s, d: demo.panel(s, d)[1].select("market_id", "date"), Q.over(Q.PANEL, "SELECT market_id, date FROM panel")),
+        "anti_done": (lambda s, d: demo.panel(s, d)[1].join(store.done_ids(_parts(s, d)).where("market_id like 'pm%'"), "market_id", "left_anti").select("market_id", "date"), Q.over(Q.PANEL, "SELECT market_id, date FROM panel WHERE market_id NOT LIKE 'pm%'")),
+        "anti_nonrep": (lambda s, d: universe.strike_losers(demo.panel(s, d)[0]), _j("SELECT market_id FROM reps WHERE k > 1")),
+        "anti_dup": (lambda s, d: demo.panel(s, d)[0].select("market_id").join(demo.flagged(s, d)[1].select(F.col("drop_market_id").alias("market_id")), "market_id", "left_anti"), _j("SELECT market_id FROM meta WHERE market_id NOT IN (SELECT drop_market_id FROM audit)")),
+        "anti_override": (lambda s, d: universe.apply_pit_rules(*demo.panel(s, d)[:2], demo.DEMO, demo.markets(s, d)[0].where("market_id like '%4'").select(F.col("market_id").alias("drop_market_id")))[0].select("market_id", "date", "eligible"), _j("SELECT market_id, date, eligible AND NOT (venue = 'polymarket' AND market_id LIKE '%4') AS eligible FROM flagged")),
+        "join_index_universe": (lambda s, d: _fanned(s, d).groupBy("index", "category").agg(F.count("*").alias("n")), Q.over(Q.INDICES, 'SELECT "index", category, count(*) AS n FROM fanned GROUP BY ALL')),
+        "dedup_cross_venue": (lambda s, d: universe.dedup_cross_venue(demo.panel(s, d)[0]), _j("SELECT * FROM audit")),
+        "titles_on_two_venues": (lambda s, d: universe.titles_on_two_venues(demo.panel(s, d)[0]), _j("SELECT title, count(DISTINCT venue) AS venues FROM titled GROUP BY title HAVING count(DISTINCT venue) >= 2")),
+        "strike_representative": (lambda s, d: universe.strike_representatives(demo.panel(s, d)[0]), _j("SELECT event_ticker, market_id FROM reps WHERE k = 1")),
+        "count_no_close": (lambda s, d: universe.count_no_close(_flagged(s, d)), _j("SELECT count(DISTINCT CASE WHEN close_date IS NULL THEN market_id END) AS markets FROM flagged")),
+        "join_event_windows": (lambda s, d: validate.check_events(demo.indices(s, d)[0], DEMO_EVENTS).select("event", "index", "window_max"), Q.over(Q.INDICES, f"SELECT event, \"index\", window_max FROM ({_WINDOWS(_DEMO_EVENT_ROWS)})")),
+        "check_events": (lambda s, d: validate.check_events(demo.indices(s, d)[0], DEMO_EVENTS), Q.over(Q.INDICES, _WINDOWS(_DEMO_EVENT_ROWS))),
+        "check_events_default": (lambda s, d: validate.check_events(_lineitem(s, d)[0]), Q.over(Q.LINEITEM, _WINDOWS(Q.EVENT_ROWS))),
+        "align_benchmark": (_lineitem_joined, Q.over(Q.LINEITEM + Q.BENCH, "SELECT date, round(idx, 6) AS idx, round(bench, 6) AS bench FROM joined")),
+        "series_diff": (lambda s, d: validate.diffs(_lineitem_joined(s, d)).select("date", "d_idx", "d_bench"), Q.over(Q.LINEITEM + Q.BENCH, "SELECT date, round(d_idx, 6) AS d_idx, round(d_bench, 6) AS d_bench FROM d")),
+        "join_leadlag": (lambda s, d: validate.leadlag(_lineitem_joined(s, d)).select("lag"), Q.over(Q.LINEITEM + Q.BENCH + _LAGS, "SELECT lag FROM lags")),
+        "leadlag_corr": (lambda s, d: validate.leadlag(_lineitem_joined(s, d)), Q.over(Q.LINEITEM + Q.BENCH + _LAGS, "SELECT * FROM lags")),
+        "corr_and_leadlag": (lambda s, d: validate.corr_and_leadlag(_lineitem_joined(s, d)), Q.over(Q.LINEITEM + Q.BENCH + _LAGS, f"SELECT 'level' AS stat, CAST(0 AS INTEGER) AS lag, {Q.corr('idx', 'bench')} AS corr FROM joined UNION ALL SELECT 'diff', CAST(0 AS INTEGER), {Q.corr('d_idx', 'd_bench')} FROM d UNION ALL SELECT 'leadlag', lag, corr FROM lags")),
+        "best_lag": (lambda s, d: validate.best_lag(validate.leadlag(_lineitem_joined(s, d))), Q.over(Q.LINEITEM + Q.BENCH + _LAGS, "SELECT (SELECT lag FROM lags WHERE corr IS NOT NULL ORDER BY corr DESC, lag LIMIT 1) AS lag")),
+        "pearson_corr": (lambda s, d: _lineitem_joined(s, d).agg(validate.pearson(F.col("idx"), F.col("bench")).alias("corr")), Q.over(Q.LINEITEM + Q.BENCH, f"SELECT {Q.corr('idx', 'bench')} AS corr FROM joined")),
+        "series_shift": (lambda s, d: demo.benchmark(s, d).select("date", F.lag("value", 3).over(W.partitionBy(F.lit(0)).orderBy("date")).alias("lag3"), F.lead("value", 3).over(W.partitionBy(F.lit(0)).orderBy("date")).alias("lead3")), Q.over(Q.LINEITEM + Q.BENCH, "SELECT date, round(lag(value, 3) OVER (ORDER BY date), 6) AS lag3, round(lead(value, 3) OVER (ORDER BY date), 6) AS lead3 FROM bench")),
+        "churn_audit": (lambda s, d: validate.churn_audit(*_lineitem(s, d)), Q.over(Q.LINEITEM, "SELECT " + Q.corr("CASE WHEN n IS NOT NULL THEN v END", "CASE WHEN v IS NOT NULL THEN n END") + " AS churn_corr FROM (SELECT a.date, v, n FROM (SELECT date, value - lag(value) OVER (ORDER BY date) AS v FROM indices WHERE \"index\" = 'GLOBAL' AND gauge = 'turbulence') a JOIN (SELECT date, CAST(n_constituents - lag(n_constituents) OVER (ORDER BY date) AS DOUBLE) AS n FROM constituents WHERE \"index\" = 'GLOBAL') b ON a.date = b.date)")),
+        "cross_param_grid": (lambda s, d: robustness_series(s, d).groupBy("variant").agg(F.count("*").alias("days")), None),
+        "join_variants": (robustness_series, None),
+        "robustness": (lambda s, d: validate.robustness(robustness_series(s, d)), None),
+        "min_pair_corr": (lambda s, d: validate.robustness(robustness_series(s, d)).agg(F.min("corr").alias("min_corr")), None),
+        "validation_summary": (lambda s, d: validate.validation_summary(*demo.indices(s, d), validate.leadlag(_lineitem_joined(s, d)), validate.robustness(robustness_series(s, d)), DEMO_EVENTS), None),
+        # aggregates and windows
+        "daily_last_close": (lambda s, d: landing.history_a(_history(s, d)).where("close_prob is not null"), "SELECT * FROM (SELECT 'pm_' || user_id AS market_id, CAST(ts AS DATE) AS date, round(arg_max(value / 100, event_id) FILTER (event_id % 11 > 0), 6) AS close_prob FROM events WHERE user_id % 2 = 0 GROUP BY ALL) WHERE close_prob IS NOT NULL"),
+        "dedup_keep_last": (lambda s, d: landing.keep_last(demo.read(s, d, "events").select("user_id", "event_type", "ts", "event_id", "value"), ["user_id", "event_type"], ["ts", "event_id"]), "SELECT user_id, event_type, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1"),
+        "weighted_mean": (lambda s, d: demo.read(s, d, "lineitem").groupBy("l_returnflag").agg(gauges.weighted_mean(F.col("l_discount"), F.col("l_quantity")).alias("m")), "SELECT l_returnflag, round(sum(l_discount * l_quantity) / sum(l_quantity), 6) AS m FROM lineitem WHERE l_quantity > 0 GROUP BY 1"),
+        "n_constituents": (lambda s, d: gauges.index_series(gauges.fan_out(demo.lineitem_flagged(s, d)), ["index"]).select("index", "date", "n_constituents"), Q.over(Q.LINEITEM, 'SELECT "index", date, n_constituents FROM constituents')),
+        "logit_innovation": (lambda s, d: gauges.innovations(_fanned(s, d), ["index"]).select("index", "market_id", "date", "innov"), Q.over(Q.INDICES, 'SELECT "index", market_id, date, round(innov, 6) AS innov FROM innovations')),
+        "ewma_vol": (lambda s, d: gauges.with_vol(gauges.fan_out(demo.lineitem_flagged(s, d)), ["index"], F.lit(10.0)).where("vol is not null").groupBy("index").agg(F.count("*").alias("n"), (F.sum(F.col("vol").cast("decimal(28,10)")).cast("double")).alias("s")).select("index", "n", F.round("s", 3).alias("s")), Q.over(Q.LINEITEM, 'SELECT "index", count(*) AS n, round(CAST(sum(CAST(vol AS DECIMAL(28,10))) AS DOUBLE), 3) AS s FROM vols WHERE vol IS NOT NULL GROUP BY 1')),
+        "ewma_vol_demo": (lambda s, d: gauges.with_vol(_fanned(s, d), ["index"], F.lit(10.0)).select("index", "market_id", "date", "vol"), Q.over(Q.INDICES, 'SELECT "index", market_id, date, round(vol, 6) AS vol FROM vols')),
+        "percentile_scale": (lambda s, d: _indices_part(s, d, ["date", "index", "gauge", "value"]), Q.over(Q.INDICES, 'SELECT date, "index", gauge, round(value, 6) AS value FROM indices')),
+        "seed_mask": (lambda s, d: _lineitem(s, d)[0].where("value is not null").groupBy("index", "gauge").agg(F.min("date").alias("first_day")), Q.over(Q.LINEITEM, 'SELECT "index", gauge, min(date) AS first_day FROM indices WHERE value IS NOT NULL GROUP BY ALL')),
+        "reindex_spine": (lambda s, d: gauges.date_spine(_fanned(s, d), ["index"]).select("index", "date", F.col("ix").cast("long").alias("ix")), Q.over(Q.INDICES, 'SELECT "index", date, ix FROM spine')),
+        "unpivot_gauges": (lambda s, d: _indices_part(s, d, ["date", "index", "gauge", "raw"]), Q.over(Q.INDICES, 'SELECT date, "index", gauge, round(raw, 6) AS raw FROM indices')),
+        "select_series": (lambda s, d: gauges.select_series(demo.indices(s, d)[0], "GLOBAL", "unresolvedness"), Q.over(Q.INDICES, "SELECT date, round(value, 6) AS value FROM indices WHERE \"index\" = 'GLOBAL' AND gauge = 'unresolvedness'")),
+        "top_spike_days": (lambda s, d: validate.top_spike_days(_lineitem(s, d)[0]), Q.over(Q.LINEITEM, "SELECT date, round(value, 6) AS value FROM indices WHERE \"index\" = 'GLOBAL' AND gauge = 'turbulence' AND value IS NOT NULL ORDER BY indices.value DESC, date LIMIT 10")),
+        "index_summary": (lambda s, d: gauges.index_summary(_lineitem(s, d)[0]), Q.over(Q.LINEITEM, "SELECT \"index\", count(*) AS days, round(arg_max(value, date), 6) AS last_value FROM indices WHERE gauge = 'turbulence' AND value IS NOT NULL GROUP BY 1")),
+        "coverage_qa": (lambda s, d: gauges.coverage(*_lineitem(s, d)), Q.over(Q.LINEITEM, 'SELECT a.*, avg_members FROM (SELECT "index", gauge, count(*) AS days, min(date) AS first_day, max(date) AS last_day FROM indices WHERE value IS NOT NULL GROUP BY ALL) a JOIN (SELECT "index", round(avg(n_constituents), 6) AS avg_members FROM constituents GROUP BY 1) b ON a."index" = b."index"')),
+        "normalize_counts": (lambda s, d: taxonomy.normalize_counts(taxonomy.with_category(taxonomy.union_venues(*demo.markets(s, d)))), Q.over(Q.MARKETS, "SELECT CASE WHEN category IN ('SPORTS', 'UNMAPPED') THEN category ELSE 'KEPT' END AS grp, count(*) AS n FROM marked GROUP BY 1")),
+        "unmapped_volume_share": (lambda s, d: taxonomy.unmapped_volume_share(taxonomy.with_category(taxonomy.union_venues(*demo.markets(s, d)))), Q.over(Q.MARKETS, "SELECT round(sum(total_volume_usd) FILTER (category = 'UNMAPPED') / sum(total_volume_usd), 6) AS share FROM marked")),
+        "unmapped_triage": (lambda s, d: taxonomy.unmapped_triage(demo.panel(s, d)[2]), Q.over(Q.MARKETS, "SELECT market_id, venue, question, venue_category, round(total_volume_usd, 6) AS total_volume_usd FROM marked WHERE category = 'UNMAPPED'")),
+        "rank_by_liquidity": (lambda s, d: demo.panel(s, d)[0].select("market_id", F.row_number().over(W.partitionBy("category").orderBy(F.col("total_volume_usd").desc_nulls_last(), "market_id")).cast("long").alias("place")), Q.over(Q.MARKETS, "SELECT market_id, row_number() OVER (PARTITION BY category ORDER BY total_volume_usd DESC NULLS LAST, market_id) AS place FROM meta")),
+        "union_venues": (lambda s, d: taxonomy.union_venues(*demo.prices(s, d)), Q.over(_ALLP, "SELECT market_id, date, round(close_prob, 6) AS close_prob, round(daily_notional_usd, 6) AS daily_notional_usd FROM allp")),
+        "except_reps": (lambda s, d: demo.panel(s, d)[0].where("venue = 'kalshi'").select("market_id").join(universe.strike_representatives(demo.panel(s, d)[0]), "market_id", "left_anti"), _j("SELECT market_id FROM reps WHERE k > 1")),
+        # scalars
+        "clip_prob": (scalar(S.clip_prob(p)), ev.format(f"round({q_p}, 6)")),
+        "logit": (scalar(S.logit(p)), ev.format(f"round(ln({q_p} / (1 - {q_p})), 6)")),
+        "binary_entropy": (scalar(S.binary_entropy(p)), ev.format(f"round(-({q_p} * log2({q_p}) + (1 - {q_p}) * log2(1 - {q_p})), 6)")),
+        "log1p_weight": (scalar(F.log1p("value")), ev.format("round(ln(1 + value), 6)")),
+        "square_sqrt": (scalar(F.sqrt(F.col("value") * F.col("value"))), ev.format("round(sqrt(value * value), 6)")),
+        "notional": (scalar(S.num_or_default(F.col("value").cast("string")) * 0.5), ev.format("round(value * 0.5, 6)")),
+        "interval_sub": (scalar(F.col("ts") - F.make_dt_interval(F.lit(3))), ev.format("ts - INTERVAL 3 DAY")),
+        "prefix_id": (scalar(S.prefix_id("pm_", F.col("event_id").cast("string"))), ev.format("'pm_' || event_id")),
+        "num_or_default": (scalar(S.num_or_default(F.when(F.col("event_id") % 2 == 0, F.lit("x")).otherwise(F.col("value").cast("string")))), ev.format("CASE WHEN event_id % 2 = 0 THEN 0.0 ELSE round(value, 6) END")),
+        "iso_ts_or_null": (scalar(S.iso_ts_or_null(F.when(F.col("event_id") % 3 == 0, F.lit("no date")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")))), ev.format("CASE WHEN event_id % 3 > 0 THEN date_trunc('second', ts) END")),
+        "epoch_to_day": (scalar(S.epoch_to_day(F.col("event_id") * 7919)), ev.format("DATE '1970-01-01' + CAST((event_id * 7919) // 86400 AS INTEGER)")),
+        "ymd_date": (lambda s, d: demo.read(s, d, "orders").select("o_orderkey", F.make_date(F.year("o_orderdate"), F.month("o_orderdate"), F.dayofmonth("o_orderdate")).alias("x")), "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS x FROM orders"),
+        "json_first_token": (scalar(S.json_first_token(F.concat(F.lit('["'), F.col("event_type"), F.lit('","b"]')))), ev.format("event_type")),
+        "series_from_event": (scalar(S.series_from_event(F.lit(""), F.concat("event_type", F.lit("-A-B")))), ev.format("event_type")),
+        "trim_text": (scalar(S.trim_text(F.concat(F.lit("  "), F.col("event_type"), F.lit(" ")))), ev.format("event_type")),
+        "venue_category_map": (lambda s, d: taxonomy.union_venues(*demo.markets(s, d)).select("market_id", S.map_venue_category(F.col("venue_category")).alias("x")), Q.over(Q.MARKETS, "SELECT market_id, CASE WHEN venue_category = 'Crypto' THEN 'CRYPTO' ELSE 'UNMAPPED' END AS x FROM raw_meta")),
+        "windows_overlap": (lambda s, d: demo.panel(s, d)[0].select("market_id", S.windows_overlap(F.col("open_date"), F.col("close_date"), F.lit("2024-02-02 00:00:00").cast("timestamp_ntz"), F.lit(None).cast("timestamp_ntz")).alias("x")), Q.over(Q.MARKETS, "SELECT market_id, close_date >= TIMESTAMP '2024-02-02 00:00:00' AS x FROM meta")),
+        "normalize_question": (text(F.length(S.normalize_question(F.col("text")))), "SELECT doc_id, CAST(length(trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g'))) AS INTEGER) AS x FROM documents"),
+        "categorize": (text(S.categorize(F.col("text"), F.col("source"))), f"SELECT doc_id, {Q.categorize('text', 'source')} AS x FROM documents"),
+        "categorize_markets": (lambda s, d: taxonomy.with_category(taxonomy.union_venues(*demo.markets(s, d))).select("market_id", "category"), Q.over(Q.MARKETS, "SELECT market_id, category FROM marked")),
+        # streams
+        "stream_daily_close": (stream_daily_close, "SELECT 'm_' || user_id AS market_id, CAST(ts AS DATE) AS date, round(value, 6) AS close FROM (SELECT *, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1"),
+        "stream_upsert_prices": (stream_upsert_prices, Q.over(_ALLP, "SELECT market_id, date, round(close_prob, 6) AS close_prob, round(daily_notional_usd, 6) AS daily_notional_usd FROM allp")),
+    }
 
 
 def queries() -> dict:
-    return {}
+    return {name: (lambda s, d, f=f: _round(f(s, d))) for name, (f, _) in _spec().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _spec().items() if sql}
