@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..params import EVENTS, GRID, Params
+from ..sources.shared import durable
 from . import gauges, universe
 
 PASS = 90.0
@@ -103,8 +104,11 @@ def variant_series(meta: DataFrame, panel: DataFrame, params: Params = Params(),
 
 
 def robustness(series: DataFrame) -> DataFrame:
-    """``(variant_a, variant_b, corr)`` of all pairs over days that every variant has."""
-    known = series.where("value is not null")
+    """``(variant_a, variant_b, corr)`` of all pairs over days that every variant has.
+
+    The series, one row per variant and day, are written once, as the pairs read them several times.
+    """
+    known = durable(series.where("value is not null"))
     n = known.select("variant").distinct().count()
     full = known.groupBy("date").agg(F.count("*").alias("n")).where(F.col("n") == n).select("date")
     rows = known.join(full, "date", "left_semi")

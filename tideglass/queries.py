@@ -5,9 +5,6 @@ Each entry is (query, SQL or None). Doubles are rounded to 6 places on both side
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +16,7 @@ from .operators import gauges, taxonomy, universe, validate
 from .params import Params
 from .plans import demo
 from .sources import landing, store
+from .sources.shared import fresh_path
 from .streaming import prices as streams
 
 LONG = Params()
@@ -31,11 +29,6 @@ def _round(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(F.col(f"`{f.name}`"), 6).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`") for f in df.schema.fields])
 
 
-def _scratch(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/tideglass-{uuid.uuid4().hex}" if shared else "file://" + tempfile.mkdtemp(prefix="tideglass-") + "/t"
-
-
 def _flagged(s, d):
     return demo.flagged(s, d)[0]
 
@@ -109,7 +102,7 @@ def _parts(s, d):
 
 
 def store_roundtrip(s, d):
-    path = _scratch(s)
+    path = fresh_path(s)
     pa, pb = demo.prices(s, d)
     rows = taxonomy.union_venues(pa, pb)
     store.append_batch(rows.where("date <= '2024-01-20'"), path + "/parts", 0)
@@ -124,7 +117,7 @@ _STORED = Q.over(_ALLP + _STORE, "SELECT market_id, date, round(close_prob, 6) A
 
 def stream_daily_close(s, d):
     """The stream reads the events table as files, in one run to its end."""
-    path = _scratch(s)
+    path = fresh_path(s)
     static = demo.read(s, d, "events")
     ticks = s.readStream.schema(static.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet" if _is_folder(s, f"{d}/events.parquet") else f"{d}/events*.parquet")
     rows = ticks.select(F.concat(F.lit("m_"), F.col("user_id").cast("string")).alias("market_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("price"))
@@ -140,7 +133,7 @@ def _is_folder(s, path):
 
 
 def stream_upsert_prices(s, d):
-    path = _scratch(s)
+    path = fresh_path(s)
     pa, pb = demo.prices(s, d)
     taxonomy.union_venues(pa, pb).write.parquet(path + "/in")
     stream = s.readStream.schema(s.read.parquet(path + "/in").schema).parquet(path + "/in")
