@@ -126,7 +126,7 @@ def test_quality_model_finds_junk(spark):
     parts = ["ri", "ver", "sto", "ne", "bir", "da", "walk", "lo", "ho", "me", "sing"]
     words = sorted({"".join(rng.choice(parts, k)) for k in (1, 2, 3) for _ in range(200)})
     good = [" ".join(rng.choice(words, 60)).capitalize() + ". " + " ".join(rng.choice(words, 30)) + "." for _ in range(80)]
-    bad = [" ".join(w + "&&&" for w in rng.choice(words, 50)) for _ in range(8)] + [" ".join(w.upper() + "!!" for w in rng.choice(words, 50)) for _ in range(8)] + [" ".join([w] * 12) for w in words[:8] for w in [f"{w} {w}"]]
+    bad = [" ".join(w + "&&&" for w in rng.choice(words, 50)) for _ in range(8)] + [" ".join(w.upper() + "!!" for w in rng.choice(words, 50)) for _ in range(8)] + [" ".join([w] * 40) for w in words[:8]]
     table = docs(spark, good + bad)
     found = {r.doc_id: r for r in quality.score_quality(table).collect()}
     assert np.mean([found[k].keep for k in range(80)]) > 0.95
