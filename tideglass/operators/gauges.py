@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions.scalars import binary_entropy, logit
 from ..params import UNIVERSES, Params
+from ..sources.shared import durable
 
 _EXACT = "decimal(28,12)"
 
@@ -85,8 +86,13 @@ def tidy(series: DataFrame, by: list[str], seed_days: int) -> DataFrame:
 
 
 def compute_indices(flagged: DataFrame, params: Params = Params(), universes: dict[str, tuple[str, ...]] = UNIVERSES) -> tuple[DataFrame, DataFrame]:
-    """``(indices, constituents)``; no eligible row gives two empty tables of the same columns."""
-    series = index_series(fan_out(flagged, universes), ["index"], params=params)
+    """``(indices, constituents)``; no eligible row gives two empty tables of the same columns.
+
+    Eligible rows are read for the spine and again for the gauges, and both results come from one
+    series; so the rows and the series (one row per index and day) are written to the shared folder.
+    """
+    rows = durable(flagged.where("eligible").select("market_id", "date", "close_prob", "weight", "category", "eligible"))
+    series = durable(index_series(fan_out(rows, universes), ["index"], params=params))
     return tidy(series, ["index"], params.seed_days), series.select("date", "index", "n_constituents")
 
 

@@ -85,7 +85,7 @@ def variants(params: Params = Params(), grid=GRID) -> list[tuple[str, Params, bo
 def variant_series(meta: DataFrame, panel: DataFrame, params: Params = Params(), grid=GRID, overrides: DataFrame | None = None) -> DataFrame:
     """``(variant, date, value)`` of GLOBAL turbulence under every variant, in one plan.
 
-    What no parameter changes (pins, rolling means, dropped ids) is computed once; rows are then
+    What no parameter changes (pins, rolling means, dropped ids) is computed once and written; rows are then
     crossed with the distinct parameter sets only, and names that share a set share its series.
     """
     spark = panel.sparkSession
@@ -95,7 +95,7 @@ def variant_series(meta: DataFrame, panel: DataFrame, params: Params = Params(),
         key = (float(p.ewma_halflife), int(p.resolution_exclusion_days), float(p.pm_min_total_volume), float(p.ka_min_rolling_notional), equal)
         names.append((name, len(names), sets.setdefault(key, len(sets))))
     table = spark.createDataFrame([(k, *key) for key, k in sets.items()], "set int, halflife double, exclusion int, floor_a double, floor_b double, equal boolean")
-    facts, _ = universe.with_facts(meta, panel, params, overrides)
+    facts = durable(universe.with_facts(meta, panel, params, overrides)[0])
     rows = facts.crossJoin(F.broadcast(table)).where(universe.eligible(F.col("exclusion"), F.col("floor_a"), F.col("floor_b")))
     rows = rows.withColumn("weight", F.when(F.col("equal"), 1.0).otherwise(universe.weight(F.col("rolling")))).where(F.col("category").isNotNull())
     series = gauges.index_series(rows, ["set", "halflife"], F.col("halflife"), params)
