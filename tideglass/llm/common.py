@@ -1,40 +1,19 @@
-"""Shared pieces of the training-data operators: durable tables and codepoint blocks."""
+"""Shared pieces of the training-data operators: tables, codepoint blocks and hashes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN_DIRS: dict[str, str] = {}
+from ..sources.shared import durable, shared_dir  # noqa: F401  (for the operators)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a folder of our own only where none is configured (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_DIRS:
-        _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="tideglass-")
-    return _OWN_DIRS[app]
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: a lost executor re-reads files
-    instead of recomputing, and what follows starts from known sizes."""
-    path = f"{shared_dir(df.sparkSession)}/tideglass-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it (names compare without case)."""
     taken = {c.lower() for c in df.columns}
