@@ -20,7 +20,7 @@ from .common import durable
 
 CAPACITY = 2048
 #: Words whose ids a task keeps at most; the results don't depend on it.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 600_000
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
@@ -123,11 +123,17 @@ def pieces(docs: DataFrame, vocabulary: tuple[str, str, str] | None = None, capa
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """The plan of fewest sequences of three: with gaps filled by single lengths, also by sums of two, also by
+    sums of three. Small pieces in exact sums are lost to later gaps, so more sums aren't always better."""
+    return min((exact_plan(counts, capacity, depth) for depth in (3, 2, 1)), key=lambda kinds: sum(n for _, n in kinds))
+
+
+def exact_plan(counts: dict[int, int], capacity: int, depth: int) -> list[tuple[tuple[int, ...], int]]:
     """Kinds of sequences ``(lengths, how many)`` that hold ``counts[length]`` pieces of each length.
 
-    Longest first, a length's gap is looked up among single lengths, then sums of two, then sums of
-    three, and each combination that fills it exactly is used as often as the counts allow. What is
-    left goes, longest first, to the smallest gap that holds it. Works on at most ``capacity`` counts,
+    Gaps are looked up, the longest length's first, among single lengths, then all again among sums of two,
+    then of three (as ``depth`` says), and each combination that fills a gap exactly is used as often as the counts allow. What
+    is left goes, longest first, to the smallest gap that holds it. Works on at most ``capacity`` counts,
     however many pieces there are.
     """
     left = np.zeros(capacity + 1, dtype=np.int64)
@@ -148,16 +154,16 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
         hit = low[(left[low] > 0) & (left[total - low] > 0)]
         return [(total - int(x), int(x)) for x in hit]
 
-    for a in range(capacity, 0, -1):
-        gap = capacity - a
-        if left[a] and not gap:
-            use((a,))
-        if left[a] and gap:
-            use((a, gap))
-        for b, c in pairs(gap) if left[a] else []:
+    longest = [a for a in range(capacity, 0, -1) if left[a]]
+    for a in longest:
+        use((a,) if a == capacity else (a, capacity - a))
+    for a in longest if depth > 1 else []:
+        for b, c in pairs(capacity - a) if left[a] else []:
             use((a, b, c))
             if not left[a]:
                 break
+    for a in longest if depth > 2 else []:
+        gap = capacity - a
         for b in np.flatnonzero(left[: gap - 1])[::-1].tolist() if left[a] and gap > 2 else []:
             for c, d in pairs(gap - b):
                 use((a, b, c, d))
@@ -218,20 +224,20 @@ def slots(kinds: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int,
     return rows
 
 
-def pack(found: DataFrame, capacity: int = CAPACITY, salted: int = 100_000) -> DataFrame:
+def pack(found: DataFrame, capacity: int = CAPACITY, parts: int = 1 << 15) -> DataFrame:
     """``found`` (doc_id, piece, length and others) with ``sequence_id`` and ``offset``.
 
     Only counts of the at most ``capacity`` lengths and the plan made of them are on the driver.
-    Ranks within a length are counted in salted parts of about ``salted`` rows, so that a length that many
-    pieces have is not one task. Reruns agree. No pieces: none.
+    Ranks within a length are counted in salted parts, about ``parts`` over all lengths by their counts, so
+    that a length that many pieces have is not one task; the tables of lengths, places and parts are
+    bounded by capacity and ``parts``, whatever the input. Reruns agree. No pieces: none.
     """
     spark = found.sparkSession
     counts = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    kinds = slots(plan(counts, capacity))
-    places = spark.createDataFrame(kinds, "slot_length bigint, low bigint, high bigint, sequence bigint, each bigint, at bigint")
-    parts = max(64, sum(counts.values()) // salted)
-    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts))
-    dealt = found.withColumn("salt", salt)
+    places = spark.createDataFrame(slots(plan(counts, capacity)), "slot_length bigint, low bigint, high bigint, sequence bigint, each bigint, at bigint")
+    total = sum(counts.values())
+    share = spark.createDataFrame([(x, -(-n * parts // total)) for x, n in counts.items()], "length bigint, parts bigint")
+    dealt = found.join(F.broadcast(share), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("parts"))).drop("parts")
     sizes = dealt.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.sum("n").over(W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1))
     sizes = durable(sizes.select(F.col("length").alias("l"), F.col("salt").alias("s"), F.coalesce(before, F.lit(0)).alias("before")))
