@@ -10,6 +10,13 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_names_and_sql_belong_together():
+    """Listing needs no session: it runs in a process of its own."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True)
     assert set(core.oracle_sql()) <= set(core.queries()) <= set(__spark_entry__.queries())
 
 

@@ -160,16 +160,20 @@ def _j(select: str) -> str:
     return Q.over(Q.FLAGGED, select)
 
 
+def _midnight():
+    return F.col("date").cast("timestamp_ntz")
+
+
+def _of(venue: str):
+    return F.coalesce(F.col("venue") == venue, F.lit(False))
+
+
 def _spec() -> dict:
     rule = lambda name: _j(f"SELECT market_id, date, {name} AS flag FROM judged")
-    flag = lambda c: lambda s, d: _facts(s, d).select("market_id", "date", c.alias("flag"))
-    no, yes = F.lit(False), F.lit(True)
-    a, b = F.coalesce(F.col("venue") == "polymarket", no), F.coalesce(F.col("venue") == "kalshi", no)
-    midnight = F.col("date").cast("timestamp_ntz")
-    scalar = lambda c: lambda s, d: demo.read(s, d, "events").select("event_id", c.alias("x"))
-    p = (F.col("value") / 100).alias("p")
+    flag = lambda c: lambda s, d: _facts(s, d).select("market_id", "date", c().alias("flag"))
+    scalar = lambda c: lambda s, d: demo.read(s, d, "events").select("event_id", c().alias("x"))
     q_p = "greatest(0.01, least(0.99, value / 100))"
-    text = lambda c: lambda s, d: _documents(s, d).select("doc_id", c.alias("x"))
+    text = lambda c: lambda s, d: _documents(s, d).select("doc_id", c().alias("x"))
     ev = "SELECT event_id, {} AS x FROM events"
     return {
         # composites
@@ -199,13 +203,13 @@ def _spec() -> dict:
         "src_bench_ymd": (lambda s, d: landing.bench_ymd(demo.read(s, d, "orders").select(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"), F.dayofmonth("o_orderdate").alias("day"), F.col("o_totalprice").alias("v")), "v"), "SELECT CAST(o_orderdate AS DATE) AS date, round(o_totalprice, 6) AS value FROM orders"),
         "src_bench_lowercase": (lambda s, d: landing.bench_lowercase(demo.read(s, d, "orders").select(F.col("o_orderdate").alias("DATE"), F.col("o_totalprice").alias("GPRD"))), "SELECT CAST(o_orderdate AS DATE) AS date, round(o_totalprice, 6) AS value FROM orders"),
         # rules
-        "pit_price_present": (flag(F.col("close_prob").isNotNull()), rule("price_present")),
-        "pit_open_window": (flag(F.coalesce(midnight >= F.col("open_date"), yes)), rule("open_window")),
-        "pit_close_cutoff": (flag(F.coalesce(midnight < F.col("close_date") - F.make_dt_interval(F.lit(3)), no)), rule("before_close")),
-        "pit_terminal_pin": (flag(F.col("pinned")), rule("pinned")),
+        "pit_price_present": (flag(lambda: F.col("close_prob").isNotNull()), rule("price_present")),
+        "pit_open_window": (flag(lambda: F.coalesce(_midnight() >= F.col("open_date"), F.lit(True))), rule("open_window")),
+        "pit_close_cutoff": (flag(lambda: F.coalesce(_midnight() < F.col("close_date") - F.make_dt_interval(F.lit(3)), F.lit(False))), rule("before_close")),
+        "pit_terminal_pin": (flag(lambda: F.col("pinned")), rule("pinned")),
         "terminal_pin_suffix": (lambda s, d: _facts(s, d).where("pinned").groupBy("market_id").agg(F.min("date").alias("from_day")), _j("SELECT market_id, min(date) AS from_day FROM judged WHERE pinned GROUP BY 1")),
-        "pit_floor_a": (flag(a & F.coalesce(F.col("total_volume_usd") < 50_000, no)), rule("below_a")),
-        "pit_floor_b": (flag(b & ~F.coalesce(F.col("rolling") >= 5_000, no)), rule("below_b")),
+        "pit_floor_a": (flag(lambda: _of("polymarket") & F.coalesce(F.col("total_volume_usd") < 50_000, F.lit(False))), rule("below_a")),
+        "pit_floor_b": (flag(lambda: _of("kalshi") & ~F.coalesce(F.col("rolling") >= 5_000, F.lit(False))), rule("below_b")),
         "pit_weight": (lambda s, d: _flagged(s, d).select("market_id", "date", "weight"), _j("SELECT market_id, date, round(weight, 6) AS weight FROM judged")),
         "pit_flag": (lambda s, d: _flagged(s, d).select("market_id", "date", "eligible"), _j("SELECT market_id, date, eligible FROM flagged")),
         "filter_eligible": (lambda s, d: _flagged(s, d).where("eligible").select("market_id", "date"), _j("SELECT market_id, date FROM flagged WHERE eligible")),
@@ -263,25 +267,25 @@ def _spec() -> dict:
         "union_venues": (lambda s, d: taxonomy.union_venues(*demo.prices(s, d)), Q.over(_ALLP, "SELECT market_id, date, round(close_prob, 6) AS close_prob, round(daily_notional_usd, 6) AS daily_notional_usd FROM allp")),
         "except_reps": (lambda s, d: demo.panel(s, d)[0].where("venue = 'kalshi'").select("market_id").join(universe.strike_representatives(demo.panel(s, d)[0]), "market_id", "left_anti"), _j("SELECT market_id FROM reps WHERE k > 1")),
         # scalars
-        "clip_prob": (scalar(S.clip_prob(p)), ev.format(f"round({q_p}, 6)")),
-        "logit": (scalar(S.logit(p)), ev.format(f"round(ln({q_p} / (1 - {q_p})), 6)")),
-        "binary_entropy": (scalar(S.binary_entropy(p)), ev.format(f"round(-({q_p} * log2({q_p}) + (1 - {q_p}) * log2(1 - {q_p})), 6)")),
-        "log1p_weight": (scalar(F.log1p("value")), ev.format("round(ln(1 + value), 6)")),
-        "square_sqrt": (scalar(F.sqrt(F.col("value") * F.col("value"))), ev.format("round(sqrt(value * value), 6)")),
-        "notional": (scalar(S.num_or_default(F.col("value").cast("string")) * 0.5), ev.format("round(value * 0.5, 6)")),
-        "interval_sub": (scalar(F.col("ts") - F.make_dt_interval(F.lit(3))), ev.format("ts - INTERVAL 3 DAY")),
-        "prefix_id": (scalar(S.prefix_id("pm_", F.col("event_id").cast("string"))), ev.format("'pm_' || event_id")),
-        "num_or_default": (scalar(S.num_or_default(F.when(F.col("event_id") % 2 == 0, F.lit("x")).otherwise(F.col("value").cast("string")))), ev.format("CASE WHEN event_id % 2 = 0 THEN 0.0 ELSE round(value, 6) END")),
-        "iso_ts_or_null": (scalar(S.iso_ts_or_null(F.when(F.col("event_id") % 3 == 0, F.lit("no date")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")))), ev.format("CASE WHEN event_id % 3 > 0 THEN date_trunc('second', ts) END")),
-        "epoch_to_day": (scalar(S.epoch_to_day(F.col("event_id") * 7919)), ev.format("DATE '1970-01-01' + CAST((event_id * 7919) // 86400 AS INTEGER)")),
+        "clip_prob": (scalar(lambda: S.clip_prob(F.col("value") / 100)), ev.format(f"round({q_p}, 6)")),
+        "logit": (scalar(lambda: S.logit(F.col("value") / 100)), ev.format(f"round(ln({q_p} / (1 - {q_p})), 6)")),
+        "binary_entropy": (scalar(lambda: S.binary_entropy(F.col("value") / 100)), ev.format(f"round(-({q_p} * log2({q_p}) + (1 - {q_p}) * log2(1 - {q_p})), 6)")),
+        "log1p_weight": (scalar(lambda: F.log1p("value")), ev.format("round(ln(1 + value), 6)")),
+        "square_sqrt": (scalar(lambda: F.sqrt(F.col("value") * F.col("value"))), ev.format("round(sqrt(value * value), 6)")),
+        "notional": (scalar(lambda: S.num_or_default(F.col("value").cast("string")) * 0.5), ev.format("round(value * 0.5, 6)")),
+        "interval_sub": (scalar(lambda: F.col("ts") - F.make_dt_interval(F.lit(3))), ev.format("ts - INTERVAL 3 DAY")),
+        "prefix_id": (scalar(lambda: S.prefix_id("pm_", F.col("event_id").cast("string"))), ev.format("'pm_' || event_id")),
+        "num_or_default": (scalar(lambda: S.num_or_default(F.when(F.col("event_id") % 2 == 0, F.lit("x")).otherwise(F.col("value").cast("string")))), ev.format("CASE WHEN event_id % 2 = 0 THEN 0.0 ELSE round(value, 6) END")),
+        "iso_ts_or_null": (scalar(lambda: S.iso_ts_or_null(F.when(F.col("event_id") % 3 == 0, F.lit("no date")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")))), ev.format("CASE WHEN event_id % 3 > 0 THEN date_trunc('second', ts) END")),
+        "epoch_to_day": (scalar(lambda: S.epoch_to_day(F.col("event_id") * 7919)), ev.format("DATE '1970-01-01' + CAST((event_id * 7919) // 86400 AS INTEGER)")),
         "ymd_date": (lambda s, d: demo.read(s, d, "orders").select("o_orderkey", F.make_date(F.year("o_orderdate"), F.month("o_orderdate"), F.dayofmonth("o_orderdate")).alias("x")), "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS x FROM orders"),
-        "json_first_token": (scalar(S.json_first_token(F.concat(F.lit('["'), F.col("event_type"), F.lit('","b"]')))), ev.format("event_type")),
-        "series_from_event": (scalar(S.series_from_event(F.lit(""), F.concat("event_type", F.lit("-A-B")))), ev.format("event_type")),
-        "trim_text": (scalar(S.trim_text(F.concat(F.lit("  "), F.col("event_type"), F.lit(" ")))), ev.format("event_type")),
+        "json_first_token": (scalar(lambda: S.json_first_token(F.concat(F.lit('["'), F.col("event_type"), F.lit('","b"]')))), ev.format("event_type")),
+        "series_from_event": (scalar(lambda: S.series_from_event(F.lit(""), F.concat("event_type", F.lit("-A-B")))), ev.format("event_type")),
+        "trim_text": (scalar(lambda: S.trim_text(F.concat(F.lit("  "), F.col("event_type"), F.lit(" ")))), ev.format("event_type")),
         "venue_category_map": (lambda s, d: taxonomy.union_venues(*demo.markets(s, d)).select("market_id", S.map_venue_category(F.col("venue_category")).alias("x")), Q.over(Q.MARKETS, "SELECT market_id, CASE WHEN venue_category = 'Crypto' THEN 'CRYPTO' ELSE 'UNMAPPED' END AS x FROM raw_meta")),
         "windows_overlap": (lambda s, d: demo.panel(s, d)[0].select("market_id", S.windows_overlap(F.col("open_date"), F.col("close_date"), F.lit("2024-02-02 00:00:00").cast("timestamp_ntz"), F.lit(None).cast("timestamp_ntz")).alias("x")), Q.over(Q.MARKETS, "SELECT market_id, close_date >= TIMESTAMP '2024-02-02 00:00:00' AS x FROM meta")),
-        "normalize_question": (text(F.length(S.normalize_question(F.col("text")))), "SELECT doc_id, CAST(length(trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g'))) AS INTEGER) AS x FROM documents"),
-        "categorize": (text(S.categorize(F.col("text"), F.col("source"))), f"SELECT doc_id, {Q.categorize('text', 'source')} AS x FROM documents"),
+        "normalize_question": (text(lambda: F.length(S.normalize_question(F.col("text")))), "SELECT doc_id, CAST(length(trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g'))) AS INTEGER) AS x FROM documents"),
+        "categorize": (text(lambda: S.categorize(F.col("text"), F.col("source"))), f"SELECT doc_id, {Q.categorize('text', 'source')} AS x FROM documents"),
         "categorize_markets": (lambda s, d: taxonomy.with_category(taxonomy.union_venues(*demo.markets(s, d))).select("market_id", "category"), Q.over(Q.MARKETS, "SELECT market_id, category FROM marked")),
         # streams
         "stream_daily_close": (stream_daily_close, "SELECT 'm_' || user_id AS market_id, CAST(ts AS DATE) AS date, round(value, 6) AS close FROM (SELECT *, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1"),
