@@ -69,6 +69,15 @@ def test_base_spans_equal_brute_force(spark, report, kinds):
     assert report(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("report", "kinds", "unit"), [(pii.pii_report, PII, "1.2.3.4 "), (pii.pii_report, PII, "a@b.de (555) 123-4567 q (at) w (dot) com, "), (secrets.secrets_report, SECRETS, "deadbeefdeadbeef0 AbC123dEf456dEf456dEf456 ")])
+def test_very_many_spans_in_one_text(spark, report, kinds, unit):
+    text = unit * (300_000 // len(unit))
+    (row,) = report(docs(spark, [text])).where("doc_id = 0").collect()
+    assert row["base_sha256"] == hashlib.sha256(base(text, kinds).encode()).hexdigest()
+    spans = sorted((int(a), int(b)) for _, a, b in (x.split(":") for x in row["spans"].split(",")))
+    assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
+
+
 def test_pii_adds_written_out_addresses(spark):
     table = docs(spark, [*TRICKY, *[f"mail me{k}@site.com or call +1 (222) 555-{1000 + k}" for k in range(30)]])
     assert {r.doc_id: r for r in pii.pii_report(table).collect()}[1].spans.count("email") == 2
@@ -147,6 +156,15 @@ def brute_groups(fps, reach):
         label = new
 
 
+def test_samples_take_a_text_with_many_copies_once(spark):
+    texts = [f"This is the plain sentence number {k}, and it says nothing else." for k in range(40)] + ["The one text that everybody copies. It is short."] * 4000
+    table = docs(spark, texts)
+    drawn = quality.sample_texts(table.where("text is not null").select("text"), 1.0)
+    assert drawn.count() == drawn.distinct().count() == 40 + 1 + 4
+    model = langid.fit(table, rows_per_language=10_000)
+    assert model.predict(["plain sentence says nothing"], langid.letter_table())[1][0] > 0.9
+
+
 def test_fingerprint_follows_its_definition():
     import xxhash
 

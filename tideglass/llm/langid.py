@@ -120,8 +120,8 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, rows_per_language: int = 1500, least_share: float = 0.004, ratio: float = 0.34) -> LanguageFilter:
     """Learn from text and lang of all ``docs`` given.
 
-    Fitted on a sample of about ``rows_per_language`` documents of each language (all, if it has fewer),
-    chosen by a hash of the text. A language has an n-gram if at least ``least_share`` of its sampled texts
+    Fitted on a sample of at most about ``rows_per_language`` distinct texts of each language (all, if it has
+    fewer), chosen by a hash of the text. A language has an n-gram if at least ``least_share`` of its sampled texts
     have it, and at least ``ratio`` times the share of the language that has it most. Ties go to all.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -133,7 +133,7 @@ def fit(docs: DataFrame, rows_per_language: int = 1500, least_share: float = 0.0
     spark = docs.sparkSession
     rates = spark.createDataFrame([(x, k, min(1.0, rows_per_language / sizes[x])) for k, x in enumerate(languages)], "lang string, number int, rate double")
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(11), "text"), 11) * F.lit(2.0**-53)
-    sample = durable(known.join(F.broadcast(rates), "lang").where(draw < F.col("rate")).select("number", "text"))
+    sample = durable(known.join(F.broadcast(rates), "lang").where(draw < F.col("rate")).select("number", "text").distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

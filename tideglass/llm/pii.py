@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
-from .spans import all_matches, digits, joined, luhn, placed
+from .spans import all_matches, cut_at, digits, joined, luhn, overlaps, placed, with_blocks
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base expressions. A run of characters is only tried from its first one or from
@@ -80,7 +80,8 @@ def candidates(docs: DataFrame) -> DataFrame:
     written = text.rlike(r"(?:\(dot\)|\[dot\]|\x20dot\x20)")
     rows = docs.select("doc_id", text.alias("text"))
     rows = rows.select("*", *[all_matches(F.col("text"), BASE[k], possible[k]).alias(f"m_{k}") for k in KINDS], *[all_matches(F.col("text"), LOOSE[k], {"email": written, "phone": number}[k]).alias(f"l_{k}") for k in LOOSE])
-    rows = rows.select("doc_id", *[placed(F.col("text"), F.col(f"m_{k}"), BASE[k]).alias(k) for k in KINDS], *[placed(F.col("text"), F.col(f"l_{k}"), LOOSE[k]).alias(f"l_{k}") for k in LOOSE])
+    rows = rows.select("doc_id", *[cut_at(F.col("text"), F.col(f"m_{k}"), BASE[k]).alias(k) for k in KINDS], *[cut_at(F.col("text"), F.col(f"l_{k}"), LOOSE[k]).alias(f"l_{k}") for k in LOOSE])
+    rows = rows.select("doc_id", *[placed(c).alias(c) for c in rows.columns[1:]])
     def spans(column: str, kind: str) -> Column:
         loose = column != kind
 
@@ -183,9 +184,8 @@ def find(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     rows = [(r["kind"], r["votes"], float(r["n"])) for r in counted]
     posterior, _ = reliabilities(rows)
     weights = train(rows, posterior)
-    base = found.withColumn("base", F.filter("found", lambda s: s["base"]))
-    clear = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    added = F.filter("found", lambda s: ~s["base"] & (_probability(s, weights) >= threshold) & clear(s))
+    base = with_blocks(found.withColumn("base", F.filter("found", lambda s: s["base"])), "base", "blocks")
+    added = F.filter("found", lambda s: ~s["base"] & (_probability(s, weights) >= threshold) & ~overlaps("blocks", s))
     return base.select("doc_id", "base", F.concat("base", added).alias("spans"))
 
 

@@ -188,10 +188,16 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, float]], rounds: int = 150, p
     return w, float(b)
 
 
+def sample_texts(texts: DataFrame, share: float) -> DataFrame:
+    """About ``share`` of the distinct texts, by a hash of each; a text with very many copies is one row."""
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(5), "text"), 11) * F.lit(2.0**-53)
+    return texts.where(draw < share).select("text").distinct()
+
+
 def fit(docs: DataFrame, rows: int = 3000) -> Scorer:
     """Labellers vote on every document; accuracies are estimated from the counts of all vote patterns
-    (at most 3 to the number of labellers, whatever the input), and the scorer is fitted on about ``rows``
-    documents, chosen by a hash of their text, with their pattern's posterior."""
+    (at most 3 to the number of labellers, whatever the input), and the scorer is fitted on at most about ``rows``
+    distinct texts, chosen by their hash, with their pattern's posterior."""
     table = class_table()
     texts = docs.where(F.col("text").isNotNull()).select("text")
 
@@ -207,8 +213,7 @@ def fit(docs: DataFrame, rows: int = 3000) -> Scorer:
     patterns, counts = np.array([r["pattern"] for r in counted]), np.array([r["n"] for r in counted], dtype=float)
     good, accuracy = expectation_maximisation(patterns, counts)
     posterior = dict(zip(patterns.tolist(), good.tolist(), strict=True))
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(5), "text"), 11) * F.lit(2.0**-53)
-    sample = texts.where(draw < min(1.0, rows / counts.sum()))
+    sample = sample_texts(texts, min(1.0, rows / counts.sum()))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
-from .spans import all_matches, joined, placed
+from .spans import all_matches, cut_at, joined, overlaps, placed, with_blocks
 
 KINDS = ("assign", "access", "hex", "token")
 _KEY = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
@@ -39,7 +39,8 @@ def candidates(docs: DataFrame) -> DataFrame:
     possible = {"assign": key, "access": text.contains("AKIA"), "hex": None, "token": None}
     rows = docs.select("doc_id", "owner", text.alias("text"))
     rows = rows.select("*", *[all_matches(F.col("text"), PATTERNS[k], possible[k]).alias(f"m_{k}") for k in KINDS])
-    rows = rows.select("doc_id", "owner", *[placed(F.col("text"), F.col(f"m_{k}"), PATTERNS[k]).alias(k) for k in KINDS])
+    rows = rows.select("doc_id", "owner", *[cut_at(F.col("text"), F.col(f"m_{k}"), PATTERNS[k]).alias(k) for k in KINDS])
+    rows = rows.select("doc_id", "owner", *[placed(k).alias(k) for k in KINDS])
 
     def spans(number: int, kind: str) -> Column:
         value = (lambda m: F.regexp_replace(m, "^" + _KEY, "")) if kind == "assign" else (lambda m: m)
@@ -71,8 +72,8 @@ def scan(docs: DataFrame, most_owners: int = 2) -> DataFrame:
     judged = each.join(freq, ["h1", "h2"]).groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end", "live")).alias("judged"))
     rows = found.select("row", "doc_id").join(judged, "row", "left")
     rows = rows.withColumn("judged", F.coalesce("judged", F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean>>")))
-    rows = rows.withColumn("base", F.filter("judged", lambda s: s["kind"] < 3))
-    added = F.filter("judged", lambda s: (s["kind"] == 3) & s["live"] & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    rows = with_blocks(rows.withColumn("base", F.filter("judged", lambda s: s["kind"] < 3)), "base", "blocks")
+    added = F.filter("judged", lambda s: (s["kind"] == 3) & s["live"] & ~overlaps("blocks", s))
     rows = rows.withColumn("spans", F.concat("base", added))
     return rows.select("row", "doc_id", "base", "spans", F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("live"), F.size(F.filter("spans", lambda s: ~s["live"])).cast("long").alias("copied"))
 

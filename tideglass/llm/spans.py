@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_CUT = "array<struct<m:string,gap:int,n:int,before:string,after:string>>"
 _SPAN = "array<struct<start:int,end:int,m:string,before:string,after:string>>"
 #: Characters kept of what stands before a match (no further back than the last match of its kind).
 BEFORE = 32
+#: Values of an array that one block has.
+BLOCK = 128
 
 
 def all_matches(text: Column, regex: str, possible: Column | None = None) -> Column:
@@ -16,23 +19,56 @@ def all_matches(text: Column, regex: str, possible: Column | None = None) -> Col
     return found if possible is None else F.when(possible, found).otherwise(F.array().cast("array<string>"))
 
 
-def placed(text: Column, matches: Column, regex: str) -> Column:
-    """``matches`` with start and end in codepoints, and what stands before and after.
+def cut_at(text: Column, matches: Column, regex: str) -> Column:
+    """``matches`` with their lengths, how far each is from the last one, and what stands before and after.
 
     The text is split by the same expression, so that lengths of the parts between add up to places.
     """
     parts = F.split(text, regex, -1)
     rows = F.arrays_zip(parts.alias("p"), matches.alias("m"), F.slice(parts, 2, 2147483647).alias("q"))
+    rows = F.transform(rows, lambda x: F.struct(x["m"].alias("m"), F.length(x["p"]).alias("gap"), F.length(x["m"]).alias("n"), F.right(x["p"], F.lit(BEFORE)).alias("before"), F.left(x["q"], F.lit(1)).alias("after")))
+    return F.when(F.size(matches) > 0, F.filter(rows, lambda x: x["m"].isNotNull())).otherwise(F.array().cast(_CUT))
+
+
+def in_blocks(column: str) -> Column:
+    """An array column that is not empty in blocks of at most BLOCK.
+
+    The column is named twice, so that it is computed once per row, not once per block.
+    """
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(column) - 1) / BLOCK).cast("int")), lambda i: F.slice(column, i * BLOCK + 1, F.lit(BLOCK)))
+
+
+def placed(column: str) -> Column:
+    """Column of :func:`cut_at` with start and end in codepoints.
+
+    A fold copies what it has gathered at each step, so places are added up per block, from where it starts.
+    """
     none = F.array().cast(_SPAN)
+    blocks = F.transform(in_blocks(column), lambda b: F.struct(b.alias("rows"), F.aggregate(b, F.lit(0), lambda n, x: n + x["gap"] + x["n"]).alias("n")))
+    step = lambda acc, b: F.struct((acc["at"] + b["n"]).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+    starts = F.aggregate(F.transform(blocks, lambda b: F.struct(b["n"].alias("n"))), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), step, lambda acc: acc["out"])
+
+    def one(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        end = start + x["n"]
+        span = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"), x["before"].alias("before"), x["after"].alias("after"))
+        return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out"))
+
+    found = F.transform(F.arrays_zip(blocks.alias("b"), starts.alias("at")), lambda z: F.aggregate(z["b"]["rows"], F.struct(z["at"].alias("at"), none.alias("out")), one, lambda acc: acc["out"]))
+    return F.when(F.size(column) > 0, F.flatten(found)).otherwise(none)
+
+
+def with_blocks(rows: DataFrame, spans: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: column ``spans`` by start in blocks, each with its first start and last end."""
+    ends = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    block = lambda b: F.struct(b[0]["start"].alias("low"), F.array_max(F.transform(b, lambda s: s["end"])).alias("high"), b.alias("spans"))
+    return rows.withColumn(name, ends).withColumn(name, F.when(F.size(name) > 0, F.transform(in_blocks(name), block)))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["p"])
-        end = start + F.length(x["m"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"), F.right(x["p"], F.lit(BEFORE)).alias("before"), F.left(x["q"], F.lit(1)).alias("after"))
-        return F.when(x["m"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.array_append(acc["out"], one).alias("out")))
 
-    found = F.aggregate(rows, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.size(matches) > 0, found).otherwise(none)
+def overlaps(blocks: str, s: Column) -> Column:
+    """Whether ``s`` overlaps one of the spans of column ``blocks``, which is named twice for the same reason."""
+    meets = lambda low, high: (low < s["end"]) & (s["start"] < high)
+    return F.col(blocks).isNotNull() & F.exists(blocks, lambda b: meets(b["low"], b["high"]) & F.exists(b["spans"], lambda x: meets(x["start"], x["end"])))
 
 
 def digits(x: Column) -> Column:
