@@ -204,3 +204,39 @@ def test_near_duplicates_keep_one(spark):
     assert found[901] == found[900] == found[902] == 900 and found[12] == 0
     assert simhash.near_duplicates(table.limit(0)).count() == 0
     assert simhash.drop_near_duplicates(table.limit(0)).count() == 0
+
+
+def test_similarity_is_counted_on_both_sides(spark):
+    rng = np.random.default_rng(6)
+    texts = []
+    for size in (8, 9, 13, 19, 24, 43, 44, 48, 60, 100, 400):
+        for trial in range(6):
+            words = [f"t{size}x{trial}w{k}" for k in range(size)]
+            shingles = size - 4
+            texts.append(" ".join(words))
+            for off in (-1, 0, 1, 2):
+                more = max(1, round(shingles / 4) + off)
+                texts.append(" ".join([*words, *[f"{x}" for x in rng.integers(0, 10**9, more)]]))
+                gone = max(1, round(shingles / 5) + off)
+                texts.append(" ".join(words[gone:]) if shingles - gone > 0 else f"only {size} {trial} {off}")
+    sets = [frozenset(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    label = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both) and label[i] != label[j]:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r.component_id for r in simhash.similar_groups(table).collect()}
+    assert found == dict(enumerate(label))
+    assert len(set(label)) not in (1, len(label))
+
+
+def test_tiles_of_a_group_link_like_one(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "GROUP_TILE", 8)
+    words = [f"w{k}" for k in range(120)]
+    texts = [" ".join([*words[:k], f"new{k}", *words[k:]]) for k in range(0, 120, 4)] + [" ".join(words[:60])]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r.component_id for r in simhash.similar_groups(table).collect()}
+    assert found == {**dict.fromkeys(range(30), 0), 30: 30}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 import re
@@ -192,65 +193,174 @@ def near_duplicates(docs: DataFrame, n: int = 3, reach: int = 3, seed: int = 42)
     return fps.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Words of the wide fingerprint, samples of each text, and shingles of a sample, in the similarity search.
-WORDS, SAMPLES, SAMPLE = 8, 8, 3
+#: Words of the wide fingerprint, samples of each long text, and shingles of a sample, in the similarity search.
+WORDS, SAMPLES, SAMPLE = 8, 12, 2
+#: Texts of fewer distinct shingles meet by their own lowest shingles, not by samples.
+SHORT = 40
+#: Most texts, and about the most shingles, of one tile of a candidate group.
+GROUP_TILE, SHINGLE_TILE = 8192, 1 << 21
 
 
-def sketch(text: str | None, n: int = 5, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
-    """A wide SimHash of a text's distinct shingles, and SimHashes of small samples of them.
+def prefix_length(size: int, similarity: float) -> int:
+    """So many lowest shingles of each of two texts have one in common, if they are that similar."""
+    return size - math.ceil(size * similarity - 1e-9) + 1
+
+
+def sketch(hashes: np.ndarray, similarity: float = 0.8) -> tuple[np.ndarray, list[int], list[int]]:
+    """Of a text's distinct shingles: a wide SimHash, the lowest shingles of a short text, and samples of a long one.
 
     A sample is the SAMPLE shingles that are lowest under one of SAMPLES orders, so texts that share
-    a part J of their shingles have an equal sample with chance near J**SAMPLE.
+    a part J of their shingles have an equal sample with chance near J**SAMPLE. Texts that a short one
+    can be similar to have lowest shingles too.
     """
-    h = np.unique(shingle_hashes(text, n, seed))
+    h = hashes
     if not len(h):
-        return np.zeros(WORDS, dtype=np.uint64), np.zeros(SAMPLES, dtype=np.uint64)
-    orders = [mix64(h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))) for k in range(1, max(WORDS, SAMPLES) + 1)]
+        return np.zeros(WORDS, dtype=np.uint64), [], []
+    many = SAMPLES if len(h) >= SHORT else 0
+    orders = [mix64(h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))) for k in range(1, max(WORDS, many) + 1)]
     wide = np.array([_majority(x) for x in orders[:WORDS]], dtype=np.uint64)
-    samples = np.empty(SAMPLES, dtype=np.uint64)
-    for k, x in enumerate(orders[:SAMPLES]):
-        low = np.sort(np.partition(x, SAMPLE - 1)[:SAMPLE] if len(x) > SAMPLE else x)
-        a, b, c = mix64(np.r_[low, [low[0]] * (SAMPLE - len(low))].astype(np.uint64))
-        samples[k] = (a & b) | (a & c) | (b & c)
-    return wide, samples
+    lowest = np.sort(orders[0])[: prefix_length(len(h), similarity)] if len(h) * similarity < SHORT else h[:0]
+    lows = [np.sort(np.partition(x, SAMPLE - 1)[:SAMPLE]) for x in orders[:many]]
+    samples = [int(mix64(np.bitwise_xor.reduce(mix64(low) * np.arange(1, 2 * SAMPLE, 2, dtype=np.uint64), keepdims=True))[0]) for low in lows]
+    return wide, lowest.view(np.int64).tolist(), np.array(samples, dtype=np.uint64).view(np.int64).tolist()
+
+
+@functools.cache
+def differing_bits(similarity: float, short: bool, bits: int = 64 * WORDS, sigmas: float = 5.0) -> int:
+    """Bits of ``bits`` in which fingerprints of texts with at least that Jaccard similarity differ at most, but
+    for one case in a million: in long texts each bit differs with chance acos(2J / (1 + J)) / pi; in those of few
+    shingles, where ties count, with that of the worst sizes."""
+    worst = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    tail = functools.cache(lambda n: np.cumsum([math.comb(n, k) / 2**n for k in range(n, -1, -1)])[::-1])
+
+    def over(both: int, own: int) -> np.ndarray:
+        """For each number of set bits among the common shingles, the chance that over half of all are set."""
+        need = (both + own) // 2 + 1 - np.arange(both + 1)
+        return np.where(need > own, 0.0, tail(own)[np.clip(need, 0, own)])
+
+    least, most = (1, SHORT) if short else (math.floor(SHORT * similarity), 2 * SHORT)
+    for both in range(least, most + 1):
+        chance = -np.diff(np.r_[tail(both), 0.0])
+        others = math.floor(both / similarity - both + 1e-9)
+        for x in range(others + 1):
+            for y in range(min(x, others - x) + 1):
+                u, v = over(both, x), over(both, y)
+                worst = max(worst, float((chance * (u * (1 - v) + v * (1 - u))).sum()))
+    return math.floor(bits * worst + sigmas * math.sqrt(bits * worst * (1 - worst)))
+
+
+def exact_links(sets: list[np.ndarray], wide: np.ndarray, cut: int | None, similarity: float) -> list[tuple[int, int]]:
+    """Links of Jaccard similarity at least ``similarity``, counted on sets of distinct shingles and thinned to a
+    spanning forest: among all sets, or (``cut`` given) between the first ``cut`` and the others.
+
+    Only pairs of fitting sizes and near fingerprints are counted, and none that is linked by others already.
+    """
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    ends = np.cumsum(size)
+    starts = ends - size
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(sets) else np.empty(0, dtype=np.int64)
+    mark = np.zeros(len(ids), dtype=bool)
+    thin = Thinner(len(sets))
+    reach = np.array([differing_bits(similarity, False), differing_bits(similarity, True)])
+    for k in range(len(sets) if cut is None else cut):
+        first = k + 1 if cut is None else cut
+        j = np.flatnonzero(thin.group[first:] != thin.group[k]) + first
+        j = j[np.minimum(size[j], size[k]) >= similarity * np.maximum(size[j], size[k]) - 1e-9]
+        j = j[np.bitwise_count(wide[j] ^ wide[k]).sum(axis=1, dtype=np.int64) <= reach[(np.minimum(size[j], size[k]) < SHORT).astype(np.int64)]]
+        if not len(j):
+            continue
+        mark[ids[starts[k] : ends[k]]] = True
+        stops = np.cumsum(size[j])
+        at = np.arange(stops[-1]) + np.repeat(starts[j] - (stops - size[j]), size[j])
+        common = np.add.reduceat(mark[ids[at]].astype(np.int64), stops - size[j])
+        mark[ids[starts[k] : ends[k]]] = False
+        hit = common >= similarity * (size[k] + size[j] - common) - 1e-9
+        if hit.any():
+            thin.add(k, j[hit])
+    return thin.links
+
 
+def _digest(hashes: np.ndarray) -> tuple[int, int]:
+    both = xxhash.xxh3_128_intdigest(hashes.tobytes())
+    return tuple(np.array([both >> 64, both & (1 << 64) - 1], dtype=np.uint64).view(np.int64).tolist())
 
-def differing_bits(similarity: float, bits: int = 64 * WORDS, sigmas: float = 1.6) -> int:
-    """Bits of ``bits`` in which fingerprints of texts with that Jaccard similarity differ at most, but
-    for one case in twenty: each bit differs with chance acos(2J / (1 + J)) / pi."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * p + sigmas * math.sqrt(bits * p * (1 - p)))
+
+def counted_links(docs: DataFrame, nodes: DataFrame, near: DataFrame, n: int, similarity: float, seed: int) -> DataFrame:
+    """Links ``(a, b)`` of texts of one group of ``near(node, component)`` of which shingles were compared.
+
+    Shingles are made again for the texts of such groups, and sent once to each tile pair of the group:
+    a group of many texts or shingles is cut into tiles.
+    """
+    chosen = durable(near.join(nodes, "node"))
+    owners = chosen.select(F.col("owner").alias("near_owner")).distinct()
+    texts = docs.select("doc_id", "text").join(owners, F.col("doc_id").eqNullSafe(F.col("near_owner")), "left_semi")
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                sets = [np.unique(shingle_hashes(t.as_py(), n, seed)) for t in b.column("text").slice(at, 500)]
+                keys = np.array([_digest(x) for x in sets], dtype=np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([x.tobytes() for x in sets], pa.binary())], names=["h1", "h2", "shingles"])
+
+    made = texts.mapInArrow(shingles, "h1 bigint, h2 bigint, shingles binary").groupBy("h1", "h2").agg(F.first("shingles").alias("shingles"))
+    sized = chosen.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / GROUP_TILE), F.ceil(F.sum("size") / SHINGLE_TILE)).cast("int").alias("tiles"))
+    w = [f"w{k}" for k in range(WORDS)]
+    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j")))
+    rows = chosen.select("node", "component", "h1", "h2", *w).join(sized, "component").join(made, ["h1", "h2"])
+    dealt = rows.select("component", "node", *w, "shingles", own.alias("own"), F.explode(pairs).alias("pair"))
+    dealt = dealt.select("component", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "own", "node", *w, "shingles")
+
+    def run(key: tuple, part: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        node, own = part.column("node").to_numpy(), part.column("own").to_numpy()
+        order = np.argsort(own != i, kind="stable")
+        wide = np.stack([part.column(c).to_numpy().view(np.uint64) for c in w], axis=1)[order]
+        column = part.column("shingles")
+        sets = [np.frombuffer(column[k].as_buffer(), dtype=np.uint64) for k in order.tolist()]
+        found = exact_links(sets, wide, None if i == j else int((own == i).sum()), similarity)
+        ends = node[order[np.array(found, dtype=np.int64).reshape(-1, 2)]]
+        return pa.table({"a": pa.array(ends[:, 0], pa.int64()), "b": pa.array(ends[:, 1], pa.int64())})
+
+    return dealt.groupBy("component", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
 def similar_groups(docs: DataFrame, n: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
-    """``(doc_id, component_id)`` of documents of which word shingles agree to about ``similarity``.
+    """``(doc_id, component_id)`` of documents that links of a Jaccard similarity of at least ``similarity`` join,
+    counted on the hashes of their distinct word shingles.
 
     Plain 64-bit fingerprints of such texts differ in ten bits, too many for grid cells to hold them
-    together. So cells are popcount vectors of SimHashes of small samples, several per text, and
-    what shares a cell is compared by its wide fingerprint: Manhattan bound, then exact bits, within what
-    texts of that similarity differ in. The similarity is so estimated, to about 0.03, not counted.
+    together. So cells are popcount vectors of hashes of small samples, several per text (of short texts, of
+    their lowest shingles, of which any two similar texts share one). What shares a cell is compared by its wide
+    fingerprint, Manhattan bound and then bits, within five deviations; what is near in that is a candidate,
+    and candidates are linked only if their shingles, counted, are similar enough.
     Null, empty and wordless texts are one group; component_id is the smallest doc_id of a group.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [sketch(t.as_py(), n, seed) for t in b.column("text")]
+            sets = [np.unique(shingle_hashes(t.as_py(), n, seed)) for t in b.column("text")]
+            made = [sketch(x, similarity) for x in sets]
+            keys = np.array([_digest(x) for x in sets], dtype=np.int64).reshape(-1, 2)
             wide = np.array([x[0] for x in made], dtype=np.uint64).reshape(-1, WORDS).view(np.int64)
-            samples = np.array([x[1] for x in made], dtype=np.uint64).reshape(-1, SAMPLES).view(np.int64)
-            columns = [pa.array(np.ascontiguousarray(x[:, k])) for x in (wide, samples) for k in range(x.shape[1])]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], names=["doc_id", *w, *s])
+            columns = [pa.array(np.ascontiguousarray(x[:, k])) for x in (keys, wide) for k in range(x.shape[1])]
+            cells = [pa.array([x[k] for x in made], pa.list_(pa.int64())) for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), *columns, *cells], names=["doc_id", "size", "h1", "h2", *w, "lowest", "samples"])
 
-    w, s = [f"w{k}" for k in range(WORDS)], [f"s{k}" for k in range(SAMPLES)]
+    w = [f"w{k}" for k in range(WORDS)]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made = durable(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} bigint" for c in w + s)))
-    nodes = made.groupBy(*w).agg(F.min("doc_id").alias("owner"), *[F.min(c).alias(c) for c in s])
+    schema = f"doc_id {kind}, " + ", ".join(f"{c} bigint" for c in ["size", "h1", "h2", *w]) + ", lowest array<bigint>, samples array<bigint>"
+    made = durable(docs.select("doc_id", "text").mapInArrow(run, schema))
+    nodes = made.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), *[F.first(c).alias(c) for c in ("size", *w, "lowest", "samples")])
     nodes = durable(nodes.withColumn("node", F.monotonically_increasing_id()))
-    each = F.explode(F.array(*[F.struct(F.lit(k).cast("tinyint").alias("choice"), F.col(c).alias("fp")) for k, c in enumerate(s)]))
-    cells = nodes.select("node", each.alias("c")).select("node", F.col("c.choice").alias("choice"), _counts("c.fp").alias("at"))
-    near = components(links(cells, differing_bits(similarity), nodes.select("node", *w), tile=2048))
-    least = near.join(nodes.select("node", "owner"), "node").groupBy("component").agg(F.min("owner").alias("least"))
-    known = nodes.join(near.join(least, "component").select("node", "least"), "node", "left").select(*w, F.coalesce("least", "owner").alias("component_id"))
-    return made.join(known, w).select("doc_id", "component_id")
+    short = nodes.select("node", F.lit(-1).cast("tinyint").alias("choice"), F.explode("lowest").alias("fp"))
+    long = nodes.select("node", F.posexplode("samples").alias("choice", "fp")).withColumn("choice", F.col("choice").cast("tinyint"))
+    near = [links(c.select("node", "choice", _counts("fp").alias("at")).distinct(), differing_bits(similarity, k), nodes.select("node", *w), tile=2048) for c, k in ((short, True), (long, False))]
+    groups = components(near[0].union(near[1]))
+    alike = components(counted_links(docs, nodes.drop("lowest", "samples"), groups, n, similarity, seed))
+    least = alike.join(nodes.select("node", "owner"), "node").groupBy("component").agg(F.min("owner").alias("least"))
+    known = nodes.join(alike.join(least, "component").select("node", "least"), "node", "left").select("h1", "h2", F.coalesce("least", "owner").alias("component_id"))
+    return made.select("doc_id", "h1", "h2").join(known, ["h1", "h2"]).select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
