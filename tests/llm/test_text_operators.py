@@ -240,3 +240,13 @@ def test_tiles_of_a_group_link_like_one(spark, monkeypatch):
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     found = {r.doc_id: r.component_id for r in simhash.similar_groups(table).collect()}
     assert found == {**dict.fromkeys(range(30), 0), 30: 30}
+
+
+def test_a_value_in_many_documents_of_one_source_is_copied(spark):
+    rows = [(k, f"page {k}\ntoken = PastedExample123456 AbC123dEf456dEf456dEf456", "hot") for k in range(30)]
+    rows += [(100 + k, "one text\ntoken = CopiedWhole1234567", "hot") for k in range(30)]
+    rows += [(200 + k, f"few {k}\ntoken = FewPages12345678", "hot") for k in range(10)]
+    found = {r.doc_id: r for r in secrets.secrets_report(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert (found[0].n_live, found[0].n_copied) == (0, 1) and "token:" not in found[0].spans
+    assert (found[100].n_live, found[100].n_copied) == (1, 0)
+    assert (found[200].n_live, found[200].n_copied) == (1, 0)

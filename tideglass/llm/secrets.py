@@ -30,44 +30,45 @@ def _valid(kind: str, m: Column) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """``(row, doc_id, owner, found)``: all candidate spans of each text with a hash pair of the value.
+    """``(row, doc_id, owner, t1, t2, found)``: all candidate spans of each text with a hash pair of the value.
 
-    ``found`` has kind (number), start, end, h1, h2. Needs doc_id, text and ``owner``; null text has none.
+    ``found`` has kind (number), start, end, h1, h2; t1 and t2 are hashes of the text. Needs doc_id, text and ``owner``; null text has none.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     key = text.rlike("(?i:password|passwd|secret|token|api_?key)")
     possible = {"assign": key, "access": text.contains("AKIA"), "hex": None, "token": None}
-    rows = docs.select("doc_id", "owner", text.alias("text"))
+    rows = docs.select("doc_id", "owner", text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
     rows = rows.select("*", *[all_matches(F.col("text"), PATTERNS[k], possible[k]).alias(f"m_{k}") for k in KINDS])
-    rows = rows.select("doc_id", "owner", *[cut_at(F.col("text"), F.col(f"m_{k}"), PATTERNS[k]).alias(k) for k in KINDS])
-    rows = rows.select("doc_id", "owner", *[placed(k).alias(k) for k in KINDS])
+    rows = rows.select("doc_id", "owner", "t1", "t2", *[cut_at(F.col("text"), F.col(f"m_{k}"), PATTERNS[k]).alias(k) for k in KINDS])
+    rows = rows.select("doc_id", "owner", "t1", "t2", *[placed(k).alias(k) for k in KINDS])
 
     def spans(number: int, kind: str) -> Column:
         value = (lambda m: F.regexp_replace(m, "^" + _KEY, "")) if kind == "assign" else (lambda m: m)
         kept = F.filter(kind, lambda s: _valid(kind, s["m"]))
         return F.transform(kept, lambda s: F.struct(F.lit(number).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.xxhash64(value(s["m"])).alias("h1"), F.xxhash64(F.lit(1), value(s["m"])).alias("h2")))
 
-    return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "owner", F.concat(*[spans(k, kind) for k, kind in enumerate(KINDS)]).alias("found"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "owner", "t1", "t2", F.concat(*[spans(k, kind) for k, kind in enumerate(KINDS)]).alias("found"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
     """``(h1, h2, repositories, owners)``: distinct documents and owners of each candidate value.
 
-    Both counts are made in two steps, so that a value that very many documents have is not one task.
-    A null owner counts as one.
+    Documents of equal text are copies of one and count once. Both counts are made in steps, so that a
+    value that very many documents have is not one task. A null owner counts as one.
     """
-    each = found.select("doc_id", F.coalesce(F.col("owner").cast("string"), F.lit("")).alias("owner"), F.inline("found"))
-    return each.groupBy("h1", "h2").agg(F.countDistinct(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("repositories"), F.countDistinct("owner").alias("owners"))
+    each = found.select("t1", "t2", F.coalesce(F.col("owner").cast("string"), F.lit("")).alias("owner"), F.inline("found"))
+    return each.groupBy("h1", "h2").agg(F.countDistinct("t1", "t2").alias("repositories"), F.countDistinct("owner").alias("owners"))
 
 
-def scan(docs: DataFrame, most_owners: int = 2) -> DataFrame:
+def scan(docs: DataFrame, most_owners: int = 2, most_repositories: int = 10) -> DataFrame:
     """One row per row of ``docs``: ``row``, doc_id, base (spans), spans (all), live, copied (numbers of values).
 
-    A value that over ``most_owners`` owners have is a copied example; others look live. All base spans
+    A value that over ``most_owners`` owners have, or over ``most_repositories`` documents of different
+    texts, is a copied example; others look live. All base spans
     stay whatever they are; ``token`` spans are added where the value looks live and no base span overlaps.
     """
     found = durable(candidates(docs))
-    freq = ownership(found).select("h1", "h2", (F.col("owners") <= most_owners).alias("live"))
+    freq = ownership(found).select("h1", "h2", ((F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories)).alias("live"))
     each = found.select("row", F.inline("found"))
     judged = each.join(freq, ["h1", "h2"]).groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end", "live")).alias("judged"))
     rows = found.select("row", "doc_id").join(judged, "row", "left")
@@ -78,12 +79,12 @@ def scan(docs: DataFrame, most_owners: int = 2) -> DataFrame:
     return rows.select("row", "doc_id", "base", "spans", F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("live"), F.size(F.filter("spans", lambda s: ~s["live"])).cast("long").alias("copied"))
 
 
-def secrets_report(docs: DataFrame, most_owners: int = 2) -> DataFrame:
+def secrets_report(docs: DataFrame, most_owners: int = 2, most_repositories: int = 10) -> DataFrame:
     """Digest of :func:`scan`: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied.
 
     Documents stand for repositories, their ``source`` for the owner. Null text is empty and has no spans.
     Repeated rows give a row each; no rows, none. Other columns are not looked at.
     """
-    found = scan(docs.select("doc_id", "text", F.col("source").alias("owner")), most_owners)
+    found = scan(docs.select("doc_id", "text", F.col("source").alias("owner")), most_owners, most_repositories)
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
     return found.select("doc_id", count(0), count(1), count(2), F.sha2(joined(F.col("base"), KINDS), 256).alias("base_sha256"), joined(F.col("spans"), KINDS).alias("spans"), F.col("live").alias("n_live"), F.col("copied").alias("n_copied"))
