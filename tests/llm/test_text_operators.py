@@ -250,3 +250,18 @@ def test_a_value_in_many_documents_of_one_source_is_copied(spark):
     assert (found[0].n_live, found[0].n_copied) == (0, 1) and "token:" not in found[0].spans
     assert (found[100].n_live, found[100].n_copied) == (1, 0)
     assert (found[200].n_live, found[200].n_copied) == (1, 0)
+
+
+def test_copies_do_not_shrink_the_samples(spark, monkeypatch):
+    words = {"aa": "alpha gamma anna lana mala".split(), "zz": "zuz kuzo luzu zzuk tozu".split()}
+    rng = np.random.default_rng(7)
+    rows = [(k, " ".join(rng.choice(words[x], 20)), x) for k in range(200) for x in [("aa", "zz")[k % 2]]]
+    rows += [(1000 + k, "12 alpha 34", "aa") for k in range(20000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = langid.fit(table, rows_per_language=150)
+    names, score = model.predict([" ".join(words["aa"])], langid.letter_table())
+    assert names == ["aa"] and score[0] > 0.9
+    drawn = []
+    monkeypatch.setattr(quality, "sample_texts", lambda texts, share, real=quality.sample_texts: drawn.append(share) or real(texts, share))
+    quality.fit(table, rows=150)
+    assert drawn == [150 / 201]

@@ -125,13 +125,15 @@ def fit(docs: DataFrame, rows_per_language: int = 1500, least_share: float = 0.0
     have it, and at least ``ratio`` times the share of the language that has it most. Ties go to all.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    each = known.select("lang", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")).groupBy("lang", "t1", "t2").agg(F.count("*").alias("n"))
+    counted = each.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).collect()
+    sizes, texts = ({r["lang"]: r[c] for r in counted} for c in ("n", "texts"))
     languages = sorted(sizes)
     table = letter_table()
     if not languages:
         return LanguageFilter([], np.zeros((1, 1), dtype=np.uint64), np.zeros(0), 0)
     spark = docs.sparkSession
-    rates = spark.createDataFrame([(x, k, min(1.0, rows_per_language / sizes[x])) for k, x in enumerate(languages)], "lang string, number int, rate double")
+    rates = spark.createDataFrame([(x, k, min(1.0, rows_per_language / texts[x])) for k, x in enumerate(languages)], "lang string, number int, rate double")
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(11), "text"), 11) * F.lit(2.0**-53)
     sample = durable(known.join(F.broadcast(rates), "lang").where(draw < F.col("rate")).select("number", "text").distinct())
 

@@ -213,7 +213,8 @@ def fit(docs: DataFrame, rows: int = 3000) -> Scorer:
     patterns, counts = np.array([r["pattern"] for r in counted]), np.array([r["n"] for r in counted], dtype=float)
     good, accuracy = expectation_maximisation(patterns, counts)
     posterior = dict(zip(patterns.tolist(), good.tolist(), strict=True))
-    sample = sample_texts(texts, min(1.0, rows / counts.sum()))
+    different = texts.select(F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")).distinct().count()
+    sample = sample_texts(texts, min(1.0, rows / different))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
