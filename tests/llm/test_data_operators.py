@@ -305,3 +305,13 @@ def test_payloads_come_back(spark):
 def test_near_table_is_whole():
     assert len(webp.NEAR) == len(set(webp.NEAR)) == 120
     assert struct.unpack("<I", webp.store(b"\0" * 64)[4:8])[0] + 8 == len(webp.store(b"\0" * 64))
+
+
+def test_vectors_of_another_length_change_only_themselves(spark):
+    rng = np.random.default_rng(8)
+    point, other = rng.standard_normal(16), rng.standard_normal(17)
+    rows = [(k, [float(v) for v in point], 0) for k in range(3)] + [(10, [float(v) for v in point + 0.01], 0)]
+    rows += [(20, [float(v) for v in other], 0), (21, [float(v) for v in 2 * other], 0), (30, [float(v) for v in rng.standard_normal(130)], 0)]
+    found = {r.vec_id: r for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert [(found[k].n_links, found[k].component_id) for k in (0, 1, 2, 10)] == [(3, 0)] * 4
+    assert [(found[k].n_links, found[k].component_id) for k in (20, 21, 30)] == [(1, 20), (1, 20), (0, 30)]

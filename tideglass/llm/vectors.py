@@ -72,23 +72,28 @@ def compare(a: np.ndarray, b: np.ndarray | None, weight_a: np.ndarray, weight_b:
     return linked, thin.links
 
 
-def link_vectors(nodes: DataFrame, dims: int, least: float, tile: int = TILE) -> DataFrame:
+def link_vectors(nodes: DataFrame, least: float, tile: int = TILE) -> DataFrame:
     """``(a, b, n)`` from ``nodes(node, label, unit, weight)``: links (b not null), and partial counts (b null).
 
-    Only equal labels meet. A label of over ``tile`` vectors is cut into tiles by a hash, each pair of
-    tiles is a group of its own, and groups are dealt over the cluster; none grows with the label.
+    Only equal labels and lengths meet. A label's vectors of one length, if over ``tile``, are cut into tiles by a
+    hash, each pair of tiles is a group of its own, and groups are dealt over the cluster; none grows with the label.
     """
-    sizes = nodes.groupBy("label").agg(F.count("*").alias("size"))
-    rows = nodes.join(sizes, "label")
+    nodes = nodes.withColumn("dims", F.size("unit"))
+    sizes = nodes.groupBy("label", "dims").agg(F.count("*").alias("size"))
+    rows = nodes.join(sizes, ["label", "dims"])
     tiles = F.ceil(F.col("size") / tile).cast("int")
     own = F.pmod(F.xxhash64("node"), tiles).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), tiles - 1), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j")))
-    dealt = rows.select("label", "node", "unit", "weight", own.alias("own"), F.explode(pairs).alias("pair"))
-    dealt = dealt.select("label", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "own", "node", "unit", "weight")
-    turn = rotation(dims, code_bits(dims))
+    dealt = rows.select("label", "dims", "node", "unit", "weight", own.alias("own"), F.explode(pairs).alias("pair"))
+    dealt = dealt.select("label", "dims", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "own", "node", "unit", "weight")
+    turns: dict[int, np.ndarray] = {}  # of the lengths that a task meets
 
     def run(key: tuple, part: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
+        dims, i, j = (k.as_py() for k in key[1:])
+        if dims not in turns:
+            turns.clear()
+            turns[dims] = rotation(dims, code_bits(dims))
+        turn = turns[dims]
         own, node, weight = (part.column(c).to_numpy() for c in ("own", "node", "weight"))
         unit = part.column("unit").combine_chunks().flatten().to_numpy().reshape(-1, dims)
         order = np.argsort(own != i, kind="stable")
@@ -101,15 +106,14 @@ def link_vectors(nodes: DataFrame, dims: int, least: float, tile: int = TILE) ->
         n = [*linked[some].tolist(), *[0] * len(links)]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
 
-    return dealt.groupBy("label", "i", "j").applyInArrow(run, "a bigint, b bigint, n bigint")
+    return dealt.groupBy("label", "dims", "i", "j").applyInArrow(run, "a bigint, b bigint, n bigint")
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)``, one row per row of ``vectors(vec_id, embedding, label)``.
 
-    All pairs of equal, non-null labels with cosine at least ``least`` in double precision are links.
-    Vectors that are null, zero, of another length than the longest, or hold a null or non-finite component link
-    with nothing. Equal vectors of a label are compared once and count each other. Null vec_id is
+    All pairs of equal, non-null labels and equal lengths with cosine at least ``least`` in double precision
+    are links. Vectors that are null, zero, or hold a null or non-finite component link with nothing. Equal vectors of a label are compared once and count each other. Null vec_id is
     passed on. No rows: no rows.
     """
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -117,21 +121,20 @@ def near_vectors(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     top = F.aggregate(wide, F.lit(0.0), lambda s, x: F.greatest(s, F.abs(x)))
     rows = vectors.select("vec_id", "embedding", "label", (F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(finite, F.lit(False)) & F.coalesce(top > 0, F.lit(False))).alias("good"))
     rows = durable(rows.select("vec_id", "label", "good", F.when(F.col("good"), F.col("embedding")).alias("embedding"), F.xxhash64("label", "embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding", "label").alias("h2")))
-    dims = rows.where("good").agg(F.max(F.size("embedding"))).first()[0] or 1
-    good = rows.where(F.col("good") & (F.size("embedding") == dims))
+    good = rows.where("good")
     owners = good.groupBy("h1", "h2").agg(F.min("vec_id").alias("owner"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
     scaled = F.transform(wide, lambda x: x / F.col("top"))
     norm = F.sqrt(F.aggregate("scaled", F.lit(0.0), lambda s, x: s + x * x))
     unit = F.transform("scaled", lambda x: x / F.col("norm"))
     nodes = owners.withColumn("top", top).withColumn("scaled", scaled).withColumn("norm", norm).withColumn("unit", unit)
     nodes = durable(nodes.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "owner", "weight", "label", "unit"))
-    found = durable(link_vectors(nodes.select("node", "label", "unit", "weight"), dims, least))
+    found = durable(link_vectors(nodes.select("node", "label", "unit", "weight"), least))
     near = components(found.where("b is not null").select("a", "b"))
     smallest = near.join(nodes.select("node", "owner"), "node").groupBy("component").agg(F.min("owner").alias("smallest"))
     groups = near.join(smallest, "component").select("node", "smallest")
     counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("linked"))
     known = nodes.join(groups, "node", "left").join(counts, "node", "left")
     known = known.select("h1", "h2", (F.col("weight") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("smallest", "owner").alias("group"))
-    alone = rows.where(~(F.col("good") & (F.coalesce(F.size("embedding"), F.lit(-1)) == dims))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))
+    alone = rows.where(~F.col("good")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))
     every = good.join(known, ["h1", "h2"]).select("vec_id", "n_links", F.col("group").cast("long").alias("component_id")).union(alone)
     return every.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
