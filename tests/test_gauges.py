@@ -1,5 +1,6 @@
 """Gauges against naive loops: what each step means, on small panels."""
 
+import bisect
 import datetime as dt
 import math
 import random
@@ -101,7 +102,7 @@ def test_percentiles_skip_gaps_and_seed(spark):
     rng = random.Random(5)
     values = [None if rng.random() < 0.2 else round(rng.random(), 1) for _ in range(80)]
     frame = spark.createDataFrame([("i", day(k), v) for k, v in enumerate(values)], "index string, date date, raw double")
-    got = [r.value for r in frame.withColumn("value", gauges.percentile_scale(["index"], "raw", 7)).orderBy("date").collect()]
+    got = [r.value for r in gauges.percentile_scale(frame, ["index"], "raw", 7).orderBy("date").collect()]
     valid = []
     for v, g in zip(values, got, strict=True):
         if v is None:
@@ -112,9 +113,63 @@ def test_percentiles_skip_gaps_and_seed(spark):
         assert g == (None if want is None else pytest.approx(want))
 
 
+def test_percentiles_of_ten_thousand_days(spark):
+    """Against a sorted list that grows day by day; one series is constant, one has a single day."""
+    rng = random.Random(6)
+    values = [round(rng.gauss(0, 1), 2) for _ in range(10_000)]
+    rows = [("i", DAY + dt.timedelta(days=k), v) for k, v in enumerate(values)] + [("flat", day(k), 1.0) for k in range(5)] + [("one", DAY, 2.0), ("none", DAY, None)]
+    found = gauges.percentile_scale(spark.createDataFrame(rows, "index string, date date, raw double"), ["index"], "raw", 3).collect()
+    got = {(r["index"], r.date): r.value for r in found}
+    assert len(got) == len(rows)
+    seen = []
+    for k, v in enumerate(values):
+        assert got["i", DAY + dt.timedelta(days=k)] == (pytest.approx(100 * bisect.bisect_right(seen, v) / len(seen)) if k >= 3 else None)
+        bisect.insort(seen, v)
+    assert [got["flat", day(k)] for k in range(5)] == [None, None, None, 100.0, 100.0] and got["one", DAY] is None and got["none", DAY] is None
+
+
+@pytest.mark.parametrize("halflife", [2.0, 7.5])
+def test_ewma_of_three_thousand_days_is_finite(spark, halflife):
+    """1,500 half-lives and more, with a flat stretch, against the plain recursion."""
+    rng = random.Random(7)
+    price = [0.5 if 1000 < k < 1300 else rng.uniform(0.05, 0.95) for k in range(3000)]
+    rows = [("a", DAY + dt.timedelta(days=k), p, 1.0, "WAR", True) for k, p in enumerate(price)]
+    got = gauges.with_vol(gauges.fan_out(panel(spark, rows)), ["index"], F.lit(halflife)).where("index = 'WAR'").orderBy("date").collect()
+    keep, top, weights = 2.0 ** (-1 / halflife), 0.0, 0.0
+    assert [r.vol for r in got[:5]] == [None] * 5
+    for k in range(1, 3000):
+        x = math.log(price[k] / (1 - price[k])) - math.log(price[k - 1] / (1 - price[k - 1]))
+        top, weights = top * keep + x * x, weights * keep + 1
+        if k >= 5:
+            assert got[k].vol == pytest.approx(math.sqrt(top / weights), rel=1e-9)
+
+
+def test_a_market_counts_once_a_day(spark):
+    """The last known price and the last known weight of a day, each by itself."""
+    rows = [("a", DAY, 0.3, 1.0, "WAR", 1), ("a", DAY, 0.4, None, "WAR", 2), ("a", DAY, float("nan"), 5.0, "WAR", 3), ("b", DAY, None, None, "WAR", 1)]
+    frame = spark.createDataFrame(rows, "market_id string, date date, close_prob double, weight double, category string, seq int")
+    assert {r.market_id: (r.close_prob, r.weight) for r in gauges.last_per_day(frame, ["seq"]).collect()} == {"a": (0.4, 5.0), "b": (None, None)}
+    twice = noise(spark, days=30)
+    a = turbulence(spark, twice, seed_days=5)
+    b = turbulence(spark, twice + [(m, d, p * 0.9, w, c, e) for m, d, p, w, c, e in twice], seed_days=5)
+    assert {k: r.raw for k, r in a.items()} == {k: r.raw for k, r in b.items()}
+    _, members = gauges.compute_indices(panel(spark, twice + twice))
+    assert {r.n_constituents for r in members.collect()} == {8}
+
+
+def test_a_variant_without_values_leaves_no_pair(spark):
+    rows = [(v, k, day(d), None if v == "c" else float((d * (k + 2)) % 7)) for k, v in enumerate("abc") for d in range(20)]
+    series = spark.createDataFrame(rows, "variant string, ord int, date date, value double")
+    assert validate.robustness(series, 3).count() == 0
+    assert validate.robustness(series.where("variant <> 'c'"), 3).count() == 0
+    assert [(r.variant_a, r.variant_b) for r in validate.robustness(series.where("variant <> 'c'"), 2).collect()] == [("a", "b")]
+    want = np.corrcoef([r[3] for r in rows if r[0] == "a"], [r[3] for r in rows if r[0] == "b"])[0, 1]
+    assert validate.robustness(series, 3).count() == 0 and validate.robustness(series.where("ord < 2"), 2).first().corr == pytest.approx(want)
+
+
 def test_rising_series_scales_to_hundred(spark):
     frame = spark.createDataFrame([("i", day(k), float(k)) for k in range(200)], "index string, date date, raw double")
-    got = [r.value for r in frame.withColumn("value", gauges.percentile_scale(["index"], "raw", 90)).orderBy("date").collect()]
+    got = [r.value for r in gauges.percentile_scale(frame, ["index"], "raw", 90).orderBy("date").collect()]
     assert got[:90] == [None] * 90 and set(got[90:]) == {100.0}
 
 

@@ -3,6 +3,7 @@
 import datetime as dt
 import itertools
 import json
+import os
 import random
 
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from tideglass.functions import scalars as S
 from tideglass.operators import taxonomy, universe
 from tideglass.params import Params
-from tideglass.sources import landing, store
+from tideglass.sources import landing, shared, store
 from tideglass.streaming import prices
 
 META = "market_id string, venue string, question string, category string, event_ticker string, total_volume_usd double, open_date timestamp_ntz, close_date timestamp_ntz"
@@ -62,6 +63,21 @@ def test_strikes_and_ties(spark):
     assert [bool(days_of(got, i)) for i in ("ka_s1", "ka_s2", "ka_t1", "ka_t2", "ka_u")] == [True, False, True, False, True]
 
 
+def test_a_nan_volume_comes_last(spark):
+    nan = float("nan")
+    markets = [market("ka_n", nan, "kalshi", title="x", event="E"), market("ka_v", 900.0, "kalshi", title="y", event="E"), market("pm_t", 800.0, title="z"), market("ka_t", nan, "kalshi", title="Z")]
+    meta = spark.createDataFrame(markets, META)
+    assert [r.market_id for r in universe.strike_losers(meta).collect()] == ["ka_n"]
+    assert [r.market_id for r in universe.strike_representatives(meta).collect()] == ["ka_v"]
+    assert [(r.drop_market_id, r.keep_market_id) for r in universe.dedup_cross_venue(meta).collect()] == [("ka_t", "pm_t")]
+
+
+def test_pins_have_bounds_of_their_own(spark):
+    rows = [("pm_a", d, 0.97 if d >= DAYS[30] else 0.5, None) for d in DAYS]
+    assert days_of(run(spark, [market("pm_a")], rows)[0], "pm_a") == DAYS[1:57]
+    assert days_of(run(spark, [market("pm_a")], rows, pin_hi=0.95)[0], "pm_a") == DAYS[1:30]
+
+
 def test_overrides(spark):
     drop = spark.createDataFrame([("pm_a", "same as b")], "drop_market_id string, reason string")
     got, _ = run(spark, [market("pm_a"), market("pm_b")], overrides=drop)
@@ -163,6 +179,10 @@ def test_store_last_batch_wins_and_reruns_agree(spark, tmp_path):
     again = store.finalize(spark, final, stored, str(tmp_path / "final2"))
     assert {(r.market_id, r.close_prob) for r in again.collect()} == want and again.count() == 3
     assert store.finalize(spark, None, None, str(tmp_path / "none")) is None
+    store.append_batch(spark.createDataFrame([("pm_a", DAYS[0], 0.4)], schema), parts, 5)  # a batch that is written again
+    assert spark.read.parquet(parts).count() == 3
+    placed = store.order_parts(store.union_sources(legacy, spark.read.parquet(parts))).where("market_id = 'pm_a'")
+    assert [r.batch_id for r in placed.orderBy("place").collect()] == [-1, 0, 5]
 
 
 def test_todo_and_bench_sources(spark, tmp_path):
@@ -191,6 +211,22 @@ def test_streams_equal_tables(spark, tmp_path):
     assert sorted(spark.table("closes").collect()) == sorted(prices.daily_closes(table).collect())
 
 
+def test_hot_keys_join_like_others(spark):
+    rows = spark.createDataFrame([(k % 3 if k < 4000 else k, f"v{k}") for k in range(4500)] + [(None, "null")], "k long, v string")
+    facts = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("m"))
+    found = shared.with_fact(rows, facts, ["k"], "n")
+    assert found.columns == ["k", "v", "m"]
+    assert sorted(found.collect()) == sorted(rows.join(facts.drop("n"), "k").collect()) and found.count() == 4500
+
+
+def test_scopes_delete_their_tables(spark):
+    with shared.scope(spark):
+        table = shared.durable(spark.range(3))
+        path = table.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)
+
+
 def test_questions_are_normalised(spark):
     row = spark.createDataFrame([("  A  b\n\tC ",)], "q string").select(S.normalize_question(F.col("q")).alias("x")).first()
     assert row.x == "a b c"

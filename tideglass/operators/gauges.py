@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.scalars import binary_entropy, logit
+from ..functions.scalars import binary_entropy, known, logit
 from ..params import UNIVERSES, Params
 from ..sources.shared import durable
 
@@ -36,22 +38,34 @@ def innovations(rows: DataFrame, by: list[str], params: Params = Params()) -> Da
     return x.withColumn("innov", F.when(F.col("ix") - F.lag("ix").over(w) == 1, F.col("logit") - F.lag("logit").over(w))).drop("logit")
 
 
-def ewma_vol(by: list[str], halflife: Column, min_periods: int) -> Column:
-    """Root of the adjusted EWMA of squared innovations over valid ones, in closed form by running sums.
-
-    2^(k / halflife) stays finite for about a thousand half-lives of valid days.
-    """
-    w = W.partitionBy(*by, "market_id").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
-    r = F.col("innov")
-    k = F.count(r).over(w)
-    pull = F.when(r.isNotNull(), F.pow(F.lit(2.0), F.col("nth") / halflife))
-    return F.when(r.isNotNull() & (k >= min_periods), F.sqrt(F.sum(r * r * pull).over(w) / F.sum(pull).over(w)))
+#: Half-lives of one block of the EWMA's running sums, whose powers of two so stay finite.
+BLOCK_LIVES = 100.0
 
 
 def with_vol(rows: DataFrame, by: list[str], halflife: Column, params: Params = Params()) -> DataFrame:
-    w = W.partitionBy(*by, "market_id").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
-    x = innovations(rows, by, params).withColumn("nth", F.count("innov").over(w))
-    return x.withColumn("vol", ewma_vol(by, halflife, params.ewma_min_periods)).drop("nth")
+    """:func:`innovations` with ``vol``: root of the adjusted EWMA of squared innovations over valid ones.
+
+    Weights of valid innovations are powers of two of their place from the start of a block of BLOCK_LIVES half-lives;
+    a row's sum is its block's so far and those of the two blocks before, each scaled to the row (older ones
+    weigh less than 2^-200). The weights' own sum is a geometric series. So no length of a series overflows.
+    """
+    own = W.partitionBy(*by, "market_id")
+    before = own.orderBy("date").rowsBetween(W.unboundedPreceding, 0)
+    r, nth = F.col("innov"), F.col("nth")
+    size = F.greatest(F.lit(1.0), F.floor(halflife * BLOCK_LIVES))
+    x = innovations(rows, by, params).withColumn("nth", F.count("innov").over(before))
+    x = x.withColumn("block", F.floor((nth - 1) / size).cast("int"))
+    place = nth - 1 - F.col("block") * size
+    x = x.withColumn("pull", F.when(r.isNotNull(), r * r * F.pow(F.lit(2.0), place / halflife)))
+    blocks = own.orderBy("block")
+    last = lambda k: F.coalesce(F.sum("pull").over(blocks.rangeBetween(-k, -k)), F.lit(0.0)) * F.pow(F.lit(2.0), -k * size / halflife)
+    x = x.withColumn("carried", last(1) + last(2))
+    within = F.sum("pull").over(W.partitionBy(*by, "market_id", "block").orderBy("date").rowsBetween(W.unboundedPreceding, 0))
+    x = x.withColumn("pulled", (within + F.col("carried")) * F.pow(F.lit(2.0), -place / halflife))
+    rate = -F.lit(math.log(2.0)) / halflife
+    weights = F.expm1(rate * nth) / F.expm1(rate)
+    x = x.withColumn("vol", F.when(r.isNotNull() & (nth >= params.ewma_min_periods), F.sqrt(F.col("pulled") / weights)))
+    return x.drop("nth", "block", "pull", "carried", "pulled")
 
 
 def weighted_mean(value: Column, w: Column) -> Column:
@@ -68,30 +82,58 @@ def index_series(rows: DataFrame, by: list[str], halflife: Column | None = None,
     return x.groupBy(*by, "date").agg(F.round(weighted_mean(F.col("vol"), w), 10).alias("turbulence"), F.round(weighted_mean(F.col("entropy"), w), 10).alias("unresolvedness"), F.count_if(w > 0).alias("n_constituents"))
 
 
-def percentile_scale(by: list[str], value: str, seed_days: int) -> Column:
-    """Share of strictly earlier valid values that are not above, 0 to 100; the first ``seed_days`` valid are null.
+def percentile_scale(rows: DataFrame, by: list[str], value: str, seed_days: int, out: str = "value") -> DataFrame:
+    """``rows`` with ``out``: share of strictly earlier valid values that are not above, 0 to 100; the first
+    ``seed_days`` valid are null. ``rows`` has one row per ``by`` and date, and no columns ``nth``, ``level``.
 
-    One list per series and day of earlier days: the size of a series' days, not of the panel.
+    Earlier values are counted in halves: valid values are numbered by day, and for each power of two a value in
+    the second half of its stretch counts those of the first half that are not above. The halves of all powers
+    are just the earlier values. Each stretch is sorted by value once, so a series of n days costs n log n
+    rows over many tasks, and no list of days is held. ``rows`` is read twice, so it should be a table.
     """
-    w = W.partitionBy(*by).orderBy("date")
-    before = F.collect_list(value).over(w.rowsBetween(W.unboundedPreceding, -1))
-    n = F.count(value).over(w.rowsBetween(W.unboundedPreceding, 0))
-    x = F.col(value)
-    return F.when(x.isNotNull() & (n > max(seed_days, 1)), 100.0 * F.size(F.filter(before, lambda y: y <= x)) / (n - 1))
+    w = W.partitionBy(*by)
+    valid = rows.where(F.col(value).isNotNull()).select(*by, "date", value, (F.row_number().over(w.orderBy("date")) - 1).alias("nth"))
+    valid = valid.withColumn("level", F.ceil(F.log2(F.count("*").over(w).cast("double"))).cast("int"))
+    valid = valid.withColumn("level", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("level") - 1))))
+    stretch = W.partitionBy(*by, "level", F.expr("shiftright(nth, level + 1)")).orderBy(value).rangeBetween(W.unboundedPreceding, 0)
+    second = F.expr("shiftright(nth, level) % 2 = 1")
+    counted = valid.select(*by, "date", "nth", F.when(second, F.count(F.when(~second, 1)).over(stretch)).alias("below"))
+    ranks = counted.groupBy(*by, "date", "nth").agg(F.sum("below").alias("below"))
+    scaled = ranks.select(*by, "date", F.when(F.col("nth") >= max(seed_days, 1), 100.0 * F.coalesce("below", F.lit(0)) / F.col("nth")).alias(out))
+    return rows.join(scaled, [*by, "date"], "left")
 
 
 def tidy(series: DataFrame, by: list[str], seed_days: int) -> DataFrame:
     long = series.unpivot([*by, "date"], ["turbulence", "unresolvedness"], "gauge", "raw")
-    return long.withColumn("value", percentile_scale([*by, "gauge"], "raw", seed_days))
+    scaled = percentile_scale(long, [*by, "gauge"], "raw", seed_days)
+    return scaled.select(*by, "date", "gauge", "raw", "value")
+
+
+def sort_tidy(indices: DataFrame) -> DataFrame:
+    """Rows by index, gauge and day, for a sink."""
+    return indices.orderBy("index", "gauge", "date")
+
+
+def last_per_day(rows: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """One row per market, category and day: the last known price and the last known weight, each by itself.
+
+    ``order`` names the columns that tell which is later; without them the greatest is the last, so that
+    reruns agree. ``close_prob`` and ``weight`` that are NaN are unknown; a day of unknown ones has null.
+    """
+    def last(name: str) -> Column:
+        x = known(F.col(name))
+        return F.max_by(x, F.when(x.isNotNull(), F.struct(*(order or [x.alias("x")])))).alias(name)
+
+    return rows.groupBy("market_id", "date", "category").agg(last("close_prob"), last("weight"))
 
 
 def compute_indices(flagged: DataFrame, params: Params = Params(), universes: dict[str, tuple[str, ...]] = UNIVERSES) -> tuple[DataFrame, DataFrame]:
     """``(indices, constituents)``; no eligible row gives two empty tables of the same columns.
 
-    Eligible rows are read for the spine and again for the gauges, and both results come from one
-    series; so the rows and the series (one row per index and day) are written to the shared folder.
+    A market that has several eligible rows on a day counts once, as :func:`last_per_day` tells. Eligible rows
+    are read for the spine and again for the gauges, and both results come from one series; so the rows and the series (one row per index and day) are written to the shared folder.
     """
-    rows = durable(flagged.where("eligible").select("market_id", "date", "close_prob", "weight", "category", "eligible"))
+    rows = durable(last_per_day(flagged.where("eligible")).withColumn("eligible", F.lit(True)))
     series = durable(index_series(fan_out(rows, universes), ["index"], params=params))
     return tidy(series, ["index"], params.seed_days), series.select("date", "index", "n_constituents")
 

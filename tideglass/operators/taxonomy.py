@@ -28,6 +28,11 @@ def build_panel(meta_a: DataFrame, prices_a: DataFrame, meta_b: DataFrame, price
     return kept, panel, marked.where(F.col("category").isin(*LEFT_OUT))
 
 
+def sort_panel(panel: DataFrame) -> DataFrame:
+    """Rows by market and day, for a sink: Spark deals ranges, so no task sorts them all."""
+    return panel.orderBy("market_id", "date")
+
+
 def normalize_counts(marked: DataFrame) -> DataFrame:
     group = F.when(F.col("category").isin(*LEFT_OUT), F.col("category")).otherwise("KEPT")
     return marked.groupBy(group.alias("grp")).agg(F.count("*").alias("n"))

@@ -25,14 +25,14 @@ def terminal_pin(lo: float, hi: float) -> Column:
 
 
 def strike_losers(meta: DataFrame) -> DataFrame:
-    """Venue B markets that aren't their event's representative: most volume, then smallest id."""
-    w = W.partitionBy("event_ticker").orderBy(F.col("total_volume_usd").desc_nulls_last(), "market_id")
+    """Venue B markets that aren't their event's representative: most volume (NaN is none), then smallest id."""
+    w = W.partitionBy("event_ticker").orderBy(known(F.col("total_volume_usd")).desc_nulls_last(), "market_id")
     rows = meta.where((F.col("venue") == VENUE_B) & F.col("event_ticker").isNotNull())
     return rows.withColumn("place", F.row_number().over(w)).where("place > 1").select("market_id")
 
 
 def strike_representatives(meta: DataFrame) -> DataFrame:
-    w = W.partitionBy("event_ticker").orderBy(F.col("total_volume_usd").desc_nulls_last(), "market_id")
+    w = W.partitionBy("event_ticker").orderBy(known(F.col("total_volume_usd")).desc_nulls_last(), "market_id")
     rows = meta.where((F.col("venue") == VENUE_B) & F.col("event_ticker").isNotNull())
     return rows.withColumn("place", F.row_number().over(w)).where("place = 1").select("event_ticker", "market_id")
 
@@ -48,7 +48,7 @@ def dedup_cross_venue(meta: DataFrame) -> DataFrame:
     Within a title markets are taken by volume, then id; one goes if a kept one of another venue
     overlaps it, and only kept ones count. Only titles that both venues have are gathered.
     """
-    row = F.struct((-F.coalesce(F.col("total_volume_usd"), F.lit(float("-inf")))).alias("order"), "market_id", "venue", "open_date", "close_date")
+    row = F.struct((-F.coalesce(known(F.col("total_volume_usd")), F.lit(float("-inf")))).alias("order"), "market_id", "venue", "open_date", "close_date")
     groups = meta.withColumn("title", normalize_question(F.col("question"))).groupBy("title").agg(F.countDistinct("venue").alias("venues"), F.array_sort(F.collect_list(row)).alias("rows"))
     kept = "array<struct<market_id:string,venue:string,open_date:timestamp_ntz,close_date:timestamp_ntz>>"
     drops = "array<struct<drop_market_id:string,keep_market_id:string>>"
@@ -78,7 +78,7 @@ def with_facts(meta: DataFrame, panel: DataFrame, params: Params = Params(), ove
     if overrides is not None:
         out = out.union(overrides.select("drop_market_id"))
     out = out.distinct().withColumnRenamed("market_id", "out_id")
-    df = join_panel_meta(panel, meta).withColumn("pinned", terminal_pin(params.clip_lo, params.clip_hi)).withColumn("rolling", rolling_notional(params.rolling_window_days))
+    df = join_panel_meta(panel, meta).withColumn("pinned", terminal_pin(params.pin_lo, params.pin_hi)).withColumn("rolling", rolling_notional(params.rolling_window_days))
     df = df.join(out, df["market_id"] == out["out_id"], "left").withColumn("left_out", F.col("out_id").isNotNull()).drop("out_id")
     return df, audit
 

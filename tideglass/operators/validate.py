@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..params import EVENTS, GRID, Params
+from ..params import EVENTS, GRID, UNIVERSES, Params
 from ..sources.shared import durable
 from . import gauges, universe
 
@@ -25,11 +25,16 @@ def event_windows(spark, events=EVENTS) -> DataFrame:
     return spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "n int, k int, event string, start string, end string, index string").select("n", "event", F.col("start").cast("date"), F.col("end").cast("date"), "index")
 
 
-def check_events(indices: DataFrame, events=EVENTS) -> DataFrame:
-    """One row per event and index, also where no day of it is known."""
+def event_window_max(indices: DataFrame, events=EVENTS) -> DataFrame:
+    """``(n, window_max)``: most turbulence in each window that has a day of its index."""
     spec = F.broadcast(event_windows(indices.sparkSession, events)).alias("e")
     days = indices.where("gauge = 'turbulence'").alias("i")
-    hit = days.join(spec, (F.col("e.index") == F.col("i.index")) & F.col("i.date").between(F.col("e.start"), F.col("e.end"))).groupBy("n").agg(F.max("value").alias("window_max"))
+    return days.join(spec, (F.col("e.index") == F.col("i.index")) & F.col("i.date").between(F.col("e.start"), F.col("e.end"))).groupBy("n").agg(F.max("value").alias("window_max"))
+
+
+def check_events(indices: DataFrame, events=EVENTS) -> DataFrame:
+    """One row per event and index, also where no day of it is known."""
+    hit = event_window_max(indices, events)
     return event_windows(indices.sparkSession, events).join(hit, "n", "left").select("event", "index", "window_max", F.coalesce(F.col("window_max") >= PASS, F.lit(False)).alias("passed"))
 
 
@@ -69,11 +74,16 @@ def best_lag(lags: DataFrame) -> DataFrame:
     return lags.where("corr is not null").agg(F.max_by("lag", F.struct("corr", -F.col("lag"))).alias("lag"))
 
 
-def churn_audit(indices: DataFrame, constituents: DataFrame) -> DataFrame:
+def churn_changes(indices: DataFrame, constituents: DataFrame) -> DataFrame:
+    """``(date, d_value, d_n)``: changes of GLOBAL turbulence and of its members."""
     w = W.partitionBy(F.lit(0)).orderBy("date")
     a = gauges.select_series(indices, "GLOBAL", "turbulence").select("date", (F.col("value") - F.lag("value").over(w)).alias("d_value"))
     b = constituents.where("index = 'GLOBAL'").select("date", (F.col("n_constituents") - F.lag("n_constituents").over(w)).cast("double").alias("d_n"))
-    return a.join(b, "date").agg(pearson(F.col("d_value"), F.col("d_n")).alias("churn_corr"))
+    return a.join(b, "date")
+
+
+def churn_audit(indices: DataFrame, constituents: DataFrame) -> DataFrame:
+    return churn_changes(indices, constituents).agg(pearson(F.col("d_value"), F.col("d_n")).alias("churn_corr"))
 
 
 def variants(params: Params = Params(), grid=GRID) -> list[tuple[str, Params, bool]]:
@@ -97,24 +107,34 @@ def variant_series(meta: DataFrame, panel: DataFrame, params: Params = Params(),
     table = spark.createDataFrame([(k, *key) for key, k in sets.items()], "set int, halflife double, exclusion int, floor_a double, floor_b double, equal boolean")
     facts = durable(universe.with_facts(meta, panel, params, overrides)[0])
     rows = facts.crossJoin(F.broadcast(table)).where(universe.eligible(F.col("exclusion"), F.col("floor_a"), F.col("floor_b")))
-    rows = rows.withColumn("weight", F.when(F.col("equal"), 1.0).otherwise(universe.weight(F.col("rolling")))).where(F.col("category").isNotNull())
+    rows = rows.withColumn("weight", F.when(F.col("equal"), 1.0).otherwise(universe.weight(F.col("rolling")))).where(F.col("category").isin(*UNIVERSES["GLOBAL"]))
     series = gauges.index_series(rows, ["set", "halflife"], F.col("halflife"), params)
-    scaled = series.select("set", "date", gauges.percentile_scale(["set"], "turbulence", params.seed_days).alias("value"))
+    scaled = gauges.percentile_scale(durable(series.select("set", "date", "turbulence")), ["set"], "turbulence", params.seed_days)
     return scaled.join(F.broadcast(spark.createDataFrame(names, "variant string, ord int, set int")), "set").select("variant", "ord", "date", "value")
 
 
-def robustness(series: DataFrame) -> DataFrame:
-    """``(variant_a, variant_b, corr)`` of all pairs over days that every variant has.
+def full_days(series: DataFrame, expected: int) -> DataFrame:
+    """Rows of ``series(variant, ord, date, value)`` on days for which all ``expected`` variants have a value."""
+    known = durable(series.where("value is not null"))
+    full = known.groupBy("date").agg(F.count("*").alias("n")).where(F.col("n") == expected).select("date")
+    return known.join(full, "date", "left_semi")
+
+
+def variant_pairs(series: DataFrame, expected: int = len(variants())) -> DataFrame:
+    """``(variant_a, variant_b, date, value_a, value_b)`` of all pairs over days that every variant has.
 
-    The series, one row per variant and day, are written once, as the pairs read them several times.
+    ``expected`` is the number of variants in the grid: one that has no value at all leaves no day. The
+    series, one row per variant and day, are written once, as the pairs read them several times.
     """
-    known = durable(series.where("value is not null"))
-    n = known.select("variant").distinct().count()
-    full = known.groupBy("date").agg(F.count("*").alias("n")).where(F.col("n") == n).select("date")
-    rows = known.join(full, "date", "left_semi")
+    rows = durable(full_days(series, expected))
     a, b = rows.alias("a"), rows.alias("b")
     pairs = a.join(b, (F.col("a.date") == F.col("b.date")) & (F.col("a.ord") < F.col("b.ord")))
-    return pairs.groupBy(F.col("a.variant").alias("variant_a"), F.col("b.variant").alias("variant_b")).agg(pearson(F.col("a.value"), F.col("b.value")).alias("corr"))
+    return pairs.select(F.col("a.variant").alias("variant_a"), F.col("b.variant").alias("variant_b"), F.col("a.date").alias("date"), F.col("a.value").alias("value_a"), F.col("b.value").alias("value_b"))
+
+
+def robustness(series: DataFrame, expected: int = len(variants())) -> DataFrame:
+    """``(variant_a, variant_b, corr)`` of all pairs of :func:`variant_pairs`."""
+    return variant_pairs(series, expected).groupBy("variant_a", "variant_b").agg(pearson(F.col("value_a"), F.col("value_b")).alias("corr"))
 
 
 def validation_summary(indices: DataFrame, constituents: DataFrame, lags: DataFrame, pairs: DataFrame, events=EVENTS) -> DataFrame:

@@ -107,6 +107,38 @@ def series(source: str, seed: int) -> str:
 )"""
 
 
+def _variants() -> str:
+    """CTEs from the judged panel to the pair correlations of all variants of the parameter grid."""
+    from .operators.validate import variants
+
+    rows = ", ".join(f"('{name}', {k}, {float(p.ewma_halflife)}, {int(p.resolution_exclusion_days)}, {float(p.pm_min_total_volume)}, {float(p.ka_min_rolling_notional)}, {str(equal).lower()})" for k, (name, p, equal) in enumerate(variants()))
+    names = ", ".join(f"'{c}'" for c in UNIVERSES["GLOBAL"])
+    return f""", grid AS (
+  SELECT variant, CAST(ord AS INTEGER) AS ord, CAST(halflife AS DOUBLE) AS halflife, exclusion, floor_a, floor_b, equal FROM (VALUES {rows}) AS g(variant, ord, halflife, exclusion, floor_a, floor_b, equal)
+), v_rows AS (
+  SELECT g.ord, g.halflife, j.market_id, j.date, CASE WHEN g.equal THEN 1.0 ELSE j.weight END AS weight, greatest(0.01, least(0.99, j.close_prob)) AS c FROM judged j CROSS JOIN grid g
+  WHERE price_present AND open_window AND coalesce(CAST(date AS TIMESTAMP) < close_date - to_days(CAST(g.exclusion AS INTEGER)), false) AND NOT pinned
+    AND NOT coalesce(venue = 'polymarket' AND total_volume_usd < g.floor_a, false) AND NOT (coalesce(venue = 'kalshi', false) AND NOT coalesce(rolling >= g.floor_b, false))
+    AND NOT strike_loser AND NOT duplicate AND category IN ({names})
+), v_spine AS (SELECT ord, date, row_number() OVER (PARTITION BY ord ORDER BY date) AS ix FROM (SELECT DISTINCT ord, date FROM v_rows)
+), v_innov AS (
+  SELECT r.*, CASE WHEN ix - lag(ix) OVER w = 1 THEN ln(c / (1 - c)) - lag(ln(c / (1 - c))) OVER w END AS innov FROM v_rows r JOIN v_spine s ON r.ord = s.ord AND r.date = s.date WINDOW w AS (PARTITION BY r.ord, market_id ORDER BY r.date)
+), v_counted AS (SELECT *, count(innov) OVER (PARTITION BY ord, market_id ORDER BY date ROWS UNBOUNDED PRECEDING) AS k FROM v_innov
+), v_vols AS (
+  SELECT *, CASE WHEN innov IS NOT NULL AND k >= 5 THEN sqrt(sum(innov * innov * pow(2, k / halflife)) OVER w / sum(CASE WHEN innov IS NOT NULL THEN pow(2, k / halflife) END) OVER w) END AS vol
+  FROM v_counted WINDOW w AS (PARTITION BY ord, market_id ORDER BY date ROWS UNBOUNDED PRECEDING)
+), v_raws AS (
+  SELECT ord, date, round(CAST(sum(CAST(vol * weight AS DECIMAL(28,12))) FILTER (vol IS NOT NULL AND weight > 0) AS DOUBLE) / CAST(sum(CAST(weight AS DECIMAL(28,12))) FILTER (vol IS NOT NULL AND weight > 0) AS DOUBLE), 10) AS raw FROM v_vols GROUP BY ord, date
+), v_numbered AS (SELECT *, CASE WHEN raw IS NOT NULL THEN row_number() OVER (PARTITION BY ord, raw IS NULL ORDER BY date) END AS n FROM v_raws
+), variant_series AS (
+  SELECT g.variant, g.ord, a.date, CASE WHEN a.n > 5 THEN 100.0 * (SELECT count(*) FROM v_numbered b WHERE b.ord = a.ord AND b.n < a.n AND b.raw <= a.raw) / (a.n - 1) END AS value FROM v_numbered a JOIN grid g ON g.ord = a.ord
+), full_series AS (
+  SELECT * FROM variant_series WHERE value IS NOT NULL AND date IN (SELECT date FROM variant_series GROUP BY date HAVING count(value) = (SELECT count(*) FROM grid))
+), pairs AS (
+  SELECT a.variant AS variant_a, b.variant AS variant_b, a.date, a.value AS value_a, b.value AS value_b FROM full_series a JOIN full_series b ON a.date = b.date AND a.ord < b.ord
+), pair_corrs AS (SELECT variant_a, variant_b, {corr("value_a", "value_b")} AS corr FROM pairs GROUP BY variant_a, variant_b)"""
+
+
 INDICES = FLAGGED + series("flagged", 5)
 LINEITEM = (
     """
@@ -130,5 +162,8 @@ def corr(a: str, b: str) -> str:
     return f"round(CASE WHEN stddev_pop({a}) > 0 AND stddev_pop({b}) > 0 THEN covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})) END, 6)"
 
 
+VARIANTS = FLAGGED + _variants()
+
+
 def over(base: str, select: str) -> str:
     return f"WITH {base} {select}"

@@ -8,10 +8,13 @@ VENUE_A, VENUE_B = "polymarket", "kalshi"
 BACKFILL_START = "2024-01-01"
 
 
+# The defaults.
 @dataclass(frozen=True)
 class Params:
     clip_lo: float = 0.01
     clip_hi: float = 0.99
+    pin_lo: float = 0.01
+    pin_hi: float = 0.99
     ewma_halflife: float = 10.0
     ewma_min_periods: int = 5
     seed_days: int = 90
@@ -40,8 +43,9 @@ CATEGORIES = {
     "TECH_AI": ("openai", "gpt", "claude", "anthropic", "gemini", "ai model", "artificial intelligence", "agi", "nvidia", "apple", "tesla", "spacex", "chatgpt", "deepmind"),
     "CLIMATE": ("temperature", "hottest", "hurricane", "wildfire", "climate", "emissions", "carbon", "heat record", "named storm", "el nino", "la nina"),
 }
+# Which category a venue's own one stands for.
 VENUE_CATEGORIES = {"politics": "POLITICS", "us-current-affairs": "POLITICS", "world": "WAR", "geopolitics": "WAR", "economics": "ECON_FED", "financials": "ECON_FED", "economy": "ECON_FED", "crypto": "CRYPTO", "science and technology": "TECH_AI", "tech": "TECH_AI", "climate and weather": "CLIMATE", "climate": "CLIMATE"}
-#: Which categories feed each index.
+# Which categories feed each index.
 UNIVERSES = {"GLOBAL": tuple(CATEGORIES)} | {c: (c,) for c in CATEGORIES}
 # Windows in which known events have to show, and the parameter grid of the robustness runs.
 EVENTS = (

@@ -22,6 +22,8 @@ from .streaming import prices as streams
 LONG = Params()
 #: Windows that lie in the demo days.
 DEMO_EVENTS = (("early days", "2024-01-10", "2024-01-14", ("GLOBAL", "WAR")), ("late days", "2024-01-20", "2024-01-24", ("GLOBAL", "CRYPTO")), ("no days", "2030-01-01", "2030-01-02", ("GLOBAL",)))
+#: Windows that lie in the shipping days.
+LINE_EVENTS = (("spring", "1994-03-01", "1994-05-31", ("GLOBAL", "WAR", "CLIMATE")), ("autumn", "1996-09-01", "1996-11-30", ("GLOBAL", "CRYPTO")), ("after", "2030-01-01", "2030-01-02", ("GLOBAL",)))
 _DEMO_EVENT_ROWS = "(VALUES " + ", ".join(f"('{n}', DATE '{a}', DATE '{b}', '{i}')" for n, a, b, xs in DEMO_EVENTS for i in xs) + ") AS e(event, \"start\", \"end\", \"index\")"
 
 
@@ -54,21 +56,25 @@ def _documents(s, d):
     return demo.read(s, d, "documents")
 
 
-# landed pages, made from events with to_json and then read back
+# landed pages, made from events with to_json and then read back; a page holds no more than a thousand events
+
+
+def _page():
+    return F.floor(F.col("event_id") / 1000).alias("page")
 
 
 def _pages_a(s, d):
     e = demo.read(s, d, "events").where("user_id % 2 = 0")
     tokens = F.when(F.col("event_id") % 5 == 0, F.lit("[]")).when(F.col("event_id") % 5 == 1, F.lit(None)).otherwise(F.to_json(F.array(F.concat(F.lit("7700000000000000000000"), F.col("event_id").cast("string")))))
     market = F.struct(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("question"), F.concat(F.lit(" "), "event_type", F.lit(" ")).alias("category"), tokens.alias("clobTokenIds"), F.when(F.col("event_id") % 3 > 0, F.col("value").cast("string")).alias("volumeNum"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("startDate"), F.when(F.col("event_id") % 7 == 0, F.lit("soon")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'00:00:00'Z'")).alias("endDate"))
-    pages = e.groupBy("user_id").agg(F.to_json(F.struct(F.collect_list(market).alias("markets"))).alias("page"))
+    pages = e.groupBy("user_id", _page().alias("part")).agg(F.to_json(F.struct(F.collect_list(market).alias("markets"))).alias("page"))
     return landing.parse_pages(pages, "page", landing.PAGES_A)
 
 
 def _pages_b(s, d):
     e = demo.read(s, d, "events").where("user_id % 2 = 1")
     market = F.struct(F.concat(F.lit("T-"), F.col("event_id").cast("string")).alias("ticker"), F.concat(F.lit("EV"), F.col("user_id").cast("string"), F.lit("-X")).alias("event_ticker"), F.when(F.col("event_id") % 2 == 0, F.lit("SER")).otherwise("").alias("series_ticker"), F.col("event_type").alias("title"), F.col("value").cast("string").alias("volume_fp"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("open_time"), F.lit(None).cast("string").alias("close_time"))
-    pages = e.groupBy("user_id").agg(F.to_json(F.struct(F.collect_list(market).alias("markets"))).alias("page"))
+    pages = e.groupBy("user_id", _page().alias("part")).agg(F.to_json(F.struct(F.collect_list(market).alias("markets"))).alias("page"))
     return landing.parse_pages(pages, "page", landing.PAGES_B)
 
 
@@ -79,15 +85,15 @@ def _epoch():
 def _history(s, d):
     e = demo.read(s, d, "events").where("user_id % 2 = 0").withColumn("t", _epoch())
     point = F.struct("event_id", "t", F.when(F.col("event_id") % 11 > 0, F.col("value") / 100).alias("p"))
-    rows = e.groupBy(F.concat(F.lit("pm_"), F.col("user_id").cast("string")).alias("market_id")).agg(F.array_sort(F.collect_list(point)).alias("h"))
-    return rows.select("market_id", F.from_json(F.to_json(F.struct(F.transform("h", lambda x: F.struct(x["t"].alias("t"), x["p"].alias("p"))).alias("history"))), "history array<struct<t:bigint,p:double>>")["history"].alias("history"))
+    rows = e.groupBy(F.concat(F.lit("pm_"), F.col("user_id").cast("string")).alias("market_id"), _page()).agg(F.array_sort(F.collect_list(point)).alias("h"))
+    return rows.select("market_id", "page", F.from_json(F.to_json(F.struct(F.transform("h", lambda x: F.struct(x["t"].alias("t"), x["p"].alias("p"))).alias("history"))), "history array<struct<t:bigint,p:double>>")["history"].alias("history"))
 
 
 def _candles(s, d):
     e = demo.read(s, d, "events").where("user_id % 2 = 1").withColumn("t", _epoch())
     candle = F.struct("event_id", F.col("t").alias("end_period_ts"), F.struct(F.when(F.col("event_id") % 6 > 0, (F.col("value") / 100).cast("string")).alias("close_dollars")).alias("price"), F.lit("40").alias("volume_fp"))
-    rows = e.groupBy(F.concat(F.lit("ka_"), F.col("user_id").cast("string")).alias("market_id")).agg(F.array_sort(F.collect_list(candle)).alias("c"))
-    return rows.select("market_id", F.transform("c", lambda x: F.struct(x["end_period_ts"].alias("end_period_ts"), x["price"].alias("price"), x["volume_fp"].alias("volume_fp"))).alias("candlesticks"))
+    rows = e.groupBy(F.concat(F.lit("ka_"), F.col("user_id").cast("string")).alias("market_id"), _page()).agg(F.array_sort(F.collect_list(candle)).alias("c"))
+    return rows.select("market_id", "page", F.transform("c", lambda x: F.struct(x["end_period_ts"].alias("end_period_ts"), x["price"].alias("price"), x["volume_fp"].alias("volume_fp"))).alias("candlesticks"))
 
 
 # the store: three batches of one table, the second changes some days of the first
@@ -141,6 +147,55 @@ def stream_upsert_prices(s, d):
     return store.latest(s.read.parquet(path + "/parts"))
 
 
+def _stored(s, d):
+    """What was finalised (days before the 10th, halved) and the parts, as sources of the store."""
+    pa, pb = demo.prices(s, d)
+    final = taxonomy.union_venues(pa, pb).where("date < '2024-01-10'").withColumn("close_prob", F.col("close_prob") / 4)
+    return store.union_sources(final, _parts(s, d))
+
+
+def _twice(s, d):
+    """Prices of users by event, several a day, some without price or weight."""
+    e = demo.read(s, d, "events")
+    return e.select(F.concat(F.lit("m_"), F.col("user_id").cast("string")).alias("market_id"), F.to_date("ts").alias("date"), F.when(F.col("event_id") % 3 > 0, F.col("value") / 100).otherwise(F.lit(float("nan"))).alias("close_prob"), F.when(F.col("event_id") % 4 > 0, F.col("value")).alias("weight"), F.col("event_type").alias("category"), "event_id")
+
+
+def parquet_scan_sink(s, d):
+    path = fresh_path(s)
+    pa, pb = demo.prices(s, d)
+    rows = taxonomy.union_venues(pa, pb).withColumn("week", F.weekofyear("date"))
+    landing.write_stage(rows, path, ["week"])
+    return s.read.parquet(path).select("market_id", "date", "close_prob", "daily_notional_usd", F.col("week").cast("int").alias("week"))
+
+
+def overrides_csv(s, d):
+    path = fresh_path(s)
+    rows = demo.markets(s, d)[0].where("market_id like '%4'").select(F.col("market_id").alias("drop_market_id"), F.concat(F.lit('said "no", twice: '), "question").alias("reason"))
+    landing.write_audit(rows, path)
+    return landing.overrides_csv(s, path)
+
+
+def audits_csv(s, d):
+    path = fresh_path(s)
+    landing.write_audit(demo.flagged(s, d)[1], path)
+    return s.read.schema("drop_market_id string, keep_market_id string, reason string").csv(path, header=True)
+
+
+def bench_na(s, d):
+    """Order totals as a benchmark file, in which every fifth day is a point."""
+    path = fresh_path(s)
+    day = F.to_date("o_orderdate")
+    value = F.when(F.dayofmonth(day) % 5 == 0, F.lit(".")).otherwise(F.col("o_totalprice").cast("string"))
+    demo.read(s, d, "orders").select(day.alias("DATE"), value.alias("PRICE")).write.csv(path, header=True)
+    return landing.bench_na(s, path)
+
+
+def stats_json(s, d):
+    path = fresh_path(s)
+    landing.write_stats(validate.corr_and_leadlag(_lineitem_joined(s, d)), path)
+    return s.read.schema("stat string, lag int, corr double").json(path)
+
+
 def robustness_series(s, d):
     meta, panel, _ = demo.panel(s, d)
     return validate.variant_series(meta, panel, demo.DEMO)
@@ -156,6 +211,14 @@ _WINDOWS = lambda rows: f'SELECT e.event, e."index", round(max(i.value), 6) AS w
 _LAGS = ", lags AS (SELECT l.lag, " + Q.corr("CASE WHEN b.d_bench IS NOT NULL THEN a.d_idx END", "CASE WHEN a.d_idx IS NOT NULL THEN b.d_bench END") + " AS corr FROM (SELECT CAST(unnest(range(-10, 11)) AS INTEGER) AS lag) l CROSS JOIN d a LEFT JOIN d b ON b.rn = a.rn - l.lag GROUP BY l.lag)"
 
 
+_LINE_EVENT_ROWS = "(VALUES " + ", ".join(f"({k}, DATE '{a}', DATE '{b}', '{i}')" for k, (a, b, i) in enumerate((a, b, i) for _, a, b, xs in LINE_EVENTS for i in xs)) + ") AS e(n, \"start\", \"end\", \"index\")"
+_CHURN = "SELECT a.date, d_value, d_n FROM (SELECT date, value - lag(value) OVER (ORDER BY date) AS d_value FROM indices WHERE \"index\" = 'GLOBAL' AND gauge = 'turbulence') a JOIN (SELECT date, CAST(n_constituents - lag(n_constituents) OVER (ORDER BY date) AS DOUBLE) AS d_n FROM constituents WHERE \"index\" = 'GLOBAL') b ON a.date = b.date"
+_CHURNED = "SELECT " + Q.corr("CASE WHEN d_n IS NOT NULL THEN d_value END", "CASE WHEN d_value IS NOT NULL THEN d_n END") + f" AS churn_corr FROM ({_CHURN})"
+_SOURCES = _STORE + ", sources AS (SELECT market_id, date, close_prob / 4 AS close_prob, daily_notional_usd, -1 AS batch_id FROM allp WHERE date < DATE '2024-01-10' UNION ALL SELECT market_id, date, close_prob, daily_notional_usd, batch FROM parts)"
+_STATS = f"SELECT 'level' AS stat, CAST(0 AS INTEGER) AS lag, {Q.corr('idx', 'bench')} AS corr FROM joined UNION ALL SELECT 'diff', CAST(0 AS INTEGER), {Q.corr('d_idx', 'd_bench')} FROM d UNION ALL SELECT 'leadlag', lag, corr FROM lags"
+_BEST = "SELECT (SELECT lag FROM lags WHERE corr IS NOT NULL ORDER BY corr DESC, lag LIMIT 1) AS lag"
+
+
 def _j(select: str) -> str:
     return Q.over(Q.FLAGGED, select)
 
@@ -191,7 +254,7 @@ def _spec() -> dict:
         "src_markets_b": (lambda s, d: landing.markets_b(_pages_b(s, d)), "SELECT 'ka_T-' || event_id AS market_id, 'kalshi' AS venue, event_type AS question, '' AS venue_category, 'EV' || user_id || '-X' AS event_ticker, 'T-' || event_id AS ticker, CASE WHEN event_id % 2 = 0 THEN 'SER' ELSE 'EV' || user_id END AS series_ticker, round(value * 0.5, 6) AS total_volume_usd, date_trunc('second', ts) AS open_date, CAST(NULL AS TIMESTAMP) AS close_date FROM events WHERE user_id % 2 = 1"),
         "src_history_a": (lambda s, d: landing.history_a(_history(s, d)), "SELECT 'pm_' || user_id AS market_id, CAST(ts AS DATE) AS date, round(arg_max(value / 100, event_id) FILTER (event_id % 11 > 0), 6) AS close_prob FROM events WHERE user_id % 2 = 0 GROUP BY ALL"),
         "src_candles_b": (lambda s, d: landing.candles_b(_candles(s, d)), "SELECT 'ka_' || user_id AS market_id, CAST(ts AS DATE) AS date, round(arg_max(value / 100, event_id), 6) AS close_prob, round(arg_max(value / 100, event_id) * 40, 6) AS daily_notional_usd FROM events WHERE user_id % 2 = 1 AND event_id % 6 > 0 GROUP BY ALL"),
-        "src_pages_union": (lambda s, d: taxonomy.union_venues(landing.markets_a(_pages_a(s, d)), landing.markets_b(_pages_b(s, d))).groupBy("venue").agg(F.count("*").alias("n")), "SELECT CASE WHEN user_id % 2 = 0 THEN 'polymarket' ELSE 'kalshi' END AS venue, count(*) AS n FROM events WHERE user_id % 2 = 1 OR event_id % 5 > 1 GROUP BY 1"),
+        "src_pages_union": (lambda s, d: taxonomy.union_venues(landing.markets_a(_pages_a(s, d)), landing.markets_b(_pages_b(s, d))).select("market_id", "venue", "question", "yes_token_id", "ticker", "total_volume_usd", "close_date"), "SELECT 'pm_' || event_id AS market_id, 'polymarket' AS venue, event_type AS question, '7700000000000000000000' || event_id AS yes_token_id, NULL AS ticker, CASE WHEN event_id % 3 > 0 THEN round(value, 6) ELSE 0.0 END AS total_volume_usd, CASE WHEN event_id % 7 > 0 THEN date_trunc('day', ts) END AS close_date FROM events WHERE user_id % 2 = 0 AND event_id % 5 > 1 UNION ALL SELECT 'ka_T-' || event_id, 'kalshi', event_type, NULL, 'T-' || event_id, round(value * 0.5, 6), NULL FROM events WHERE user_id % 2 = 1"),
         "filter_no_tokens": (lambda s, d: landing.markets_a(_pages_a(s, d)).select("market_id", "yes_token_id"), "SELECT 'pm_' || event_id AS market_id, '7700000000000000000000' || event_id AS yes_token_id FROM events WHERE user_id % 2 = 0 AND event_id % 5 > 1"),
         "filter_null_close": (lambda s, d: landing.candles_b(_candles(s, d)).groupBy("market_id").agg(F.count("*").alias("days")), "SELECT 'ka_' || user_id AS market_id, count(DISTINCT CAST(ts AS DATE)) AS days FROM events WHERE user_id % 2 = 1 AND event_id % 6 > 0 GROUP BY 1"),
         "store_finalize": (lambda s, d: store.latest(_parts(s, d)), _STORED),
@@ -200,6 +263,15 @@ def _spec() -> dict:
         "history_todo_a": (lambda s, d: landing.history_todo(demo.markets(s, d)[0], store.done_ids(_parts(s, d)).where("market_id like '%2'"), 50_000).select("market_id"), Q.over(Q.MARKETS, "SELECT market_id FROM raw_meta WHERE venue = 'polymarket' AND total_volume_usd >= 50000 AND market_id NOT LIKE '%2'")),
         "history_todo_b": (lambda s, d: landing.history_todo(demo.markets(s, d)[1], store.done_ids(_parts(s, d)).where("market_id like '%3'"), 80_000, 2.0).select("market_id"), Q.over(Q.MARKETS, "SELECT market_id FROM raw_meta WHERE venue = 'kalshi' AND total_volume_usd * 2 >= 80000 AND market_id NOT LIKE '%3'")),
         "filter_backfill_start": (lambda s, d: landing.since_backfill(taxonomy.union_venues(*demo.markets(s, d)), "2024-02-03").select("market_id"), Q.over(Q.MARKETS, "SELECT market_id FROM raw_meta WHERE close_date >= TIMESTAMP '2024-02-03'")),
+        "src_empty_schema": (lambda s, d: landing.markets_a(_pages_a(s, d).withColumn("markets", F.filter("markets", lambda m: m["clobTokenIds"] == "[]"))), "SELECT 'pm_' || event_id AS market_id, 'polymarket' AS venue, event_type AS question, event_type AS venue_category, '' AS yes_token_id, value AS total_volume_usd, ts AS open_date, ts AS close_date FROM events WHERE event_id % 5 = 0 AND event_id % 5 > 1"),
+        "parquet_scan_sink": (parquet_scan_sink, Q.over(_ALLP, "SELECT market_id, date, round(close_prob, 6) AS close_prob, round(daily_notional_usd, 6) AS daily_notional_usd, CAST(weekofyear(date) AS INTEGER) AS week FROM allp")),
+        "src_overrides_csv": (overrides_csv, Q.over(Q.MARKETS, "SELECT market_id AS drop_market_id, 'said \"no\", twice: ' || question AS reason FROM raw_meta WHERE venue = 'polymarket' AND market_id LIKE '%4'")),
+        "sink_csv_audits": (audits_csv, _j("SELECT * FROM audit")),
+        "sink_json_stats": (stats_json, Q.over(Q.LINEITEM + Q.BENCH + _LAGS, _STATS)),
+        "src_bench_na": (bench_na, "SELECT CAST(o_orderdate AS DATE) AS date, CASE WHEN day(o_orderdate) % 5 > 0 THEN round(o_totalprice, 6) END AS value FROM orders"),
+        "union_store_sources": (lambda s, d: _stored(s, d).select("market_id", "date", "close_prob", "daily_notional_usd", "batch_id"), Q.over(_ALLP + _SOURCES, "SELECT market_id, date, round(close_prob, 6) AS close_prob, round(daily_notional_usd, 6) AS daily_notional_usd, CAST(batch_id AS BIGINT) AS batch_id FROM sources")),
+        "order_parts": (lambda s, d: store.order_parts(_stored(s, d)).select("market_id", "date", "batch_id", "place"), Q.over(_ALLP + _SOURCES, "SELECT market_id, date, CAST(batch_id AS BIGINT) AS batch_id, CAST(row_number() OVER (PARTITION BY market_id, date ORDER BY batch_id) AS INTEGER) AS place FROM sources")),
+        "distinct_ids": (lambda s, d: store.done_ids(_stored(s, d)), Q.over(_ALLP + _SOURCES, "SELECT DISTINCT market_id FROM sources")),
         "src_bench_ymd": (lambda s, d: landing.bench_ymd(demo.read(s, d, "orders").select(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"), F.dayofmonth("o_orderdate").alias("day"), F.col("o_totalprice").alias("v")), "v"), "SELECT CAST(o_orderdate AS DATE) AS date, round(o_totalprice, 6) AS value FROM orders"),
         "src_bench_lowercase": (lambda s, d: landing.bench_lowercase(demo.read(s, d, "orders").select(F.col("o_orderdate").alias("DATE"), F.col("o_totalprice").alias("GPRD"))), "SELECT CAST(o_orderdate AS DATE) AS date, round(o_totalprice, 6) AS value FROM orders"),
         # rules
@@ -222,7 +294,7 @@ def _spec() -> dict:
         "anti_nonrep": (lambda s, d: universe.strike_losers(demo.panel(s, d)[0]), _j("SELECT market_id FROM reps WHERE k > 1")),
         "anti_dup": (lambda s, d: demo.panel(s, d)[0].select("market_id").join(demo.flagged(s, d)[1].select(F.col("drop_market_id").alias("market_id")), "market_id", "left_anti"), _j("SELECT market_id FROM meta WHERE market_id NOT IN (SELECT drop_market_id FROM audit)")),
         "anti_override": (lambda s, d: universe.apply_pit_rules(*demo.panel(s, d)[:2], demo.DEMO, demo.markets(s, d)[0].where("market_id like '%4'").select(F.col("market_id").alias("drop_market_id")))[0].select("market_id", "date", "eligible"), _j("SELECT market_id, date, eligible AND NOT (venue = 'polymarket' AND market_id LIKE '%4') AS eligible FROM flagged")),
-        "join_index_universe": (lambda s, d: _fanned(s, d).groupBy("index", "category").agg(F.count("*").alias("n")), Q.over(Q.INDICES, 'SELECT "index", category, count(*) AS n FROM fanned GROUP BY ALL')),
+        "join_index_universe": (lambda s, d: _fanned(s, d).select("index", "category", "market_id", "date", "weight"), Q.over(Q.INDICES, 'SELECT "index", category, market_id, date, round(weight, 6) AS weight FROM fanned')),
         "dedup_cross_venue": (lambda s, d: universe.dedup_cross_venue(demo.panel(s, d)[0]), _j("SELECT * FROM audit")),
         "titles_on_two_venues": (lambda s, d: universe.titles_on_two_venues(demo.panel(s, d)[0]), _j("SELECT title, count(DISTINCT venue) AS venues FROM titled GROUP BY title HAVING count(DISTINCT venue) >= 2")),
         "strike_representative": (lambda s, d: universe.strike_representatives(demo.panel(s, d)[0]), _j("SELECT event_ticker, market_id FROM reps WHERE k = 1")),
@@ -234,23 +306,37 @@ def _spec() -> dict:
         "series_diff": (lambda s, d: validate.diffs(_lineitem_joined(s, d)).select("date", "d_idx", "d_bench"), Q.over(Q.LINEITEM + Q.BENCH, "SELECT date, round(d_idx, 6) AS d_idx, round(d_bench, 6) AS d_bench FROM d")),
         "join_leadlag": (lambda s, d: validate.leadlag(_lineitem_joined(s, d)).select("lag"), Q.over(Q.LINEITEM + Q.BENCH + _LAGS, "SELECT lag FROM lags")),
         "leadlag_corr": (lambda s, d: validate.leadlag(_lineitem_joined(s, d)), Q.over(Q.LINEITEM + Q.BENCH + _LAGS, "SELECT * FROM lags")),
-        "corr_and_leadlag": (lambda s, d: validate.corr_and_leadlag(_lineitem_joined(s, d)), Q.over(Q.LINEITEM + Q.BENCH + _LAGS, f"SELECT 'level' AS stat, CAST(0 AS INTEGER) AS lag, {Q.corr('idx', 'bench')} AS corr FROM joined UNION ALL SELECT 'diff', CAST(0 AS INTEGER), {Q.corr('d_idx', 'd_bench')} FROM d UNION ALL SELECT 'leadlag', lag, corr FROM lags")),
-        "best_lag": (lambda s, d: validate.best_lag(validate.leadlag(_lineitem_joined(s, d))), Q.over(Q.LINEITEM + Q.BENCH + _LAGS, "SELECT (SELECT lag FROM lags WHERE corr IS NOT NULL ORDER BY corr DESC, lag LIMIT 1) AS lag")),
+        "corr_and_leadlag": (lambda s, d: validate.corr_and_leadlag(_lineitem_joined(s, d)), Q.over(Q.LINEITEM + Q.BENCH + _LAGS, _STATS)),
+        "best_lag": (lambda s, d: validate.best_lag(validate.leadlag(_lineitem_joined(s, d))), Q.over(Q.LINEITEM + Q.BENCH + _LAGS, _BEST)),
         "pearson_corr": (lambda s, d: _lineitem_joined(s, d).agg(validate.pearson(F.col("idx"), F.col("bench")).alias("corr")), Q.over(Q.LINEITEM + Q.BENCH, f"SELECT {Q.corr('idx', 'bench')} AS corr FROM joined")),
         "series_shift": (lambda s, d: demo.benchmark(s, d).select("date", F.lag("value", 3).over(W.partitionBy(F.lit(0)).orderBy("date")).alias("lag3"), F.lead("value", 3).over(W.partitionBy(F.lit(0)).orderBy("date")).alias("lead3")), Q.over(Q.LINEITEM + Q.BENCH, "SELECT date, round(lag(value, 3) OVER (ORDER BY date), 6) AS lag3, round(lead(value, 3) OVER (ORDER BY date), 6) AS lead3 FROM bench")),
-        "churn_audit": (lambda s, d: validate.churn_audit(*_lineitem(s, d)), Q.over(Q.LINEITEM, "SELECT " + Q.corr("CASE WHEN n IS NOT NULL THEN v END", "CASE WHEN v IS NOT NULL THEN n END") + " AS churn_corr FROM (SELECT a.date, v, n FROM (SELECT date, value - lag(value) OVER (ORDER BY date) AS v FROM indices WHERE \"index\" = 'GLOBAL' AND gauge = 'turbulence') a JOIN (SELECT date, CAST(n_constituents - lag(n_constituents) OVER (ORDER BY date) AS DOUBLE) AS n FROM constituents WHERE \"index\" = 'GLOBAL') b ON a.date = b.date)")),
-        "cross_param_grid": (lambda s, d: robustness_series(s, d).groupBy("variant").agg(F.count("*").alias("days")), None),
-        "join_variants": (robustness_series, None),
-        "robustness": (lambda s, d: validate.robustness(robustness_series(s, d)), None),
-        "min_pair_corr": (lambda s, d: validate.robustness(robustness_series(s, d)).agg(F.min("corr").alias("min_corr")), None),
-        "validation_summary": (lambda s, d: validate.validation_summary(*demo.indices(s, d), validate.leadlag(_lineitem_joined(s, d)), validate.robustness(robustness_series(s, d)), DEMO_EVENTS), None),
+        "churn_audit": (lambda s, d: validate.churn_audit(*_lineitem(s, d)), Q.over(Q.LINEITEM, _CHURNED)),
+        "join_churn": (lambda s, d: validate.churn_changes(*_lineitem(s, d)), Q.over(Q.LINEITEM, f"SELECT date, round(d_value, 6) AS d_value, d_n FROM ({_CHURN})")),
+        "event_window_max": (lambda s, d: validate.event_window_max(_lineitem(s, d)[0], LINE_EVENTS), Q.over(Q.LINEITEM, f'SELECT CAST(e.n AS INTEGER) AS n, round(max(i.value), 6) AS window_max FROM {_LINE_EVENT_ROWS} JOIN indices i ON i."index" = e."index" AND i.gauge = \'turbulence\' AND i.date BETWEEN e."start" AND e."end" GROUP BY e.n')),
+        "cross_param_grid": (lambda s, d: robustness_series(s, d).groupBy("variant").agg(F.count("*").alias("days")), Q.over(Q.VARIANTS, "SELECT variant, count(*) AS days FROM variant_series GROUP BY variant")),
+        "join_variants": (lambda s, d: validate.full_days(robustness_series(s, d), len(validate.variants())), Q.over(Q.VARIANTS, "SELECT variant, ord, date, round(value, 6) AS value FROM full_series")),
+        "variant_series": (robustness_series, Q.over(Q.VARIANTS, "SELECT variant, ord, date, round(value, 6) AS value FROM variant_series")),
+        "join_variant_pairs": (lambda s, d: validate.variant_pairs(robustness_series(s, d)), Q.over(Q.VARIANTS, "SELECT variant_a, variant_b, date, round(value_a, 6) AS value_a, round(value_b, 6) AS value_b FROM pairs")),
+        "robustness": (lambda s, d: validate.robustness(robustness_series(s, d)), Q.over(Q.VARIANTS, "SELECT * FROM pair_corrs")),
+        "min_pair_corr": (lambda s, d: validate.robustness(robustness_series(s, d)).agg(F.min("corr").alias("min_corr")), Q.over(Q.VARIANTS, "SELECT min(corr) AS min_corr FROM pair_corrs")),
+        "validation_summary": (
+            lambda s, d: validate.validation_summary(*demo.indices(s, d), validate.leadlag(_lineitem_joined(s, d)), validate.robustness(robustness_series(s, d)), DEMO_EVENTS),
+            Q.over(
+                Q.INDICES,
+                f"""SELECT 'event ' || event || ' ' || "index" AS "check", window_max AS value, CAST(90 AS DOUBLE) AS target, passed FROM ({_WINDOWS(_DEMO_EVENT_ROWS)})
+                UNION ALL SELECT 'min_pair_corr', min_corr, CAST(0.9 AS DOUBLE), coalesce(min_corr >= 0.9, false) FROM ({Q.over(Q.VARIANTS, "SELECT min(corr) AS min_corr FROM pair_corrs")})
+                UNION ALL SELECT 'churn_corr', churn_corr, NULL, NULL FROM ({_CHURNED})
+                UNION ALL SELECT 'best_lag', CAST(lag AS DOUBLE), NULL, NULL FROM ({Q.over(Q.LINEITEM + Q.BENCH + _LAGS, _BEST)})""",
+            ),
+        ),
         # aggregates and windows
         "daily_last_close": (lambda s, d: landing.history_a(_history(s, d)).where("close_prob is not null"), "SELECT * FROM (SELECT 'pm_' || user_id AS market_id, CAST(ts AS DATE) AS date, round(arg_max(value / 100, event_id) FILTER (event_id % 11 > 0), 6) AS close_prob FROM events WHERE user_id % 2 = 0 GROUP BY ALL) WHERE close_prob IS NOT NULL"),
+        "dedup_last_per_day": (lambda s, d: gauges.last_per_day(_twice(s, d), ["event_id"]), "SELECT 'm_' || user_id AS market_id, CAST(ts AS DATE) AS date, event_type AS category, round(arg_max(value / 100, event_id) FILTER (event_id % 3 > 0), 6) AS close_prob, round(arg_max(value, event_id) FILTER (event_id % 4 > 0), 6) AS weight FROM events GROUP BY ALL"),
         "dedup_keep_last": (lambda s, d: landing.keep_last(demo.read(s, d, "events").select("user_id", "event_type", "ts", "event_id", "value"), ["user_id", "event_type"], ["ts", "event_id"]), "SELECT user_id, event_type, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1"),
         "weighted_mean": (lambda s, d: demo.read(s, d, "lineitem").groupBy("l_returnflag").agg(gauges.weighted_mean(F.col("l_discount"), F.col("l_quantity")).alias("m")), "SELECT l_returnflag, round(sum(l_discount * l_quantity) / sum(l_quantity), 6) AS m FROM lineitem WHERE l_quantity > 0 GROUP BY 1"),
         "n_constituents": (lambda s, d: gauges.index_series(gauges.fan_out(demo.lineitem_flagged(s, d)), ["index"]).select("index", "date", "n_constituents"), Q.over(Q.LINEITEM, 'SELECT "index", date, n_constituents FROM constituents')),
         "logit_innovation": (lambda s, d: gauges.innovations(_fanned(s, d), ["index"]).select("index", "market_id", "date", "innov"), Q.over(Q.INDICES, 'SELECT "index", market_id, date, round(innov, 6) AS innov FROM innovations')),
-        "ewma_vol": (lambda s, d: gauges.with_vol(gauges.fan_out(demo.lineitem_flagged(s, d)), ["index"], F.lit(10.0)).where("vol is not null").groupBy("index").agg(F.count("*").alias("n"), (F.sum(F.col("vol").cast("decimal(28,10)")).cast("double")).alias("s")).select("index", "n", F.round("s", 3).alias("s")), Q.over(Q.LINEITEM, 'SELECT "index", count(*) AS n, round(CAST(sum(CAST(vol AS DECIMAL(28,10))) AS DOUBLE), 3) AS s FROM vols WHERE vol IS NOT NULL GROUP BY 1')),
+        "ewma_vol": (lambda s, d: gauges.with_vol(gauges.fan_out(demo.lineitem_flagged(s, d)), ["index"], F.lit(10.0)).where("vol is not null").select("index", "market_id", "date", "vol"), Q.over(Q.LINEITEM, 'SELECT "index", market_id, date, round(vol, 6) AS vol FROM vols WHERE vol IS NOT NULL')),
         "ewma_vol_demo": (lambda s, d: gauges.with_vol(_fanned(s, d), ["index"], F.lit(10.0)).select("index", "market_id", "date", "vol"), Q.over(Q.INDICES, 'SELECT "index", market_id, date, round(vol, 6) AS vol FROM vols')),
         "percentile_scale": (lambda s, d: _indices_part(s, d, ["date", "index", "gauge", "value"]), Q.over(Q.INDICES, 'SELECT date, "index", gauge, round(value, 6) AS value FROM indices')),
         "seed_mask": (lambda s, d: _lineitem(s, d)[0].where("value is not null").groupBy("index", "gauge").agg(F.min("date").alias("first_day")), Q.over(Q.LINEITEM, 'SELECT "index", gauge, min(date) AS first_day FROM indices WHERE value IS NOT NULL GROUP BY ALL')),
@@ -263,6 +349,8 @@ def _spec() -> dict:
         "normalize_counts": (lambda s, d: taxonomy.normalize_counts(taxonomy.with_category(taxonomy.union_venues(*demo.markets(s, d)))), Q.over(Q.MARKETS, "SELECT CASE WHEN category IN ('SPORTS', 'UNMAPPED') THEN category ELSE 'KEPT' END AS grp, count(*) AS n FROM marked GROUP BY 1")),
         "unmapped_volume_share": (lambda s, d: taxonomy.unmapped_volume_share(taxonomy.with_category(taxonomy.union_venues(*demo.markets(s, d)))), Q.over(Q.MARKETS, "SELECT round(sum(total_volume_usd) FILTER (category = 'UNMAPPED') / sum(total_volume_usd), 6) AS share FROM marked")),
         "unmapped_triage": (lambda s, d: taxonomy.unmapped_triage(demo.panel(s, d)[2]), Q.over(Q.MARKETS, "SELECT market_id, venue, question, venue_category, round(total_volume_usd, 6) AS total_volume_usd FROM marked WHERE category = 'UNMAPPED'")),
+        "sort_panel": (lambda s, d: taxonomy.sort_panel(demo.panel(s, d)[1]), Q.over(Q.PANEL, "SELECT market_id, date, round(close_prob, 6) AS close_prob, round(daily_notional_usd, 6) AS daily_notional_usd FROM panel ORDER BY market_id, date")),
+        "sort_tidy": (lambda s, d: gauges.sort_tidy(demo.indices(s, d)[0]), Q.over(Q.INDICES, _IDX + ' ORDER BY indices."index", indices.gauge, indices.date')),
         "rank_by_liquidity": (lambda s, d: demo.panel(s, d)[0].select("market_id", F.row_number().over(W.partitionBy("category").orderBy(F.col("total_volume_usd").desc_nulls_last(), "market_id")).cast("long").alias("place")), Q.over(Q.MARKETS, "SELECT market_id, row_number() OVER (PARTITION BY category ORDER BY total_volume_usd DESC NULLS LAST, market_id) AS place FROM meta")),
         "union_venues": (lambda s, d: taxonomy.union_venues(*demo.prices(s, d)), Q.over(_ALLP, "SELECT market_id, date, round(close_prob, 6) AS close_prob, round(daily_notional_usd, 6) AS daily_notional_usd FROM allp")),
         "except_reps": (lambda s, d: demo.panel(s, d)[0].where("venue = 'kalshi'").select("market_id").join(universe.strike_representatives(demo.panel(s, d)[0]), "market_id", "left_anti"), _j("SELECT market_id FROM reps WHERE k > 1")),

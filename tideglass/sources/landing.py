@@ -56,18 +56,24 @@ def markets_b(pages: DataFrame) -> DataFrame:
 
 
 def history_a(payloads: DataFrame) -> DataFrame:
-    """Last non-null price of each UTC day by place in the list; a day of nulls stays with a null."""
-    x = payloads.select("market_id", F.posexplode("history").alias("pos", "h"))
+    """Last non-null price of each UTC day by place in the list; a day of nulls stays with a null.
+
+    A long history may come in several payloads of one market; their ``page`` then goes before the place.
+    """
+    page = F.col("page") if "page" in payloads.columns else F.lit(0)
+    x = payloads.select("market_id", page.alias("page"), F.posexplode("history").alias("pos", "h"))
     p = known(F.col("h.p"))
-    return x.groupBy("market_id", epoch_to_day(F.col("h.t")).alias("date")).agg(F.max_by(p, F.when(p.isNotNull(), F.col("pos"))).alias("close_prob"))
+    return x.groupBy("market_id", epoch_to_day(F.col("h.t")).alias("date")).agg(F.max_by(p, F.when(p.isNotNull(), F.struct("page", "pos"))).alias("close_prob"))
 
 
 def candles_b(payloads: DataFrame) -> DataFrame:
-    """Closes and notionals; candles without a close are passed over, the last of a day counts."""
-    x = payloads.select("market_id", F.posexplode("candlesticks").alias("pos", "c")).where(F.col("c.price.close_dollars").isNotNull())
+    """Closes and notionals; candles without a close are passed over, the last of a day counts (by ``page``, if
+    payloads have one, then place)."""
+    page = F.col("page") if "page" in payloads.columns else F.lit(0)
+    x = payloads.select("market_id", page.alias("page"), F.posexplode("candlesticks").alias("pos", "c")).where(F.col("c.price.close_dollars").isNotNull())
     p = F.col("c.price.close_dollars").cast("double")
-    rows = x.select("market_id", epoch_to_day(F.col("c.end_period_ts")).alias("date"), p.alias("close_prob"), (num_or_default(F.col("c.volume_fp")) * p).alias("daily_notional_usd"), "pos")
-    return keep_last(rows, ["market_id", "date"], ["pos"])
+    rows = x.select("market_id", epoch_to_day(F.col("c.end_period_ts")).alias("date"), p.alias("close_prob"), (num_or_default(F.col("c.volume_fp")) * p).alias("daily_notional_usd"), "page", "pos")
+    return keep_last(rows, ["market_id", "date"], ["page", "pos"])
 
 
 def keep_last(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -4,18 +4,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_DIRS: dict[str, str] = {}
+_SCOPES: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of our own only where none is set, as in tests."""
+    """The folder that spark.checkpoint.dir names. Where none is set, one of our own if the session runs
+    on this machine alone, as in tests; on a cluster that is an error, as executors could not read it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    app = context.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="tideglass-")
     return _OWN_DIRS[app]
@@ -29,5 +37,41 @@ def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: a lost executor re-reads files
     instead of recomputing, and what follows starts from known sizes."""
     path = fresh_path(df.sparkSession)
+    for paths in _SCOPES[-1:]:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that :func:`durable` writes inside are deleted at the end: what is read from them has to be
+    written by then. Outside of any scope they stay, as results are read after the call that made them."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            discard(spark, path)
+
+
+def with_fact(rows: DataFrame, facts: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """``rows`` inner-joined with ``facts`` (a table, one row per key), whose column ``n`` tells how many of ``rows``
+    have that key; ``n`` is dropped.
+
+    A key that very many rows have would be one task of a shuffled join. Keys of over a thousand rows, and over a
+    100,000th part of all, are so at most 100,000 keys, whatever the input: these facts are broadcast, and their
+    rows aren't shuffled. The others are joined by their keys. ``rows`` is read twice, so it should be a table too.
+    """
+    total = facts.agg(F.sum(n)).first()[0] or 0
+    bound = max(1000, total // 100_000)
+    few, many = facts.where(F.col(n) <= bound).drop(n), facts.where(F.col(n) > bound).drop(n)
+    hot = many.select(*keys)
+    cold_rows = rows.join(F.broadcast(hot), keys, "left_anti")
+    return cold_rows.join(few, keys).unionByName(rows.join(F.broadcast(many), keys))
+

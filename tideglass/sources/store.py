@@ -4,22 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .landing import keep_last
 
 
 def append_batch(rows: DataFrame, parts: str, batch_id: int) -> None:
-    """Rows keep their order within the batch in ``seq`` if they have none; Spark's part names never clash."""
+    """Rows keep their order within the batch in ``seq`` if they have none. Each batch is a folder of its own, so
+    one that is written again, as after a failure, takes its own place."""
     out = rows if "seq" in rows.columns else rows.withColumn("seq", F.monotonically_increasing_id())
-    out.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append").parquet(parts)
+    out.write.mode("overwrite").parquet(f"{parts}/batch_id={int(batch_id)}")
 
 
-def union_sources(final: DataFrame | None, parts: DataFrame | None) -> DataFrame:
+def union_sources(final: DataFrame | None, parts: DataFrame | None) -> DataFrame | None:
     """What was finalised before (as batch -1), then parts in the order of their batches."""
     old = None if final is None else final.withColumn("batch_id", F.lit(-1).cast("long")).withColumn("seq", F.lit(0).cast("long"))
-    if old is None or parts is None:
-        return parts if old is None else old
-    return old.unionByName(parts, allowMissingColumns=True)
+    new = None if parts is None else parts.withColumn("batch_id", F.col("batch_id").cast("long"))
+    if old is None or new is None:
+        return new if old is None else old
+    return old.unionByName(new, allowMissingColumns=True)
+
+
+def order_parts(rows: DataFrame) -> DataFrame:
+    """``rows`` of :func:`union_sources` with ``place``: their order within market and day, old ones first."""
+    return rows.withColumn("place", F.row_number().over(W.partitionBy("market_id", "date").orderBy("batch_id", "seq")))
 
 
 def done_ids(rows: DataFrame) -> DataFrame:
