@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..sources.shared import durable, shared_dir  # noqa: F401  (for the operators)
+from ..sources.shared import durable, scope, shared_dir, with_fact  # noqa: F401  (for the operators)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,6 +23,12 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def text_key(text: Column) -> tuple[Column, Column]:
+    """Two 64-bit hashes that stand for a text; a null text has its own."""
+    some = text.isNotNull()
+    return F.xxhash64(some, text), F.xxhash64(F.lit(1), text, some)
+
+
 def code_blocks(texts: Iterable[str | None], overlap: int, limit: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Codepoints of many texts in blocks of about ``limit``, with the number of each one's text.
 

@@ -14,8 +14,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, mix64
-from .graph import Thinner, components
+from .common import durable, mix64, text_key, with_fact
+from .graph import Thinner, components, least_reachable
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -185,12 +185,10 @@ def near_duplicates(docs: DataFrame, n: int = 3, reach: int = 3, seed: int = 42)
     reachable are null). Repeated rows are one group. No rows: no rows. Other columns are not looked at.
     """
     fps = durable(fingerprints(docs, n, seed))
-    owners = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("owner")))
-    near = components(links(_cells(owners, reach), reach))
-    moved = near.join(owners, near["node"] == owners["fp"]).groupBy("component").agg(F.min("owner").alias("least"))
-    groups = near.join(moved, "component").select(F.col("node").alias("fp"), "least")
-    known = owners.join(groups, "fp", "left").select("fp", F.coalesce("least", "owner").alias("component_id"))
-    return fps.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    owners = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")))
+    groups = least_reachable(components(links(_cells(owners, reach), reach)), owners.select(F.col("fp").alias("node"), "owner"))
+    known = durable(owners.join(groups, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("least", "owner").alias("component_id"), "n"))
+    return with_fact(fps, known, ["fp"], "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: Words of the wide fingerprint, samples of each long text, and shingles of a sample, in the similarity search.
@@ -292,7 +290,7 @@ def counted_links(docs: DataFrame, nodes: DataFrame, near: DataFrame, n: int, si
     a group of many texts or shingles is cut into tiles.
     """
     chosen = durable(near.join(nodes, "node"))
-    owners = chosen.select(F.col("owner").alias("near_owner")).distinct()
+    owners = chosen.select(F.col("owner.doc_id").alias("near_owner")).distinct()
     texts = docs.select("doc_id", "text").join(owners, F.col("doc_id").eqNullSafe(F.col("near_owner")), "left_semi")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,17 +323,9 @@ def counted_links(docs: DataFrame, nodes: DataFrame, near: DataFrame, n: int, si
     return dealt.groupBy("component", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
-def similar_groups(docs: DataFrame, n: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
-    """``(doc_id, component_id)`` of documents that links of a Jaccard similarity of at least ``similarity`` join,
-    counted on the hashes of their distinct word shingles.
-
-    Plain 64-bit fingerprints of such texts differ in ten bits, too many for grid cells to hold them
-    together. So cells are popcount vectors of hashes of small samples, several per text (of short texts, of
-    their lowest shingles, of which any two similar texts share one). What shares a cell is compared by its wide
-    fingerprint, Manhattan bound and then bits, within five deviations; what is near in that is a candidate,
-    and candidates are linked only if their shingles, counted, are similar enough.
-    Null, empty and wordless texts are one group; component_id is the smallest doc_id of a group.
-    """
+def _grouped(docs: DataFrame, n: int, similarity: float, seed: int) -> DataFrame:
+    """``(doc_id, t1, t2, first)``: each row, its text's hashes, and the first row of its group as a struct of none (it
+    has no id), doc_id, t1 and t2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -345,30 +335,49 @@ def similar_groups(docs: DataFrame, n: int = 5, similarity: float = 0.8, seed: i
             wide = np.array([x[0] for x in made], dtype=np.uint64).reshape(-1, WORDS).view(np.int64)
             columns = [pa.array(np.ascontiguousarray(x[:, k])) for x in (keys, wide) for k in range(x.shape[1])]
             cells = [pa.array([x[k] for x in made], pa.list_(pa.int64())) for k in (1, 2)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), *columns, *cells], names=["doc_id", "size", "h1", "h2", *w, "lowest", "samples"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in own], pa.array([len(x) for x in sets], pa.int64()), *columns, *cells], names=[*own, "size", "h1", "h2", *w, "lowest", "samples"])
 
-    w = [f"w{k}" for k in range(WORDS)]
+    w, own = [f"w{k}" for k in range(WORDS)], ["doc_id", "t1", "t2"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, " + ", ".join(f"{c} bigint" for c in ["size", "h1", "h2", *w]) + ", lowest array<bigint>, samples array<bigint>"
-    made = durable(docs.select("doc_id", "text").mapInArrow(run, schema))
-    nodes = made.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), *[F.first(c).alias(c) for c in ("size", *w, "lowest", "samples")])
+    schema = f"doc_id {kind}, " + ", ".join(f"{c} bigint" for c in ["t1", "t2", "size", "h1", "h2", *w]) + ", lowest array<bigint>, samples array<bigint>"
+    t1, t2 = text_key(F.col("text"))
+    made = durable(docs.select("doc_id", t1.alias("t1"), t2.alias("t2"), "text").mapInArrow(run, schema))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), *own)
+    nodes = made.groupBy("h1", "h2").agg(F.min(row).alias("owner"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("size", *w, "lowest", "samples")])
     nodes = durable(nodes.withColumn("node", F.monotonically_increasing_id()))
     short = nodes.select("node", F.lit(-1).cast("tinyint").alias("choice"), F.explode("lowest").alias("fp"))
     long = nodes.select("node", F.posexplode("samples").alias("choice", "fp")).withColumn("choice", F.col("choice").cast("tinyint"))
     near = [links(c.select("node", "choice", _counts("fp").alias("at")).distinct(), differing_bits(similarity, k), nodes.select("node", *w), tile=2048) for c, k in ((short, True), (long, False))]
     groups = components(near[0].union(near[1]))
     alike = components(counted_links(docs, nodes.drop("lowest", "samples"), groups, n, similarity, seed))
-    least = alike.join(nodes.select("node", "owner"), "node").groupBy("component").agg(F.min("owner").alias("least"))
-    known = nodes.join(alike.join(least, "component").select("node", "least"), "node", "left").select("h1", "h2", F.coalesce("least", "owner").alias("component_id"))
-    return made.select("doc_id", "h1", "h2").join(known, ["h1", "h2"]).select("doc_id", "component_id")
+    known = nodes.join(least_reachable(alike, nodes.select("node", "owner")), "node", "left")
+    known = durable(known.select("h1", "h2", F.coalesce("least", "owner").alias("first"), "n"))
+    return with_fact(made.select(*own, "h1", "h2"), known, ["h1", "h2"], "n").select(*own, "first")
+
+
+def similar_groups(docs: DataFrame, n: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+    """``(doc_id, component_id)`` of documents that links of a Jaccard similarity of at least ``similarity`` join,
+    counted on the hashes of their distinct word shingles.
+
+    Plain 64-bit fingerprints of such texts differ in ten bits, too many for grid cells to hold them
+    together. So cells are popcount vectors of hashes of small samples, several per text (of short texts, of
+    their lowest shingles, of which any two similar texts share one). What shares a cell is compared by its wide
+    fingerprint, Manhattan bound and then bits, within five deviations; what is near in that is a candidate,
+    and candidates are linked only if their shingles, counted, are similar enough.
+    Null, empty and wordless texts are one group; component_id is the smallest doc_id of a group.
+    """
+    return _grouped(docs, n, similarity, seed).select("doc_id", F.col("first.doc_id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
-    """``docs`` without documents that aren't their group's first by doc_id; columns stay.
+    """``docs`` with one text of each group, the first by doc_id and then by its hash; columns stay.
 
-    Rows that repeat a doc_id with equal text stay or go together. Texts without words are one group.
-    A null doc_id goes only where its group has another. No rows: no rows.
+    Rows are told apart by doc_id and text: one that repeats another's doc_id goes only for its own text, and rows
+    that repeat both stay or go together. Texts without words are one group. A null doc_id is the last of its
+    group. No rows: no rows.
     """
-    found = similar_groups(docs, n, similarity, seed)
-    gone = durable(found.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("near_id")).distinct())
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["near_id"]), "left_anti")
+    found = _grouped(docs, n, similarity, seed)
+    other = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t1") == F.col("first.t1")) & (F.col("t2") == F.col("first.t2")))
+    gone = durable(found.where(other).select(F.col("doc_id").alias("near_id"), F.col("t1").alias("near_t1"), F.col("t2").alias("near_t2")).distinct())
+    t1, t2 = text_key(docs["text"])
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["near_id"]) & (t1 == gone["near_t1"]) & (t2 == gone["near_t2"]), "left_anti")
