@@ -5,57 +5,79 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, free_name
+from .common import durable, free_name, text_key, with_fact
 
 #: Lines of a window.
 WINDOW = 3
+#: Lines of more characters are cut after their sentences.
+LONG = 200
 
 
-def lines(text: Column) -> Column:
-    return F.split(text, "\n", -1)
+def pieces(text: Column) -> Column:
+    """The lines of a text, as structs of line (its number) and piece.
+
+    A line is what stands between line ends; one of over LONG characters is cut after each of ``. ! ?``
+    that a blank follows, as a paragraph on one line would else be one line however long it is.
+    """
+    cut = lambda x: F.when(F.length(x) > LONG, F.split(x, "(?<=[.!?] )", -1)).otherwise(F.array(x))
+    return F.flatten(F.transform(F.split(text, "\n", -1), lambda x, k: F.transform(cut(x), lambda p: F.struct(k.alias("line"), p.alias("piece")))))
 
 
-def _blank(line: Column) -> Column:
-    return F.trim(F.translate(line, "\t\r\v\f", "    ")) == ""
+def _plain(piece: Column) -> Column:
+    """A piece without white space at its ends, by which it is compared."""
+    return F.btrim(piece, F.lit(" \t\r\v\f"))
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
-    """``(row_hash, drop)``: for each text that loses lines, the numbers (from 0) of those lines.
+def repeated_pieces(docs: DataFrame) -> DataFrame:
+    """``(doc_id, t1, t2, drop)``: for each text that loses lines, the numbers (from 0) of those pieces; t1 and t2
+    are its hashes.
 
-    Windows are three lines in a row; one all of whose lines are blank is none. Windows
-    with equal lines are one passage: its first place by (doc_id, line) stays, and all lines of its
-    later places go, overlapping places merged. The first place of any line never goes, so no line's
-    words are lost. Two 64-bit hashes stand for a window. Rows are told apart by doc_id; rows that
-    share a doc_id and text are cleaned alike, the first of them by position too.
+    Windows are three pieces in a row; a text of one or two pieces is one window. A window all of whose
+    pieces are blank is none. Windows with equal pieces are one passage: its first place by (doc_id, text hash,
+    piece) stays, and all pieces of its later places go, overlapping places merged. The first place of any
+    piece never goes, so no words are lost. Two 64-bit hashes stand for a window. Rows are told apart by doc_id and
+    text; rows that share both are cleaned alike, the first of them by position too.
     """
-    cut = lines(F.col("text"))
-    three = F.arrays_zip(cut.alias("l0"), F.slice(cut, 2, 2147483647).alias("l1"), F.slice(cut, 3, 2147483647).alias("l2"))
-    windows = docs.where(F.col("text").isNotNull()).select("doc_id", F.posexplode(three).alias("line", "w")).where("w.l2 is not null")
-    windows = windows.where(~_blank(F.concat("w.l0", "w.l1", "w.l2")))
-    windows = windows.select("doc_id", "line", F.xxhash64("w.l0", "w.l1", "w.l2").alias("h1"), F.xxhash64(F.lit(WINDOW), "w.l2", "w.l1", "w.l0").alias("h2"))
+    t1, t2 = text_key(F.col("text"))
+    plain = F.transform(pieces(F.col("text")), lambda p: _plain(p["piece"]))
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", t1.alias("t1"), t2.alias("t2"), plain.alias("p"))
+    rows = rows.select("doc_id", "t1", "t2", F.transform("p", lambda p: F.xxhash64(p)).alias("a"), F.transform("p", lambda p: F.xxhash64(F.lit(WINDOW), p)).alias("b"))
+    next_ones = lambda c, k: F.slice(c, k + 1, F.lit(2147483647)).alias(f"{c}{k}")
+    names = [f"{c}{k}" for c in "ab" for k in range(WINDOW)]
+    zipped = F.arrays_zip(*[next_ones(c, k) for c in "ab" for k in range(WINDOW)])
+    windows = rows.select("doc_id", "t1", "t2", F.posexplode(zipped).alias("piece", "w")).select("doc_id", "t1", "t2", "piece", *[F.col("w")[n].alias(n) for n in names])
+    windows = windows.where(F.col(names[WINDOW - 1]).isNotNull() | (F.col("piece") == 0))
+    nothing = F.xxhash64(F.lit(""))
+    windows = windows.where(F.greatest(*[F.coalesce(F.col(f"a{k}") != nothing, F.lit(False)) for k in range(WINDOW)]))
+    windows = windows.select("doc_id", "t1", "t2", "piece", *[F.xxhash64(F.lit(WINDOW), *names[k * WINDOW : (k + 1) * WINDOW]).alias(h) for k, h in enumerate(("h1", "h2"))])
     windows = durable(windows)
-    place = F.struct("doc_id", "line")
-    firsts = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = windows.join(firsts, ["h1", "h2"]).where(place > F.col("first")).select("doc_id", "line")
-    covered = later.groupBy("doc_id").agg(F.collect_set("line").alias("starts"))
+    place = F.struct("doc_id", "t1", "t2", "piece")
+    firsts = durable(windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    later = with_fact(windows, firsts, ["h1", "h2"], "n").where(place > F.col("first")).select("doc_id", "t1", "t2", "piece")
+    covered = later.groupBy("doc_id", "t1", "t2").agg(F.collect_set("piece").alias("starts"))
     drop = F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda i: F.sequence(i, i + WINDOW - 1)))))
-    return covered.select(F.col("doc_id"), drop.alias("drop"))
+    return covered.select("doc_id", "t1", "t2", drop.alias("drop"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with later places of repeated three-line passages cut from ``text``, and ``n_lines``,
-    ``n_removed`` (lengthened by underscores if the input has such columns).
+    ``n_removed`` (lengthened by underscores if the input has such columns): the lines it had, and the
+    pieces that were cut.
 
-    Null text stays null with 0 lines; an empty text has one line. Null doc_id comes first in order
-    and keeps its text. Texts of under three lines stay as they are. No rows: no rows. Rows that
-    repeat a doc_id must repeat its text.
+    Pieces that stay keep their line ends; a line that loses all its pieces goes. Null text stays null with 0
+    lines; an empty text has one line. Null doc_id comes first in order. A whole copy of a short
+    text loses all of it. No rows: no rows. Rows that repeat a doc_id with another text are rows of their own.
     """
     n_lines, n_removed = free_name(docs, "n_lines"), free_name(docs, "n_removed")
-    found = repeated_lines(docs).select(F.col("doc_id").alias("dedup_doc_id"), F.col("drop").alias("dedup_drop"))
-    rest = [c for c in docs.columns if c != "text"]
-    split = docs.select(*[docs[f"`{c}`"] for c in rest], lines(docs["text"]).alias("dedup_lines"))
-    joined = split.join(found, split["doc_id"] == found["dedup_doc_id"], "left")
-    numbers = F.array_except(F.sequence(F.lit(0), F.size("dedup_lines") - 1), F.coalesce("dedup_drop", F.array().cast("array<int>")))
-    text = F.array_join(F.transform(numbers, lambda i: F.get("dedup_lines", i)), "\n")
-    kept = [text.alias(c) if c == "text" else split[f"`{c}`"] for c in docs.columns]
-    return joined.select(*kept, F.coalesce(F.when(F.col("dedup_lines").isNotNull(), F.size("dedup_lines")), F.lit(0)).cast("long").alias(n_lines), F.coalesce(F.when(F.col("dedup_drop").isNotNull(), F.size("dedup_drop")), F.lit(0)).cast("long").alias(n_removed))
+    found = repeated_pieces(docs).select(F.col("doc_id").alias("dedup_doc_id"), F.col("t1").alias("dedup_t1"), F.col("t2").alias("dedup_t2"), F.col("drop").alias("dedup_drop"))
+    t1, t2 = text_key(docs["text"])
+    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["dedup_doc_id"]) & (t1 == found["dedup_t1"]) & (t2 == found["dedup_t2"]), "left")
+    split = joined.withColumn("dedup_pieces", F.when(F.col("dedup_drop").isNotNull(), pieces(F.col("text"))))
+    gone = F.filter(F.col("dedup_drop"), lambda i: i < F.size("dedup_pieces"))
+    split = split.withColumn("dedup_drop", gone).withColumn("dedup_left", F.transform(F.array_except(F.sequence(F.lit(0), F.size("dedup_pieces") - 1), "dedup_drop"), lambda i: F.get("dedup_pieces", i)))
+    new_line = lambda p, k: F.when((k > 0) & (F.get("dedup_left", k - 1)["line"] < p["line"]), F.concat(F.lit("\n"), p["piece"])).otherwise(p["piece"])
+    text = F.when(F.col("dedup_drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform("dedup_left", new_line), ""))
+    kept = [text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    count_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)).cast("long")
+    n_gone = F.coalesce(F.when(F.col("dedup_drop").isNotNull(), F.size("dedup_drop")), F.lit(0)).cast("long")
+    return split.select(*kept, count_lines.alias(n_lines), n_gone.alias(n_removed))

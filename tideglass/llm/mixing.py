@@ -42,8 +42,10 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 
 
 def coin(key: Column, seed: int) -> Column:
-    """A number in [0, 1) that depends on key and seed only."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 11) * F.lit(2.0**-53)
+    """A number in [0, 1) that depends on key and seed only: the first 48 bits of an MD5 of both as text. A null
+    key is an empty one."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"))
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") * F.lit(2.0**-48)
 
 
 def sizes_of(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_report(read(spark, sf_dir, "documents")).drop("source")
+    return mixing.mix_report(read(spark, sf_dir, "documents")).drop("source").withColumn("target", F.round("target", 6))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,24 +56,67 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": OP10}
+    return {"op4_mixing": OP4, "op8_embeddings": OP8, "op10_line_dedup": OP10}
 
 
+OP4 = r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents
+), sources AS (
+  SELECT source, sum(size) AS source_size, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM sized GROUP BY source
+), ranked AS (
+  SELECT *, 2.0 * source_size AS top, 2.0 * source_size / weight AS ratio FROM sources
+), filled AS (
+  SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(top) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level
+  FROM ranked WINDOW w AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), levelled AS (
+  SELECT source, source_size, top, weight, (SELECT level FROM filled WHERE level <= ratio ORDER BY ratio, level LIMIT 1) AS level FROM filled
+), targets AS (
+  SELECT source, source_size, CAST(least(top, coalesce(level, CAST('inf' AS DOUBLE)) * weight) AS DOUBLE) AS target FROM levelled
+), drawn AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+    CAST('0x' || substr(md5('7:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) / 281474976710656.0 AS coin
+  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+), copied AS (
+  SELECT *, CAST(floor(rate) AS BIGINT) + CASE WHEN coin < rate - floor(rate) THEN 1 ELSE 0 END AS copies FROM drawn
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, round(target, 6) AS target, CAST(size * copies AS BIGINT) AS taken, CAST(copies AS BIGINT) AS copies FROM copied
+"""
+OP8 = r"""
+WITH RECURSIVE wide AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+), good AS (
+  SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS norm FROM wide
+  WHERE label IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(v, v) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id WHERE list_dot_product(a.v, b.v) >= 0.93 * a.norm * b.norm
+), reached AS (
+  SELECT a AS vec_id, b AS other FROM links UNION SELECT r.vec_id, l.b FROM reached r JOIN links l ON r.other = l.a
+), grouped AS (SELECT vec_id, min(other) AS least FROM reached GROUP BY vec_id
+), counted AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(c.n, 0) AS n_links, least(e.vec_id, coalesce(g.least, e.vec_id)) AS component_id, e.vec_id <= coalesce(g.least, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN counted c ON e.vec_id = c.vec_id LEFT JOIN grouped g ON e.vec_id = g.vec_id
+"""
 OP10 = r"""
 WITH lines AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i
-  FROM documents WHERE text IS NOT NULL
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents WHERE text IS NOT NULL
+), cut AS (
+  SELECT doc_id, k, CASE WHEN length(line) > 200 THEN string_split(regexp_replace(line, '([.!?] )', '\1' || chr(1), 'g'), chr(1)) ELSE [line] END AS ps FROM lines
+), pieces AS (
+  SELECT doc_id, k, piece, row_number() OVER (PARTITION BY doc_id ORDER BY k, j) - 1 AS i, regexp_replace(piece, '^[ \t\r\v\f]+|[ \t\r\v\f]+$', '', 'g') AS plain
+  FROM (SELECT doc_id, k, unnest(ps) AS piece, unnest(range(len(ps))) AS j FROM cut)
 ), windows AS (
-  SELECT doc_id, i, line AS l0, lead(line) OVER w AS l1, lead(line, 2) OVER w AS l2 FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+  SELECT doc_id, i, plain AS p0, lead(plain) OVER w AS p1, lead(plain, 2) OVER w AS p2, count(*) OVER (PARTITION BY doc_id) AS n FROM pieces WINDOW w AS (PARTITION BY doc_id ORDER BY i)
 ), ranked AS (
-  SELECT doc_id, i, row_number() OVER (PARTITION BY l0, l1, l2 ORDER BY doc_id, i) AS k
-  FROM windows WHERE l2 IS NOT NULL AND regexp_matches(l0 || l1 || l2, '[^ \t\r\v\f]')
+  SELECT doc_id, i, row_number() OVER (PARTITION BY p0, p1, p2 ORDER BY doc_id, i) AS nth
+  FROM windows WHERE (p2 IS NOT NULL OR i = 0) AND p0 || coalesce(p1, '') || coalesce(p2, '') <> ''
 ), gone AS (
-  SELECT DISTINCT doc_id, i + d AS i FROM ranked, (VALUES (0), (1), (2)) AS t(d) WHERE k > 1
-), per_doc AS (
-  SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed, coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') AS clean_text
-  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id
-)
-SELECT d.doc_id, coalesce(p.n_lines, 0) AS n_lines, coalesce(p.n_removed, 0) AS n_removed, p.clean_text
-FROM documents d LEFT JOIN per_doc p ON d.doc_id = p.doc_id
+  SELECT DISTINCT doc_id, i + d AS i FROM ranked, (VALUES (0), (1), (2)) AS t(d) WHERE nth > 1
+), kept AS (
+  SELECT p.doc_id, p.i, p.k, p.piece, lag(p.k) OVER (PARTITION BY p.doc_id ORDER BY p.i) AS before FROM pieces p ANTI JOIN gone g ON p.doc_id = g.doc_id AND p.i = g.i
+), left_over AS (
+  SELECT doc_id, count(*) AS n, string_agg(CASE WHEN before < k THEN chr(10) ELSE '' END || piece, '' ORDER BY i) AS clean_text FROM kept GROUP BY doc_id
+), counted AS (SELECT doc_id, count(*) AS n FROM pieces GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(d.text) - len(replace(d.text, chr(10), '')) + 1, 0) AS n_lines, coalesce(c.n - coalesce(l.n, 0), 0) AS n_removed, CASE WHEN d.text IS NOT NULL THEN coalesce(l.clean_text, '') END AS clean_text
+FROM documents d LEFT JOIN counted c ON d.doc_id = c.doc_id LEFT JOIN left_over l ON d.doc_id = l.doc_id
 """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, with_fact
 from .spans import all_matches, cut_at, joined, overlaps, placed, with_blocks
 
 KINDS = ("assign", "access", "hex", "token")
@@ -51,13 +51,13 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """``(h1, h2, repositories, owners)``: distinct documents and owners of each candidate value.
+    """``(h1, h2, repositories, owners, n)``: distinct documents and owners of each candidate value, and its places.
 
     Documents of equal text are copies of one and count once. Both counts are made in steps, so that a
     value that very many documents have is not one task. A null owner counts as one.
     """
     each = found.select("t1", "t2", F.coalesce(F.col("owner").cast("string"), F.lit("")).alias("owner"), F.inline("found"))
-    return each.groupBy("h1", "h2").agg(F.countDistinct("t1", "t2").alias("repositories"), F.countDistinct("owner").alias("owners"))
+    return each.groupBy("h1", "h2").agg(F.countDistinct("t1", "t2").alias("repositories"), F.countDistinct("owner").alias("owners"), F.count("*").alias("n"))
 
 
 def scan(docs: DataFrame, most_owners: int = 2, most_repositories: int = 10) -> DataFrame:
@@ -68,9 +68,10 @@ def scan(docs: DataFrame, most_owners: int = 2, most_repositories: int = 10) ->
     stay whatever they are; ``token`` spans are added where the value looks live and no base span overlaps.
     """
     found = durable(candidates(docs))
-    freq = ownership(found).select("h1", "h2", ((F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories)).alias("live"))
-    each = found.select("row", F.inline("found"))
-    judged = each.join(freq, ["h1", "h2"]).groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end", "live")).alias("judged"))
+    live = (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories)
+    freq = durable(ownership(found).select("h1", "h2", "n", live.alias("live")))
+    each = with_fact(found.select("row", F.inline("found")), freq, ["h1", "h2"], "n")
+    judged = each.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end", "live")).alias("judged"))
     rows = found.select("row", "doc_id").join(judged, "row", "left")
     rows = rows.withColumn("judged", F.coalesce("judged", F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean>>")))
     rows = with_blocks(rows.withColumn("base", F.filter("judged", lambda s: s["kind"] < 3)), "base", "blocks")
