@@ -122,19 +122,25 @@ def pieces(docs: DataFrame, vocabulary: tuple[str, str, str] | None = None, capa
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids)
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """The plan of fewest sequences of three: with gaps filled by single lengths, also by sums of two, also by
-    sums of three. Small pieces in exact sums are lost to later gaps, so more sums aren't always better."""
-    return min((exact_plan(counts, capacity, depth) for depth in (3, 2, 1)), key=lambda kinds: sum(n for _, n in kinds))
+def pair_index(lengths: np.ndarray, capacity: int) -> list[np.ndarray]:
+    """For each sum up to ``capacity`` the smaller lengths of its pairs, the most even pair first."""
+    has = np.zeros(capacity + 1, dtype=bool)
+    has[lengths] = True
+    lows = [np.arange(total // 2, 0, -1) for total in range(capacity + 1)]
+    return [low[has[low] & has[total - low]] for total, low in enumerate(lows)]
 
 
-def exact_plan(counts: dict[int, int], capacity: int, depth: int) -> list[tuple[tuple[int, ...], int]]:
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Kinds of sequences ``(lengths, how many)`` that hold ``counts[length]`` pieces of each length.
 
-    Gaps are looked up, the longest length's first, among single lengths, then all again among sums of two,
-    then of three (as ``depth`` says), and each combination that fills a gap exactly is used as often as the counts allow. What
-    is left goes, longest first, to the smallest gap that holds it. Works on at most ``capacity`` counts,
-    however many pieces there are.
+    The gap of each length, the longest first, is looked up among single lengths, then again among sums of pairs, then
+    sums of three (a smallest length and a pair of at least that length), and each combination that fills
+    the gap exactly is used as often as the counts allow. Combinations of the most even lengths come first, so that
+    small pieces, which fit anywhere, are left for last. What is left goes, longest first, to the smallest gap
+    that holds it. Pieces of over half the capacity need a sequence each; where those are over nine tenths
+    of the sequences that all ids would fill, small pieces are scarcer than gaps, and only gaps that one
+    piece fills are filled exactly. Works on at most
+    ``capacity`` counts, however many pieces there are.
     """
     left = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in counts.items():
@@ -149,28 +155,31 @@ def exact_plan(counts: dict[int, int], capacity: int, depth: int) -> list[tuple[
             for x, m in need.items():
                 left[x] -= n * m
 
-    def pairs(total: int) -> list[tuple[int, int]]:
-        low = np.arange(1, total // 2 + 1)
-        hit = low[(left[low] > 0) & (left[total - low] > 0)]
-        return [(total - int(x), int(x)) for x in hit]
+    pairs = pair_index(np.flatnonzero(left), capacity)
 
-    longest = [a for a in range(capacity, 0, -1) if left[a]]
-    for a in longest:
-        use((a,) if a == capacity else (a, capacity - a))
-    for a in longest if depth > 1 else []:
-        for b, c in pairs(capacity - a) if left[a] else []:
-            use((a, b, c))
+    def fill(a: int, total: int, least: int, rest: tuple[int, ...]) -> None:
+        """Use ``a`` and ``rest`` with the pairs of that total whose lengths are ``least`` or more."""
+        low = pairs[total]
+        for b in low[(low >= least) & (left[low] > 0) & (left[total - low] > 0)].tolist():
+            use((a, total - b, b, *rest))
             if not left[a]:
                 break
-    for a in longest if depth > 2 else []:
-        gap = capacity - a
-        for b in np.flatnonzero(left[: gap - 1])[::-1].tolist() if left[a] and gap > 2 else []:
-            for c, d in pairs(gap - b):
-                use((a, b, c, d))
-                if not left[a]:
-                    break
+
+    halves, whole = int(left[capacity // 2 + 1 :].sum()), int((left * np.arange(capacity + 1)).sum())
+    roomy = 10 * halves * capacity <= 9 * whole
+    longest = range(capacity, capacity // 4, -1)  # four pieces, the longest of which is shorter, aren't enough
+    for a in longest:
+        if left[a]:
+            use((a, capacity - a) if a < capacity else (a,))
+    for a in longest if roomy else ():
+        if left[a] and capacity - a > 1:
+            fill(a, capacity - a, 1, ())
+    for a in longest if roomy else ():
+        for d in range((capacity - a) // 3, 0, -1):
             if not left[a]:
                 break
+            if left[d]:
+                fill(a, capacity - a - d, d, (d,))
     # the rest: open sequences by their gap
     opened: dict[int, Counter] = {}
     gaps: list[int] = []
