@@ -85,6 +85,26 @@ def test_exact_complements_fill():
     assert packing.plan({40: 3, 24: 3, 29: 2, 20: 2, 15: 2, 31: 1, 19: 1, 9: 1, 5: 1}, 64) == [((29, 20, 15), 2), ((31, 19, 9, 5), 1), ((40, 24), 3)]
 
 
+def test_pairs_are_indexed_by_their_sum():
+    lengths = np.array([1, 2, 3, 5, 8, 13])
+    index = packing.pair_index(lengths, 20)
+    for total in range(21):
+        want = [x for x in range(total // 2, 0, -1) if x in lengths and total - x in lengths]
+        assert index[total].tolist() == want
+
+
+def test_sums_of_one_two_and_three_all_fill_gaps():
+    """On lengths like those of documents, kinds of two, three and four pieces are used, and nothing is longer than best fit."""
+    rng = np.random.default_rng(11)
+    lengths, n = np.unique(np.clip((rng.lognormal(5.8, 1.0, 20_000)).astype(int), 1, 2048), return_counts=True)
+    counts = dict(zip(lengths.tolist(), n.tolist(), strict=True))
+    kinds = packing.plan(counts, 2048)
+    exact = {len(parts) for parts, _ in kinds if sum(parts) == 2048}
+    assert {2, 3, 4} <= exact
+    least = -(-sum(x * k for x, k in counts.items()) // 2048)
+    assert least <= sum(k for _, k in kinds) <= min(best_fit(counts, 2048), least + 2)
+
+
 def test_packed_pieces_give_the_documents_back(spark):
     from tokenizers import Tokenizer
 
@@ -159,6 +179,13 @@ def test_estimates_are_unbiased_and_bounded():
     x /= np.linalg.norm(x, axis=1)[:, None]
     turned, codes, factors = vectors.encode(x, vectors.rotation(32, 128))
     guess, off = vectors.estimate(turned, codes, factors)
+    near = x[:200] + 0.02 * rng.standard_normal((200, 32))
+    near /= np.linalg.norm(near, axis=1)[:, None]
+    _, more, theirs = vectors.encode(near, vectors.rotation(32, 128))
+    one = np.ones(200, dtype=np.int64)
+    linked, links, computed = vectors.compare(x[:200], near, one, one, more, theirs, vectors.rotation(32, 128), 0.93)
+    assert (linked[:200] == (x[:200] @ near.T >= 0.93).sum(axis=1)).all() and len(links) == 200
+    assert computed < 0.05 * 200 * 200  # of all pairs
     error = guess - x @ x.T
     assert abs(error[~np.eye(400, dtype=bool)].mean()) < 0.005
     assert (np.abs(error) <= off + 1e-5).all()
@@ -302,6 +329,62 @@ def test_payloads_come_back(spark):
         webp.decode_image(webp.store(webp.pad("text that is cut")[0])[:40])
 
 
+def payloads():
+    rng = np.random.default_rng(3)
+    plain = "Words of a text that has lines.\nAnd some more words, with others in between. "
+    return {
+        "plain": (plain * 40).encode()[: 64 * 40],
+        "palette": rng.integers(48, 50, 6400, dtype=np.uint8).tobytes(),
+        "left": np.cumsum(rng.integers(0, 3, 64 * 300)).astype(np.uint8).tobytes(),
+        "upper": (np.arange(64, dtype=np.uint8) * 37 + np.cumsum(rng.integers(0, 2, (200, 64)), axis=0)).astype(np.uint8).tobytes(),
+    }
+
+
+@pytest.mark.parametrize("form", ["plain", "palette", "left", "upper"])
+def test_the_shortest_form_is_written_and_read(form):
+    payload = payloads()[form]
+    found = {name: len(bits) for name, bits in webp.forms(np.frombuffer(payload, dtype=np.uint8))}
+    assert min(found, key=found.get) == form
+    assert webp.load(webp.store(payload)) == payload
+
+
+def test_copies_are_written_where_samples_repeat():
+    for seed in range(30):
+        rng = np.random.default_rng(seed)
+        part = rng.integers(0, 256, rng.integers(1, 200), dtype=np.uint8)
+        samples = np.resize(np.concatenate([part, rng.integers(0, 4, 50, dtype=np.uint8), part]), 64 * int(rng.integers(1, 300)))
+        made, at = webp.copies(samples), 0
+        for start, length, back in made:
+            assert start >= at and back <= start and 7 <= length <= 4096
+            assert all(samples[start + k] == samples[start + k - back] for k in range(length))
+            at = start + length
+        assert webp.load(webp.store(samples.tobytes())) == samples.tobytes()
+
+
+def test_code_lengths_are_complete_and_limited():
+    for counts in ([1, 1], [5, 0, 1], [2**k for k in range(30)], np.random.default_rng(1).integers(0, 50, 280).tolist()):
+        lengths = webp.code_lengths(np.array(counts), 15)
+        assert (lengths[np.array(counts) == 0] == 0).all() and lengths.max() <= 15
+        assert sum(2.0 ** -int(x) for x in lengths if x) == 1.0
+
+
+def test_one_prediction_for_all_is_undone_in_bulk():
+    pixels = picture(64, 20, 4)
+    for mode in (1, 2):
+        modes = np.full(1, mode << 8, dtype=np.uint32)
+        residuals = webp.predict_all(pixels, 64, 20, 9, modes, False)
+        assert (webp.predict_all(residuals, 64, 20, 9, modes, True) == pixels).all()
+
+
+def test_feature_of_ties_constants_and_short_payloads():
+    assert webp.feature(np.zeros(64, dtype=np.uint8)) == "0.0000|0.0000|0.0000|" + "0" * 16
+    one = np.zeros(64, dtype=np.uint8)
+    one[3] = 64
+    assert webp.feature(one).split("|")[0] == "1.0000" and int(webp.feature(one).split("|")[3], 16) == 1 << 3
+    half = np.repeat(np.array([0, 2], dtype=np.uint8), 32)
+    assert webp.feature(half) == f"1.0000|1.0000|1.0000|{((1 << 32) - 1) << 32:016x}"
+
+
 def test_near_table_is_whole():
     assert len(webp.NEAR) == len(set(webp.NEAR)) == 120
     assert struct.unpack("<I", webp.store(b"\0" * 64)[4:8])[0] + 8 == len(webp.store(b"\0" * 64))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import heapq
 import struct
 import zlib
 from collections.abc import Iterator
@@ -31,6 +33,12 @@ PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 ALPHA, RED, GREEN, BLUE = 3, 2, 1, 0  # places in a little-endian pixel
 #: Samples in a row of a payload's image, and rows of one image at most; longer payloads are several images.
 ROW, ROWS = 64, 16384
+#: Fixed values of the format: longest copy, longest distance, longest code, most bits a pixel can take.
+COPY, FAR, LONGEST, PIXEL_BITS = 4096, (1 << 20) - 120, 15, 128
+#: Shortest copy that is written.
+SHORT = 7
+#: Bits of the stream that are looked up at once.
+STRETCH = 1 << 16
 
 
 class Bits:
@@ -39,59 +47,60 @@ class Bits:
     def __init__(self, data: bytes, at: int = 0):
         self.data, self.at = data, at
 
-    def read(self, n: int) -> int:
+    def peek(self, n: int) -> int:
         first, shift = divmod(self.at, 8)
-        value = int.from_bytes(self.data[first : first + (n + shift + 7) // 8], "little") >> shift
+        return (int.from_bytes(self.data[first : first + (n + shift + 7) // 8], "little") >> shift) & ((1 << n) - 1)
+
+    def read(self, n: int) -> int:
+        value = self.peek(n)
+        self.skip(n)
+        return value
+
+    def skip(self, n: int) -> None:
         self.at += n
         if self.at > 8 * len(self.data):
             raise ValueError("the image ends early")
-        return value & ((1 << n) - 1)
+
+    def windows(self, most: int) -> np.ndarray:
+        """The 32 bits from each place on, for up to ``most`` places from here; past the end are zeros."""
+        first, shift = divmod(self.at, 8)
+        n = (most + shift + 7) // 8
+        part = self.data[first : first + n + 4]
+        raw = np.frombuffer(part + b"\0" * (n + 4 - len(part)), dtype=np.uint8).astype(np.uint64)
+        wide = raw[:n] | raw[1 : n + 1] << np.uint64(8) | raw[2 : n + 2] << np.uint64(16) | raw[3 : n + 3] << np.uint64(24) | raw[4 : n + 4] << np.uint64(32)
+        return (wide[:, None] >> np.arange(8, dtype=np.uint64)).reshape(-1)[shift : shift + most].astype(np.uint32)
+
+
+@functools.cache
+def _reversed(depth: int) -> np.ndarray:
+    """Each number of ``depth`` bits with its bits turned round."""
+    n = np.arange(1 << depth, dtype=np.int64)
+    return sum((n >> k & 1) << (depth - 1 - k) for k in range(depth)) + np.zeros(1 << depth, dtype=np.int64)
 
 
 class Code:
-    """A canonical prefix code; ``fixed`` is the length all its symbols have, if they have one."""
+    """A canonical prefix code as a table: for each value of the next ``depth`` bits the symbol and its length."""
 
     def __init__(self, lengths: np.ndarray):
         used = np.flatnonzero(lengths)
-        self.lengths = lengths[used]
-        order = np.argsort(self.lengths, kind="stable")
-        self.symbols, self.lengths = used[order].tolist(), self.lengths[order]
-        self.table: dict[tuple[int, int], int] | None = None
         if len(used) <= 1:
-            self.fixed, self.symbols = 0, self.symbols or [0]
+            self.depth, self.only = 0, int(used[0]) if len(used) else 0
+            self.symbol, self.length = np.array([self.only]), np.zeros(1, dtype=np.int64)
             return
-        if int((1 << (15 - self.lengths)).sum()) != 1 << 15:
+        size = lengths[used]
+        if int((1 << (LONGEST - size)).sum()) != 1 << LONGEST:
             raise ValueError("a prefix code is not complete")
-        self.fixed = int(self.lengths[0]) if self.lengths[0] == self.lengths[-1] else None
-
-    def _fill(self) -> None:
-        self.table, code, last = {}, 0, 0
-        for n, s in zip(self.lengths.tolist(), self.symbols, strict=True):
-            code <<= n - last
-            self.table[n, code] = s
-            code, last = code + 1, n
-
-    def many(self, bits: Bits, n: int) -> np.ndarray:
-        """``n`` symbols of a code whose symbols all have one length."""
-        k, first = self.fixed, bits.at // 8
-        if bits.at + n * k > 8 * len(bits.data):
-            raise ValueError("the image ends early")
-        raw = np.unpackbits(np.frombuffer(bits.data, dtype=np.uint8)[first : (bits.at + n * k + 7) // 8], bitorder="little")
-        cells = raw[bits.at - 8 * first :][: n * k].reshape(n, k)
-        bits.at += n * k
-        return np.array(self.symbols, dtype=np.uint32)[np.packbits(cells, axis=1)[:, 0] >> (8 - k)]  # a code's first bit is its highest
+        order = np.argsort(size, kind="stable")
+        self.only, self.depth = None, int(size.max())
+        at = np.repeat(order, 1 << (self.depth - size[order]))[_reversed(self.depth)]
+        self.symbol, self.length = used[at], size[at]
 
     def read(self, bits: Bits) -> int:
-        if self.fixed == 0:
-            return self.symbols[0]
-        if self.table is None:
-            self._fill()
-        n = code = 0
-        while n < 16:
-            code, n = code << 1 | bits.read(1), n + 1
-            if (n, code) in self.table:
-                return self.table[n, code]
-        raise ValueError("no such prefix code")
+        if not self.depth:
+            return self.only
+        k = bits.peek(self.depth)
+        bits.skip(int(self.length[k]))
+        return int(self.symbol[k])
 
 
 def _code(bits: Bits, alphabet: int) -> Code:
@@ -107,10 +116,6 @@ def _code(bits: Bits, alphabet: int) -> Code:
         kinds[k] = bits.read(3)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
     code, at, last = Code(kinds), 0, 8
-    if code.fixed and code.fixed <= 8 and code.symbols[-1] < 16:  # no repeats: lengths stand one after another
-        n = min(left, alphabet)
-        lengths[:n] = code.many(bits, n)
-        return Code(lengths)
     while at < alphabet and left:
         left -= 1
         k = code.read(bits)
@@ -133,6 +138,88 @@ def _amount(bits: Bits, prefix: int) -> int:
     return ((2 + (prefix & 1)) << extra) + bits.read(extra) + 1
 
 
+@functools.cache
+def _distances(width: int) -> np.ndarray:
+    """Distances of the codes up to 120 in images of that width; code 0 is none."""
+    return np.array([1, *[max(1, x + y * width) for x, y in NEAR]])
+
+
+@functools.cache
+def _extras(alphabet: int) -> np.ndarray:
+    """How many extra bits an amount's prefix symbol has; in the green alphabet literals have none."""
+    prefix = np.arange(alphabet) - (256 if alphabet == ALPHABETS[0] else 0)
+    return np.where(prefix < 4, 0, (prefix - 2) >> 1)
+
+
+def _read_amounts(prefix: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """Amounts of prefix symbols, the next bits after which are ``window``."""
+    extra = np.where(prefix < 4, 0, (prefix - 2) >> 1)
+    return np.where(prefix < 4, prefix, (2 + (prefix & 1)) << extra) + (window & ((1 << extra) - 1)) + 1
+
+
+def _grey(bits: Bits, green: Code, distance: Code, width: int, n: int) -> np.ndarray:
+    """The green values of an image whose other channels are constant, without cache and groups.
+
+    For each place of a stretch of the stream it is looked up at once which symbol would stand there and where the
+    next one would; then the chain of those that do stand there is followed, and literals, lengths and
+    distances are taken from it in bulk. Only copies are made one after another.
+    """
+    out, done = bytearray(n), 0
+    step = green.length + _extras(ALPHABETS[0])[green.symbol]
+    far_step = distance.length + _extras(ALPHABETS[4])[distance.symbol]
+    mask, far_mask = np.uint32((1 << green.depth) - 1), np.uint32((1 << distance.depth) - 1)
+    near = _distances(width)
+    while done < n:
+        end = 8 * len(bits.data) - bits.at
+        stop = min(STRETCH, end)
+        if stop <= 0:
+            raise ValueError("the image ends early")
+        window = bits.windows(stop + PIXEL_BITS)
+        key = window[:stop] & mask
+        symbol = green.symbol.take(key)
+        following = step.take(key)
+        following += np.arange(stop)
+        some = np.flatnonzero(symbol > 255)
+        following[some] += far_step.take(window.take(following[some]) & far_mask)
+        one = np.append(np.minimum(following, stop), stop)
+        two = one.take(one)
+        chain, at, jump = [], 0, two.take(two).tolist()  # every fourth of the chain, then those between
+        while at < stop:
+            chain.append(at)
+            at = jump[at]
+        place = np.array(chain)
+        place = np.stack([place, one[place], two[place], one[two[place]]], axis=1).ravel()
+        place = place[place < stop]
+        symbol = symbol[place]
+        copy = np.flatnonzero(symbol > 255)
+        lengths = np.ones(len(place), dtype=np.int64)
+        start = place[copy]
+        size = symbol[copy] - 256
+        after = start + green.length.take(window.take(start) & mask)
+        lengths[copy] = _read_amounts(size, window.take(after).astype(np.int64))
+        ends = np.cumsum(lengths) + done
+        whole = min(int(np.searchsorted(ends, n)), len(ends) - 1)  # symbols from here on belong to what comes next
+        if ends[whole] > n:
+            raise ValueError("a copy leaves the image")
+        copy = copy[copy <= whole]
+        k = len(copy)
+        after = after[:k] + _extras(ALPHABETS[0])[symbol[copy]]
+        far_key = window.take(after) & far_mask
+        far = _read_amounts(distance.symbol.take(far_key), window.take(after + distance.length.take(far_key)).astype(np.int64))
+        far = np.where(far > 120, far - 120, near[np.minimum(far, 120)])
+        first = ends - lengths
+        if (far > first[copy]).any():
+            raise ValueError("a copy leaves the image")
+        symbol = symbol[: whole + 1]
+        literal = symbol < 256
+        np.frombuffer(out, dtype=np.uint8)[first[: whole + 1][literal]] = symbol[literal]
+        for a, m, d in zip(first[copy].tolist(), lengths[copy].tolist(), far.tolist(), strict=True):
+            out[a : a + m] = out[a - d : a - d + m] if d >= m else (out[a - d : a] * (m // d + 1))[:m]
+        done = int(ends[whole])
+        bits.skip(int(following[place[whole]]))
+    return np.frombuffer(out, dtype=np.uint8).astype(np.uint32)
+
+
 def _pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     """An entropy-coded image: pixels as unsigned 32-bit ARGB."""
     cache_bits = bits.read(4) if bits.read(1) else 0
@@ -144,14 +231,12 @@ def _pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         shift, across, groups = 0, 0, np.zeros(1, dtype=np.uint32)
     sizes = (ALPHABETS[0] + (1 << cache_bits if cache_bits else 0), *ALPHABETS[1:])
     codes = [[_code(bits, n) for n in sizes] for _ in range(int(groups.max()) + 1)]
-    green, red, blue, alpha, _ = codes[0]
-    if len(codes) == 1 and not cache_bits and green.fixed is not None and green.fixed <= 8 and red.fixed == blue.fixed == alpha.fixed == 0 and green.symbols[-1] < 256:
-        # all symbols are literals of one length: their places are known without reading one after another
-        rest = np.uint32(alpha.symbols[0] << 24 | red.symbols[0] << 16 | blue.symbols[0])
-        n, k = width * height, green.fixed
-        if not k:
-            return np.full(n, rest | np.uint32(green.symbols[0] << 8), dtype=np.uint32)
-        return rest | green.many(bits, n) << np.uint32(8)
+    green, red, blue, alpha, distance = codes[0]
+    if len(codes) == 1 and not cache_bits and not (red.depth or blue.depth or alpha.depth):
+        rest = np.uint32(alpha.only << 24 | red.only << 16 | blue.only)
+        if not green.depth and green.only < 256:
+            return np.full(width * height, rest | np.uint32(green.only << 8), dtype=np.uint32)
+        return rest | _grey(bits, green, distance, width, width * height) << np.uint32(8)
     out = [0] * (width * height)
     cache, hold = [0] * (1 << cache_bits), (lambda p: (0x1E35A7BD * p & 0xFFFFFFFF) >> (32 - cache_bits))
     at = 0
@@ -164,11 +249,7 @@ def _pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         elif s < 280:
             n = _amount(bits, s - 256)
             d = _amount(bits, group[4].read(bits))
-            if d > 120:
-                d -= 120
-            else:
-                x, y = NEAR[d - 1]
-                d = max(1, x + y * width)
+            d = d - 120 if d > 120 else int(_distances(width)[d])
             if d > at or at + n > len(out):
                 raise ValueError("a copy leaves the image")
             done = [out[at - d + k % d] for k in range(n)]
@@ -216,6 +297,17 @@ def predict_all(pixels: np.ndarray, width: int, height: int, shift: int, modes:
         out = data.copy()
         whole = out
     across = (width + (1 << shift) - 1) >> shift
+    only = np.unique(modes >> np.uint32(8) & np.uint32(15)).tolist()
+    if inverse and only in ([1], [2]):  # sums along rows, or down columns: no pixel by pixel
+        sums = data.astype(np.uint64)
+        sums[0, 0, ALPHA] += 255
+        sums[0] = np.cumsum(sums[0], axis=0)
+        if only == [1]:
+            sums[:, 0] = np.cumsum(sums[:, 0], axis=0)
+            sums[1:] = np.cumsum(sums[1:], axis=1)
+        else:
+            sums = np.cumsum(sums, axis=0)
+        return sums.astype(np.uint8).reshape(-1, 4).view(np.uint32)[:, 0]
     for y in range(height):
         for x in range(width):
             if not y:
@@ -310,44 +402,261 @@ def images(data: bytes) -> Iterator[bytes]:
         at = end
 
 
-def _flat_bits(value: int, n: int) -> list[int]:
-    return [value >> k & 1 for k in range(n)]
-
-
 def riff(bits: np.ndarray) -> bytes:
     body = b"\x2f" + np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
     chunk = b"VP8L" + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)
     return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
 
 
-def encode_gray(samples: np.ndarray, width: int = ROW) -> bytes:
-    """A grey image of 8-bit samples: green holds them, the subtract-green transform gives red and blue,
-    and a prefix code whose symbols all have one length is as short as the number of values allows."""
+def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
+    """Lengths of a prefix code for symbols by their counts, none over ``limit``; symbols that don't occur have none."""
+    lengths = np.zeros(len(counts), dtype=np.int64)
+    used = np.flatnonzero(counts)
+    if len(used) < 2:
+        lengths[used] = 1
+        return lengths
+    weights = counts[used].tolist()
+    while True:
+        heap = [(w, k) for k, w in enumerate(weights)]
+        heapq.heapify(heap)
+        parent = [0] * (2 * len(used) - 1)
+        for new in range(len(used), 2 * len(used) - 1):
+            a, x = heapq.heappop(heap)
+            b, y = heap[0]
+            parent[x] = parent[y] = new
+            heapq.heapreplace(heap, (a + b, new))
+        depth = [0] * len(parent)
+        for k in range(len(parent) - 2, -1, -1):
+            depth[k] = depth[parent[k]] + 1
+        if max(depth[: len(used)]) <= limit:
+            lengths[used] = depth[: len(used)]
+            return lengths
+        weights = [(w + 1) // 2 for w in weights]
+
+
+def code_words(lengths: np.ndarray) -> np.ndarray:
+    """The canonical code of each symbol, its first bit lowest."""
+    words = np.zeros(len(lengths), dtype=np.int64)
+    used = np.flatnonzero(lengths)
+    order = used[np.argsort(lengths[used], kind="stable")]
+    size = lengths[order]
+    room = 1 << (LONGEST - size)
+    first = np.cumsum(room) - room
+    words[order] = _reversed(LONGEST)[first & ((1 << LONGEST) - 1)]
+    return words
+
+
+def amounts(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix symbol, extra bits and their number of amounts from 1 on."""
+    x = values - 1
+    high = np.frexp(np.maximum(x, 1).astype(np.float64))[1].astype(np.int64) - 1
+    extra = np.where(x < 4, 0, high - 1)
+    prefix = np.where(x < 4, x, 2 * high + (x >> np.maximum(high - 1, 0) & 1))
+    return prefix, x & ((1 << extra) - 1), extra
+
+
+@functools.cache
+def _short_codes(width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distances that have a short code in images of that width, and the codes."""
+    found: dict[int, int] = {}
+    for k, (x, y) in enumerate(NEAR):
+        found.setdefault(max(1, x + y * width), k + 1)
+    keys = np.array(sorted(found))
+    return keys, np.array([found[k] for k in keys.tolist()])
+
+
+def copies(samples: np.ndarray) -> list[tuple[int, int, int]]:
+    """``(place, length, distance)`` of what is copied from before, in order and without overlaps.
+
+    Each run of SHORT samples looks for its last occurrence; places in a row that look equally far back are one copy.
+    """
+    n = len(samples) - SHORT + 1
+    if n < 2:
+        return []
+    wide = samples.astype(np.uint64)
+    key = wide[:n].copy()
+    for k in range(1, SHORT):
+        key |= wide[k : n + k] << np.uint64(8 * k)
+    order = np.argsort(key, kind="stable")
+    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    if not len(same):
+        return []
+    back = np.zeros(n, dtype=np.int64)
+    back[order[same + 1]] = order[same + 1] - order[same]
+    starts = _run_starts(back)
+    ends = np.append(starts[1:], n)
+    kept = (back[starts] > 0) & (back[starts] <= FAR)
+    out, at = [], 0
+    for start, end, d in zip(starts[kept].tolist(), (ends[kept] + SHORT - 1).tolist(), back[starts[kept]].tolist(), strict=True):
+        start = max(start, at)
+        while end - start >= SHORT:
+            length = min(COPY, end - start)
+            out.append((start, length, d))
+            at = start = start + length
+    return out
+
+
+def _run_starts(x: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+
+
+class _Out:
+    """Fields of a stream: values and how many bits each takes."""
+
+    def __init__(self):
+        self.values: list[int] = []
+        self.sizes: list[int] = []
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def put(self, value: int, size: int) -> None:
+        self.values.append(value)
+        self.sizes.append(size)
+
+    def extend(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        self.parts += [(np.array(self.values, dtype=np.int64), np.array(self.sizes, dtype=np.int64)), (values, sizes)]
+        self.values, self.sizes = [], []
+
+    def code(self, lengths: np.ndarray) -> None:
+        """A prefix code: one or two symbols by name, others by the lengths of all, whose runs are coded again."""
+        used = np.flatnonzero(lengths).tolist() or [0]
+        if len(used) < 3 and used[-1] < 256:
+            self.put(1 | (len(used) - 1) << 1 | 1 << 2, 3)
+            for symbol in used:
+                self.put(symbol, 8)
+            return
+        starts = _run_starts(lengths)
+        tokens: list[tuple[int, int, int]] = []
+        for length, n in zip(lengths[starts].tolist(), np.diff(starts, append=len(lengths)).tolist(), strict=True):
+            if length:
+                tokens.append((length, 0, 0))
+                n -= 1
+            while n >= 3:
+                kind, least, most, bits = (16, 3, 6, 2) if length else (18, 11, 138, 7) if n > 10 else (17, 3, 10, 3)
+                k = min(n, most)
+                tokens.append((kind, k - least, bits))
+                n -= k
+            tokens += [(length, 0, 0)] * n
+        kind, value, bits = np.array(tokens).T
+        kinds = code_lengths(np.bincount(kind, minlength=19), 7)
+        last = max(k for k, name in enumerate(LENGTH_ORDER) if kinds[name] or k == 3)
+        self.put(0, 1)
+        self.put(last - 3, 4)
+        for name in LENGTH_ORDER[: last + 1]:
+            self.put(int(kinds[name]), 3)
+        self.put(0, 1)
+        words, sizes = code_words(kinds), kinds if np.count_nonzero(kinds) > 1 else 0 * kinds
+        self.extend(np.stack([words[kind], value], axis=1).ravel(), np.stack([sizes[kind], bits], axis=1).ravel())
+
+    def grey(self, samples: np.ndarray, width: int, rest: tuple[int, int, int], main: bool) -> None:
+        """An image whose green channel is ``samples`` and whose red, blue and alpha are constant."""
+        made = np.array(copies(samples), dtype=np.int64).reshape(-1, 3)
+        covered = np.zeros(len(samples) + 1, dtype=np.int64)
+        covered[made[:, 0]] += 1
+        np.add.at(covered, made[:, 0] + made[:, 1], -1)
+        literal = np.flatnonzero(np.cumsum(covered[:-1]) == 0)
+        size, size_extra, size_bits = amounts(made[:, 1])
+        keys, short = _short_codes(width)
+        near = np.minimum(np.searchsorted(keys, made[:, 2]), len(keys) - 1)
+        far, far_extra, far_bits = amounts(np.where(keys[near] == made[:, 2], short[near], made[:, 2] + 120))
+        symbols = np.concatenate([samples[literal], 256 + size])
+        green = code_lengths(np.bincount(symbols, minlength=ALPHABETS[0]), LONGEST)
+        distance = code_lengths(np.bincount(far, minlength=ALPHABETS[4]), LONGEST)
+        self.put(0, 2 if main else 1)  # no cache, no groups
+        self.code(green)
+        for value in rest:
+            self.put(0b101, 3)
+            self.put(value, 8)
+        self.code(distance)
+        plain = lambda lengths: np.where(np.count_nonzero(lengths) > 1, lengths, 0)  # noqa: E731  (one symbol takes no bits)
+        sizes, values = np.zeros((len(symbols), 4), dtype=np.int64), np.zeros((len(symbols), 4), dtype=np.int64)
+        values[:, 0], sizes[:, 0] = code_words(green)[symbols], plain(green)[symbols]
+        k = len(literal)
+        values[k:, 1], sizes[k:, 1] = size_extra, size_bits
+        values[k:, 2], sizes[k:, 2] = code_words(distance)[far], plain(distance)[far]
+        values[k:, 3], sizes[k:, 3] = far_extra, far_bits
+        order = np.argsort(np.concatenate([literal, made[:, 0]]), kind="stable")
+        self.extend(values[order].ravel(), sizes[order].ravel())
+
+    def bits(self) -> np.ndarray:
+        self.extend(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))
+        values, sizes = (np.concatenate([p[k] for p in self.parts]) for k in (0, 1))
+        some = sizes > 0
+        values, sizes = values[some], sizes[some]
+        place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return (np.repeat(values, sizes) >> place & 1).astype(np.uint8)
+
+
+def _entropy(samples: np.ndarray) -> float:
+    n = np.bincount(samples, minlength=256)
+    n = n[n > 0]
+    return float(np.log2(len(samples)) - (n @ np.log2(n)) / len(samples))
+
+
+def forms(samples: np.ndarray, width: int = ROW) -> list[tuple[str, np.ndarray]]:
+    """``(name, bits)`` of the forms of a grey image that may be the shortest; the subtract-green transform is in all.
+
+    Plain; a palette, if there are at most 16 values; prediction by the left or the upper sample, if that makes the
+    entropy of single samples less.
+    """
     height = len(samples) // width
-    used = np.flatnonzero(np.bincount(samples, minlength=256))
-    k = max(0, int(len(used) - 1).bit_length())
-    if len(used) < 1 << k:  # a code has to be complete
-        used = np.sort(np.r_[used, np.setdiff1d(np.arange(256), used)[: (1 << k) - len(used)]])
-    head = [*_flat_bits(width - 1, 14), *_flat_bits(height - 1, 14), *_flat_bits(0, 4)]
-    head += [1, *_flat_bits(SUBTRACT_GREEN, 2), 0, 0, 0]
-    one = lambda symbol: [1, 0, 1, *_flat_bits(symbol, 8)]
-    if not k:
-        head += one(int(used[0]))
-    else:
-        n = LENGTH_ORDER.index(k) + 1
-        head += [0, *_flat_bits(n - 4, 4)]
-        for length in LENGTH_ORDER[:n]:
-            head += _flat_bits(int(length in (0, k)), 3)
-        has = np.zeros(ALPHABETS[0], dtype=np.uint8)
-        has[used] = 1
-        head += [0, *has.tolist()]
-    head += one(0) + one(0) + one(255) + one(0)
-    if not k:
-        return riff(np.array(head))
-    number = np.zeros(256, dtype=np.uint8)
-    number[used] = np.arange(len(used))
-    body = np.unpackbits((number << (8 - k))[samples][:, None], axis=1, count=k)
-    return riff(np.r_[np.array(head, dtype=np.uint8), body.ravel()])
+    image = samples.reshape(height, width)
+    head = [(width - 1, 14), (height - 1, 14), (0, 4), (1 | SUBTRACT_GREEN << 1, 3)]
+    out = []
+
+    def add(name: str, steps, values: np.ndarray, across: int, alpha: int) -> None:
+        made = _Out()
+        for value, size in head:
+            made.put(value, size)
+        steps(made)
+        made.put(0, 1)
+        made.grey(values.ravel(), across, (0, 0, alpha), True)
+        out.append((name, made.bits()))
+
+    add("plain", lambda made: None, image, width, 255)
+    colours = np.flatnonzero(np.bincount(samples, minlength=256))
+    if 1 < len(colours) <= 16:
+        shift = _bundle(len(colours))
+        number = np.searchsorted(colours, image).astype(np.uint8).reshape(height, width >> shift, 1 << shift)
+        packed = (number << (np.arange(1 << shift, dtype=np.uint8) * np.uint8(8 >> shift))).sum(axis=2).astype(np.uint8)
+
+        def palette(made: _Out) -> None:
+            made.put(1 | PALETTE << 1, 3)
+            made.put(len(colours) - 1, 8)
+            made.put(0, 1)  # colours as differences of the colour before: no cache, and alpha is 255 once
+            green = _flat(np.diff(colours, prepend=0), ALPHABETS[0])
+            made.code(green)
+            for lengths in (_flat(np.zeros(1, dtype=np.int64), 256), _flat(np.zeros(1, dtype=np.int64), 256), _flat(np.array([0, 255]), 256), _flat(np.zeros(1, dtype=np.int64), ALPHABETS[4])):
+                made.code(lengths)
+            words, single = code_words(green), np.count_nonzero(green) == 1
+            for k, step in enumerate(np.diff(colours, prepend=0).tolist()):
+                made.put(int(words[step]), 0 if single else int(green[step]))
+                made.put(int(k == 0), 1)  # of 0 and 255 the second
+
+        add("palette", palette, packed, width >> shift, 255)
+    elif len(colours) > 1:
+        left = np.diff(image, axis=1, prepend=np.r_[np.zeros(1, dtype=np.uint8), image[:-1, 0]][:, None])
+        upper = np.vstack([left[:1], np.diff(image, axis=0)])
+        plain = _entropy(samples)
+        for name, mode, values in (("left", 1, left), ("upper", 2, upper)):
+            if _entropy(values.ravel()) < plain:
+
+                def predictor(made: _Out, mode=mode) -> None:
+                    made.put(1 | PREDICTOR << 1, 3)
+                    made.put(7, 3)  # blocks of 512 samples a side
+                    made.grey(np.full(-(-height // 512) * -(-width // 512), mode, dtype=np.uint8), -(-width // 512), (0, 0, 255), False)
+
+                add(name, predictor, values, width, 0)
+    return out
+
+
+def _flat(symbols: np.ndarray, alphabet: int) -> np.ndarray:
+    """Lengths of a code of those symbols."""
+    return code_lengths(np.bincount(symbols, minlength=alphabet), LONGEST)
+
+
+def encode_gray(samples: np.ndarray, width: int = ROW) -> bytes:
+    """A grey image of 8-bit samples in the shortest of its :func:`forms`."""
+    return riff(min((bits for _, bits in forms(samples, width)), key=len))
 
 
 def store(payload: bytes) -> bytes:
@@ -373,7 +682,7 @@ def feature(samples: np.ndarray) -> str:
     spread = float(np.sqrt(counts @ (np.arange(256) - mean) ** 2 / len(samples)))
     means = np.add.reduceat(samples.astype(np.int64), np.arange(64) * (len(samples) // 64)) * 1.0
     above = int(sum(1 << k for k in np.flatnonzero(means > means.mean()).tolist()))
-    return f"{mean:.4f}|{spread:.4f}|{float(-(share * np.log2(share)).sum()):.4f}|{above:016x}"
+    return f"{mean:.4f}|{spread:.4f}|{abs(float((share * np.log2(share)).sum())):.4f}|{above:016x}"
 
 
 def media_column(docs: DataFrame) -> DataFrame:
