@@ -46,10 +46,16 @@ class Bits:
 
     def __init__(self, data: bytes, at: int = 0):
         self.data, self.at = data, at
+        self.held: list[int] = []
+        self.base = 0
 
     def peek(self, n: int) -> int:
-        first, shift = divmod(self.at, 8)
-        return (int.from_bytes(self.data[first : first + (n + shift + 7) // 8], "little") >> shift) & ((1 << n) - 1)
+        """The next ``n`` bits, 32 at most; past the end are zeros."""
+        k = self.at - self.base
+        if not 0 <= k < len(self.held):
+            self.base, k = self.at, 0
+            self.held = self.windows(min(1024, max(1, 8 * len(self.data) - self.at))).tolist()
+        return self.held[k] & ((1 << n) - 1)
 
     def read(self, n: int) -> int:
         value = self.peek(n)
@@ -84,51 +90,62 @@ class Code:
     def __init__(self, lengths: np.ndarray):
         used = np.flatnonzero(lengths)
         if len(used) <= 1:
-            self.depth, self.only = 0, int(used[0]) if len(used) else 0
-            self.symbol, self.length = np.array([self.only]), np.zeros(1, dtype=np.int64)
+            self._single(int(used[0]) if len(used) else 0)
             return
         size = lengths[used]
         if int((1 << (LONGEST - size)).sum()) != 1 << LONGEST:
             raise ValueError("a prefix code is not complete")
         order = np.argsort(size, kind="stable")
-        self.only, self.depth = None, int(size.max())
+        self.only, self.depth, self.table = None, int(size.max()), None
         at = np.repeat(order, 1 << (self.depth - size[order]))[_reversed(self.depth)]
         self.symbol, self.length = used[at], size[at]
 
+    def _single(self, symbol: int) -> None:
+        self.depth, self.only = 0, symbol
+        self.symbol, self.length = np.array([symbol]), np.zeros(1, dtype=np.int64)
+
+    @classmethod
+    def single(cls, symbol: int) -> Code:
+        code = cls.__new__(cls)
+        code._single(symbol)
+        return code
+
     def read(self, bits: Bits) -> int:
         if not self.depth:
             return self.only
-        k = bits.peek(self.depth)
-        bits.skip(int(self.length[k]))
-        return int(self.symbol[k])
+        if self.table is None:
+            self.table = (self.symbol << 4 | self.length).tolist()
+        step = self.table[bits.peek(self.depth)]
+        bits.skip(step & 15)
+        return step >> 4
 
 
 def _code(bits: Bits, alphabet: int) -> Code:
-    lengths = np.zeros(alphabet, dtype=np.int64)
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
-        lengths[bits.read(8 if wide else 1)] = 1
-        if two:
-            lengths[bits.read(8)] = 1
+        first = bits.read(8 if wide else 1)
+        if not two:
+            return Code.single(first)
+        lengths = np.zeros(alphabet, dtype=np.int64)
+        lengths[[first, bits.read(8)]] = 1
         return Code(lengths)
+    lengths: list[int] = []
     kinds = np.zeros(19, dtype=np.int64)
     for k in LENGTH_ORDER[: 4 + bits.read(4)]:
         kinds[k] = bits.read(3)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    code, at, last = Code(kinds), 0, 8
-    while at < alphabet and left:
+    code, last = Code(kinds), 8
+    while len(lengths) < alphabet and left:
         left -= 1
         k = code.read(bits)
         if k < 16:
-            lengths[at] = k
-            last, at = k or last, at + 1
-            continue
-        value, n = (last, 3 + bits.read(2)) if k == 16 else (0, 3 + bits.read(3)) if k == 17 else (0, 11 + bits.read(7))
-        if at + n > alphabet:
-            raise ValueError("too many code lengths")
-        lengths[at : at + n] = value
-        at += n
-    return Code(lengths)
+            lengths.append(k)
+            last = k or last
+        else:
+            lengths += [last] * (3 + bits.read(2)) if k == 16 else [0] * (3 + bits.read(3)) if k == 17 else [0] * (11 + bits.read(7))
+    if len(lengths) > alphabet:
+        raise ValueError("too many code lengths")
+    return Code(np.array(lengths + [0] * (alphabet - len(lengths)), dtype=np.int64))
 
 
 def _amount(bits: Bits, prefix: int) -> int:
@@ -477,7 +494,8 @@ def copies(samples: np.ndarray) -> list[tuple[int, int, int]]:
     key = wide[:n].copy()
     for k in range(1, SHORT):
         key |= wide[k : n + k] << np.uint64(8 * k)
-    order = np.argsort(key, kind="stable")
+    # short images are sorted by 16 bits of a hash, which is faster and misses hardly any
+    order = np.argsort(key if n > 1 << 13 else (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.uint16), kind="stable")
     same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
     if not len(same):
         return []
@@ -525,18 +543,25 @@ class _Out:
                 self.put(symbol, 8)
             return
         starts = _run_starts(lengths)
-        tokens: list[tuple[int, int, int]] = []
-        for length, n in zip(lengths[starts].tolist(), np.diff(starts, append=len(lengths)).tolist(), strict=True):
+        kind, value, bits = [], [], []
+        for length, n in zip(lengths[starts].tolist(), (np.append(starts[1:], len(lengths)) - starts).tolist(), strict=True):
             if length:
-                tokens.append((length, 0, 0))
+                kind.append(length)
+                value.append(0)
+                bits.append(0)
                 n -= 1
             while n >= 3:
-                kind, least, most, bits = (16, 3, 6, 2) if length else (18, 11, 138, 7) if n > 10 else (17, 3, 10, 3)
+                name, least, most, size = (16, 3, 6, 2) if length else (18, 11, 138, 7) if n > 10 else (17, 3, 10, 3)
                 k = min(n, most)
-                tokens.append((kind, k - least, bits))
+                kind.append(name)
+                value.append(k - least)
+                bits.append(size)
                 n -= k
-            tokens += [(length, 0, 0)] * n
-        kind, value, bits = np.array(tokens).T
+            if n:
+                kind += [length] * n
+                value += [0] * n
+                bits += [0] * n
+        kind = np.array(kind)
         kinds = code_lengths(np.bincount(kind, minlength=19), 7)
         last = max(k for k, name in enumerate(LENGTH_ORDER) if kinds[name] or k == 3)
         self.put(0, 1)
@@ -545,7 +570,9 @@ class _Out:
             self.put(int(kinds[name]), 3)
         self.put(0, 1)
         words, sizes = code_words(kinds), kinds if np.count_nonzero(kinds) > 1 else 0 * kinds
-        self.extend(np.stack([words[kind], value], axis=1).ravel(), np.stack([sizes[kind], bits], axis=1).ravel())
+        pairs = np.zeros((2, len(kind), 2), dtype=np.int64)
+        pairs[0, :, 0], pairs[0, :, 1], pairs[1, :, 0], pairs[1, :, 1] = words[kind], value, sizes[kind], bits
+        self.extend(pairs[0].ravel(), pairs[1].ravel())
 
     def grey(self, samples: np.ndarray, width: int, rest: tuple[int, int, int], main: bool) -> None:
         """An image whose green channel is ``samples`` and whose red, blue and alpha are constant."""
@@ -586,17 +613,11 @@ class _Out:
         return (np.repeat(values, sizes) >> place & 1).astype(np.uint8)
 
 
-def _entropy(samples: np.ndarray) -> float:
-    n = np.bincount(samples, minlength=256)
-    n = n[n > 0]
-    return float(np.log2(len(samples)) - (n @ np.log2(n)) / len(samples))
-
-
 def forms(samples: np.ndarray, width: int = ROW) -> list[tuple[str, np.ndarray]]:
     """``(name, bits)`` of the forms of a grey image that may be the shortest; the subtract-green transform is in all.
 
-    Plain; a palette, if there are at most 16 values; prediction by the left or the upper sample, if that makes the
-    entropy of single samples less.
+    Plain; a palette, if there are at most 16 values; prediction by the left or the upper sample, if that leaves
+    fewer different values.
     """
     height = len(samples) // width
     image = samples.reshape(height, width)
@@ -634,11 +655,13 @@ def forms(samples: np.ndarray, width: int = ROW) -> list[tuple[str, np.ndarray]]
 
         add("palette", palette, packed, width >> shift, 255)
     elif len(colours) > 1:
-        left = np.diff(image, axis=1, prepend=np.r_[np.zeros(1, dtype=np.uint8), image[:-1, 0]][:, None])
-        upper = np.vstack([left[:1], np.diff(image, axis=0)])
-        plain = _entropy(samples)
+        left, upper = image.copy(), image.copy()
+        left[:, 1:] -= image[:, :-1]
+        left[1:, 0] -= image[:-1, 0]
+        upper[1:] -= image[:-1]
+        upper[0] = left[0]
         for name, mode, values in (("left", 1, left), ("upper", 2, upper)):
-            if _entropy(values.ravel()) < plain:
+            if np.count_nonzero(np.bincount(values.ravel(), minlength=256)) < len(colours):
 
                 def predictor(made: _Out, mode=mode) -> None:
                     made.put(1 | PREDICTOR << 1, 3)
