@@ -104,6 +104,39 @@ def test_three_line_windows(spark):
     assert linededup.dedup_lines(table.limit(0)).count() == 0
 
 
+def test_rows_that_repeat_a_doc_id_keep_their_own_lines(spark):
+    """A passage of document 1 is in one row of document 2; the other row of document 2 has lines of its own."""
+    passage = "a1 one\na2 two\na3 three"
+    rows = [(1, passage), (2, f"{passage}\nkeep"), (2, "other1\nother2\nother3\nother4"), (3, "other1\nother2\nother3\nother4")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    found = sorted((r.doc_id, r.text) for r in linededup.dedup_lines(table).collect())
+    assert found == [(1, passage), (2, "keep"), (2, "other1\nother2\nother3\nother4"), (3, "")]
+
+
+def test_long_lines_are_cut_after_sentences(spark):
+    sentences = [f"This is the sentence number {k} of a paragraph on one line." for k in range(9)]
+    shared = " ".join(sentences[3:7])
+    texts = [" ".join(sentences), f"Another start of some length that is here. {shared} And another end of the text, which is long enough.", "Short one. And two.", "Short one. And two.", "Short one. And two.\nmore", "x" * 300_000 + "\nb\nc", "y\n" + "x" * 300_000 + "\nb\nc\nz"]
+    found = {r.doc_id: r for r in linededup.dedup_lines(docs(spark, texts)).collect()}
+    assert found[0].text == texts[0]
+    assert found[1].text == "Another start of some length that is here. And another end of the text, which is long enough." and found[1].n_removed == 4
+    assert found[2].text == texts[2] and found[3].text == "" and found[4].text == texts[4]
+    assert found[6].text == "y\nz" and found[6].n_lines_ == 5
+
+
+def test_sifted_rows_miss_nothing(spark):
+    from pyspark.sql import functions as F
+
+    from tideglass.llm.common import sift
+
+    rows = spark.createDataFrame([(k if k else None, f"v{k}") for k in range(3000)], "k long, v string")
+    listed = rows.where("k % 7 = 0 or k is null").select(F.col("k").alias("listed"))
+    for bits, most in ((1 << 26, 3000 // 7 + 2), (1 << 15, 500)):
+        may, cannot = sift(rows, [F.col("k")], listed, bits)
+        assert may.columns == rows.columns and may.count() + cannot.count() == 3000 and may.count() <= most
+        assert not cannot.where("k % 7 = 0 or k is null").count()
+
+
 def test_language_is_found_on_held_out_texts(spark):
     words = {"aa": "alpha gamma anna lana mala".split(), "zz": "zuz kuzo luzu zzuk tozu".split()}
     rng = np.random.default_rng(1)
@@ -206,6 +239,16 @@ def test_near_duplicates_keep_one(spark):
     assert simhash.drop_near_duplicates(table.limit(0)).count() == 0
 
 
+def test_a_repeated_doc_id_goes_only_for_its_own_text(spark):
+    rng = np.random.default_rng(9)
+    text = lambda: " ".join(rng.choice(["w%d" % k for k in range(400)], 60))
+    first, own = text(), text()
+    rows = [(1, first), (5, first), (5, own), (6, own + " more"), (7, text()), (7, text()), (None, first), (None, text())]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [(r.doc_id, r.text) for r in simhash.drop_near_duplicates(table).collect()]
+    assert sorted(kept, key=str) == sorted([rows[0], rows[2], rows[4], rows[5], rows[7]], key=str)
+
+
 def test_similarity_is_counted_on_both_sides(spark):
     rng = np.random.default_rng(6)
     texts = []

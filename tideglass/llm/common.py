@@ -29,6 +29,25 @@ def text_key(text: Column) -> tuple[Column, Column]:
     return F.xxhash64(some, text), F.xxhash64(F.lit(1), text, some)
 
 
+def sift(rows: DataFrame, keys: list[Column], listed: DataFrame, bits: int = 1 << 26) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two: those whose ``keys`` may be among the rows of ``listed``, a table of just those columns, and those
+    whose keys are not.
+
+    A bitmap of ``bits`` places, 8 MB whatever the input, is built of the hashes of ``listed`` and broadcast, so
+    that only rows of the first kind need to be sent to a join. Null keys are keys. The more of its places are
+    taken the more rows pass in vain; none is ever missed. ``rows`` is read twice.
+    """
+    at = lambda columns: F.pmod(F.xxhash64(F.lit(len(columns)), *columns), F.lit(bits))
+    place = at([F.col(c) for c in listed.columns])
+    maps = durable(listed.groupBy(F.bitmap_bucket_number(place).alias("sift_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("sift_map")))
+    own = at(keys)
+    marked = rows.withColumn("sift_at", own).join(F.broadcast(maps), F.bitmap_bucket_number(own) == F.col("sift_bucket"), "left")
+    bit = F.bitmap_bit_position(F.col("sift_at"))
+    byte = F.conv(F.hex(F.substring(F.col("sift_map"), (F.floor(bit / 8) + 1).cast("int"), 1)), 16, 10).cast("int")
+    hit = F.coalesce(F.call_function("shiftright", byte, (bit % 8).cast("int")) % 2 == 1, F.lit(False))
+    return tuple(marked.where(x).select(*[rows[f"`{c}`"] for c in rows.columns]) for x in (hit, ~hit))
+
+
 def code_blocks(texts: Iterable[str | None], overlap: int, limit: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Codepoints of many texts in blocks of about ``limit``, with the number of each one's text.
 

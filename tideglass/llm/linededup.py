@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, free_name, text_key, with_fact
+from .common import durable, free_name, sift, text_key, with_fact
 
 #: Lines of a window.
 WINDOW = 3
@@ -29,34 +29,34 @@ def _plain(piece: Column) -> Column:
 
 
 def repeated_pieces(docs: DataFrame) -> DataFrame:
-    """``(doc_id, t1, t2, drop)``: for each text that loses lines, the numbers (from 0) of those pieces; t1 and t2
-    are its hashes.
+    """``(doc_id, t1, drop)``: for each text that loses lines, the numbers (from 0) of those pieces; t1 is its hash.
 
     Windows are three pieces in a row; a text of one or two pieces is one window. A window all of whose
     pieces are blank is none. Windows with equal pieces are one passage: its first place by (doc_id, text hash,
     piece) stays, and all pieces of its later places go, overlapping places merged. The first place of any
     piece never goes, so no words are lost. Two 64-bit hashes stand for a window. Rows are told apart by doc_id and
-    text; rows that share both are cleaned alike, the first of them by position too.
+    text (its 64-bit hash, which tells apart the texts of one doc_id); rows that share both are cleaned alike, the
+    first of them by position too. A bitmap of the repeated windows keeps most of the others out of the join.
     """
-    t1, t2 = text_key(F.col("text"))
     plain = F.transform(pieces(F.col("text")), lambda p: _plain(p["piece"]))
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", t1.alias("t1"), t2.alias("t2"), plain.alias("p"))
-    rows = rows.select("doc_id", "t1", "t2", F.transform("p", lambda p: F.xxhash64(p)).alias("a"), F.transform("p", lambda p: F.xxhash64(F.lit(WINDOW), p)).alias("b"))
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", text_key(F.col("text"))[0].alias("t1"), plain.alias("p"))
+    rows = rows.select("doc_id", "t1", F.transform("p", lambda p: F.xxhash64(p)).alias("a"), F.transform("p", lambda p: F.xxhash64(F.lit(WINDOW), p)).alias("b"))
     next_ones = lambda c, k: F.slice(c, k + 1, F.lit(2147483647)).alias(f"{c}{k}")
     names = [f"{c}{k}" for c in "ab" for k in range(WINDOW)]
     zipped = F.arrays_zip(*[next_ones(c, k) for c in "ab" for k in range(WINDOW)])
-    windows = rows.select("doc_id", "t1", "t2", F.posexplode(zipped).alias("piece", "w")).select("doc_id", "t1", "t2", "piece", *[F.col("w")[n].alias(n) for n in names])
+    windows = rows.select("doc_id", "t1", F.posexplode(zipped).alias("piece", "w")).select("doc_id", "t1", "piece", *[F.col("w")[n].alias(n) for n in names])
     windows = windows.where(F.col(names[WINDOW - 1]).isNotNull() | (F.col("piece") == 0))
     nothing = F.xxhash64(F.lit(""))
     windows = windows.where(F.greatest(*[F.coalesce(F.col(f"a{k}") != nothing, F.lit(False)) for k in range(WINDOW)]))
-    windows = windows.select("doc_id", "t1", "t2", "piece", *[F.xxhash64(F.lit(WINDOW), *names[k * WINDOW : (k + 1) * WINDOW]).alias(h) for k, h in enumerate(("h1", "h2"))])
+    windows = windows.select("doc_id", "t1", "piece", *[F.xxhash64(F.lit(WINDOW), *names[k * WINDOW : (k + 1) * WINDOW]).alias(h) for k, h in enumerate(("h1", "h2"))])
     windows = durable(windows)
-    place = F.struct("doc_id", "t1", "t2", "piece")
+    place = F.struct("doc_id", "t1", "piece")
     firsts = durable(windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"))
-    later = with_fact(windows, firsts, ["h1", "h2"], "n").where(place > F.col("first")).select("doc_id", "t1", "t2", "piece")
-    covered = later.groupBy("doc_id", "t1", "t2").agg(F.collect_set("piece").alias("starts"))
+    may, _ = sift(windows, [F.col("h1"), F.col("h2")], firsts.select("h1", "h2"))
+    later = with_fact(durable(may), firsts, ["h1", "h2"], "n").where(place > F.col("first")).select("doc_id", "t1", "piece")
+    covered = later.groupBy("doc_id", "t1").agg(F.collect_set("piece").alias("starts"))
     drop = F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda i: F.sequence(i, i + WINDOW - 1)))))
-    return covered.select("doc_id", "t1", "t2", drop.alias("drop"))
+    return covered.select("doc_id", "t1", drop.alias("drop"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -69,9 +69,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     text loses all of it. No rows: no rows. Rows that repeat a doc_id with another text are rows of their own.
     """
     n_lines, n_removed = free_name(docs, "n_lines"), free_name(docs, "n_removed")
-    found = repeated_pieces(docs).select(F.col("doc_id").alias("dedup_doc_id"), F.col("t1").alias("dedup_t1"), F.col("t2").alias("dedup_t2"), F.col("drop").alias("dedup_drop"))
-    t1, t2 = text_key(docs["text"])
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["dedup_doc_id"]) & (t1 == found["dedup_t1"]) & (t2 == found["dedup_t2"]), "left")
+    found = durable(repeated_pieces(docs).select(F.col("doc_id").alias("dedup_doc_id"), F.col("t1").alias("dedup_t1"), F.col("drop").alias("dedup_drop")))
+    may, others = sift(docs, [docs["doc_id"], text_key(docs["text"])[0]], found.select("dedup_doc_id", "dedup_t1"))
+    joined = may.join(found, may["doc_id"].eqNullSafe(found["dedup_doc_id"]) & (text_key(may["text"])[0] == found["dedup_t1"]), "left").drop("dedup_doc_id", "dedup_t1")
+    joined = joined.unionByName(others.withColumn("dedup_drop", F.lit(None).cast("array<int>")))
     split = joined.withColumn("dedup_pieces", F.when(F.col("dedup_drop").isNotNull(), pieces(F.col("text"))))
     gone = F.filter(F.col("dedup_drop"), lambda i: i < F.size("dedup_pieces"))
     split = split.withColumn("dedup_drop", gone).withColumn("dedup_left", F.transform(F.array_except(F.sequence(F.lit(0), F.size("dedup_pieces") - 1), "dedup_drop"), lambda i: F.get("dedup_pieces", i)))

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, mix64, text_key, with_fact
+from .common import durable, mix64, sift, text_key, with_fact
 from .graph import Thinner, components, least_reachable
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -291,7 +291,8 @@ def counted_links(docs: DataFrame, nodes: DataFrame, near: DataFrame, n: int, si
     """
     chosen = durable(near.join(nodes, "node"))
     owners = chosen.select(F.col("owner.doc_id").alias("near_owner")).distinct()
-    texts = docs.select("doc_id", "text").join(owners, F.col("doc_id").eqNullSafe(F.col("near_owner")), "left_semi")
+    may, _ = sift(docs.select("doc_id", "text"), [F.col("doc_id")], durable(owners))
+    texts = may.join(owners, F.col("doc_id").eqNullSafe(F.col("near_owner")), "left_semi")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -379,5 +380,6 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, s
     found = _grouped(docs, n, similarity, seed)
     other = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t1") == F.col("first.t1")) & (F.col("t2") == F.col("first.t2")))
     gone = durable(found.where(other).select(F.col("doc_id").alias("near_id"), F.col("t1").alias("near_t1"), F.col("t2").alias("near_t2")).distinct())
-    t1, t2 = text_key(docs["text"])
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["near_id"]) & (t1 == gone["near_t1"]) & (t2 == gone["near_t2"]), "left_anti")
+    may, others = sift(docs, [docs["doc_id"], *text_key(docs["text"])], gone)
+    t1, t2 = text_key(may["text"])
+    return may.join(gone, may["doc_id"].eqNullSafe(gone["near_id"]) & (t1 == gone["near_t1"]) & (t2 == gone["near_t2"]), "left_anti").unionByName(others)
