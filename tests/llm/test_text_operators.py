@@ -163,6 +163,100 @@ def test_bit_slices_give_all_languages_and_few_more():
         assert ((others >> np.uint64(k)) & np.uint64(1)).mean() == pytest.approx(f.false_rate[k], abs=0.01)
 
 
+def plain_grams(text):
+    letters = re.sub(" +", " ", "".join(c.lower() if c.isalpha() else " " for c in f" {text} "))
+    return [letters[k : k + n] for n in langid.SIZES for k in range(len(letters) - n + 1)]
+
+
+def test_languages_equal_plain_sets(spark):
+    """The model against Counters of the n-grams themselves: which languages have each, and the winners."""
+    from collections import Counter
+
+    rng = np.random.default_rng(12)
+    words = {x: ["".join(rng.choice(list(x + "aeiost"), 5)) for _ in range(40)] for x in ("bdg", "klm", "prz")}
+    rows = [(k, " ".join(rng.choice(words[x], 30)), x) for k in range(300) for x in [list(words)[k % 3]]]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(table, rows_per_language=10_000)
+    has = {x: Counter(g for _, t, y in rows if y == x for g in set(plain_grams(t))) for x in words}
+    share = {x: {g: n / 100 for g, n in c.items() if n / 100 >= 0.004} for x, c in has.items()}
+    top = {g: max(s.get(g, 0) for s in share.values()) for s in share.values() for g in s}
+    learned = {x: {g for g, n in share[x].items() if n >= 0.34 * top[g]} for x in words}
+    tests = [" ".join(rng.choice(words["bdg"] + words["klm"], 20)) for _ in range(50)] + ["QQ ww", "", "12"]
+    names, score = model.predict(tests, langid.letter_table())
+    for text, name, s in zip(tests, names, score.tolist(), strict=True):
+        if not any(c.isalpha() for c in text):
+            assert (name, s) == ("und", 0.0)
+            continue
+        hits = {x: sum(g in learned[x] for g in plain_grams(text)) for x in words}
+        if sum(hits.values()):
+            best = max(hits, key=hits.get)
+            assert s == pytest.approx(hits[best] / sum(hits.values()), abs=0.05)
+            assert name == best or hits[best] - hits[name] <= 0.1 * hits[best]
+
+
+def test_texts_over_a_block_count_like_short_ones(monkeypatch):
+    """Blocks of few codepoints give the same n-grams and measures as one block."""
+    from tideglass.llm import common
+
+    rng = np.random.default_rng(13)
+    texts = ["  ".join("".join(rng.choice(list("abcÉ1!. \n"), 7)) for _ in range(60)), None, "", "a", "one two  three", "x" * 300 + " y"]
+    table, classes = langid.letter_table(), quality.class_table()
+    count = lambda: [sorted(np.concatenate([h[of == k] for h, of in langid.grams(texts, table)]).tolist()) for k in range(len(texts))]
+    whole, votes = count(), quality.measures(texts[:5], classes)
+    buckets = lambda: [sorted(np.concatenate([b[of == k] for b, of in quality.gram_buckets(texts, classes)]).tolist()) for k in range(len(texts))]
+    grams = buckets()
+    monkeypatch.setattr(common, "BLOCK", 16)
+    assert count() == whole and buckets() == grams
+    parts = quality.measures(texts[:5], classes)
+    for name in ("symbol_share", "capital_share", "repeat_share", "odd_word_share", "words_per_stop"):
+        assert np.allclose(parts[name], votes[name], equal_nan=True), name
+    assert whole[0] == sorted(int(langid.gram_hashes(np.array([ord(c) for c in g], dtype=np.uint32), len(g))[0]) for g in plain_grams(texts[0]))
+
+
+def test_a_very_long_text_is_read_whole(spark):
+    """The end of a text decides: language and quality change with what stands after several blocks."""
+    rows = [(k, ("zuz kuzo luzu zzuk tozu. " if k % 2 else "alpha gamma anna lana mala. ") * 8, ("aa", "zz")[k % 2 == 1]) for k in range(100)]
+    table = spark.createDataFrame([(k, f"{k} {t}", x) for k, t, x in rows], "doc_id long, text string, lang string")
+    model = langid.fit(table)
+    long = "alpha gamma " * 60_000 + "zuz kuzo luzu " * 120_000
+    assert model.predict([long, long[:720_000]], langid.letter_table())[0] == ["zz", "aa"]
+    junk = "Some words of a plain text stand here. " * 2_000
+    bad = quality.votes([junk, junk + "&&& ### " * 200_000], quality.class_table())
+    assert bad[0, 0] == 1 and bad[1, 0] == 2
+    assert simhash.fingerprint(long) != simhash.fingerprint(long[:720_000])
+
+
+def test_estimation_over_patterns_equals_estimation_over_rows():
+    """The same rounds, told row by row and labeller by labeller."""
+    rng = np.random.default_rng(14)
+    truth = rng.random(400) < 0.8
+    says = np.array([[0 if rng.random() < 0.3 else 1 + int((rng.random() < 0.85) != g) for _ in range(len(quality.LABELLERS))] for g in truth])
+    kinds, inverse, counts = np.unique(quality.pattern(says), return_inverse=True, return_counts=True)
+    good, accuracy = quality.expectation_maximisation(kinds, counts.astype(float))
+    p = [(0.95, 0.35, 0.05)[min(2, sum(v == 2 for v in row))] for row in says.tolist()]
+    for _ in range(200):
+        prior = (sum(p) + 1) / (len(p) + 2)
+        chance = {}
+        for k in range(len(quality.LABELLERS)):
+            for c in (0, 1):
+                w = [x if c == 0 else 1 - x for x in p]
+                n = {v: sum(a for a, row in zip(w, says.tolist(), strict=True) if row[k] == v) + (0.95 if v == c + 1 else 0.05) for v in (1, 2)}
+                for v in (1, 2):
+                    chance[k, c, v] = n[v] / (n[1] + n[2])
+        new = []
+        for row in says.tolist():
+            a, b = prior, 1 - prior
+            for k, v in enumerate(row):
+                if v:
+                    a, b = a * chance[k, 0, v], b * chance[k, 1, v]
+            new.append(a / (a + b))
+        moved, p = max(abs(x - y) for x, y in zip(p, new, strict=True)), new
+        if moved < 1e-9:
+            break
+    assert np.allclose(good[inverse], p, atol=1e-6)
+    assert ((np.array(p) > 0.5) == truth).mean() > 0.97 and accuracy.min() > 0.7
+
+
 def test_quality_model_finds_junk(spark):
     rng = np.random.default_rng(3)
     parts = ["ri", "ver", "sto", "ne", "bir", "da", "walk", "lo", "ho", "me", "sing"]

@@ -48,12 +48,18 @@ def sift(rows: DataFrame, keys: list[Column], listed: DataFrame, bits: int = 1 <
     return tuple(marked.where(x).select(*[rows[f"`{c}`"] for c in rows.columns]) for x in (hit, ~hit))
 
 
-def code_blocks(texts: Iterable[str | None], overlap: int, limit: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Codepoints of many texts in blocks of about ``limit``, with the number of each one's text.
+#: Codepoints of a block, about.
+BLOCK = 1 << 19
+
+
+def code_blocks(texts: Iterable[str | None], overlap: int, whole_words: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Codepoints of many texts in blocks of about BLOCK, with the number of each one's text.
 
     A text longer than a block continues in the next one, which repeats its last ``overlap``
-    codepoints, so that every window of ``overlap + 1`` codepoints is in exactly one block.
+    codepoints, so that every window of ``overlap + 1`` codepoints is in exactly one block. ``whole_words``: it is
+    cut after a blank, line end or tab, so that only a word longer than a block is cut.
     """
+    limit = BLOCK
     held: list[str] = []
     owners: list[int] = []
     size = 0
@@ -66,6 +72,8 @@ def code_blocks(texts: Iterable[str | None], overlap: int, limit: int = 1 << 19)
         at, n = 0, len(text or "")
         while at < n:
             part = text[at : at + limit]
+            if whole_words and at + len(part) < n:
+                part = part[: max(part.rfind(c) for c in " \n\t") + 1] or part
             held.append(part)
             owners.append(k)
             size += len(part)

@@ -44,16 +44,26 @@ def _letters(codes: np.ndarray, owners: np.ndarray, table: np.ndarray) -> tuple[
 def grams(texts: list[str | None], table: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Hashes of all n-grams of the texts, block by block, and the number of each one's text.
 
-    Each text counts as if a blank stood before and after it.
+    Each text counts as if a blank stood before and after it. Where a text goes on in the next block, the last letters of
+    this one stand before it, so that each n-gram is counted once.
     """
-    longest = max(SIZES)
     framed = (None if t is None else f" {t} " for t in texts)
-    for codes, owners in code_blocks(framed, longest - 1):
+    tail, owner = np.empty(0, dtype=np.uint32), -1
+    for codes, owners in code_blocks(framed, 0):
         small, of = _letters(codes, owners, table)
+        if of[0] != owner:
+            tail = tail[:0]
+        elif tail[-1] == 32 and small[0] == 32:
+            small, of = small[1:], of[1:]
         for n in SIZES:
-            h = gram_hashes(small, n)
-            inside = of[: len(h)] == of[n - 1 :] if len(h) else np.empty(0, dtype=bool)
-            yield h[inside], of[: len(h)][inside]
+            head = tail[-(n - 1) :]
+            joined, whose = np.concatenate([head, small]), np.concatenate([np.full(len(head), owner), of])
+            h = gram_hashes(joined, n)
+            inside = whose[: len(h)] == whose[n - 1 :] if len(h) else np.empty(0, dtype=bool)
+            yield h[inside], whose[: len(h)][inside]
+        if len(of):
+            own = small[of == of[-1]]
+            tail, owner = (np.concatenate([tail, own]) if of[-1] == owner else own)[-(max(SIZES) - 1) :], of[-1]
 
 
 @dataclass
@@ -67,6 +77,8 @@ class LanguageFilter:
     common: int
 
     PROBES = 3
+    #: Most bytes of slots, as each executor holds them.
+    MOST = 1 << 30
 
     @staticmethod
     def positions(hashes: np.ndarray, size: int) -> Iterator[np.ndarray]:
@@ -79,6 +91,8 @@ class LanguageFilter:
     def build(cls, languages: list[str], hashes: np.ndarray, sets: np.ndarray, common: int = 0) -> LanguageFilter:
         size = 1 << max(12, int(np.ceil(np.log2(max(1, len(hashes)) * 12))))
         words = (len(languages) + 63) // 64 or 1
+        if 8 * size * words > cls.MOST:
+            raise ValueError(f"{len(hashes)} n-grams of {len(languages)} languages need over {cls.MOST} bytes of slots; take fewer rows_per_language")
         slots = np.zeros((size, words), dtype=np.uint64)
         for at in cls.positions(hashes, size):
             np.bitwise_or.at(slots, at, sets)

@@ -39,11 +39,12 @@ def class_table() -> np.ndarray:
 
 
 def measures(texts: list[str | None], table: np.ndarray) -> dict[str, np.ndarray]:
-    """The labellers' measures of whole texts; a measure a text is too short for is NaN."""
+    """The labellers' measures of whole texts; a measure a text is too short for is NaN. A word longer than a block of
+    codepoints counts as several, and runs of 200 words start anew with a block."""
     n = len(texts)
     sums = {k: np.zeros(n) for k in ("chars", "symbols", "letters", "capitals", "words", "repeats", "lone", "shout", "odd", "stops", "distinct", "marked")}
     add = lambda k, of, w=None: sums.__setitem__(k, sums[k] + np.bincount(of, weights=w, minlength=n))
-    for codes, of in code_blocks(texts, 0):
+    for codes, of in code_blocks(texts, 0, whole_words=True):
         kind = table[np.minimum(codes, (1 << 16) - 1)]
         blank = (kind & _BLANK) != 0
         ink = ~blank
