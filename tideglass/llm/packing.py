@@ -21,6 +21,8 @@ from .common import durable
 CAPACITY = 2048
 #: Words whose ids a task keeps at most; the results don't depend on it.
 KEPT_WORDS = 600_000
+#: Documents whose ids a task holds at once.
+ROWS_AT_ONCE = 500
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
@@ -96,7 +98,7 @@ def pieces(docs: DataFrame, vocabulary: tuple[str, str, str] | None = None, capa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, last = Encoder(*files), np.array([end], dtype="<u4").tobytes()
-        for b in batches:
+        for b in (b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE)):
             of, number, start, length, crc, ids = [], [], [], [], [], []
             for row, text in enumerate(b.column("text")):
                 coded = encode(text.as_py() or "") + last

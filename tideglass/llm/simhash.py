@@ -329,7 +329,7 @@ def _grouped(docs: DataFrame, n: int, similarity: float, seed: int) -> DataFrame
     has no id), doc_id, t1 and t2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             sets = [np.unique(shingle_hashes(t.as_py(), n, seed)) for t in b.column("text")]
             made = [sketch(x, similarity) for x in sets]
             keys = np.array([_digest(x) for x in sets], dtype=np.int64).reshape(-1, 2)
