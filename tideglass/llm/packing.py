@@ -20,7 +20,7 @@ from .common import durable
 
 CAPACITY = 2048
 #: Words whose ids a task keeps at most; the results don't depend on it.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 200_000
 #: Documents whose ids a task holds at once.
 ROWS_AT_ONCE = 500
 _OTHER_SPACE = re.compile(r"[^\S \n]")

@@ -196,7 +196,7 @@ WORDS, SAMPLES, SAMPLE = 8, 12, 2
 #: Texts of fewer distinct shingles meet by their own lowest shingles, not by samples.
 SHORT = 40
 #: Most texts, and about the most shingles, of one tile of a candidate group.
-GROUP_TILE, SHINGLE_TILE = 8192, 1 << 21
+GROUP_TILE, SHINGLE_TILE = 8192, 1 << 19
 
 
 def prefix_length(size: int, similarity: float) -> int:
