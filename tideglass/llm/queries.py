@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup, mixing, packing, pii, quality, secrets, simhash, vectors, webp
+from . import html, langid, linededup, mixing, packing, pii, quality, secrets, simhash, trie, vectors, webp, whitening
 from .common import read
 
 
@@ -50,13 +50,25 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.col("text").alias("clean_text"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op12_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(read(spark, sf_dir, "pages"))
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
-    made = (op1_language, op2_quality, op3_pii, op4_mixing, op5_secrets, op6_packing, op7_simhash, op8_embeddings, op9_webp, op10_line_dedup)
+    made = (op1_language, op2_quality, op3_pii, op4_mixing, op5_secrets, op6_packing, op7_simhash, op8_embeddings, op9_webp, op10_line_dedup, op11_whitening, op12_html, op13_trie)
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4, "op8_embeddings": OP8, "op10_line_dedup": OP10}
+    return {"op4_mixing": OP4, "op8_embeddings": OP8, "op10_line_dedup": OP10, "op13_trie": OP13}
 
 
 OP4 = r"""
@@ -120,3 +132,30 @@ WITH lines AS (
 SELECT d.doc_id, coalesce(len(d.text) - len(replace(d.text, chr(10), '')) + 1, 0) AS n_lines, coalesce(c.n - coalesce(l.n, 0), 0) AS n_removed, CASE WHEN d.text IS NOT NULL THEN coalesce(l.clean_text, '') END AS clean_text
 FROM documents d LEFT JOIN counted c ON d.doc_id = c.doc_id LEFT JOIN left_over l ON d.doc_id = l.doc_id
 """
+OP13 = r"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos FROM conversations WHERE conv_id IS NOT NULL
+), stored AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY pos) AS ts FROM turns GROUP BY conv_id
+), sized AS (
+  SELECT conv_id, ts, 3 - list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda crc, b: list_reduce(list_transform(range(8), lambda i: CAST(0 AS BIGINT)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(crc, b)), 4294967295) % 4 AS h
+  FROM stored
+), rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.ts[1:c.h], []), c.ts[c.h + 1:]) AS ts FROM sized c LEFT JOIN stored b ON b.conv_id = c.conv_id - c.conv_id % 20
+), prefixes AS (
+  SELECT conv_id, len(ts) AS total, unnest(range(len(ts) + 1)) AS depth, ts FROM rebuilt
+), nodes AS (
+  SELECT depth, ts[1:depth] AS k, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(conv_id, ',' ORDER BY conv_id) FILTER (total = depth) AS ends FROM prefixes GROUP BY depth, ts[1:depth]
+), family AS (
+  SELECT depth - 1 AS depth, k[1:depth - 1] AS k, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1, 2
+), known AS (
+  SELECT n.*, coalesce(f.n_children, 0) AS n_children, (n.n_convs - 1) * coalesce(len(regexp_extract_all(n.k[-1].text, '[^\x20\x09-\x0D]+')), 0) AS saved FROM nodes n LEFT JOIN family f ON n.depth = f.depth AND n.k = f.k
+), above AS (
+  SELECT depth, k, saved, n_children, unnest(range(depth + 1)) AS top FROM known
+), summed AS (
+  SELECT top AS depth, k[1:top] AS k, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM above GROUP BY 1, 2
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM known n JOIN summed s ON n.depth = s.depth AND n.k = s.k LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.k = n.k[1:n.depth - 1]
+"""
