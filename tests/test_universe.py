@@ -106,19 +106,52 @@ def test_title_dedup_needs_two_venues_and_overlap(spark):
     assert [(r.drop_market_id, r.keep_market_id) for r in audit] == [("pm_x", "ka_x")]
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_dedup_equals_the_greedy_loop(spark, seed):
-    rng = random.Random(seed)
-    date = lambda: None if rng.random() < 0.2 else dt.datetime(2024, 1, 1) + dt.timedelta(days=rng.randrange(60))
-    markets = [market(f"m{k:02d}", rng.choice([None, 1.0, 2.0, 3.0]), rng.choice(["polymarket", "kalshi"]), f"t{k % 4}", open_=date(), close=date()) for k in range(40)]
+def greedy(markets):
+    """Drops by the rule as it is told, one market after the other."""
     want = []
     for _, group in itertools.groupby(sorted(markets, key=lambda m: m[2]), key=lambda m: m[2]):
         kept = []
         for m in sorted(group, key=lambda m: (-(m[5] if m[5] is not None else float("-inf")), m[0])):
             first = next((k for k in kept if k[1] != m[1] and (k[6] or dt.datetime.min) <= (m[7] or dt.datetime.max) and (m[6] or dt.datetime.min) <= (k[7] or dt.datetime.max)), None)
             want.append((m[0], first[0])) if first else kept.append(m)
+    return sorted(want)
+
+
+def random_markets(rng, n, titles, venues=("polymarket", "kalshi"), days=60, backward=True):
+    def dates():
+        a, b = (None if rng.random() < 0.1 else dt.datetime(2024, 1, 1) + dt.timedelta(days=rng.randrange(days)) for _ in range(2))
+        return (b, a) if not backward and a and b and a > b else (a, b)
+
+    return [market(f"m{k:04d}", rng.choice([None, 1.0, 2.0, 3.0, float(k)]), rng.choice(venues), f"t{rng.randrange(titles)}", open_=x, close=y) for k, (x, y) in enumerate(dates() for _ in range(n))]
+
+
+@pytest.mark.parametrize(("seed", "most"), [(0, 64), (1, 5), (2, 5)])
+def test_dedup_equals_the_greedy_loop(spark, monkeypatch, seed, most):
+    monkeypatch.setattr(universe, "FEW_MARKETS", most)
+    rng = random.Random(seed)
+    markets = random_markets(rng, 40, 4) + [market(f"z{t}{k}", rng.choice([1.0, 2.0]), rng.choice(["polymarket", "kalshi", "third"]), f"own{t}") for t in range(3) for k in range(t + 1)]
     got = universe.dedup_cross_venue(spark.createDataFrame(markets, META)).collect()
-    assert sorted((r.drop_market_id, r.keep_market_id) for r in got) == sorted(want)
+    assert sorted((r.drop_market_id, r.keep_market_id) for r in got) == greedy(markets)
+
+
+def test_titles_of_many_markets_are_settled_in_rounds(spark):
+    rng = random.Random(5)
+    markets = random_markets(rng, 1200, 1, ("polymarket", "kalshi", "third"), 4000, backward=False)
+    chain = [market(f"c{k:02d}", float(100 - k), ["polymarket", "kalshi"][k % 2], "chain", open_=dt.datetime(2024, 1, 1) + dt.timedelta(days=k), close=dt.datetime(2024, 1, 2) + dt.timedelta(days=k)) for k in range(6)]
+    meta = spark.createDataFrame(markets + chain, META)
+    got = universe.dedup_cross_venue(meta).collect()
+    want = greedy(markets + chain)
+    assert sorted((r.drop_market_id, r.keep_market_id) for r in got) == want and len(want) > 500
+    rows = meta.selectExpr("question as title", "struct(-coalesce(total_volume_usd, double('-inf')) as volume, market_id) as order", "market_id", "venue", "open_date", "close_date").where("title = 'chain'")
+    assert sorted((r.drop_market_id, r.keep_market_id) for r in universe.settle(rows).collect()) == greedy(chain)
+
+
+def test_running_sums_go_over_partitions(spark):
+    rows = spark.createDataFrame([(k % 2 if k % 3 else None, k, k * k) for k in range(500)], "g long, k long, v long").repartition(7)
+    got = {r.k: r.sum_v for r in shared.running_sums(rows, ["g"], ["k"], ["v"]).collect()}
+    for g in (0, 1, None):
+        own = [k for k in range(500) if (k % 2 if k % 3 else None) == g]
+        assert [got[k] for k in own] == list(itertools.accumulate(k * k for k in own))
 
 
 def test_taxonomy(spark):
@@ -165,24 +198,79 @@ def test_histories_and_candles(spark):
     assert [(r.close_prob, r.daily_notional_usd) for r in rows] == [(0.01, 0.0)]
 
 
+PRICES = "market_id string, date date, close_prob double"
+FEB = [dt.date(2024, 2, 1) + dt.timedelta(days=k) for k in range(5)]
+
+
+def rows_of(df):
+    return {(r.market_id, r.date): r.close_prob for r in df.collect()}
+
+
 def test_store_last_batch_wins_and_reruns_agree(spark, tmp_path):
-    schema = "market_id string, date date, close_prob double"
-    legacy = spark.createDataFrame([("pm_legacy", DAYS[0], 0.9), ("pm_a", DAYS[0], 0.1)], schema)
-    parts = str(tmp_path / "parts")
-    store.append_batch(spark.createDataFrame([("pm_a", DAYS[0], 0.2), ("pm_b", DAYS[1], 0.3)], schema), parts, 0)
-    store.append_batch(spark.createDataFrame([("pm_a", DAYS[0], 0.4)], schema), parts, 5)
-    stored = spark.read.parquet(parts)
-    assert {r.market_id for r in store.done_ids(store.union_sources(legacy, stored)).collect()} == {"pm_legacy", "pm_a", "pm_b"}
-    final = store.finalize(spark, legacy, stored, str(tmp_path / "final"))
-    want = {("pm_legacy", 0.9), ("pm_a", 0.4), ("pm_b", 0.3)}
-    assert {(r.market_id, r.close_prob) for r in final.collect()} == want
-    again = store.finalize(spark, final, stored, str(tmp_path / "final2"))
-    assert {(r.market_id, r.close_prob) for r in again.collect()} == want and again.count() == 3
-    assert store.finalize(spark, None, None, str(tmp_path / "none")) is None
-    store.append_batch(spark.createDataFrame([("pm_a", DAYS[0], 0.4)], schema), parts, 5)  # a batch that is written again
-    assert spark.read.parquet(parts).count() == 3
-    placed = store.order_parts(store.union_sources(legacy, spark.read.parquet(parts))).where("market_id = 'pm_a'")
+    root = str(tmp_path / "store")
+    legacy = spark.createDataFrame([("pm_legacy", DAYS[0], 0.9), ("pm_a", DAYS[0], 0.1)], PRICES)
+    assert store.finalize(spark, root) is None and store.current(spark, root) is None and store.sources(spark, root) is None
+    assert store.append(spark, root, spark.createDataFrame([("pm_a", DAYS[0], 0.2), ("pm_b", DAYS[1], 0.3)], PRICES)) == 0
+    store.append_batch(spark.createDataFrame([("pm_a", DAYS[0], 0.4)], PRICES), root + "/parts", 5)
+    assert store.next_batch(spark, root) == 6
+    assert {r.market_id for r in store.done_ids(store.sources(spark, root, legacy)).collect()} == {"pm_legacy", "pm_a", "pm_b"}
+    placed = store.order_parts(store.sources(spark, root, legacy)).where("market_id = 'pm_a'")
     assert [r.batch_id for r in placed.orderBy("place").collect()] == [-1, 0, 5]
+    want = {("pm_legacy", DAYS[0]): 0.9, ("pm_a", DAYS[0]): 0.4, ("pm_b", DAYS[1]): 0.3}
+    final = store.finalize(spark, root, legacy)
+    assert rows_of(final) == want and final.count() == 3 and store.batches(spark, root) == [] and store.next_batch(spark, root) == 6
+    assert rows_of(store.finalize(spark, root, legacy)) == want and store.manifest(spark, root)["number"] == 1
+    only = str(tmp_path / "only")
+    assert rows_of(store.finalize(spark, only, legacy)) == {("pm_legacy", DAYS[0]): 0.9, ("pm_a", DAYS[0]): 0.1}
+
+
+def test_a_stopped_finalize_changes_nothing_and_readers_keep_their_version(spark, tmp_path):
+    root = str(tmp_path / "store")
+    store.append(spark, root, spark.createDataFrame([("a", DAYS[0], 0.1), ("a", FEB[0], 0.2), ("n", None, 0.5)], PRICES))
+    store.finalize(spark, root)
+    reader = store.current(spark, root)
+    store.append(spark, root, spark.createDataFrame([("a", FEB[0], 0.3), ("b", FEB[1], 0.4)], PRICES))
+    lost = store.write_version(spark, root)  # stops before it publishes
+    assert rows_of(store.current(spark, root)) == rows_of(reader) == {("a", DAYS[0]): 0.1, ("a", FEB[0]): 0.2, ("n", None): 0.5}
+    want = {("a", DAYS[0]): 0.1, ("a", FEB[0]): 0.3, ("b", FEB[1]): 0.4, ("n", None): 0.5}
+    assert rows_of(store.finalize(spark, root)) == want
+    assert len(reader.collect()) == 3  # of the version before, still there
+    with pytest.raises(Exception, match="(?i)exist"):
+        store.publish(spark, root, lost)
+    new = store.write_version(spark, root)
+    assert new is None
+    store.append(spark, root, spark.createDataFrame([("c", DAYS[0], 0.6)], PRICES))
+    store.publish(spark, root, store.write_version(spark, root))  # stops before it deletes what is merged
+    assert rows_of(store.current(spark, root)) == want | {("c", DAYS[0]): 0.6} and store.batches(spark, root) == [2]
+    assert store.sources(spark, root).count() == 5
+    store.append(spark, root, spark.createDataFrame([("c", DAYS[0], 0.7)], PRICES))
+    assert rows_of(store.finalize(spark, root)) == want | {("c", DAYS[0]): 0.7} and store.batches(spark, root) == []
+    assert len(os.listdir(root + "/manifests")) <= 4  # two, and their checksums
+
+
+def files_of(root, bucket):
+    return sorted(str(p.relative_to(root)) for p in root.rglob("*.parquet") if f"bucket={bucket}" in str(p))
+
+
+def test_a_micro_batch_rewrites_only_what_it_touches(spark, tmp_path):
+    root = tmp_path / "store"
+    first = spark.createDataFrame([("a", DAYS[0], 0.1), ("a", FEB[0], 0.2)], PRICES)
+    again = spark.createDataFrame([("a", FEB[0], 0.3), ("a", FEB[0], 0.4), ("b", FEB[1], 0.5)], PRICES).coalesce(1)
+    source = str(tmp_path / "in")
+    january = None
+    for k, rows in enumerate((first, again)):
+        rows.write.mode("append").parquet(source)
+        prices.upsert_prices(spark.readStream.schema(PRICES).parquet(source), str(root), str(tmp_path / "state")).awaitTermination()
+        if not k:
+            january = files_of(root, "2024-01")
+    assert files_of(root, "2024-01") == january and len(january) == 1
+    want = {("a", DAYS[0]): 0.1, ("a", FEB[0]): 0.4, ("b", FEB[1]): 0.5}
+    assert rows_of(store.current(spark, str(root))) == want
+    number = store.manifest(spark, str(root))["number"]
+    store.upsert(spark, str(root), first, str(tmp_path / "state"), 1)  # comes again
+    assert rows_of(store.current(spark, str(root))) == want and store.manifest(spark, str(root))["number"] == number == 2
+    store.upsert(spark, str(root), first, "another stream", 0)
+    assert rows_of(store.current(spark, str(root)))[("a", FEB[0])] == 0.2
 
 
 def test_todo_and_bench_sources(spark, tmp_path):

@@ -43,17 +43,24 @@ def map_venue_category(c: Column) -> Column:
 
 def categorize(question: Column, category: Column, word_boundary: bool = False) -> Column:
     """Sports, else the first category with a keyword in the title, else the venue's. Keywords are
-    substrings; ``word_boundary`` asks for whole words instead. One compiled expression per category keeps
-    the generated code small."""
-    text = F.lower(F.coalesce(question, F.lit("")))
+    substrings; ``word_boundary`` asks for whole words instead.
 
-    def has(words: tuple[str, ...]) -> Column:
-        return text.rlike(r"\b(?:" + "|".join(w.strip() for w in words) + r")\b" if word_boundary else "|".join(words))
+    The title is lowered once, as the only element of an array, and each category's keywords are an array that is gone through to the
+    first hit: no alternation of words is compiled, and generated code doesn't grow with them.
+    """
 
-    found = F.when(venue_category(category).isin(*SPORTS_VENUE) | has(SPORTS), "SPORTS")
-    for name, words in CATEGORIES.items():
-        found = found.when(has(words), name)
-    return found.otherwise(map_venue_category(category))
+    def has(text: Column, words: tuple[str, ...]) -> Column:
+        if word_boundary:
+            return text.rlike(r"\b(?:" + "|".join(w.strip() for w in words) + r")\b")
+        return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w))
+
+    def found(text: Column) -> Column:
+        first = F.when(venue_category(category).isin(*SPORTS_VENUE) | has(text, SPORTS), "SPORTS")
+        for name, words in CATEGORIES.items():
+            first = first.when(has(text, words), name)
+        return first.otherwise(map_venue_category(category))
+
+    return F.get(F.transform(F.array(F.lower(F.coalesce(question, F.lit("")))), found), 0)
 
 
 def prefix_id(prefix: str, x: Column) -> Column:

@@ -30,9 +30,11 @@ def date_spine(rows: DataFrame, by: list[str]) -> DataFrame:
     return days.withColumn("ix", F.row_number().over(W.partitionBy(*by).orderBy("date")))
 
 
-def innovations(rows: DataFrame, by: list[str], params: Params = Params()) -> DataFrame:
-    """``innov``: change of the logit from the day before on the index's own spine; null after a gap."""
-    priced = rows.where("close_prob is not null").join(date_spine(rows, by), [*by, "date"])
+def innovations(rows: DataFrame, by: list[str], params: Params = Params(), spine: DataFrame | None = None) -> DataFrame:
+    """``innov``: change of the logit from the day before on the index's own spine; null after a gap. ``spine``, if it
+    is known already, has columns of ``rows``, ``date`` and ``ix``, and is broadcast: it has a row per series and day."""
+    priced = rows.where("close_prob is not null")
+    priced = priced.join(date_spine(rows, by), [*by, "date"]) if spine is None else priced.join(F.broadcast(spine), [c for c in spine.columns if c != "ix"])
     w = W.partitionBy(*by, "market_id").orderBy("date")
     x = priced.withColumn("logit", logit(F.col("close_prob"), params))
     return x.withColumn("innov", F.when(F.col("ix") - F.lag("ix").over(w) == 1, F.col("logit") - F.lag("logit").over(w))).drop("logit")
@@ -42,7 +44,7 @@ def innovations(rows: DataFrame, by: list[str], params: Params = Params()) -> Da
 BLOCK_LIVES = 100.0
 
 
-def with_vol(rows: DataFrame, by: list[str], halflife: Column, params: Params = Params()) -> DataFrame:
+def with_vol(rows: DataFrame, by: list[str], halflife: Column, params: Params = Params(), spine: DataFrame | None = None) -> DataFrame:
     """:func:`innovations` with ``vol``: root of the adjusted EWMA of squared innovations over valid ones.
 
     Weights of valid innovations are powers of two of their place from the start of a block of BLOCK_LIVES half-lives;
@@ -53,7 +55,7 @@ def with_vol(rows: DataFrame, by: list[str], halflife: Column, params: Params =
     before = own.orderBy("date").rowsBetween(W.unboundedPreceding, 0)
     r, nth = F.col("innov"), F.col("nth")
     size = F.greatest(F.lit(1.0), F.floor(halflife * BLOCK_LIVES))
-    x = innovations(rows, by, params).withColumn("nth", F.count("innov").over(before))
+    x = innovations(rows, by, params, spine).withColumn("nth", F.count("innov").over(before))
     x = x.withColumn("block", F.floor((nth - 1) / size).cast("int"))
     place = nth - 1 - F.col("block") * size
     x = x.withColumn("pull", F.when(r.isNotNull(), r * r * F.pow(F.lit(2.0), place / halflife)))
@@ -74,9 +76,9 @@ def weighted_mean(value: Column, w: Column) -> Column:
     return F.try_divide(F.sum(F.when(use, (value * w).cast(_EXACT))).cast("double"), F.sum(F.when(use, w.cast(_EXACT))).cast("double"))
 
 
-def index_series(rows: DataFrame, by: list[str], halflife: Column | None = None, params: Params = Params()) -> DataFrame:
+def index_series(rows: DataFrame, by: list[str], halflife: Column | None = None, params: Params = Params(), spine: DataFrame | None = None) -> DataFrame:
     """Raw gauges and members for each of ``by`` and day."""
-    x = with_vol(rows, by, F.lit(float(params.ewma_halflife)) if halflife is None else halflife, params)
+    x = with_vol(rows, by, F.lit(float(params.ewma_halflife)) if halflife is None else halflife, params, spine)
     x = x.withColumn("entropy", binary_entropy(F.col("close_prob"), params))
     w = F.col("weight")
     return x.groupBy(*by, "date").agg(F.round(weighted_mean(F.col("vol"), w), 10).alias("turbulence"), F.round(weighted_mean(F.col("entropy"), w), 10).alias("unresolvedness"), F.count_if(w > 0).alias("n_constituents"))

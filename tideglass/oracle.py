@@ -155,6 +155,19 @@ li AS (
     + series("supplied", 90)
 )
 BENCH = ", bench AS (SELECT CAST(o_orderdate AS DATE) AS date, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(o_totalprice) AS value FROM orders GROUP BY 1), ours AS (SELECT date, value FROM indices WHERE \"index\" = 'GLOBAL' AND gauge = 'turbulence'), joined AS (SELECT o.date, o.value AS idx, b.value AS bench FROM ours o JOIN bench b ON o.date = b.date WHERE o.value IS NOT NULL AND b.value IS NOT NULL), d AS (SELECT * FROM (SELECT date, idx - lag(idx) OVER (ORDER BY date) AS d_idx, bench - lag(bench) OVER (ORDER BY date) AS d_bench, row_number() OVER (ORDER BY date) AS rn FROM joined) WHERE rn > 1)"
+#: CTEs after LINEITEM: three benchmarks, each index beside each of them, differences, lags.
+NAMED = """, named AS (
+  SELECT 'PRICE' AS name, CAST(o_orderdate AS DATE) AS date, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(o_totalprice) AS value FROM orders GROUP BY 2
+  UNION ALL SELECT 'ORDERS', CAST(o_orderdate AS DATE), CAST(count(*) AS DOUBLE) FROM orders GROUP BY 2
+  UNION ALL SELECT 'TAX', CAST(l_shipdate AS DATE), CAST(sum(CAST(l_tax AS DECIMAL(18,2))) AS DOUBLE) / count(l_tax) FROM lineitem GROUP BY 2
+), beside AS (
+  SELECT i."index", n.name, i.date, i.value AS idx, n.value AS bench FROM indices i JOIN named n ON i.date = n.date WHERE i.gauge = 'turbulence' AND i.value IS NOT NULL AND n.value IS NOT NULL
+), changes AS (
+  SELECT * FROM (SELECT "index", name, date, idx - lag(idx) OVER w AS d_idx, bench - lag(bench) OVER w AS d_bench, row_number() OVER w AS rn FROM beside WINDOW w AS (PARTITION BY "index", name ORDER BY date)) WHERE rn > 1
+), moved AS (
+  SELECT a."index", a.name, l.lag, a.date, a.d_idx, b.d_bench FROM changes a CROSS JOIN (SELECT CAST(unnest(range(-10, 11)) AS INTEGER) AS lag) l
+  LEFT JOIN changes b ON b."index" = a."index" AND b.name = a.name AND b.rn = a.rn - l.lag
+)"""
 EVENT_ROWS = "(VALUES " + ", ".join(f"('{n}', DATE '{a}', DATE '{b}', '{i}')" for n, a, b, xs in EVENTS for i in xs) + ") AS e(event, \"start\", \"end\", \"index\")"
 
 
@@ -162,6 +175,16 @@ def corr(a: str, b: str) -> str:
     return f"round(CASE WHEN stddev_pop({a}) > 0 AND stddev_pop({b}) > 0 THEN covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})) END, 6)"
 
 
+def both(a: str, b: str) -> str:
+    """Correlation over rows that have both."""
+    return corr(f"CASE WHEN {b} IS NOT NULL THEN {a} END", f"CASE WHEN {a} IS NOT NULL THEN {b} END")
+
+
+NAMED += f""", named_stats AS (
+  SELECT "index", name, 'level' AS stat, CAST(0 AS INTEGER) AS lag, {corr("idx", "bench")} AS corr FROM beside GROUP BY ALL
+  UNION ALL SELECT "index", name, 'diff', CAST(0 AS INTEGER), {corr("d_idx", "d_bench")} FROM changes GROUP BY "index", name
+  UNION ALL SELECT "index", name, 'leadlag', lag, {both("d_idx", "d_bench")} FROM moved GROUP BY "index", name, lag
+)"""
 VARIANTS = FLAGGED + _variants()
 
 

@@ -71,3 +71,12 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily average order price."""
     p = F.col("o_totalprice").cast("decimal(18,2)")
     return read(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg((F.sum(p).cast("double") / F.count(p)).alias("value"))
+
+
+def benchmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three daily benchmarks by name: average order price, orders, and average tax of what is shipped."""
+    orders = read(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.count("*").cast("double").alias("value"))
+    tax = F.col("l_tax").cast("decimal(18,2)")
+    shipped = read(spark, sf_dir, "lineitem").groupBy(F.to_date("l_shipdate").alias("date")).agg((F.sum(tax).cast("double") / F.count(tax)).alias("value"))
+    named = [rows.select(F.lit(name).alias("name"), "date", "value") for name, rows in (("PRICE", benchmark(spark, sf_dir)), ("ORDERS", orders), ("TAX", shipped))]
+    return named[0].union(named[1]).union(named[2])

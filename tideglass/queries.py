@@ -24,6 +24,8 @@ LONG = Params()
 DEMO_EVENTS = (("early days", "2024-01-10", "2024-01-14", ("GLOBAL", "WAR")), ("late days", "2024-01-20", "2024-01-24", ("GLOBAL", "CRYPTO")), ("no days", "2030-01-01", "2030-01-02", ("GLOBAL",)))
 #: Windows that lie in the shipping days.
 LINE_EVENTS = (("spring", "1994-03-01", "1994-05-31", ("GLOBAL", "WAR", "CLIMATE")), ("autumn", "1996-09-01", "1996-11-30", ("GLOBAL", "CRYPTO")), ("after", "2030-01-01", "2030-01-02", ("GLOBAL",)))
+_NAMED_ROWS = lambda events: "(VALUES " + ", ".join(f"('{n}', DATE '{a}', DATE '{b}', '{i}')" for n, a, b, xs in events for i in xs) + ") AS e(event, \"start\", \"end\", \"index\")"
+_LINE_NAMED_ROWS = _NAMED_ROWS(LINE_EVENTS)
 _DEMO_EVENT_ROWS = "(VALUES " + ", ".join(f"('{n}', DATE '{a}', DATE '{b}', '{i}')" for n, a, b, xs in DEMO_EVENTS for i in xs) + ") AS e(event, \"start\", \"end\", \"index\")"
 
 
@@ -48,6 +50,10 @@ def _lineitem_joined(s, d):
     return validate.align(gauges.select_series(_lineitem(s, d)[0], "GLOBAL", "turbulence"), demo.benchmark(s, d))
 
 
+def _lineitem_compared(s, d):
+    return validate.compare_benchmarks(_lineitem(s, d)[0], demo.benchmarks(s, d))
+
+
 def _fanned(s, d):
     return gauges.fan_out(_flagged(s, d))
 
@@ -108,12 +114,30 @@ def _parts(s, d):
 
 
 def store_roundtrip(s, d):
+    """Two batches are appended and merged."""
     path = fresh_path(s)
     pa, pb = demo.prices(s, d)
     rows = taxonomy.union_venues(pa, pb)
-    store.append_batch(rows.where("date <= '2024-01-20'"), path + "/parts", 0)
-    store.append_batch(rows.where("date >= '2024-01-15'").withColumn("close_prob", F.col("close_prob") / 2), path + "/parts", 1)
-    return store.finalize(s, None, s.read.parquet(path + "/parts"), path + "/final")
+    store.append(s, path, rows.where("date <= '2024-01-20'"))
+    store.append(s, path, rows.where("date >= '2024-01-15'").withColumn("close_prob", F.col("close_prob") / 2))
+    return store.finalize(s, path)
+
+
+def _week(date):
+    return F.date_format(F.date_trunc("week", date), "yyyy-MM-dd")
+
+
+def store_finalize(s, d):
+    """Old prices and two batches, in weeks. One run stops after it has written a version; another merges the first batch, and a
+    last one the second, which touches only some weeks."""
+    path = fresh_path(s)
+    legacy = _legacy(s, d)
+    parts = _parts(s, d)
+    store.append(s, path, parts.where("batch_id = 0").drop("batch_id"))
+    store.write_version(s, path, legacy, _week)
+    store.finalize(s, path, legacy, _week)
+    store.append(s, path, parts.where("batch_id = 1").drop("batch_id"))
+    return store.finalize(s, path, bucket=_week).drop("bucket")
 
 
 _STORE = ", parts AS (SELECT *, 0 AS batch FROM allp WHERE date <= DATE '2024-01-20' UNION ALL SELECT market_id, date, close_prob / 2, daily_notional_usd, 1 FROM allp WHERE date >= DATE '2024-01-15')"
@@ -139,19 +163,26 @@ def _is_folder(s, path):
 
 
 def stream_upsert_prices(s, d):
+    """Prices come as files; then those of every other day come again, halved, and the stream goes on where it stopped."""
     path = fresh_path(s)
     pa, pb = demo.prices(s, d)
-    taxonomy.union_venues(pa, pb).write.parquet(path + "/in")
-    stream = s.readStream.schema(s.read.parquet(path + "/in").schema).parquet(path + "/in")
-    streams.upsert_prices(stream, path + "/parts", path + "/state").awaitTermination()
-    return store.latest(s.read.parquet(path + "/parts"))
+    rows = taxonomy.union_venues(pa, pb)
+    again = rows.where("day(date) % 2 = 0").withColumn("close_prob", F.col("close_prob") / 2)
+    for part in (rows, again):
+        part.write.mode("append").parquet(path + "/in")
+        stream = s.readStream.schema(part.schema).parquet(path + "/in")
+        streams.upsert_prices(stream, path + "/store", path + "/state", _week).awaitTermination()
+    return store.current(s, path + "/store").drop("bucket")
 
 
-def _stored(s, d):
-    """What was finalised (days before the 10th, halved) and the parts, as sources of the store."""
+def _legacy(s, d):
+    """What was stored before all batches: days before the 10th, quartered."""
     pa, pb = demo.prices(s, d)
-    final = taxonomy.union_venues(pa, pb).where("date < '2024-01-10'").withColumn("close_prob", F.col("close_prob") / 4)
-    return store.union_sources(final, _parts(s, d))
+    return taxonomy.union_venues(pa, pb).where("date < '2024-01-10'").withColumn("close_prob", F.col("close_prob") / 4)
+
+
+def _stored(s, d):
+    return store.union_sources(_legacy(s, d), _parts(s, d))
 
 
 def _twice(s, d):
@@ -201,6 +232,15 @@ def robustness_series(s, d):
     return validate.variant_series(meta, panel, demo.DEMO)
 
 
+def variant_rows(s, d):
+    """The rows of each variant of the parameter grid, with the number of their day on its spine."""
+    meta, panel, _ = demo.panel(s, d)
+    rules, sets, names = validate.parameter_sets(demo.DEMO)
+    rows, spine = validate.variant_rows(universe.with_facts(meta, panel, demo.DEMO)[0], rules, sets)
+    named = F.broadcast(s.createDataFrame(names, "variant string, ord int, set int"))
+    return rows.join(spine, ["rule", "date"]).join(named, "set").select("variant", "market_id", "date", "weight", F.col("ix").cast("long").alias("ix"))
+
+
 def _indices_part(s, d, columns):
     return demo.indices(s, d)[0].select(*columns)
 
@@ -257,7 +297,8 @@ def _spec() -> dict:
         "src_pages_union": (lambda s, d: taxonomy.union_venues(landing.markets_a(_pages_a(s, d)), landing.markets_b(_pages_b(s, d))).select("market_id", "venue", "question", "yes_token_id", "ticker", "total_volume_usd", "close_date"), "SELECT 'pm_' || event_id AS market_id, 'polymarket' AS venue, event_type AS question, '7700000000000000000000' || event_id AS yes_token_id, NULL AS ticker, CASE WHEN event_id % 3 > 0 THEN round(value, 6) ELSE 0.0 END AS total_volume_usd, CASE WHEN event_id % 7 > 0 THEN date_trunc('day', ts) END AS close_date FROM events WHERE user_id % 2 = 0 AND event_id % 5 > 1 UNION ALL SELECT 'ka_T-' || event_id, 'kalshi', event_type, NULL, 'T-' || event_id, round(value * 0.5, 6), NULL FROM events WHERE user_id % 2 = 1"),
         "filter_no_tokens": (lambda s, d: landing.markets_a(_pages_a(s, d)).select("market_id", "yes_token_id"), "SELECT 'pm_' || event_id AS market_id, '7700000000000000000000' || event_id AS yes_token_id FROM events WHERE user_id % 2 = 0 AND event_id % 5 > 1"),
         "filter_null_close": (lambda s, d: landing.candles_b(_candles(s, d)).groupBy("market_id").agg(F.count("*").alias("days")), "SELECT 'ka_' || user_id AS market_id, count(DISTINCT CAST(ts AS DATE)) AS days FROM events WHERE user_id % 2 = 1 AND event_id % 6 > 0 GROUP BY 1"),
-        "store_finalize": (lambda s, d: store.latest(_parts(s, d)), _STORED),
+        "store_finalize": (store_finalize, Q.over(_ALLP + _SOURCES, "SELECT market_id, date, round(close_prob, 6) AS close_prob, round(daily_notional_usd, 6) AS daily_notional_usd FROM (SELECT *, row_number() OVER (PARTITION BY market_id, date ORDER BY batch_id DESC) AS k FROM sources) WHERE k = 1")),
+        "store_latest": (lambda s, d: store.latest(_parts(s, d)), _STORED),
         "store_append_checkpoint": (store_roundtrip, _STORED),
         "store_done_ids": (lambda s, d: store.done_ids(_parts(s, d)), "SELECT DISTINCT CASE WHEN user_id % 2 = 0 THEN 'pm_' ELSE 'ka_' END || user_id AS market_id FROM events"),
         "history_todo_a": (lambda s, d: landing.history_todo(demo.markets(s, d)[0], store.done_ids(_parts(s, d)).where("market_id like '%2'"), 50_000).select("market_id"), Q.over(Q.MARKETS, "SELECT market_id FROM raw_meta WHERE venue = 'polymarket' AND total_volume_usd >= 50000 AND market_id NOT LIKE '%2'")),
@@ -304,29 +345,36 @@ def _spec() -> dict:
         "check_events_default": (lambda s, d: validate.check_events(_lineitem(s, d)[0]), Q.over(Q.LINEITEM, _WINDOWS(Q.EVENT_ROWS))),
         "align_benchmark": (_lineitem_joined, Q.over(Q.LINEITEM + Q.BENCH, "SELECT date, round(idx, 6) AS idx, round(bench, 6) AS bench FROM joined")),
         "series_diff": (lambda s, d: validate.diffs(_lineitem_joined(s, d)).select("date", "d_idx", "d_bench"), Q.over(Q.LINEITEM + Q.BENCH, "SELECT date, round(d_idx, 6) AS d_idx, round(d_bench, 6) AS d_bench FROM d")),
-        "join_leadlag": (lambda s, d: validate.leadlag(_lineitem_joined(s, d)).select("lag"), Q.over(Q.LINEITEM + Q.BENCH + _LAGS, "SELECT lag FROM lags")),
+        "join_leadlag": (lambda s, d: validate.leadlag_pairs(_lineitem_joined(s, d)), Q.over(Q.LINEITEM + Q.BENCH, "SELECT l.lag, a.date, round(a.d_idx, 6) AS d_idx, round(b.d_bench, 6) AS d_bench FROM (SELECT CAST(unnest(range(-10, 11)) AS INTEGER) AS lag) l CROSS JOIN d a LEFT JOIN d b ON b.rn = a.rn - l.lag")),
+        "align_benchmarks": (lambda s, d: validate.align_all(_lineitem(s, d)[0], demo.benchmarks(s, d)), Q.over(Q.LINEITEM + Q.NAMED, 'SELECT "index", name, date, round(idx, 6) AS idx, round(bench, 6) AS bench FROM beside')),
+        "compare_benchmarks": (_lineitem_compared, Q.over(Q.LINEITEM + Q.NAMED, "SELECT * FROM named_stats")),
+        "join_leadlag_named": (lambda s, d: validate.leadlag_pairs(validate.align_all(_lineitem(s, d)[0], demo.benchmarks(s, d)), by=["index", "name"]), Q.over(Q.LINEITEM + Q.NAMED, 'SELECT "index", name, lag, date, round(d_idx, 6) + 0.0 AS d_idx, round(d_bench, 6) + 0.0 AS d_bench FROM moved')),
+        "best_lag_named": (lambda s, d: validate.best_lag(_lineitem_compared(s, d).where("stat = 'leadlag'"), ["index", "name"]), Q.over(Q.LINEITEM + Q.NAMED, "SELECT \"index\", name, lag FROM (SELECT *, row_number() OVER (PARTITION BY \"index\", name ORDER BY corr DESC, lag) AS k FROM named_stats WHERE stat = 'leadlag' AND corr IS NOT NULL) WHERE k = 1")),
         "leadlag_corr": (lambda s, d: validate.leadlag(_lineitem_joined(s, d)), Q.over(Q.LINEITEM + Q.BENCH + _LAGS, "SELECT * FROM lags")),
         "corr_and_leadlag": (lambda s, d: validate.corr_and_leadlag(_lineitem_joined(s, d)), Q.over(Q.LINEITEM + Q.BENCH + _LAGS, _STATS)),
         "best_lag": (lambda s, d: validate.best_lag(validate.leadlag(_lineitem_joined(s, d))), Q.over(Q.LINEITEM + Q.BENCH + _LAGS, _BEST)),
         "pearson_corr": (lambda s, d: _lineitem_joined(s, d).agg(validate.pearson(F.col("idx"), F.col("bench")).alias("corr")), Q.over(Q.LINEITEM + Q.BENCH, f"SELECT {Q.corr('idx', 'bench')} AS corr FROM joined")),
-        "series_shift": (lambda s, d: demo.benchmark(s, d).select("date", F.lag("value", 3).over(W.partitionBy(F.lit(0)).orderBy("date")).alias("lag3"), F.lead("value", 3).over(W.partitionBy(F.lit(0)).orderBy("date")).alias("lead3")), Q.over(Q.LINEITEM + Q.BENCH, "SELECT date, round(lag(value, 3) OVER (ORDER BY date), 6) AS lag3, round(lead(value, 3) OVER (ORDER BY date), 6) AS lead3 FROM bench")),
+        "series_shift": (lambda s, d: validate.shifted(validate.shifted(demo.benchmark(s, d), "value", 3, out="lag3"), "value", -3, out="lead3").drop("value"), Q.over(Q.LINEITEM + Q.BENCH, "SELECT date, round(lag(value, 3) OVER (ORDER BY date), 6) AS lag3, round(lead(value, 3) OVER (ORDER BY date), 6) AS lead3 FROM bench")),
         "churn_audit": (lambda s, d: validate.churn_audit(*_lineitem(s, d)), Q.over(Q.LINEITEM, _CHURNED)),
         "join_churn": (lambda s, d: validate.churn_changes(*_lineitem(s, d)), Q.over(Q.LINEITEM, f"SELECT date, round(d_value, 6) AS d_value, d_n FROM ({_CHURN})")),
         "event_window_max": (lambda s, d: validate.event_window_max(_lineitem(s, d)[0], LINE_EVENTS), Q.over(Q.LINEITEM, f'SELECT CAST(e.n AS INTEGER) AS n, round(max(i.value), 6) AS window_max FROM {_LINE_EVENT_ROWS} JOIN indices i ON i."index" = e."index" AND i.gauge = \'turbulence\' AND i.date BETWEEN e."start" AND e."end" GROUP BY e.n')),
         "cross_param_grid": (lambda s, d: robustness_series(s, d).groupBy("variant").agg(F.count("*").alias("days")), Q.over(Q.VARIANTS, "SELECT variant, count(*) AS days FROM variant_series GROUP BY variant")),
+        "cross_param_rows": (variant_rows, Q.over(Q.VARIANTS, "SELECT g.variant, r.market_id, r.date, round(r.weight, 6) AS weight, s.ix FROM v_rows r JOIN grid g ON g.ord = r.ord JOIN v_spine s ON s.ord = r.ord AND s.date = r.date")),
         "join_variants": (lambda s, d: validate.full_days(robustness_series(s, d), len(validate.variants())), Q.over(Q.VARIANTS, "SELECT variant, ord, date, round(value, 6) AS value FROM full_series")),
         "variant_series": (robustness_series, Q.over(Q.VARIANTS, "SELECT variant, ord, date, round(value, 6) AS value FROM variant_series")),
         "join_variant_pairs": (lambda s, d: validate.variant_pairs(robustness_series(s, d)), Q.over(Q.VARIANTS, "SELECT variant_a, variant_b, date, round(value_a, 6) AS value_a, round(value_b, 6) AS value_b FROM pairs")),
         "robustness": (lambda s, d: validate.robustness(robustness_series(s, d)), Q.over(Q.VARIANTS, "SELECT * FROM pair_corrs")),
         "min_pair_corr": (lambda s, d: validate.robustness(robustness_series(s, d)).agg(F.min("corr").alias("min_corr")), Q.over(Q.VARIANTS, "SELECT min(corr) AS min_corr FROM pair_corrs")),
         "validation_summary": (
-            lambda s, d: validate.validation_summary(*demo.indices(s, d), validate.leadlag(_lineitem_joined(s, d)), validate.robustness(robustness_series(s, d)), DEMO_EVENTS),
+            lambda s, d: validate.validation_summary(*_lineitem(s, d), _lineitem_compared(s, d), validate.robustness(robustness_series(s, d)), LINE_EVENTS),
             Q.over(
-                Q.INDICES,
-                f"""SELECT 'event ' || event || ' ' || "index" AS "check", window_max AS value, CAST(90 AS DOUBLE) AS target, passed FROM ({_WINDOWS(_DEMO_EVENT_ROWS)})
+                Q.LINEITEM + Q.NAMED,
+                f"""SELECT 'event ' || event || ' ' || "index" AS "check", window_max AS value, CAST(90 AS DOUBLE) AS target, passed FROM ({_WINDOWS(_LINE_NAMED_ROWS)})
+                UNION ALL SELECT * FROM (SELECT 'spike ' || date, round(value, 6), NULL, NULL FROM indices WHERE "index" = 'GLOBAL' AND gauge = 'turbulence' AND value IS NOT NULL ORDER BY indices.value DESC, date LIMIT 10)
+                UNION ALL SELECT stat || '_corr ' || name, corr, NULL, NULL FROM named_stats WHERE "index" = 'GLOBAL' AND stat <> 'leadlag'
                 UNION ALL SELECT 'min_pair_corr', min_corr, CAST(0.9 AS DOUBLE), coalesce(min_corr >= 0.9, false) FROM ({Q.over(Q.VARIANTS, "SELECT min(corr) AS min_corr FROM pair_corrs")})
                 UNION ALL SELECT 'churn_corr', churn_corr, NULL, NULL FROM ({_CHURNED})
-                UNION ALL SELECT 'best_lag', CAST(lag AS DOUBLE), NULL, NULL FROM ({Q.over(Q.LINEITEM + Q.BENCH + _LAGS, _BEST)})""",
+                UNION ALL SELECT 'best_lag ' || name, CAST(lag AS DOUBLE), NULL, NULL FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY corr DESC, lag) AS k FROM named_stats WHERE "index" = 'GLOBAL' AND stat = 'leadlag' AND corr IS NOT NULL) WHERE k = 1""",
             ),
         ),
         # aggregates and windows
@@ -351,7 +399,7 @@ def _spec() -> dict:
         "unmapped_triage": (lambda s, d: taxonomy.unmapped_triage(demo.panel(s, d)[2]), Q.over(Q.MARKETS, "SELECT market_id, venue, question, venue_category, round(total_volume_usd, 6) AS total_volume_usd FROM marked WHERE category = 'UNMAPPED'")),
         "sort_panel": (lambda s, d: taxonomy.sort_panel(demo.panel(s, d)[1]), Q.over(Q.PANEL, "SELECT market_id, date, round(close_prob, 6) AS close_prob, round(daily_notional_usd, 6) AS daily_notional_usd FROM panel ORDER BY market_id, date")),
         "sort_tidy": (lambda s, d: gauges.sort_tidy(demo.indices(s, d)[0]), Q.over(Q.INDICES, _IDX + ' ORDER BY indices."index", indices.gauge, indices.date')),
-        "rank_by_liquidity": (lambda s, d: demo.panel(s, d)[0].select("market_id", F.row_number().over(W.partitionBy("category").orderBy(F.col("total_volume_usd").desc_nulls_last(), "market_id")).cast("long").alias("place")), Q.over(Q.MARKETS, "SELECT market_id, row_number() OVER (PARTITION BY category ORDER BY total_volume_usd DESC NULLS LAST, market_id) AS place FROM meta")),
+        "rank_by_liquidity": (lambda s, d: universe.rank_by_liquidity(demo.panel(s, d)[0], "category").select("market_id", "place"), Q.over(Q.MARKETS, "SELECT market_id, row_number() OVER (PARTITION BY category ORDER BY total_volume_usd DESC NULLS LAST, market_id) AS place FROM meta")),
         "union_venues": (lambda s, d: taxonomy.union_venues(*demo.prices(s, d)), Q.over(_ALLP, "SELECT market_id, date, round(close_prob, 6) AS close_prob, round(daily_notional_usd, 6) AS daily_notional_usd FROM allp")),
         "except_reps": (lambda s, d: demo.panel(s, d)[0].where("venue = 'kalshi'").select("market_id").join(universe.strike_representatives(demo.panel(s, d)[0]), "market_id", "left_anti"), _j("SELECT market_id FROM reps WHERE k > 1")),
         # scalars
@@ -372,12 +420,12 @@ def _spec() -> dict:
         "trim_text": (scalar(lambda: S.trim_text(F.concat(F.lit("  "), F.col("event_type"), F.lit(" ")))), ev.format("event_type")),
         "venue_category_map": (lambda s, d: taxonomy.union_venues(*demo.markets(s, d)).select("market_id", S.map_venue_category(F.col("venue_category")).alias("x")), Q.over(Q.MARKETS, "SELECT market_id, CASE WHEN venue_category = 'Crypto' THEN 'CRYPTO' ELSE 'UNMAPPED' END AS x FROM raw_meta")),
         "windows_overlap": (lambda s, d: demo.panel(s, d)[0].select("market_id", S.windows_overlap(F.col("open_date"), F.col("close_date"), F.lit("2024-02-02 00:00:00").cast("timestamp_ntz"), F.lit(None).cast("timestamp_ntz")).alias("x")), Q.over(Q.MARKETS, "SELECT market_id, close_date >= TIMESTAMP '2024-02-02 00:00:00' AS x FROM meta")),
-        "normalize_question": (text(lambda: F.length(S.normalize_question(F.col("text")))), "SELECT doc_id, CAST(length(trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g'))) AS INTEGER) AS x FROM documents"),
+        "normalize_question": (text(lambda: S.normalize_question(F.col("text"))), "SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g')) AS x FROM documents"),
         "categorize": (text(lambda: S.categorize(F.col("text"), F.col("source"))), f"SELECT doc_id, {Q.categorize('text', 'source')} AS x FROM documents"),
         "categorize_markets": (lambda s, d: taxonomy.with_category(taxonomy.union_venues(*demo.markets(s, d))).select("market_id", "category"), Q.over(Q.MARKETS, "SELECT market_id, category FROM marked")),
         # streams
         "stream_daily_close": (stream_daily_close, "SELECT 'm_' || user_id AS market_id, CAST(ts AS DATE) AS date, round(value, 6) AS close FROM (SELECT *, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1"),
-        "stream_upsert_prices": (stream_upsert_prices, Q.over(_ALLP, "SELECT market_id, date, round(close_prob, 6) AS close_prob, round(daily_notional_usd, 6) AS daily_notional_usd FROM allp")),
+        "stream_upsert_prices": (stream_upsert_prices, Q.over(_ALLP, "SELECT market_id, date, round(CASE WHEN day(date) % 2 = 0 THEN close_prob / 2 ELSE close_prob END, 6) AS close_prob, round(daily_notional_usd, 6) AS daily_notional_usd FROM allp")),
     }
 
 

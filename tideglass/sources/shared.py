@@ -9,6 +9,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 _OWN_DIRS: dict[str, str] = {}
 _SCOPES: list[list[str]] = []
@@ -75,3 +76,20 @@ def with_fact(rows: DataFrame, facts: DataFrame, keys: list[str], n: str) -> Dat
     cold_rows = rows.join(F.broadcast(hot), keys, "left_anti")
     return cold_rows.join(few, keys).unionByName(rows.join(F.broadcast(many), keys))
 
+
+
+def running_sums(rows: DataFrame, by: list[str], order: list[str], values: list[str]) -> DataFrame:
+    """``rows`` with ``sum_*`` for each of ``values`` (whole numbers): its sum over the rows of ``by`` up to this one by ``order``.
+
+    Rows are dealt by range, so that one key with very many rows is spread over partitions; what stands in earlier
+    partitions of a key is one row per partition and key, and only a partition's first key has any.
+    """
+    dealt = durable(rows.repartitionByRange(*by, *order).withColumn("part", F.spark_partition_id()))
+    own = W.partitionBy("part", *by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    past = W.partitionBy(*by).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    sums = dealt.groupBy("part", *by).agg(*[F.sum(v).alias(v) for v in values])
+    earlier = durable(sums.select("part", *[F.col(c).alias(f"{c}_k") for c in by], *[F.sum(v).over(past).alias(f"past_{v}") for v in values]).where(f"past_{values[0]} is not null"))
+    same = [dealt["part"] == earlier["part"], *[dealt[c].eqNullSafe(earlier[f"{c}_k"]) for c in by]]
+    zero = F.lit(0).cast("long")
+    found = dealt.join(F.broadcast(earlier), same, "left").drop(earlier["part"])
+    return found.select(*rows.columns, *[(F.sum(v).over(own) + F.coalesce(f"past_{v}", zero)).alias(f"sum_{v}") for v in values])

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.store import append_batch
+from ..sources.store import month, upsert
 
 
 def daily_closes(ticks: DataFrame, late: str = "2 days") -> DataFrame:
@@ -18,9 +20,10 @@ def daily_closes(ticks: DataFrame, late: str = "2 days") -> DataFrame:
     return grouped.select(F.to_date("day.start").alias("date"), "market_id", "close")
 
 
-def upsert_prices(stream: DataFrame, parts: str, checkpoint: str):
-    """Append each micro-batch of prices as a batch of the store; the last to come wins when it is read.
+def upsert_prices(stream: DataFrame, root: str, checkpoint: str, bucket: Callable[[Column], Column] = month):
+    """Merge each micro-batch of prices into the store at ``root``; the last to come wins.
 
-    A batch that is written again after a failure has the same number and the same rows, so nothing changes.
+    A micro-batch rewrites only the buckets it touches, and readers see all of it or nothing. One that is
+    run again after a failure changes nothing.
     """
-    return stream.writeStream.foreachBatch(lambda rows, n: append_batch(rows, parts, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(lambda rows, n: upsert(rows.sparkSession, root, rows, checkpoint, n, bucket)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
