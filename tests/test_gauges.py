@@ -217,3 +217,84 @@ def test_constant_series_has_no_correlation(spark):
 def test_every_index_has_a_universe():
     assert set(UNIVERSES["GLOBAL"]) == set(CATEGORIES) == set(UNIVERSES) - {"GLOBAL"}
     assert not set(SPORTS) & {w for words in CATEGORIES.values() for w in words}
+
+
+def test_every_index_is_compared_with_every_benchmark(spark):
+    rng = np.random.default_rng(8)
+    n = 60
+    ours = {i: np.cumsum(rng.standard_normal(n)) for i in ("GLOBAL", "WAR")}
+    bench = {b: np.cumsum(rng.standard_normal(n)) for b in ("X", "Y")}
+    bench["FLAT"] = np.ones(n)
+    gone = {("GLOBAL", 7), ("X", 9), ("Y", 50)}
+    indices = spark.createDataFrame([(day(k), i, g, 0.0, None if (i, k) in gone else float(v[k])) for i, v in ours.items() for g in ("turbulence", "unresolvedness") for k in range(n)], "date date, index string, gauge string, raw double, value double").repartition(5)
+    benchmarks = spark.createDataFrame([(b, day(k), None if (b, k) in gone else float(v[k])) for b, v in bench.items() for k in range(n)], "name string, date date, value double").repartition(3)
+    got = {(r["index"], r.name, r.stat, r.lag): r.corr for r in validate.compare_benchmarks(indices, benchmarks).select("index", F.col("name").alias("name"), "stat", "lag", "corr").collect()}
+    assert len(got) == 2 * 3 * 23
+    for i, a in ours.items():
+        for b, c in bench.items():
+            keep = [k for k in range(n) if (i, k) not in gone and (b, k) not in gone]
+            x, y = a[keep], c[keep]
+            dx, dy = np.diff(x), np.diff(y)
+            if b == "FLAT":
+                assert got[i, b, "level", 0] is None and got[i, b, "leadlag", 3] is None
+                continue
+            assert got[i, b, "level", 0] == pytest.approx(np.corrcoef(x, y)[0, 1]) and got[i, b, "diff", 0] == pytest.approx(np.corrcoef(dx, dy)[0, 1])
+            for lag in range(-10, 11):
+                u, v = (dx[lag:], dy[: len(dy) - lag]) if lag >= 0 else (dx[:lag], dy[-lag:])
+                assert got[i, b, "leadlag", lag] == pytest.approx(np.corrcoef(u, v)[0, 1]), (i, b, lag)
+    best = {(r["index"], r.name): r.lag for r in validate.best_lag(validate.compare_benchmarks(indices, benchmarks).where("stat = 'leadlag'"), ["index", "name"]).collect()}
+    assert len(best) == 4 and all(got[i, b, "leadlag", lag] == max(got[i, b, "leadlag", k] for k in range(-10, 11)) for (i, b), lag in best.items())
+    pairs = validate.leadlag_pairs(validate.align_all(indices, benchmarks), 2, ["index", "name"]).where("index = 'WAR' and name = 'X' and lag = 2").orderBy("date").collect()
+    assert [p.d_bench for p in pairs[:3]] == [None, None, pytest.approx(np.diff(bench["X"][:2])[0])]
+
+
+def test_nothing_aligned_gives_no_lags(spark):
+    none = spark.createDataFrame([], "date date, idx double, bench double")
+    assert {(r.stat, r.corr) for r in validate.corr_and_leadlag(none).collect()} == {("level", None), ("diff", None)} and validate.leadlag(none).count() == 0
+
+
+def written(df):
+    """Records that shuffles of ``df`` write, by the plan's own counts, once it has run."""
+    df.collect()
+    plan, total, left = df._jdf.queryExecution().executedPlan(), 0, []
+    left.append(plan)
+    while left:
+        node = left.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            left.append(node.executedPlan())
+            continue
+        if name.endswith("QueryStage"):
+            left.append(node.plan())
+            continue
+        if name == "Exchange":
+            total += node.metrics().apply("shuffleRecordsWritten").value()
+        children = node.children()
+        left += [children.apply(k) for k in range(children.size())]
+    return total
+
+
+def test_the_grid_shuffles_a_row_once(spark):
+    rng = np.random.default_rng(4)
+    days, markets = 40, 30
+    rows = [(f"m{m}", day(k), float(rng.uniform(0.1, 0.9)), float(rng.uniform(3000, 7000))) for m in range(markets) for k in range(days)]
+    facts = spark.createDataFrame(rows, "market_id string, date date, close_prob double, rolling double")
+    facts = facts.withColumns({"venue": F.lit("kalshi"), "category": F.when(F.col("market_id") == "m0", "SPORTS").otherwise("WAR"), "total_volume_usd": F.lit(1e6), "open_date": F.lit(None).cast("timestamp_ntz"), "close_date": F.lit(str(day(days))).cast("timestamp_ntz"), "pinned": F.lit(False), "left_out": F.col("market_id") == "m1"})
+    rules, sets, names = validate.parameter_sets()
+    assert len(rules) == 7 and len(sets) == 10 and len(names) == 13
+    got, spine = validate.variant_rows(facts, rules, sets)
+    table = spark.createDataFrame([(k, r, *rules[r], h, e) for k, (r, h, e) in enumerate(sets)], "set int, rule int, exclusion int, floor_a double, floor_b double, halflife double, equal boolean")
+    from tideglass.operators import universe
+
+    crossed = facts.where("category = 'WAR'").crossJoin(table).where(universe.eligible(F.col("exclusion"), F.col("floor_a"), F.col("floor_b")))
+    assert sorted((r.set, r.market_id, r.date) for r in got.collect()) == sorted((r.set, r.market_id, r.date) for r in crossed.collect())
+    want = {(r.rule, r.date): r.ix for r in gauges.date_spine(crossed, ["rule"]).collect()}
+    assert {(r.rule, r.date): r.ix for r in spine.collect()} == want
+    spine = spark.createDataFrame(spine.collect(), spine.schema)
+    masked = gauges.with_vol(got, ["set", "rule", "halflife"], F.col("halflife"), spine=spine)
+    plain = gauges.with_vol(crossed, ["set", "halflife"], F.col("halflife"))
+    key = lambda r: (r.set, r.market_id, r.date)
+    assert {key(r): r.vol for r in masked.collect()} == {key(r): r.vol for r in plain.collect()}
+    some = validate.wanted(facts, rules).count()
+    assert some < days * (markets - 2) and written(masked) == some
+    assert written(plain) >= crossed.count() > 5 * some

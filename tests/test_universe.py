@@ -190,6 +190,22 @@ def test_landed_pages(spark, tmp_path):
     assert landing.markets_a(landing.empty(spark, landing.PAGES_A)).count() == 0
 
 
+def test_broken_pages_are_put_aside_and_the_others_kept(spark, tmp_path):
+    page = json.dumps({"markets": [{"id": "1", "clobTokenIds": '["7"]', "volumeNum": 5.5}], "next_cursor": "x"}, indent=1)
+    files = {"good/a.json": page, "good/list.json": json.dumps([{"id": "2", "clobTokenIds": '["8"]'}, {"id": "3", "clobTokenIds": "[]"}]), "cut.json": page[: len(page) // 2], "no.json": "<html>busy</html>", "type.json": '{"markets": 5}', "other.json": '{"error": "slow down"}', "none.json": '{"markets": []}', "empty.json": ""}
+    for name, text in files.items():
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_text(text)
+    good, broken = landing.landed_pages(spark, str(tmp_path / "in"), landing.PAGES_A, landing.MARKET_A, "id")
+    assert {(r.market_id, r.total_volume_usd) for r in landing.markets_a(good).collect()} == {("pm_1", 5.5), ("pm_2", 0.0)}
+    aside = str(tmp_path / "aside")
+    landing.set_aside(broken, aside)
+    landing.set_aside(broken, aside)
+    got = {(r.path.rsplit("/", 1)[1], r.text) for r in spark.read.json(aside).collect()}
+    assert got == {(n, t) for n, t in files.items() if n in ("cut.json", "no.json", "type.json", "other.json")}
+    assert landing.overrides_csv(spark, str(tmp_path / "nowhere.csv")).count() == 0
+
+
 def test_histories_and_candles(spark):
     h = spark.createDataFrame([("pm_1", [(1704067202, 0.1), (1704070000, 0.2), (1704080000, None), (1704153600, None)])], landing.HISTORY_A)
     assert {str(r.date): r.close_prob for r in landing.history_a(h).collect()} == {"2024-01-01": 0.2, "2024-01-02": None}

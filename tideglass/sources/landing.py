@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions.scalars import epoch_to_day, iso_ts_or_null, json_first_token, json_tokens, known, num_or_default, prefix_id, series_from_event, trim_text
 from ..params import BACKFILL_START, VENUE_A, VENUE_B
+from .shared import exists
 
 MARKET_A = "struct<id:string,question:string,category:string,clobTokenIds:string,volumeNum:string,startDate:string,endDate:string>"
 MARKET_B = "struct<ticker:string,event_ticker:string,series_ticker:string,title:string,volume_fp:string,open_time:string,close_time:string>"
@@ -24,6 +25,31 @@ def read_pages(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
+def landed_pages(spark: SparkSession, path: str, schema: str, market: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """``(pages, broken)`` of a folder of page files (and those below it), in one schema.
+
+    A page is an object with a list of markets, or that list alone (fields of ``market``, of which ``key`` is in every one). Broken
+    are files that are no JSON, that are cut off, that hold a value of another type, or are of neither form; of these ``broken``
+    has ``(path, text)``, so that they can be put aside (:func:`set_aside`) and fetched again, and ``pages`` nothing. Files without
+    a character are no pages.
+    """
+    fields = market.removeprefix("struct<").removesuffix(">").replace(":", " ")
+    raw = spark.read.schema(f"{schema}, {fields.replace(',', ', ')}, broken string").json(path, multiLine=True, columnNameOfCorruptRecord="broken", recursiveFileLookup=True)
+    raw = raw.withColumn("path", F.col("_metadata.file_path"))
+    names = [f.split(" ")[0] for f in fields.split(",")]
+    alone = F.when(F.col(key).isNotNull(), F.array(F.struct(*names)))
+    good = F.col("broken").isNull() & (F.col("markets").isNotNull() | F.col(key).isNotNull())
+    texts = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    bad = raw.groupBy("path").agg(F.bool_and(good).alias("good")).where("not good").select("path")
+    rows = raw.join(bad, "path", "left_anti")
+    return rows.select(F.coalesce("markets", alone).alias("markets")), texts.join(bad, "path").where("length(text) > 0")
+
+
+def set_aside(broken: DataFrame, path: str) -> None:
+    """Keep broken pages with the path they came from, beside those of earlier runs."""
+    broken.write.mode("append").json(path)
+
+
 def parse_pages(raw: DataFrame, column: str, schema: str) -> DataFrame:
     """Pages that came as text in a column (a stream, a table)."""
     return raw.select(F.from_json(column, f"struct<{', '.join(x.replace(' ', ':', 1) for x in _fields(schema))}>").alias("page")).select("page.*")
@@ -92,8 +118,9 @@ def history_todo(markets: DataFrame, done: DataFrame, floor: float, factor: floa
 
 
 def overrides_csv(spark: SparkSession, path: str | None) -> DataFrame:
+    """Ids to drop; no path, or one at which nothing is, is no id."""
     schema = "drop_market_id string, reason string"
-    return spark.read.schema(schema).csv(path, header=True) if path else empty(spark, schema)
+    return spark.read.schema(schema).csv(path, header=True) if path and exists(spark, path) else empty(spark, schema)
 
 
 def bench_na(spark: SparkSession, path: str) -> DataFrame:
