@@ -315,6 +315,26 @@ def test_streams_equal_tables(spark, tmp_path):
     assert sorted(spark.table("closes").collect()) == sorted(prices.daily_closes(table).collect())
 
 
+def test_late_ticks_are_kept_apart(spark, tmp_path):
+    root, source, state = (str(tmp_path / x) for x in ("store", "in", "state"))
+    schema = "market_id string, ts timestamp, seq int, price double"
+    at = lambda d, h=12: dt.datetime(2024, 1, d, h)
+    lots = [
+        [("a", at(1), 1, 0.1), ("a", at(1), 2, 0.2), ("a", at(1, 9), 3, 0.9), ("b", at(4), 4, 0.4), (None, at(9), 5, 0.5), ("a", None, 6, 0.6)],
+        [("a", at(1, 23), 7, 0.7), ("c", at(2), 8, 0.8), ("a", at(3, 20), 9, 0.3), ("a", at(6), 10, 0.5)],  # the 1st and 2nd closed at noon of the 4th less a day
+        [("a", at(3, 23), 11, 0.11), ("a", at(6, 1), 12, 0.12)],
+    ]
+    day = 86_400_000_000
+    for k, lot in enumerate(lots):
+        spark.createDataFrame(lot, schema).coalesce(1).write.mode("append").parquet(source)
+        prices.close_days(spark.readStream.schema(schema).parquet(source), root, state, day).awaitTermination()
+        if not k:
+            assert {(r.market_id, r.date.day): r.close for r in prices.closed_days(spark, root, day).collect()} == {("a", 1): 0.2}
+    assert sorted((r.market_id, r.seq) for r in spark.read.parquet(root + "/late").collect()) == [("a", 7), ("a", 11), ("c", 8)]
+    assert {(r.market_id, r.date.day): r.close for r in store.current(spark, root).collect()} == {("a", 1): 0.2, ("b", 4): 0.4, ("a", 3): 0.3, ("a", 6): 0.5}
+    assert {(r.market_id, r.date.day) for r in prices.closed_days(spark, root, day).collect()} == {("a", 1), ("b", 4), ("a", 3)}
+
+
 def test_hot_keys_join_like_others(spark):
     rows = spark.createDataFrame([(k % 3 if k < 4000 else k, f"v{k}") for k in range(4500)] + [(None, "null")], "k long, v string")
     facts = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("m"))

@@ -69,17 +69,17 @@ def _page():
     return F.floor(F.col("event_id") / 1000).alias("page")
 
 
-def _texts_a(s, d):
+def _texts_a(s, d, by=("user_id",)):
     e = demo.read(s, d, "events").where("user_id % 2 = 0")
     tokens = F.when(F.col("event_id") % 5 == 0, F.lit("[]")).when(F.col("event_id") % 5 == 1, F.lit(None)).otherwise(F.to_json(F.array(F.concat(F.lit("7700000000000000000000"), F.col("event_id").cast("string")))))
     market = F.struct(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("question"), F.concat(F.lit(" "), "event_type", F.lit(" ")).alias("category"), tokens.alias("clobTokenIds"), F.when(F.col("event_id") % 3 > 0, F.col("value").cast("string")).alias("volumeNum"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("startDate"), F.when(F.col("event_id") % 7 == 0, F.lit("soon")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'00:00:00'Z'")).alias("endDate"))
-    return e.groupBy("user_id", _page().alias("part")).agg(F.to_json(F.struct(F.collect_list(market).alias("markets"))).alias("page"))
+    return e.groupBy(*by, _page().alias("part")).agg(F.to_json(F.struct(F.collect_list(market).alias("markets"))).alias("page"))
 
 
-def _texts_b(s, d):
+def _texts_b(s, d, by=("user_id",)):
     e = demo.read(s, d, "events").where("user_id % 2 = 1")
     market = F.struct(F.concat(F.lit("T-"), F.col("event_id").cast("string")).alias("ticker"), F.concat(F.lit("EV"), F.col("user_id").cast("string"), F.lit("-X")).alias("event_ticker"), F.when(F.col("event_id") % 2 == 0, F.lit("SER")).otherwise("").alias("series_ticker"), F.col("event_type").alias("title"), F.col("value").cast("string").alias("volume_fp"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("open_time"), F.lit(None).cast("string").alias("close_time"))
-    return e.groupBy("user_id", _page().alias("part")).agg(F.to_json(F.struct(F.collect_list(market).alias("markets"))).alias("page"))
+    return e.groupBy(*by, _page().alias("part")).agg(F.to_json(F.struct(F.collect_list(market).alias("markets"))).alias("page"))
 
 
 def _pages_a(s, d):
@@ -91,28 +91,29 @@ def _pages_b(s, d):
 
 
 def _landed(s, pages, schema, market, key):
-    """Pages are written as files, one each; those of users 4, 5 and 14 are cut off, those of users 6 and 7 are lists. What is read back, and which
-    were put aside."""
+    """Pages of a thousand events are written as files, one each; the third and the seventh of ten are cut off, the fifth is a list. What is
+    read back, and which were put aside."""
     path, aside = fresh_path(s), fresh_path(s)
-    page = F.when(F.col("user_id").isin(4, 5, 14), F.expr("substring(page, 1, length(page) div 2)")).when(F.col("user_id").isin(6, 7), F.expr("substring(page, 12, length(page) - 12)")).otherwise(F.col("page"))
-    pages.select(page.alias("value"), F.col("user_id").alias("user")).write.partitionBy("user").option("maxRecordsPerFile", 1).text(path)
+    tenth = F.col("part") % 10
+    page = F.when(tenth.isin(3, 7), F.expr("substring(page, 1, length(page) div 2)")).when(tenth == 5, F.expr("substring(page, 12, length(page) - 12)")).otherwise(F.col("page"))
+    pages.select(page.alias("value"), "part").write.partitionBy("part").text(path)
     good, broken = landing.landed_pages(s, path, schema, market, key)
     landing.set_aside(broken, aside)
     return good, s.read.schema("path string, text string").json(aside)
 
 
 def _landed_ids(good, aside):
-    user = F.regexp_extract("path", "user=([0-9]+)", 1)
-    return good.select(F.lit("market").alias("kind"), F.col("market_id").alias("id"), F.col("total_volume_usd").alias("volume")).union(aside.select(F.lit("broken"), user, F.lit(None).cast("double")))
+    part = F.regexp_extract("path", "part=([0-9]+)", 1)
+    return good.select(F.lit("market").alias("kind"), F.col("market_id").alias("id"), F.col("total_volume_usd").alias("volume")).union(aside.select(F.lit("broken"), part, F.lit(None).cast("double")))
 
 
 def landed_files_a(s, d):
-    good, aside = _landed(s, _texts_a(s, d), landing.PAGES_A, landing.MARKET_A, "id")
+    good, aside = _landed(s, _texts_a(s, d, ()), landing.PAGES_A, landing.MARKET_A, "id")
     return _landed_ids(landing.markets_a(good), aside)
 
 
 def landed_files_b(s, d):
-    good, aside = _landed(s, _texts_b(s, d), landing.PAGES_B, landing.MARKET_B, "ticker")
+    good, aside = _landed(s, _texts_b(s, d, ()), landing.PAGES_B, landing.MARKET_B, "ticker")
     return _landed_ids(landing.markets_b(good), aside)
 
 
@@ -189,6 +190,21 @@ def stream_daily_close(s, d):
     return landing.keep_last(s.read.parquet(path + "/parts"), ["market_id", "date"], ["batch_id", "seq"])
 
 
+def stream_late_ticks(s, d):
+    """Ticks come in two lots; the second has those of every seventh user of all days, of which most are closed by then, and all of the last days.
+    The stream stops in between and goes on. Closes of closed days, and the late ticks."""
+    path = fresh_path(s)
+    ticks = demo.read(s, d, "events").select(F.concat(F.lit("m_"), F.col("user_id").cast("string")).alias("market_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("price"), (F.col("user_id") % 7 == 0).alias("slow"))
+    last = F.col("ts") >= "2024-01-21"
+    day = 86_400_000_000
+    for lot in (ticks.where(~last & ~F.col("slow")), ticks.where(last | F.col("slow"))):
+        lot.drop("slow").write.mode("append").parquet(path + "/in")
+        stream = s.readStream.schema(lot.drop("slow").schema).parquet(path + "/in")
+        streams.close_days(stream, path + "/store", path + "/state", 2 * day, _week).awaitTermination()
+    late = s.read.parquet(path + "/store/late").select(F.lit("late").alias("kind"), "market_id", F.to_date("ts").alias("date"), F.col("price").alias("close"))
+    return streams.closed_days(s, path + "/store", 2 * day).select(F.lit("closed").alias("kind"), "market_id", "date", "close").union(late)
+
+
 def _is_folder(s, path):
     p = s._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(s._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
@@ -324,8 +340,8 @@ def _spec() -> dict:
         # sources and sinks
         "src_markets_a": (lambda s, d: landing.markets_a(_pages_a(s, d)), "SELECT 'pm_' || event_id AS market_id, 'polymarket' AS venue, event_type AS question, event_type AS venue_category, '7700000000000000000000' || event_id AS yes_token_id, CASE WHEN event_id % 3 > 0 THEN round(value, 6) ELSE 0.0 END AS total_volume_usd, ts AS open_date, CASE WHEN event_id % 7 > 0 THEN date_trunc('day', ts) END AS close_date FROM events WHERE user_id % 2 = 0 AND event_id % 5 > 1"),
         "src_markets_b": (lambda s, d: landing.markets_b(_pages_b(s, d)), "SELECT 'ka_T-' || event_id AS market_id, 'kalshi' AS venue, event_type AS question, '' AS venue_category, 'EV' || user_id || '-X' AS event_ticker, 'T-' || event_id AS ticker, CASE WHEN event_id % 2 = 0 THEN 'SER' ELSE 'EV' || user_id END AS series_ticker, round(value * 0.5, 6) AS total_volume_usd, date_trunc('second', ts) AS open_date, CAST(NULL AS TIMESTAMP) AS close_date FROM events WHERE user_id % 2 = 1"),
-        "src_landed_files_a": (landed_files_a, "SELECT 'market' AS kind, 'pm_' || event_id AS id, CASE WHEN event_id % 3 > 0 THEN round(value, 6) ELSE 0.0 END AS volume FROM events WHERE user_id % 2 = 0 AND user_id NOT IN (4, 14) AND event_id % 5 > 1 UNION ALL SELECT 'broken', CAST(user_id AS VARCHAR), NULL FROM (SELECT DISTINCT user_id, event_id // 1000 FROM events WHERE user_id IN (4, 14))"),
-        "src_landed_files_b": (landed_files_b, "SELECT 'market' AS kind, 'ka_T-' || event_id AS id, round(value * 0.5, 6) AS volume FROM events WHERE user_id % 2 = 1 AND user_id <> 5 UNION ALL SELECT 'broken', CAST(user_id AS VARCHAR), NULL FROM (SELECT DISTINCT user_id, event_id // 1000 FROM events WHERE user_id = 5)"),
+        "src_landed_files_a": (landed_files_a, "SELECT 'market' AS kind, 'pm_' || event_id AS id, CASE WHEN event_id % 3 > 0 THEN round(value, 6) ELSE 0.0 END AS volume FROM events WHERE user_id % 2 = 0 AND event_id // 1000 % 10 NOT IN (3, 7) AND event_id % 5 > 1 UNION ALL SELECT DISTINCT 'broken', CAST(event_id // 1000 AS VARCHAR), NULL FROM events WHERE user_id % 2 = 0 AND event_id // 1000 % 10 IN (3, 7)"),
+        "src_landed_files_b": (landed_files_b, "SELECT 'market' AS kind, 'ka_T-' || event_id AS id, round(value * 0.5, 6) AS volume FROM events WHERE user_id % 2 = 1 AND event_id // 1000 % 10 NOT IN (3, 7) UNION ALL SELECT DISTINCT 'broken', CAST(event_id // 1000 AS VARCHAR), NULL FROM events WHERE user_id % 2 = 1 AND event_id // 1000 % 10 IN (3, 7)"),
         "src_history_a": (lambda s, d: landing.history_a(_history(s, d)), "SELECT 'pm_' || user_id AS market_id, CAST(ts AS DATE) AS date, round(arg_max(value / 100, event_id) FILTER (event_id % 11 > 0), 6) AS close_prob FROM events WHERE user_id % 2 = 0 GROUP BY ALL"),
         "src_candles_b": (lambda s, d: landing.candles_b(_candles(s, d)), "SELECT 'ka_' || user_id AS market_id, CAST(ts AS DATE) AS date, round(arg_max(value / 100, event_id), 6) AS close_prob, round(arg_max(value / 100, event_id) * 40, 6) AS daily_notional_usd FROM events WHERE user_id % 2 = 1 AND event_id % 6 > 0 GROUP BY ALL"),
         "src_pages_union": (lambda s, d: taxonomy.union_venues(landing.markets_a(_pages_a(s, d)), landing.markets_b(_pages_b(s, d))).select("market_id", "venue", "question", "yes_token_id", "ticker", "total_volume_usd", "close_date"), "SELECT 'pm_' || event_id AS market_id, 'polymarket' AS venue, event_type AS question, '7700000000000000000000' || event_id AS yes_token_id, NULL AS ticker, CASE WHEN event_id % 3 > 0 THEN round(value, 6) ELSE 0.0 END AS total_volume_usd, CASE WHEN event_id % 7 > 0 THEN date_trunc('day', ts) END AS close_date FROM events WHERE user_id % 2 = 0 AND event_id % 5 > 1 UNION ALL SELECT 'ka_T-' || event_id, 'kalshi', event_type, NULL, 'T-' || event_id, round(value * 0.5, 6), NULL FROM events WHERE user_id % 2 = 1"),
@@ -459,6 +475,14 @@ def _spec() -> dict:
         "categorize_markets": (lambda s, d: taxonomy.with_category(taxonomy.union_venues(*demo.markets(s, d))).select("market_id", "category"), Q.over(Q.MARKETS, "SELECT market_id, category FROM marked")),
         # streams
         "stream_daily_close": (stream_daily_close, "SELECT 'm_' || user_id AS market_id, CAST(ts AS DATE) AS date, round(value, 6) AS close FROM (SELECT *, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1"),
+        "stream_late_ticks": (
+            stream_late_ticks,
+            """WITH ticks AS (SELECT 'm_' || user_id AS market_id, ts, event_id, value, CAST(ts AS DATE) AS date, user_id % 7 = 0 AS slow, ts >= TIMESTAMP '2024-01-21' AS last FROM events
+            ), marks AS (SELECT max(ts) FILTER (NOT last AND NOT slow) - INTERVAL 2 DAY AS first_mark, max(ts) - INTERVAL 2 DAY AS mark FROM ticks
+            ), judged AS (SELECT t.*, (last OR slow) AND CAST(date + 1 AS TIMESTAMP) <= first_mark AS late, CAST(date + 1 AS TIMESTAMP) <= mark AS closed FROM ticks t, marks)
+            SELECT 'closed' AS kind, market_id, date, round(arg_max(value, (ts, event_id)), 6) AS close FROM judged WHERE NOT late AND closed GROUP BY market_id, date
+            UNION ALL SELECT 'late', market_id, date, round(value, 6) FROM judged WHERE late""",
+        ),
         "stream_upsert_prices": (stream_upsert_prices, Q.over(_ALLP, "SELECT market_id, date, round(CASE WHEN day(date) % 2 = 0 THEN close_prob / 2 ELSE close_prob END, 6) AS close_prob, round(daily_notional_usd, 6) AS daily_notional_usd FROM allp")),
     }
 

@@ -131,7 +131,11 @@ def sources(spark: SparkSession, root: str, legacy: DataFrame | None = None) ->
     return union_sources(legacy if old is None else old, _parts(spark, root, [n for n in batches(spark, root) if n not in at["merged"]]))
 
 
-def _merge(spark: SparkSession, root: str, at: dict, parts: DataFrame | None, legacy: DataFrame | None, bucket: Callable[[Column], Column]) -> dict[str, str]:
+def _last_batch(old: DataFrame | None, new: DataFrame | None) -> DataFrame:
+    return latest(union_sources(old, new))
+
+
+def _merge(spark: SparkSession, root: str, at: dict, parts: DataFrame | None, legacy: DataFrame | None, bucket: Callable[[Column], Column], merge: Callable = _last_batch) -> dict[str, str]:
     """Folders by bucket with ``parts`` merged in. Only buckets that they touch are read and written, in files of about the
     advised size however many rows a bucket has; the others keep their folders."""
     own = bucket(F.col("date"))
@@ -140,7 +144,7 @@ def _merge(spark: SparkSession, root: str, at: dict, parts: DataFrame | None, le
         touched = {r[0] for r in parts.select(own).distinct().collect()}
         old = _read(spark, root, {b: f for b, f in at["buckets"].items() if b in touched})
     name = f"versions/{at['number'] + 1}-{uuid.uuid4().hex}"
-    latest(union_sources(old, parts)).withColumn("bucket", own).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{root}/{name}")
+    merge(old, parts).withColumn("bucket", own).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{root}/{name}")
     return at["buckets"] | {n.removeprefix("bucket="): f"{name}/{n}" for n in _names(spark, f"{root}/{name}") if n.startswith("bucket=")}
 
 
@@ -160,15 +164,21 @@ def _next(at: dict, buckets: dict[str, str], **changes) -> dict:
 
 
 def upsert(spark: SparkSession, root: str, rows: DataFrame, stream: str, n: int, bucket: Callable[[Column], Column] = month) -> None:
-    """Merge micro-batch ``n`` of a stream into the buckets it touches and publish that. A micro-batch that comes again, as
-    after a failure, is passed over if it is published already; ``stream`` names the stream for that."""
+    """Merge micro-batch ``n`` of a stream into the buckets it touches and publish that; the last to come wins."""
+    new = rows if "seq" in rows.columns else rows.withColumn("seq", F.monotonically_increasing_id())
+    merge_batch(spark, root, new.withColumn("batch_id", F.lit(0)), stream, n, bucket)
+
+
+def merge_batch(spark: SparkSession, root: str, rows: DataFrame, stream: str, n: int, bucket: Callable[[Column], Column] = month, merge: Callable = _last_batch, **notes) -> None:
+    """Micro-batch ``n`` of a stream by ``merge`` (of a bucket's old rows, or None, and the new ones). A micro-batch that comes
+    again, as after a failure, is passed over if it is published already; ``stream`` names the stream for that. ``notes`` are kept
+    with it in the manifest."""
     at = manifest(spark, root)
     if n <= at["streams"].get(stream, -1):
         return
-    if not rows.isEmpty():
-        new = rows if "seq" in rows.columns else rows.withColumn("seq", F.monotonically_increasing_id())
-        buckets = _merge(spark, root, at, new.withColumn("batch_id", F.lit(0)), None, bucket)
-        publish(spark, root, _next(at, buckets, streams=at["streams"] | {stream: n}))
+    if notes or not rows.isEmpty():
+        buckets = at["buckets"] if rows.isEmpty() else _merge(spark, root, at, rows, None, bucket, merge)
+        publish(spark, root, _next(at, buckets, streams=at["streams"] | {stream: n}, **notes))
     clean(spark, root)
 
 
