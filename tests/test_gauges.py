@@ -298,3 +298,18 @@ def test_the_grid_shuffles_a_row_once(spark):
     some = validate.wanted(facts, rules).count()
     assert some < days * (markets - 2) and written(masked) == some
     assert written(plain) >= crossed.count() > 5 * some
+
+
+def test_many_windows_equal_a_plain_search(spark):
+    rng = random.Random(2)
+    values = {(i, k): rng.choice([None, rng.random()]) for i in ("GLOBAL", "WAR") for k in range(900) if rng.random() < 0.8}
+    series = spark.createDataFrame([(i, day(k), v) for (i, k), v in values.items()], "index string, date date, value double")
+    windows = [(n, f"e{n}", day(a := rng.randrange(-50, 950)), day(a + rng.choice([-3, 0, 1, 7, 100, 700])), rng.choice(["GLOBAL", "WAR", "NONE"])) for n in range(2000)]
+    old = [(2000, "old", dt.date(1950, 1, 1), dt.date(2030, 1, 1), "WAR"), (2001, "null", None, day(4), "WAR")]
+    got = {r.n: r.window_max for r in validate.window_max(series, spark.createDataFrame(windows + old, "n int, event string, start date, end date, index string")).collect()}
+    number = lambda d: (d - DAY).days
+    for n, _, a, b, i in windows + old[:1]:
+        inside = [values[i, k] for k in range(max(0, number(a)), min(900, number(b) + 1)) if (i, k) in values]
+        assert got.get(n) == max((v for v in inside if v is not None), default=None), n
+        assert (n in got) == bool(inside)
+    assert 2001 not in got

@@ -289,6 +289,31 @@ def test_a_micro_batch_rewrites_only_what_it_touches(spark, tmp_path):
     assert rows_of(store.current(spark, str(root)))[("a", FEB[0])] == 0.2
 
 
+def test_stored_buckets_need_no_exchange_by_market(spark):
+    markets = [market(f"{v}{k}", 9e5 + k, {"pm": "polymarket", "ka": "kalshi"}[v], title=f"t{k % 7}", event=f"E{k % 5}") for v in ("pm", "ka") for k in range(20)]
+    rows = [(m[0], d, 0.4, 9_000.0 if m[1] == "kalshi" else None) for m in markets for d in DAYS]
+    plain = spark.createDataFrame(markets, META), spark.createDataFrame(rows, PANEL)
+    stored = landing.write_bucketed(plain[0], "rules_meta", 8), landing.write_bucketed(plain[1], "rules_panel", 8, order=("date",))
+    found = universe.apply_pit_rules(*stored)[0]
+    want = universe.apply_pit_rules(*plain)[0]
+
+    def moved(df):
+        """Exchanges above a scan of the panel's close prices."""
+        lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+        depth = [min(k for k in (x.find("+- "), x.find(":- "), len(x)) if k >= 0) for x in lines]
+        below = lambda k: itertools.takewhile(lambda j: depth[j] > depth[k], range(k + 1, len(lines)))
+        return [lines[k] for k in range(len(lines)) if "Exchange" in lines[k] and any("Scan" in lines[j] and "close_prob" in lines[j] for j in below(k))]
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert moved(universe.apply_pit_rules(*plain)[0]) and not moved(universe.apply_pit_rules(*stored)[0])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(found.collect(), key=repr) == sorted(want.collect(), key=repr)
+    spark.sql("DROP TABLE rules_meta")
+    spark.sql("DROP TABLE rules_panel")
+
+
 def test_todo_and_bench_sources(spark, tmp_path):
     m = spark.createDataFrame([("a", 50_000.0), ("b", 49_999.0), ("c", float("nan")), ("d", 60_000.0)], "market_id string, total_volume_usd double")
     done = spark.createDataFrame([("d",)], "market_id string")

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from ..functions.scalars import known, normalize_question, windows_overlap
 from ..params import VENUE_A, VENUE_B, Params
 from ..sources.shared import durable, running_sums, with_fact
+from .stretches import covering, holding
 
 
 def rolling_notional(days: int) -> Column:
@@ -113,15 +114,7 @@ def settle(rows: DataFrame) -> DataFrame:
     among the others' the other way round. A stretch keeps only its first market of each venue.
     """
     x, bits = _time_places(rows)
-    level = F.sequence(F.lit(0), F.lit(bits))
-    stretch = lambda n, at: F.struct(n.cast("int").alias("level"), at.alias("at"))
-    holds = F.transform(level, lambda n: stretch(n, F.call_function("shiftright", F.col("lo"), n)))
-    first = lambda n: F.call_function("shiftright", F.col("lo") + F.call_function("shiftleft", F.lit(1).cast("long"), n) - 1, n)
-    end = lambda n: F.call_function("shiftright", F.col("hi") + 1, n)
-    made = F.concat(
-        F.transform(F.filter(level, lambda n: (first(n) < end(n)) & (first(n) % 2 == 1)), lambda n: stretch(n, first(n))),
-        F.transform(F.filter(level, lambda n: (first(n) < end(n)) & (end(n) % 2 == 1)), lambda n: stretch(n, end(n) - 1)),
-    )
+    holds, made = holding(F.col("lo"), bits), covering(F.col("lo"), F.col("hi"), bits)
     key = ["title", "side", "level", "at"]
 
     def places(df: DataFrame, listed: bool, *columns: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from ..params import EVENTS, GRID, UNIVERSES, Params
 from ..sources.shared import durable
 from . import gauges, universe
+from .stretches import covering, holding
 
 PASS = 90.0
 
@@ -25,17 +26,37 @@ def event_windows(spark, events=EVENTS) -> DataFrame:
     return spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "n int, k int, event string, start string, end string, index string").select("n", "event", F.col("start").cast("date"), F.col("end").cast("date"), "index")
 
 
+#: Levels of stretches of days in which window maxima are looked up: up to 256 days at once.
+DAY_BITS = 8
+
+
 def event_window_max(indices: DataFrame, events=EVENTS) -> DataFrame:
-    """``(n, window_max)``: most turbulence in each window that has a day of its index."""
+    """``(n, window_max)``: most turbulence in each window that has a day of its index. Windows are configuration, a few rows,
+    or a table ``(n, event, start, end, index)`` of any size (:func:`window_max`)."""
+    if isinstance(events, DataFrame):
+        return window_max(indices.where("gauge = 'turbulence'").select("index", "date", "value"), events)
     spec = F.broadcast(event_windows(indices.sparkSession, events)).alias("e")
     days = indices.where("gauge = 'turbulence'").alias("i")
     return days.join(spec, (F.col("e.index") == F.col("i.index")) & F.col("i.date").between(F.col("e.start"), F.col("e.end"))).groupBy("n").agg(F.max("value").alias("window_max"))
 
 
+def window_max(series: DataFrame, windows: DataFrame) -> DataFrame:
+    """``(n, window_max)`` of windows that have a day of their index in ``series(index, date, value)``; any number of windows of any length.
+
+    The most of each stretch of days is taken once, and a window looks up the few stretches that it is made of: a join on equal
+    stretches, in place of all days against all windows.
+    """
+    day = lambda d: F.datediff(d, F.lit("1970-01-01").cast("date")).cast("long")
+    parts = series.select("index", "value", F.inline(holding(day(F.col("date")), DAY_BITS)))
+    most = parts.groupBy("index", "level", "at").agg(F.max("value").alias("value"))
+    wanted = windows.select("n", "index", F.inline(covering(day(F.col("start")), day(F.col("end")), DAY_BITS)))
+    return wanted.join(most, ["index", "level", "at"]).groupBy("n").agg(F.max("value").alias("window_max"))
+
+
 def check_events(indices: DataFrame, events=EVENTS) -> DataFrame:
     """One row per event and index, also where no day of it is known."""
-    hit = event_window_max(indices, events)
-    return event_windows(indices.sparkSession, events).join(hit, "n", "left").select("event", "index", "window_max", F.coalesce(F.col("window_max") >= PASS, F.lit(False)).alias("passed"))
+    windows = events if isinstance(events, DataFrame) else event_windows(indices.sparkSession, events)
+    return windows.join(event_window_max(indices, events), "n", "left").select("event", "index", "window_max", F.coalesce(F.col("window_max") >= PASS, F.lit(False)).alias("passed"))
 
 
 def top_spike_days(indices: DataFrame, n: int = 10) -> DataFrame:

@@ -5,6 +5,8 @@ Each entry is (query, SQL or None). Doubles are rounded to 6 places on both side
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +15,7 @@ from pyspark.sql import Window as W
 from . import oracle as Q
 from .functions import scalars as S
 from .operators import gauges, taxonomy, universe, validate
-from .params import Params
+from .params import UNIVERSES, Params
 from .plans import demo
 from .sources import landing, store
 from .sources.shared import fresh_path
@@ -289,6 +291,21 @@ def variant_rows(s, d):
     return rows.join(spine, ["rule", "date"]).join(named, "set").select("variant", "market_id", "date", "weight", F.col("ix").cast("long").alias("ix"))
 
 
+def _order_windows(s, d):
+    """A window for each order, up to a year long, of the index that its number tells."""
+    names = F.array(*[F.lit(i) for i in UNIVERSES])
+    start = F.to_date("o_orderdate")
+    return demo.read(s, d, "orders").select(F.col("o_orderkey").alias("n"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("event"), start.alias("start"), F.date_add(start, (F.col("o_custkey") * 7 % 365).cast("int")).alias("end"), F.element_at(names, (F.col("o_orderkey") % len(UNIVERSES) + 1).cast("int")).alias("index"))
+
+
+def pit_rules_bucketed(s, d):
+    """The rules over meta and panel that are stored in buckets by market."""
+    meta, panel, _ = demo.panel(s, d)
+    tables = [f"tideglass_{x}_{uuid.uuid4().hex}" for x in ("meta", "panel")]
+    meta, panel = landing.write_bucketed(meta, tables[0], 8), landing.write_bucketed(panel, tables[1], 8, order=("date",))
+    return universe.apply_pit_rules(meta, panel, demo.DEMO)[0]
+
+
 def _indices_part(s, d, columns):
     return demo.indices(s, d)[0].select(*columns)
 
@@ -299,6 +316,7 @@ _WINDOWS = lambda rows: f'SELECT e.event, e."index", round(max(i.value), 6) AS w
 _LAGS = ", lags AS (SELECT l.lag, " + Q.corr("CASE WHEN b.d_bench IS NOT NULL THEN a.d_idx END", "CASE WHEN a.d_idx IS NOT NULL THEN b.d_bench END") + " AS corr FROM (SELECT CAST(unnest(range(-10, 11)) AS INTEGER) AS lag) l CROSS JOIN d a LEFT JOIN d b ON b.rn = a.rn - l.lag GROUP BY l.lag)"
 
 
+_ORDER_WINDOWS = ", order_windows AS (SELECT 'order ' || o_orderkey AS event, CAST(o_orderdate AS DATE) AS \"start\", CAST(o_orderdate AS DATE) + CAST(o_custkey * 7 % 365 AS INTEGER) AS \"end\", [" + ", ".join(f"'{i}'" for i in UNIVERSES) + f"][o_orderkey % {len(UNIVERSES)} + 1] AS \"index\" FROM orders)"
 _LINE_EVENT_ROWS = "(VALUES " + ", ".join(f"({k}, DATE '{a}', DATE '{b}', '{i}')" for k, (a, b, i) in enumerate((a, b, i) for _, a, b, xs in LINE_EVENTS for i in xs)) + ") AS e(n, \"start\", \"end\", \"index\")"
 _CHURN = "SELECT a.date, d_value, d_n FROM (SELECT date, value - lag(value) OVER (ORDER BY date) AS d_value FROM indices WHERE \"index\" = 'GLOBAL' AND gauge = 'turbulence') a JOIN (SELECT date, CAST(n_constituents - lag(n_constituents) OVER (ORDER BY date) AS DOUBLE) AS d_n FROM constituents WHERE \"index\" = 'GLOBAL') b ON a.date = b.date"
 _CHURNED = "SELECT " + Q.corr("CASE WHEN d_n IS NOT NULL THEN d_value END", "CASE WHEN d_value IS NOT NULL THEN d_n END") + f" AS churn_corr FROM ({_CHURN})"
@@ -332,6 +350,7 @@ def _spec() -> dict:
         "project_meta": (lambda s, d: demo.panel(s, d)[0], Q.over(Q.PANEL, f"SELECT {_META} FROM meta")),
         "drop_sports_unmapped": (lambda s, d: demo.panel(s, d)[2].select("market_id", "category"), Q.over(Q.MARKETS, "SELECT market_id, category FROM marked WHERE category IN ('SPORTS', 'UNMAPPED')")),
         "apply_pit_rules": (_flagged, _j("SELECT market_id, date, round(close_prob, 6) AS close_prob, round(daily_notional_usd, 6) AS daily_notional_usd, venue, category, event_ticker, round(total_volume_usd, 6) AS total_volume_usd, open_date, close_date, round(weight, 6) AS weight, eligible FROM flagged")),
+        "apply_pit_rules_bucketed": (pit_rules_bucketed, _j("SELECT market_id, date, round(close_prob, 6) AS close_prob, round(daily_notional_usd, 6) AS daily_notional_usd, venue, category, event_ticker, round(total_volume_usd, 6) AS total_volume_usd, open_date, close_date, round(weight, 6) AS weight, eligible FROM flagged")),
         "compute_indices": (lambda s, d: demo.indices(s, d)[0], Q.over(Q.INDICES, _IDX)),
         "constituents": (lambda s, d: demo.indices(s, d)[1], Q.over(Q.INDICES, "SELECT date, \"index\", n_constituents FROM constituents")),
         "index_series": (lambda s, d: gauges.index_series(_fanned(s, d), ["index"]), Q.over(Q.INDICES, 'SELECT "index", date, round(turbulence, 6) AS turbulence, round(unresolvedness, 6) AS unresolvedness, n_constituents FROM raws')),
@@ -393,6 +412,7 @@ def _spec() -> dict:
         "join_event_windows": (lambda s, d: validate.check_events(demo.indices(s, d)[0], DEMO_EVENTS).select("event", "index", "window_max"), Q.over(Q.INDICES, f"SELECT event, \"index\", window_max FROM ({_WINDOWS(_DEMO_EVENT_ROWS)})")),
         "check_events": (lambda s, d: validate.check_events(demo.indices(s, d)[0], DEMO_EVENTS), Q.over(Q.INDICES, _WINDOWS(_DEMO_EVENT_ROWS))),
         "check_events_default": (lambda s, d: validate.check_events(_lineitem(s, d)[0]), Q.over(Q.LINEITEM, _WINDOWS(Q.EVENT_ROWS))),
+        "check_many_windows": (lambda s, d: validate.check_events(_lineitem(s, d)[0], _order_windows(s, d)), Q.over(Q.LINEITEM + _ORDER_WINDOWS, 'SELECT w.event, w."index", round(max(i.value), 6) AS window_max, coalesce(max(i.value) >= 90, false) AS passed FROM order_windows w LEFT JOIN indices i ON i."index" = w."index" AND i.gauge = \'turbulence\' AND i.date BETWEEN w."start" AND w."end" GROUP BY w.event, w."index"')),
         "align_benchmark": (_lineitem_joined, Q.over(Q.LINEITEM + Q.BENCH, "SELECT date, round(idx, 6) AS idx, round(bench, 6) AS bench FROM joined")),
         "series_diff": (lambda s, d: validate.diffs(_lineitem_joined(s, d)).select("date", "d_idx", "d_bench"), Q.over(Q.LINEITEM + Q.BENCH, "SELECT date, round(d_idx, 6) AS d_idx, round(d_bench, 6) AS d_bench FROM d")),
         "join_leadlag": (lambda s, d: validate.leadlag_pairs(_lineitem_joined(s, d)), Q.over(Q.LINEITEM + Q.BENCH, "SELECT l.lag, a.date, round(a.d_idx, 6) AS d_idx, round(b.d_bench, 6) AS d_bench FROM (SELECT CAST(unnest(range(-10, 11)) AS INTEGER) AS lag) l CROSS JOIN d a LEFT JOIN d b ON b.rn = a.rn - l.lag")),

@@ -146,3 +146,11 @@ def write_stats(rows: DataFrame, path: str) -> None:
 
 def write_stage(rows: DataFrame, path: str, by: list[str] | None = None) -> None:
     (rows.write.partitionBy(*by) if by else rows.write).mode("overwrite").parquet(path)
+
+
+def write_bucketed(rows: DataFrame, table: str, buckets: int, key: str = "market_id", order: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` as a table of the warehouse, dealt to ``buckets`` by ``key`` and sorted in them; the table. Joins of tables with as many
+    buckets by that key, and windows over it, then need no exchange, if there are at least as many as spark.sql.shuffle.partitions. An
+    existing table is replaced."""
+    (rows.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key, *order).format("parquet").saveAsTable(table))
+    return rows.sparkSession.table(table)
