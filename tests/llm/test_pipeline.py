@@ -29,3 +29,23 @@ def test_stages_feed_each_other(spark):
         before, docs = docs, out
     assert before is not None
     assert packing.pack_documents(docs).count() == out.count()
+
+
+ROWS = [(1, "The first one of them is here and it is good for all. " * 9, "en", "a", 1), (2, None, "en", None, 1), (3, "", None, "a", 1), (None, "null id text of some words that are read by the one who comes", "en", "b", 1), (4, "x " * 5000, "en", "a", 1)]
+
+
+def test_stages_on_odd_rows_and_on_none(spark):
+    """Null and empty texts, null ids and sources, a row that stands twice, a column of a helper's name, and no rows at all."""
+    table = spark.createDataFrame(ROWS + ROWS[:1], "doc_id long, text string, lang string, source string, sift_at int")
+    for docs in (table, table.limit(0)):
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = spark.createDataFrame(stage(spark, docs, SF).collect(), stage(spark, docs, SF).schema)
+            if name == "packing":
+                assert out.select("sequence_id", "offset").distinct().count() == out.count() and (out.count() > 0) == (docs.count() > 0)
+                break
+            assert out.columns == docs.columns
+            if name == "near_dedup":
+                assert out.groupBy("doc_id", "text").count().where("count > 1").isEmpty()
+            docs = out
+        assert n in (0, 6)

@@ -48,6 +48,31 @@ def sift(rows: DataFrame, keys: list[Column], listed: DataFrame, bits: int = 1 <
     return tuple(marked.where(x).select(*[rows[f"`{c}`"] for c in rows.columns]) for x in (hit, ~hit))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """``docs`` in one column ``row``, beside which helper columns may have any name; ``row.*`` gives them back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def row_keys(row: str = "row") -> list[Column]:
+    """Two hashes that stand for a packed row's doc_id and text."""
+    none, doc, t = F.col(f"{row}.doc_id").isNull(), F.col(f"{row}.doc_id"), F.col(f"{row}.text")
+    return [F.xxhash64(F.lit(k), none, doc, *text_key(t)) for k in (0, 1)]
+
+
+def split_copies(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Packed ``rows`` (column ``row``) in two: one of each doc_id and text, and the further rows that repeat both; None if there
+    are none. Only rows that repeat are written, told apart by a number, and a document that very many rows repeat is no single task."""
+    k1, k2 = row_keys()
+    twice = durable(rows.groupBy(k1.alias("k1"), k2.alias("k2")).agg(F.count("*").alias("n")).where("n > 1"))
+    if twice.isEmpty():
+        return rows, None
+    may, others = sift(rows, [k1, k2], twice.select("k1", "k2"))
+    may = durable(may.select("row", k1.alias("k1"), k2.alias("k2"), F.monotonically_increasing_id().alias("id")))
+    first = durable(may.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.count("*").alias("n")))
+    numbered = with_fact(may, first, ["k1", "k2"], "n")
+    return others.select("row").union(numbered.where("id = first").select("row")), numbered.where("id > first").select("row")
+
+
 #: Codepoints of a block, about.
 BLOCK = 1 << 19
 

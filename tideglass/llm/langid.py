@@ -77,7 +77,8 @@ class LanguageFilter:
     common: int
 
     PROBES = 3
-    #: Most bytes of slots, as each executor holds them.
+    #: Most bytes of slots, as each executor holds them. More n-grams or languages share them: false positives, which are
+    #: corrected, get more frequent.
     MOST = 1 << 30
 
     @staticmethod
@@ -91,8 +92,8 @@ class LanguageFilter:
     def build(cls, languages: list[str], hashes: np.ndarray, sets: np.ndarray, common: int = 0) -> LanguageFilter:
         size = 1 << max(12, int(np.ceil(np.log2(max(1, len(hashes)) * 12))))
         words = (len(languages) + 63) // 64 or 1
-        if 8 * size * words > cls.MOST:
-            raise ValueError(f"{len(hashes)} n-grams of {len(languages)} languages need over {cls.MOST} bytes of slots; take fewer rows_per_language")
+        while 8 * size * words > cls.MOST and size > 1:
+            size //= 2
         slots = np.zeros((size, words), dtype=np.uint64)
         for at in cls.positions(hashes, size):
             np.bitwise_or.at(slots, at, sets)

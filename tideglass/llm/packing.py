@@ -135,14 +135,22 @@ def pair_index(lengths: np.ndarray, capacity: int) -> list[np.ndarray]:
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Kinds of sequences ``(lengths, how many)`` that hold ``counts[length]`` pieces of each length.
 
+    Gaps of long pieces, which need a sequence each, are filled exactly, and then in one plan gaps of shorter ones too, in another none
+    of these: where small pieces are scarcer than gaps, they are better put into gaps that they don't fill. The plan of fewer sequences
+    counts, of equal ones the first.
+    """
+    plans = [fill_plan(counts, capacity, shortest) for shortest in (capacity // 4, capacity // 2)]
+    return min(plans, key=lambda kinds: sum(n for _, n in kinds))
+
+
+def fill_plan(counts: dict[int, int], capacity: int, shortest: int) -> list[tuple[tuple[int, ...], int]]:
+    """The plan in which pieces longer than ``shortest`` look for what fills their gap.
+
     The gap of each length, the longest first, is looked up among single lengths, then again among sums of pairs, then
     sums of three (a smallest length and a pair of at least that length), and each combination that fills
     the gap exactly is used as often as the counts allow. Combinations of the most even lengths come first, so that
     small pieces, which fit anywhere, are left for last. What is left goes, longest first, to the smallest gap
-    that holds it. Pieces of over half the capacity need a sequence each; where those are over nine tenths
-    of the sequences that all ids would fill, small pieces are scarcer than gaps, and only gaps that one
-    piece fills are filled exactly. Works on at most
-    ``capacity`` counts, however many pieces there are.
+    that holds it. Works on at most ``capacity`` counts, however many pieces there are.
     """
     left = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in counts.items():
@@ -167,16 +175,14 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
             if not left[a]:
                 break
 
-    halves, whole = int(left[capacity // 2 + 1 :].sum()), int((left * np.arange(capacity + 1)).sum())
-    roomy = 10 * halves * capacity <= 9 * whole
-    longest = range(capacity, capacity // 4, -1)  # four pieces, the longest of which is shorter, aren't enough
+    longest = range(capacity, shortest, -1)  # four pieces of which the longest is a quarter at most aren't enough
     for a in longest:
         if left[a]:
             use((a, capacity - a) if a < capacity else (a,))
-    for a in longest if roomy else ():
+    for a in longest:
         if left[a] and capacity - a > 1:
             fill(a, capacity - a, 1, ())
-    for a in longest if roomy else ():
+    for a in longest:
         for d in range((capacity - a) // 3, 0, -1):
             if not left[a]:
                 break
@@ -252,7 +258,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, parts: int = 1 << 15) -> Da
     sizes = dealt.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.sum("n").over(W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1))
     sizes = durable(sizes.select(F.col("length").alias("l"), F.col("salt").alias("s"), F.coalesce(before, F.lit(0)).alias("before")))
-    order = W.partitionBy("length", "salt").orderBy("doc_id", "piece")
+    order = W.partitionBy("length", "salt").orderBy(*[c for c in ("doc_id", "piece", "start", "ids_crc32") if c in found.columns])
     ranked = dealt.withColumn("k", F.row_number().over(order) - 1)
     ranked = ranked.join(sizes, (F.col("length") == F.col("l")) & (F.col("salt") == F.col("s"))).withColumn("rank", F.col("before") + F.col("k"))
     placed = ranked.join(F.broadcast(places), (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))

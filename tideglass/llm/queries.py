@@ -113,7 +113,7 @@ OP10 = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents WHERE text IS NOT NULL
 ), cut AS (
-  SELECT doc_id, k, CASE WHEN length(line) > 200 THEN string_split(regexp_replace(line, '([.!?] )', '\1' || chr(1), 'g'), chr(1)) ELSE [line] END AS ps FROM lines
+  SELECT doc_id, k, string_split(regexp_replace(line, '([.!?] )', '\1' || chr(1), 'g'), chr(1)) AS ps FROM lines
 ), pieces AS (
   SELECT doc_id, k, piece, row_number() OVER (PARTITION BY doc_id ORDER BY k, j) - 1 AS i, regexp_replace(piece, '^[ \t\r\v\f]+|[ \t\r\v\f]+$', '', 'g') AS plain
   FROM (SELECT doc_id, k, unnest(ps) AS piece, unnest(range(len(ps))) AS j FROM cut)

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, mix64, sift, text_key, with_fact
+from .common import durable, mix64, packed, row_keys, sift, split_copies, text_key, with_fact
 from .graph import Thinner, components, least_reachable
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -371,15 +371,16 @@ def similar_groups(docs: DataFrame, n: int = 5, similarity: float = 0.8, seed: i
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
-    """``docs`` with one text of each group, the first by doc_id and then by its hash; columns stay.
+    """``docs`` with one row of each group, the first by doc_id and then by its text's hash; columns stay, whatever their names.
 
-    Rows are told apart by doc_id and text: one that repeats another's doc_id goes only for its own text, and rows
-    that repeat both stay or go together. Texts without words are one group. A null doc_id is the last of its
-    group. No rows: no rows.
+    Rows are told apart by doc_id and text: one that repeats another's doc_id goes only for its own text, and of rows
+    that repeat both one is left. Texts without words are one group. A null doc_id is the last of its group. No rows: no rows.
     """
-    found = _grouped(docs, n, similarity, seed)
+    rows, _ = split_copies(packed(docs))
+    found = _grouped(docs.select("doc_id", "text"), n, similarity, seed)
     other = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t1") == F.col("first.t1")) & (F.col("t2") == F.col("first.t2")))
-    gone = durable(found.where(other).select(F.col("doc_id").alias("near_id"), F.col("t1").alias("near_t1"), F.col("t2").alias("near_t2")).distinct())
-    may, others = sift(docs, [docs["doc_id"], *text_key(docs["text"])], gone)
-    t1, t2 = text_key(may["text"])
-    return may.join(gone, may["doc_id"].eqNullSafe(gone["near_id"]) & (t1 == gone["near_t1"]) & (t2 == gone["near_t2"]), "left_anti").unionByName(others)
+    gone = durable(found.where(other).select(*[F.xxhash64(F.lit(k), F.col("doc_id").isNull(), "doc_id", "t1", "t2").alias(f"k{k}") for k in (0, 1)]).distinct())
+    keys = row_keys()
+    may, others = sift(rows, keys, gone)
+    left = may.select("row", *[k.alias(f"k{i}") for i, k in enumerate(keys)]).join(gone, ["k0", "k1"], "left_anti").select("row").union(others)
+    return left.select(*[F.col("row")[c].alias(c) for c in docs.columns])
