@@ -18,6 +18,7 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="tideglass-"))
+        .config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="tideglass-"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -5,6 +5,7 @@ import itertools
 import json
 import os
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -368,11 +369,18 @@ def test_hot_keys_join_like_others(spark):
     assert sorted(found.collect()) == sorted(rows.join(facts.drop("n"), "k").collect()) and found.count() == 4500
 
 
+def in_a_scope(spark):
+    with shared.scope(spark):
+        return shared.durable(spark.range(2)).inputFiles()[0].removeprefix("file://")
+
+
 def test_scopes_delete_their_tables(spark):
     with shared.scope(spark):
         table = shared.durable(spark.range(3))
         path = table.inputFiles()[0].removeprefix("file://")
-        assert os.path.exists(path)
+        with ThreadPoolExecutor() as pool:  # a scope of another thread that ends before deletes only its own
+            other = pool.submit(in_a_scope, spark).result()
+        assert os.path.exists(path) and not os.path.exists(other)
     assert not os.path.exists(path)
 
 

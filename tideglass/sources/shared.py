@@ -6,13 +6,15 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 _OWN_DIRS: dict[str, str] = {}
-_SCOPES: list[list[str]] = []
+#: Tables of the innermost scope, of this thread alone.
+_SCOPE: ContextVar[list[str] | None] = ContextVar("tables of the scope", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,12 +40,17 @@ def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: a lost executor re-reads files
     instead of recomputing, and what follows starts from known sizes."""
     path = fresh_path(df.sparkSession)
-    for paths in _SCOPES[-1:]:
-        paths.append(path)
+    owned(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def owned(path: str) -> None:
+    """A table that goes with the scope it is made in, if there is one."""
+    if (paths := _SCOPE.get()) is not None:
+        paths.append(path)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -58,11 +65,13 @@ def exists(spark: SparkSession, path: str) -> bool:
 def scope(spark: SparkSession) -> Iterator[None]:
     """Tables that :func:`durable` writes inside are deleted at the end: what is read from them has to be
     written by then. Outside of any scope they stay, as results are read after the call that made them."""
-    _SCOPES.append([])
+    paths: list[str] = []
+    before = _SCOPE.set(paths)
     try:
         yield
     finally:
-        for path in _SCOPES.pop():
+        _SCOPE.reset(before)
+        for path in paths:
             discard(spark, path)
 
 
