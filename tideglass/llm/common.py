@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import durable, scope, shared_dir, with_fact  # noqa: F401  (for the operators)
+from ..sources.shared import discard, durable, scope, shared_dir, with_fact  # noqa: F401  (for the operators)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import discard, durable, fresh_path, with_fact
+from ..sources.shared import discard, durable, fresh_path, owned, with_fact
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -55,6 +55,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = next_round(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while not _settled(edges):
         edges = next_round(_star(_star(edges, large=True), large=False))
+    owned(made[-1])
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b"), F.col("b")).distinct())
 
 

@@ -120,11 +120,12 @@ def links(cells: DataFrame, reach: int, words: DataFrame | None = None, tile: in
     ``words(node, w0, w1, ...)`` has the fingerprints; without it a node is its own fingerprint. Links
     are thinned: of those of one cell, or of two tiles of it, a spanning forest stays, so components
     are exact and no group gives all its pairs. A cell of over ``tile`` nodes is cut into tiles, and
-    each pair of tiles is a group of its own. What is alone in its cell goes before rows are sent.
+    each pair of tiles is a group of its own. What is alone in its cell goes, and rows of cells of very many nodes are not sent to learn how many.
     """
-    sized = cells.groupBy("choice", "at").agg(F.count("*").alias("n")).where("n > 1")
-    cells = durable(cells.join(sized, ["choice", "at"]))
-    tiles = F.ceil(F.col("n") / tile).cast("int")
+    cells = durable(cells)
+    sized = durable(cells.groupBy("choice", "at").agg(F.count("*").alias("n"), F.count("*").alias("held")).where("n > 1"))
+    cells = with_fact(cells, sized, ["choice", "at"], "n")
+    tiles = F.ceil(F.col("held") / tile).cast("int")
     own = F.pmod(F.xxhash64("node"), tiles).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), tiles - 1), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j")))
     names = ["node"] if words is None else [c for c in words.columns if c != "node"]
@@ -302,11 +303,11 @@ def counted_links(docs: DataFrame, nodes: DataFrame, near: DataFrame, n: int, si
                 yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([x.tobytes() for x in sets], pa.binary())], names=["h1", "h2", "shingles"])
 
     made = texts.mapInArrow(shingles, "h1 bigint, h2 bigint, shingles binary").groupBy("h1", "h2").agg(F.first("shingles").alias("shingles"))
-    sized = chosen.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / GROUP_TILE), F.ceil(F.sum("size") / SHINGLE_TILE)).cast("int").alias("tiles"))
+    sized = durable(chosen.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / GROUP_TILE), F.ceil(F.sum("size") / SHINGLE_TILE)).cast("int").alias("tiles"), F.count("*").alias("n")))
     w = [f"w{k}" for k in range(WORDS)]
     own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j")))
-    rows = chosen.select("node", "component", "h1", "h2", *w).join(sized, "component").join(made, ["h1", "h2"])
+    rows = with_fact(chosen.select("node", "component", "h1", "h2", *w), sized, ["component"], "n").join(made, ["h1", "h2"])
     dealt = rows.select("component", "node", *w, "shingles", own.alias("own"), F.explode(pairs).alias("pair"))
     dealt = dealt.select("component", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "own", "node", *w, "shingles")
 
