@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tideglass.llm import linededup, mixing, packing, quality, simhash
-from tideglass.llm.common import read, scope, shared_dir
+from tideglass.llm.common import discard, read, scope, shared_dir
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,11 +35,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's result is written and read again, and the tables it made meanwhile go."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over documents; each one's result is written and read again, and the tables it made meanwhile go, as does the result of
+    the stage before it."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
         with scope(spark):
             stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            discard(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
