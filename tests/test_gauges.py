@@ -313,3 +313,16 @@ def test_many_windows_equal_a_plain_search(spark):
         assert got.get(n) == max((v for v in inside if v is not None), default=None), n
         assert (n in got) == bool(inside)
     assert 2001 not in got
+
+
+def test_sinks_are_sorted(spark):
+    """Rows come out in order, part after part, however they went in."""
+    from tideglass.operators import taxonomy
+
+    rng = random.Random(9)
+    rows = [(f"m{rng.randrange(40):02d}", day(rng.randrange(50)), float(k)) for k in range(3000)]
+    found = taxonomy.sort_panel(spark.createDataFrame(rows, "market_id string, date date, v double").repartition(7))
+    assert [(r.market_id, r.date) for r in found.collect()] == sorted((m, d) for m, d, _ in rows)
+    tidy = [(day(rng.randrange(60)), rng.choice(list(UNIVERSES)), rng.choice(["turbulence", "unresolvedness"]), 0.0) for _ in range(3000)]
+    found = gauges.sort_tidy(spark.createDataFrame(tidy, "date date, index string, gauge string, raw double").repartition(5))
+    assert [(r["index"], r.gauge, r.date) for r in found.collect()] == sorted((i, g, d) for d, i, g, _ in tidy)
