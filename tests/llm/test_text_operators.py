@@ -83,6 +83,18 @@ def test_pii_adds_written_out_addresses(spark):
     assert {r.doc_id: r for r in pii.pii_report(table).collect()}[1].spans.count("email") == 2
 
 
+def test_added_spans_do_not_overlap_each_other(spark):
+    """A national number is the local part of a written-out address: both are candidates, one is added, and the other words stay free."""
+    texts = ["call 555-123-4567 (at) site (dot) com or 555-123-4567", "(555) 123-4567", "a@b.de 555-123-4567 at site dot com", "q (at) w (dot) com " * 200 + "555-123-4567 (at) w (dot) com"]
+    for threshold in (0.0, 0.5):
+        for r in pii.find(docs(spark, texts), threshold).collect():
+            spans = sorted((s.start, s.end) for s in r.spans)
+            assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:], strict=False)), r.doc_id
+            assert {(s.kind, s.start, s.end) for s in r.base} <= {(s.kind, s.start, s.end) for s in r.spans}
+            if r.doc_id == 0 and not threshold:
+                assert len(spans) == 2
+
+
 def test_ownership_separates_copied_from_live(spark):
     rows = [(k, "token = SharedExample123456", f"s{k}") for k in range(6)] + [(10, "token = OnlyHere1234567", "s1"), (11, "x AbC123dEf456dEf456dEf456 y", "s2")]
     found = {r.doc_id: r for r in secrets.secrets_report(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}

@@ -176,7 +176,7 @@ def find(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``(doc_id, base, spans)`` of whole texts, arrays of kind (number), start, end.
 
     Base spans all stay. Candidates that aren't base are added where the classifier gives them at least
-    ``threshold`` and no base span overlaps. The labellers' counts come from all candidates of
+    ``threshold`` and no base span overlaps, nor a likelier one of them (of equally likely ones the first by start, then kind). The labellers' counts come from all candidates of
     all documents; only the table of vote patterns is on the driver.
     """
     found = durable(candidates(docs))
@@ -185,8 +185,13 @@ def find(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     posterior, _ = reliabilities(rows)
     weights = train(rows, posterior)
     base = with_blocks(found.withColumn("base", F.filter("found", lambda s: s["base"])), "base", "blocks")
-    added = F.filter("found", lambda s: ~s["base"] & (_probability(s, weights) >= threshold) & ~overlaps("blocks", s))
-    return base.select("doc_id", "base", F.concat("base", added).alias("spans"))
+    field = lambda s: [s[c].alias(c) for c in ("kind", "start", "end")]
+    judged = F.transform(F.filter("found", lambda s: ~s["base"] & ~overlaps("blocks", s)), lambda s: F.struct(*field(s), (-_probability(s, weights)).alias("rank")))
+    rows = with_blocks(base.withColumn("added", F.filter(judged, lambda s: s["rank"] <= -threshold)), "added", "own", ("kind", "rank"))
+    place = lambda s: F.struct(s["rank"], s["start"], s["kind"])
+    added = F.filter("added", lambda s: ~overlaps("own", s, lambda x: place(x) < place(s)))
+    both = F.concat(F.transform("base", lambda s: F.struct(*field(s))), F.transform(added, lambda s: F.struct(*field(s))))
+    return rows.select("doc_id", "base", both.alias("spans"))
 
 
 def pii_report(docs: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,17 +60,19 @@ def placed(column: str) -> Column:
     return F.when(F.size(column) > 0, F.flatten(found)).otherwise(none)
 
 
-def with_blocks(rows: DataFrame, spans: str, name: str) -> DataFrame:
-    """``rows`` with ``name``: column ``spans`` by start in blocks, each with its first start and last end."""
-    ends = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+def with_blocks(rows: DataFrame, spans: str, name: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with ``name``: column ``spans`` by start in blocks, each with its first start and last end. ``more`` fields are kept."""
+    fields = lambda s: F.struct(*[s[c].alias(c) for c in ("start", "end", *more)])
+    ends = F.array_sort(F.transform(spans, fields))
     block = lambda b: F.struct(b[0]["start"].alias("low"), F.array_max(F.transform(b, lambda s: s["end"])).alias("high"), b.alias("spans"))
     return rows.withColumn(name, ends).withColumn(name, F.when(F.size(name) > 0, F.transform(in_blocks(name), block)))
 
 
-def overlaps(blocks: str, s: Column) -> Column:
-    """Whether ``s`` overlaps one of the spans of column ``blocks``, which is named twice for the same reason."""
+def overlaps(blocks: str, s: Column, which: Callable[[Column], Column] | None = None) -> Column:
+    """Whether ``s`` overlaps one of the spans of column ``blocks`` (of those for which ``which`` is true), which is named twice for the same reason."""
     meets = lambda low, high: (low < s["end"]) & (s["start"] < high)
-    return F.col(blocks).isNotNull() & F.exists(blocks, lambda b: meets(b["low"], b["high"]) & F.exists(b["spans"], lambda x: meets(x["start"], x["end"])))
+    one = lambda x: meets(x["start"], x["end"]) if which is None else meets(x["start"], x["end"]) & which(x)
+    return F.col(blocks).isNotNull() & F.exists(blocks, lambda b: meets(b["low"], b["high"]) & F.exists(b["spans"], one))
 
 
 def digits(x: Column) -> Column:
