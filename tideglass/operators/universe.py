@@ -93,12 +93,13 @@ def _time_places(rows: DataFrame) -> tuple[DataFrame, int]:
     many bits a number has. No open date is number 0; no close date is above all others."""
     ends = [F.coalesce(c, F.lit(v).cast("timestamp_ntz")) for c, v in ((F.col("open_date"), "0001-01-01"), (F.col("close_date"), "9999-12-31"))]
     x = durable(rows.withColumn("lo", ends[0]).withColumn("hi", ends[1]))
-    days = x.select("title", F.explode(F.array("lo", "hi")).alias("t")).distinct().withColumn("one", F.lit(1).cast("long"))
-    numbered = durable(running_sums(days, ["title"], ["t"], ["one"]).select("title", "t", F.col("sum_one").alias("at")))
+    days = x.select("title", F.explode(F.array("lo", "hi")).alias("t")).groupBy("title", "t").agg(F.count("*").alias("n")).withColumn("one", F.lit(1).cast("long"))
+    numbered = durable(running_sums(days, ["title"], ["t"], ["one"]).select("title", "t", "n", F.col("sum_one").alias("at")))
     bits = max(1, (numbered.agg(F.max("at")).first()[0] or 0).bit_length())
     for end in ("lo", "hi"):
-        x = x.join(numbered.select("title", F.col("t").alias(end), F.col("at").alias(f"{end}_at")), ["title", end])
-    return durable(x.drop("lo", "hi").withColumnsRenamed({"lo_at": "lo", "hi_at": "hi"})), bits
+        numbers = numbered.select("title", F.col("t").alias(end), F.col("at").alias(f"{end}_at"), "n")
+        x = durable(with_fact(x, numbers, ["title", end], "n"))
+    return x.drop("lo", "hi").withColumnsRenamed({"lo_at": "lo", "hi_at": "hi"}), bits
 
 
 def settle(rows: DataFrame) -> DataFrame:
