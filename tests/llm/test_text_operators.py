@@ -98,8 +98,8 @@ def test_added_spans_do_not_overlap_each_other(spark):
 def test_ownership_separates_copied_from_live(spark):
     rows = [(k, "token = SharedExample123456", f"s{k}") for k in range(6)] + [(10, "token = OnlyHere1234567", "s1"), (11, "x AbC123dEf456dEf456dEf456 y", "s2")]
     found = {r.doc_id: r for r in secrets.secrets_report(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert (found[0].n_live, found[0].n_copied) == (0, 1)
-    assert (found[10].n_live, found[10].n_copied) == (1, 0)
+    assert (found[0].n_live, found[0].n_copied, found[0].most_repositories, found[0].most_owners) == (0, 1, 1, 6)
+    assert (found[10].n_live, found[10].n_copied, found[10].most_repositories, found[10].most_owners) == (1, 0, 1, 1)
     assert found[11].spans == "token:2:26"
 
 

@@ -61,7 +61,8 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, most_owners: int = 2, most_repositories: int = 10) -> DataFrame:
-    """One row per row of ``docs``: ``row``, doc_id, base (spans), spans (all), live, copied (numbers of values).
+    """One row per row of ``docs``: ``row``, doc_id, base (spans), spans (all, each with the ``repositories`` and ``owners`` that have its
+    value), live, copied (numbers of values).
 
     A value that over ``most_owners`` owners have, or over ``most_repositories`` documents of different
     texts, is a copied example; others look live. All base spans
@@ -69,11 +70,11 @@ def scan(docs: DataFrame, most_owners: int = 2, most_repositories: int = 10) ->
     """
     found = durable(candidates(docs))
     live = (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories)
-    freq = durable(ownership(found).select("h1", "h2", "n", live.alias("live")))
+    freq = durable(ownership(found).select("h1", "h2", "n", live.alias("live"), "repositories", "owners"))
     each = with_fact(found.select("row", F.inline("found")), freq, ["h1", "h2"], "n")
-    judged = each.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end", "live")).alias("judged"))
+    judged = each.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end", "live", "repositories", "owners")).alias("judged"))
     rows = found.select("row", "doc_id").join(judged, "row", "left")
-    rows = rows.withColumn("judged", F.coalesce("judged", F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean>>")))
+    rows = rows.withColumn("judged", F.coalesce("judged", F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean,repositories:bigint,owners:bigint>>")))
     rows = with_blocks(rows.withColumn("base", F.filter("judged", lambda s: s["kind"] < 3)), "base", "blocks")
     added = F.filter("judged", lambda s: (s["kind"] == 3) & s["live"] & ~overlaps("blocks", s))
     rows = rows.withColumn("spans", F.concat("base", added))
@@ -81,11 +82,12 @@ def scan(docs: DataFrame, most_owners: int = 2, most_repositories: int = 10) ->
 
 
 def secrets_report(docs: DataFrame, most_owners: int = 2, most_repositories: int = 10) -> DataFrame:
-    """Digest of :func:`scan`: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied.
+    """Digest of :func:`scan`: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, and of its values the most
+    repositories and owners that one has (0: it has none).
 
     Documents stand for repositories, their ``source`` for the owner. Null text is empty and has no spans.
     Repeated rows give a row each; no rows, none. Other columns are not looked at.
     """
     found = scan(docs.select("doc_id", "text", F.col("source").alias("owner")), most_owners, most_repositories)
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-    return found.select("doc_id", count(0), count(1), count(2), F.sha2(joined(F.col("base"), KINDS), 256).alias("base_sha256"), joined(F.col("spans"), KINDS).alias("spans"), F.col("live").alias("n_live"), F.col("copied").alias("n_copied"))
+    return found.select("doc_id", count(0), count(1), count(2), F.sha2(joined(F.col("base"), KINDS), 256).alias("base_sha256"), joined(F.col("spans"), KINDS).alias("spans"), F.col("live").alias("n_live"), F.col("copied").alias("n_copied"), *[F.coalesce(F.array_max(F.transform("spans", lambda s: s[c])), F.lit(0).cast("long")).alias(f"most_{c}") for c in ("repositories", "owners")])
