@@ -21,7 +21,7 @@ def test_names_and_sql_belong_together():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["build_panel", "apply_pit_rules", "index_series", "compute_indices", "dedup_cross_venue", "corr_and_leadlag", "store_finalize", "stream_upsert_prices", "stream_late_ticks", "src_landed_files_a", "src_landed_files_b", "compare_benchmarks", "check_many_windows", "apply_pit_rules_bucketed", "cross_param_rows", "categorize"])
+@pytest.mark.parametrize("name", ["build_panel", "apply_pit_rules", "index_series", "compute_indices", "dedup_cross_venue", "corr_and_leadlag", "store_finalize", "stream_upsert_prices", "stream_late_ticks", "src_landed_files_a", "compare_benchmarks", "check_many_windows", "cross_param_rows"])
 def test_rows_equal_the_sql(spark, name):
     db = duckdb.connect()
     for t in ("events", "lineitem", "orders", "documents"):
