@@ -15,6 +15,8 @@ from .common import durable
 AT_ONCE = 4096
 #: Entries are scaled and moved to whole numbers.
 SCALE, SHIFT = 64, 1_000_000
+#: Numbers in a stored matrix.
+BLOCK = 1 << 17
 #: Largest absolute entry; beyond it sums of whole numbers could leave 64 bits.
 LARGEST = float(1 << 50)
 
@@ -35,19 +37,33 @@ def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
             yield part, column.flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
 
 
-def _summed(rows: DataFrame, part) -> np.ndarray:
-    """``part(matrix)``, an array of one length, summed over all rows of ``rows(x)``. Each task gives one row of sums and
+def _blocks(rows: DataFrame, dims: int) -> DataFrame:
+    """``rows(x)``, all of ``dims`` numbers, as a table of matrices: one value of bytes for up to BLOCK numbers, as each pass would else
+    take every number out of an array again."""
+    most = max(1, BLOCK // dims)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.ascontiguousarray(b.column("x").flatten().to_numpy(zero_copy_only=False), dtype=np.int64).reshape(b.num_rows, dims)
+            yield pa.RecordBatch.from_arrays([pa.array([x[at : at + most].tobytes() for at in range(0, len(x), most)], pa.binary())], names=["block"])
+
+    return durable(rows.select("x").mapInArrow(run, "block binary"))
+
+
+def _summed(blocks: DataFrame, dims: int, part) -> np.ndarray:
+    """``part(matrix)``, an array of one length, summed over all ``blocks``. Each task gives one row of sums and
     Spark adds them up by place, so the driver gets one array however many tasks there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
-        for _, x in _matrices(batches):
-            own = part(x)
-            total = own if total is None else total + own
+        for b in batches:
+            for block in b.column("block"):
+                own = part(np.frombuffer(block.as_buffer(), dtype=np.int64).reshape(-1, dims))
+                total = own if total is None else total + own
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["sums"])
 
-    sums = rows.select("x").mapInArrow(run, "sums array<double>").select(F.posexplode("sums").alias("at", "s")).groupBy("at").agg(F.sum("s").alias("s"))
+    sums = blocks.mapInArrow(run, "sums array<double>").select(F.posexplode("sums").alias("at", "s")).groupBy("at").agg(F.sum("s").alias("s"))
     found = sorted(sums.collect())
     return np.array([r.s for r in found])
 
@@ -68,8 +84,8 @@ def exact_sums(rows: DataFrame) -> tuple[int, list[int]]:
     return (found[0].n if found else 0), [int(r.s) for r in found]
 
 
-def bidiagonalise(rows: DataFrame, n: int, totals: np.ndarray, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """``(V, B)``: A V = U B for the centred rows A of ``rows(x)``, with orthonormal V (dims x k) and upper bidiagonal B.
+def bidiagonalise(blocks: DataFrame, n: int, totals: np.ndarray, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """``(V, B)``: A V = U B for the centred rows A that ``blocks`` hold, with orthonormal V (dims x k) and upper bidiagonal B.
 
     Step j multiplies A by v_j, takes away what lies along the earlier u's (in exact arithmetic only the last of
     them), and multiplies A' by the new u_j; what is left of that, orthogonal to all v's, is the next v. Both sides are
@@ -103,7 +119,7 @@ def bidiagonalise(rows: DataFrame, n: int, totals: np.ndarray, seed: int = 5) ->
             w = a @ z
             return np.r_[w @ w, a.T @ w, (w @ a) @ ys]
 
-        found = _summed(rows, products)
+        found = _summed(blocks, dims, products)
         square, back, along = found[0], found[1 : 1 + dims], found[1 + dims :]
         z, back = z - y_all @ along, back - t_all @ along
         alpha = np.sqrt(max(0.0, square - along @ along))
@@ -124,10 +140,10 @@ def bidiagonalise(rows: DataFrame, n: int, totals: np.ndarray, seed: int = 5) ->
     return v_all, b_all
 
 
-def components(rows: DataFrame, n: int, totals: np.ndarray, most: int = 32) -> tuple[np.ndarray, np.ndarray]:
-    """``(directions, eigenvalues)`` of the covariance of ``rows(x)``, at most ``most``, largest first; those of deviation
+def components(blocks: DataFrame, n: int, totals: np.ndarray, most: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """``(directions, eigenvalues)`` of the covariance of the rows that ``blocks`` hold, at most ``most``, largest first; those of deviation
     zero (under 1e-9 of the largest) are left out."""
-    v, b = bidiagonalise(rows, n, totals)
+    v, b = bidiagonalise(blocks, n, totals)
     _, deviations, right = np.linalg.svd(b)
     keep = deviations[:most] > 1e-9 * max(deviations[:1].max(initial=0.0), 1e-300)
     return (v @ right.T)[:, :most][:, keep], deviations[:most][keep] ** 2 / n
@@ -155,18 +171,21 @@ def whiten(vectors: DataFrame, most: int = 32) -> DataFrame:
     largest = rows.agg(F.max(F.array_max(F.transform("x", lambda c: F.abs(c))))).first()[0]
     fits = 2 * n * max(largest, 1) < 1 << 63
     totals = totals.astype(np.int64) if fits else totals
-    directions, values = components(rows, n, totals, most)
+    dims = lengths[0].dims
+    blocks = _blocks(rows, dims)
+    directions, values = components(blocks, n, totals, most)
     k = len(values)
     if not k:
         return vectors.sparkSession.createDataFrame([], schema)
     project = directions / np.sqrt(values)
-    trace = float(_summed(rows, lambda x: np.array([np.square(_centre(x, n, totals)).sum()]))[0]) / n
 
     def moments(x: np.ndarray) -> np.ndarray:
-        w = _centre(x, n, totals) @ project
-        return np.r_[w.sum(axis=0), (w.T @ w).ravel()]
+        a = _centre(x, n, totals)
+        w = a @ project
+        return np.r_[np.square(a).sum(), w.sum(axis=0), (w.T @ w).ravel()]
 
-    found = _summed(rows, moments)
+    found = _summed(blocks, dims, moments)
+    trace, found = found[0] / n, found[1:]
     mean = found[:k] / n
     error = float(np.abs(found[k:].reshape(k, k) / n - np.outer(mean, mean) - np.eye(k)).max())
     explained = (values / trace).tolist()
