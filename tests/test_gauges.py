@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tideglass.operators import gauges, validate
 from tideglass.params import CATEGORIES, SPORTS, UNIVERSES, Params
+from tideglass.sources.shared import durable
 
 PANEL = "market_id string, date date, close_prob double, weight double, category string, eligible boolean"
 DAY = dt.date(2024, 6, 1)
@@ -326,3 +327,47 @@ def test_sinks_are_sorted(spark):
     tidy = [(day(rng.randrange(60)), rng.choice(list(UNIVERSES)), rng.choice(["turbulence", "unresolvedness"]), 0.0) for _ in range(3000)]
     found = gauges.sort_tidy(spark.createDataFrame(tidy, "date date, index string, gauge string, raw double").repartition(5))
     assert [(r["index"], r.gauge, r.date) for r in found.collect()] == sorted((i, g, d) for d, i, g, _ in tidy)
+
+
+def plain_series(flagged):
+    return gauges.index_series(gauges.fan_out(gauges.last_per_day(flagged.where("eligible")).withColumn("eligible", F.lit(True))), ["index"])
+
+
+def by_index(series):
+    return {(r["index"], r.date): (r.turbulence, r.unresolvedness, r.n_constituents) for r in series.collect()}
+
+
+def test_a_market_is_one_series_for_all_its_indexes(spark):
+    rows = noise(spark, days=40) + [(f"c{m}", d, p, w, "CRYPTO", e) for m, d, p, w, _, e in noise(spark, days=40, seed=31)]
+    flagged = panel(spark, rows)
+    own = gauges.by_market(durable(gauges.last_per_day(flagged)))
+    assert own.where("index is null").count() == own.count() == len(rows)
+    assert written(gauges.with_vol(own, ["index", "of"], F.lit(10.0))) < 1.1 * len(rows)
+    assert by_index(gauges.universe_series(gauges.last_per_day(flagged))) == by_index(plain_series(flagged))
+
+
+def test_markets_whose_indexes_have_other_days_are_a_series_each(spark):
+    """Few markets with gaps, so spines differ; some change their category; some days have no price."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for m in range(12):
+        first, last = sorted(rng.choice(60, 2, replace=False))
+        for k in range(first, last + 1):
+            if rng.random() < (0.4 if m % 3 else 0.95):
+                cat = ("WAR", "CRYPTO", "CLIMATE", "SPORTS")[(m + (m == 5 and k > 30)) % 4]
+                rows.append((f"m{m}", day(k), None if rng.random() < 0.05 else float(rng.uniform(0.02, 0.98)), float(rng.uniform(0, 15)), cat, True))
+    flagged = panel(spark, rows)
+    own = gauges.by_market(gauges.last_per_day(flagged))
+    assert 0 < own.where("index is null").count() < own.count()
+    got, want = by_index(gauges.universe_series(gauges.last_per_day(flagged))), by_index(plain_series(flagged))
+    assert got == want and any(v[0] is not None for v in want.values())
+
+
+def test_sums_in_whole_numbers_are_those_of_decimals(spark):
+    from decimal import Decimal
+
+    rng = np.random.default_rng(9)
+    for scale in (1e-6, 1.0, 1e9):
+        values = [float(v) for v in rng.uniform(-scale, scale, 500)]
+        got = spark.createDataFrame([(v,) for v in values], "v double").agg(gauges.total(gauges.exact_sum(F.col("v"))).alias("s")).first().s
+        assert got == pytest.approx(float(sum(map(Decimal, values))), abs=1e-9 + scale * 1e-12)

@@ -12,11 +12,10 @@ from ..functions.scalars import binary_entropy, known, logit
 from ..params import UNIVERSES, Params
 from ..sources.shared import durable
 
-_EXACT = "decimal(28,12)"
-
 
 def index_universe(spark, universes: dict[str, tuple[str, ...]] = UNIVERSES) -> DataFrame:
-    return spark.createDataFrame([(i, c) for i, cs in universes.items() for c in cs], "index string, category string")
+    pairs = [F.struct(F.lit(i).alias("index"), F.lit(c).alias("category")) for i, cs in universes.items() for c in cs]
+    return spark.range(1).select(F.inline(F.array(*pairs)))
 
 
 def fan_out(flagged: DataFrame, universes: dict[str, tuple[str, ...]] = UNIVERSES) -> DataFrame:
@@ -32,9 +31,10 @@ def date_spine(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def innovations(rows: DataFrame, by: list[str], params: Params = Params(), spine: DataFrame | None = None) -> DataFrame:
     """``innov``: change of the logit from the day before on the index's own spine; null after a gap. ``spine``, if it
-    is known already, has columns of ``rows``, ``date`` and ``ix``, and is broadcast: it has a row per series and day."""
+    is known already, has columns of ``rows``, ``date`` and ``ix``, and is broadcast: it has a row per series and day. Rows that have ``ix`` need none."""
     priced = rows.where("close_prob is not null")
-    priced = priced.join(date_spine(rows, by), [*by, "date"]) if spine is None else priced.join(F.broadcast(spine), [c for c in spine.columns if c != "ix"])
+    if "ix" not in rows.columns:
+        priced = priced.join(date_spine(rows, by), [*by, "date"]) if spine is None else priced.join(F.broadcast(spine), [c for c in spine.columns if c != "ix"])
     w = W.partitionBy(*by, "market_id").orderBy("date")
     x = priced.withColumn("logit", logit(F.col("close_prob"), params))
     return x.withColumn("innov", F.when(F.col("ix") - F.lag("ix").over(w) == 1, F.col("logit") - F.lag("logit").over(w))).drop("logit")
@@ -59,29 +59,109 @@ def with_vol(rows: DataFrame, by: list[str], halflife: Column, params: Params =
     x = x.withColumn("block", F.floor((nth - 1) / size).cast("int"))
     place = nth - 1 - F.col("block") * size
     x = x.withColumn("pull", F.when(r.isNotNull(), r * r * F.pow(F.lit(2.0), place / halflife)))
-    blocks = own.orderBy("block")
+    x = x.withColumn("within", F.sum("pull").over(W.partitionBy(*by, "market_id", "block").orderBy("date").rowsBetween(W.unboundedPreceding, 0)))
+    blocks = own.orderBy("block")  # rows are in this order already
     last = lambda k: F.coalesce(F.sum("pull").over(blocks.rangeBetween(-k, -k)), F.lit(0.0)) * F.pow(F.lit(2.0), -k * size / halflife)
     x = x.withColumn("carried", last(1) + last(2))
-    within = F.sum("pull").over(W.partitionBy(*by, "market_id", "block").orderBy("date").rowsBetween(W.unboundedPreceding, 0))
-    x = x.withColumn("pulled", (within + F.col("carried")) * F.pow(F.lit(2.0), -place / halflife))
+    x = x.withColumn("pulled", (F.col("within") + F.col("carried")) * F.pow(F.lit(2.0), -place / halflife))
     rate = -F.lit(math.log(2.0)) / halflife
     weights = F.expm1(rate * nth) / F.expm1(rate)
     x = x.withColumn("vol", F.when(r.isNotNull() & (nth >= params.ewma_min_periods), F.sqrt(F.col("pulled") / weights)))
-    return x.drop("nth", "block", "pull", "carried", "pulled")
+    return x.drop("nth", "block", "pull", "within", "carried", "pulled")
 
 
-def weighted_mean(value: Column, w: Column) -> Column:
-    """Mean by weight of rows with a value and a weight above zero, in decimals, so that order doesn't matter."""
+def exact_sum(x: Column) -> list[Column]:
+    """Sum of ``x`` to 12 places as three sums of whole numbers: of the units, the millionths, and the millionths of those. They don't depend
+    on the order of rows, can be summed again, and cost less than decimals. :func:`total` is their value."""
+    units = F.floor(x)
+    fine = (x - units) * 1e6
+    millionths = F.floor(fine)
+    return [F.sum(units), F.sum(millionths), F.sum(F.round((fine - millionths) * 1e6).cast("long"))]
+
+
+def total(sums: list[Column]) -> Column:
+    units, millionths, rest = sums
+    return units + (millionths + rest / 1e6) / 1e6
+
+
+def _weighted(value: Column, w: Column) -> tuple[list[Column], list[Column]]:
+    """Exact sums of values by weight, and of weights, over rows with a value and a weight above zero."""
     use = value.isNotNull() & (w > 0)
-    return F.try_divide(F.sum(F.when(use, (value * w).cast(_EXACT))).cast("double"), F.sum(F.when(use, w.cast(_EXACT))).cast("double"))
+    return exact_sum(F.when(use, value * w)), exact_sum(F.when(use, w))
+
+
+def weighted_mean(value: Column, w: Column) -> Column:
+    """Mean by weight of rows with a value and a weight above zero, in whole numbers, so that order doesn't matter."""
+    above, below = _weighted(value, w)
+    return F.try_divide(total(above), total(below))
+
+
+_GAUGES = ("turbulence", "unresolvedness")
+_parts = lambda gauge, what: [f"{gauge}_{what}_{k}" for k in range(3)]
+
+
+def gauge_sums(rows: DataFrame, by: list[str], params: Params = Params()) -> DataFrame:
+    """Sums of each of ``by`` and day over ``rows`` with ``vol``, from which :func:`from_sums` makes the gauges; they may be summed again."""
+    w = F.col("weight")
+    weighed = rows.withColumn("entropy", binary_entropy(F.col("close_prob"), params))
+    sums = []
+    for gauge, value in zip(_GAUGES, ("vol", "entropy")):
+        above, below = _weighted(F.col(value), w)
+        sums += [s.alias(n) for s, n in zip(above + below, _parts(gauge, "above") + _parts(gauge, "below"))]
+    return weighed.groupBy(*by, "date").agg(*sums, F.count_if(w > 0).alias("n_constituents"))
+
+
+def from_sums(sums: DataFrame, by: list[str]) -> DataFrame:
+    """Raw gauges and members for each of ``by`` and day."""
+    whole = lambda g, what: total([F.col(c) for c in _parts(g, what)])
+    return sums.select(*by, "date", *[F.round(F.try_divide(whole(g, "above"), whole(g, "below")), 10).alias(g) for g in _GAUGES], "n_constituents")
 
 
 def index_series(rows: DataFrame, by: list[str], halflife: Column | None = None, params: Params = Params(), spine: DataFrame | None = None) -> DataFrame:
     """Raw gauges and members for each of ``by`` and day."""
     x = with_vol(rows, by, F.lit(float(params.ewma_halflife)) if halflife is None else halflife, params, spine)
-    x = x.withColumn("entropy", binary_entropy(F.col("close_prob"), params))
-    w = F.col("weight")
-    return x.groupBy(*by, "date").agg(F.round(weighted_mean(F.col("vol"), w), 10).alias("turbulence"), F.round(weighted_mean(F.col("entropy"), w), 10).alias("unresolvedness"), F.count_if(w > 0).alias("n_constituents"))
+    return from_sums(gauge_sums(x, by, params), by)
+
+
+def spines(rows: DataFrame, universe: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(index, date, ix)``, the numbered days of every index; and ``(category, date, first_ix, stretch)``: the number of a category's day on
+    the first index it feeds, and a number that tells category and distances to its numbers on the others. Both have a row per name and day."""
+    days = durable(rows.where("close_prob is not null").select("category", "date").distinct())
+    fed = days.join(F.broadcast(universe), "category")
+    spine = durable(fed.select("index", "date").distinct().withColumn("ix", F.row_number().over(W.partitionBy("index").orderBy("date"))))
+    places = fed.join(F.broadcast(spine), ["index", "date"]).groupBy("category", "date").agg(F.array_sort(F.collect_list(F.struct("index", "ix"))).alias("at"))
+    first = F.get("at", 0)["ix"]
+    apart = places.select("category", "date", first.alias("first_ix"), F.transform("at", lambda x: x["ix"] - first).alias("apart"))
+    kinds = apart.select("category", "apart").distinct().withColumn("stretch", F.row_number().over(W.orderBy("category", "apart")))
+    return spine, durable(apart.join(F.broadcast(kinds), ["category", "apart"]).drop("apart"))
+
+
+def by_market(rows: DataFrame, universes: dict[str, tuple[str, ...]] = UNIVERSES) -> DataFrame:
+    """Rows with a price and with ``ix``, each market's once for all indexes where their days allow, else once for each index.
+
+    A market of one category whose numbers on all the spines it is on keep their distances over its whole life has the same gaps in each index, so the
+    same ``vol``. Its rows have no ``index``, but the category as ``of``; the others have an ``index`` and no ``of``. Rows travel once, to their market's task.
+    """
+    universe = index_universe(rows.sparkSession, universes)
+    spine, places = spines(rows, universe)
+    own = W.partitionBy("market_id")
+    dealt = rows.where("close_prob is not null").repartition("market_id").join(F.broadcast(places), ["category", "date"])
+    dealt = dealt.withColumn("one", F.min("stretch").over(own) == F.max("stretch").over(own))
+    feeds = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*[F.lit(i) for i in x]) for c in sorted({c for cs in universes.values() for c in cs}) for x in (c, [i for i, cs in universes.items() if c in cs])])
+    each = dealt.withColumn("index", F.explode(F.when(F.col("one"), F.array(F.lit(None).cast("string"))).otherwise(F.element_at(feeds, F.col("category")))))
+    placed = each.join(F.broadcast(spine), ["index", "date"], "left")
+    return placed.select("index", F.when(F.col("one"), F.col("category")).alias("of"), "market_id", "date", "close_prob", "weight", F.coalesce("ix", "first_ix").alias("ix"))
+
+
+def universe_series(rows: DataFrame, params: Params = Params(), universes: dict[str, tuple[str, ...]] = UNIVERSES) -> DataFrame:
+    """:func:`index_series` of every index over ``rows(market_id, date, category, close_prob, weight)``. Sums of markets that count once for all
+    indexes (:func:`by_market`) are made by category, and added up for each index afterwards."""
+    keys = ["index", "of"]
+    sums = durable(gauge_sums(with_vol(by_market(rows, universes), keys, F.lit(float(params.ewma_halflife)), params), keys, params))
+    fed = sums.drop("index").join(F.broadcast(index_universe(rows.sparkSession, universes)), F.col("of") == F.col("category"))
+    values = [c for c in sums.columns if c not in (*keys, "date")]
+    both = sums.where("of is null").select("index", "date", *values).union(fed.select("index", "date", *values))
+    return from_sums(both.groupBy("index", "date").agg(*[F.sum(v).alias(v) for v in values]), ["index"])
 
 
 def percentile_scale(rows: DataFrame, by: list[str], value: str, seed_days: int, out: str = "value") -> DataFrame:
@@ -124,7 +204,7 @@ def last_per_day(rows: DataFrame, order: list[str] | None = None) -> DataFrame:
     """
     def last(name: str) -> Column:
         x = known(F.col(name))
-        return F.max_by(x, F.when(x.isNotNull(), F.struct(*(order or [x.alias("x")])))).alias(name)
+        return (F.max_by(x, F.when(x.isNotNull(), F.struct(*order))) if order else F.max(x)).alias(name)
 
     return rows.groupBy("market_id", "date", "category").agg(last("close_prob"), last("weight"))
 
@@ -135,8 +215,8 @@ def compute_indices(flagged: DataFrame, params: Params = Params(), universes: di
     A market that has several eligible rows on a day counts once, as :func:`last_per_day` tells. Eligible rows
     are read for the spine and again for the gauges, and both results come from one series; so the rows and the series (one row per index and day) are written to the shared folder.
     """
-    rows = durable(last_per_day(flagged.where("eligible")).withColumn("eligible", F.lit(True)))
-    series = durable(index_series(fan_out(rows, universes), ["index"], params=params))
+    rows = durable(last_per_day(flagged.where("eligible")))
+    series = durable(universe_series(rows, params, universes))
     return tidy(series, ["index"], params.seed_days), series.select("date", "index", "n_constituents")
 
 

@@ -60,9 +60,11 @@ def indices(spark: SparkSession, sf_dir: str, params: Params = DEMO) -> tuple[Da
 
 
 def lineitem_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A long, sparse panel: suppliers as markets, shipping days as dates; all rows eligible, weight from price."""
+    """A long, sparse panel: suppliers as markets, shipping days as dates; all rows eligible, weight from price. Rows are dealt by market once, before
+    they are grouped, as nearly every row is a market's only one of its day."""
     order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
-    rows = read(spark, sf_dir, "lineitem").groupBy(F.concat(F.lit("s_"), F.col("l_suppkey").cast("string")).alias("market_id"), F.col("l_suppkey"), F.to_date("l_shipdate").alias("date")).agg(F.max_by("l_quantity", order).alias("q"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("price"))
+    lines = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("s_"), F.col("l_suppkey").cast("string")).alias("market_id"), "l_suppkey", F.to_date("l_shipdate").alias("date"), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
+    rows = lines.repartition("market_id").groupBy("market_id", "l_suppkey", "date").agg(F.max_by("l_quantity", order).alias("q"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("price"))
     names = F.array(*[F.lit(c) for c in ("WAR", "ELECTIONS", "POLITICS", "ECON_FED", "CRYPTO", "TECH_AI", "CLIMATE")])
     return rows.select("market_id", "date", (F.col("q") / 51.0).alias("close_prob"), F.log1p("price").alias("weight"), F.element_at(names, (F.col("l_suppkey") % 7 + 1).cast("int")).alias("category"), F.lit(True).alias("eligible"))
 
