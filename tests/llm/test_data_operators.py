@@ -145,6 +145,20 @@ def test_encoder_equals_the_tokenizer():
         assert encode(x) == np.array(encode.whole.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes(), repr(x)
 
 
+def test_new_words_of_a_text_are_encoded_at_once(monkeypatch):
+    """Three texts of 400 new words take a call each, and one for each first word of a line; ids are the tokenizer's, also with few words kept."""
+    from types import SimpleNamespace
+
+    texts = [" ".join(f"{'aé' * (k % 3)}w{k * 7919 + n}x" for k in range(400)) + " 中 end " for n in range(3)]
+    encode = packing.Encoder(*packing.public_vocabulary())
+    calls, real = [], encode.part.encode_ordinary
+    encode.part = SimpleNamespace(encode_ordinary=lambda text: calls.append(text) or real(text))
+    whole = lambda text: np.array(encode.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    assert [encode(t) for t in texts] == [whole(t) for t in texts] and len(calls) < 15
+    monkeypatch.setattr(packing, "KEPT_WORDS", 50)
+    assert [encode(t) for t in texts * 2] == [whole(t) for t in texts * 2]
+
+
 def test_vectors_equal_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(6)
     points = rng.standard_normal((120, 16))

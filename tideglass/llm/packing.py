@@ -23,20 +23,22 @@ CAPACITY = 2048
 KEPT_WORDS = 200_000
 #: Documents whose ids a task holds at once.
 ROWS_AT_ONCE = 500
+#: The first letter behind the Latin blocks.
+LATIN = "ɐ"
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
 class _Words(dict):
-    """Ids, as bytes, of a word that follows ``lead``; computed when first asked for."""
+    """Ids, as bytes, of a word; computed when first asked for."""
 
-    def __init__(self, lead: str, encode):
+    def __init__(self, encode):
         super().__init__()
-        self.lead, self.encode = lead, encode
+        self.encode = encode
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= KEPT_WORDS:
             self.clear()
-        ids = self[word] = self.encode(self.lead + word)
+        ids = self[word] = self.encode(word)
         return ids
 
 
@@ -45,7 +47,7 @@ class Encoder:
 
     A text whose only white space is single blanks and line ends is encoded word by word, as no token
     crosses those; ids of words seen before are looked up, others of the Latin blocks are found with the same
-    vocabulary's merge ranks. All else goes through the tokenizer itself as a whole.
+    vocabulary's merge ranks, those of a text all at once. All else goes through the tokenizer itself as a whole.
     """
 
     def __init__(self, vocabulary: str, ranks: str, pattern: str):
@@ -58,13 +60,29 @@ class Encoder:
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.part = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-        self.first, self.next = _Words("", self._word), _Words(" ", self._word)
+        self.first, self.next = _Words(self._word), {}  # first words of lines, and those after a blank
+        self.opens = np.zeros(1 + max(table.values()), dtype=bool)
+        self.opens[[n for token, n in table.items() if token.startswith(b" ")]] = True
 
     def _word(self, word: str) -> bytes:
-        if word and max(word) >= "ɐ":
+        if not word.isascii() and max(word) >= LATIN:
             return self._all(word)
         return np.array(self.part.encode_ordinary(word), dtype="<u4").tobytes()
 
+    def _learn(self, words: set[str]) -> None:
+        """Ids of ``words``, each after a blank, are known afterwards. New ones of the Latin blocks take one call: a word's ids are those from a token that
+        begins with a blank to the next such."""
+        new = words.difference(self.next)
+        if len(self.next) + len(new) > KEPT_WORDS:
+            self.next.clear()
+            new = words
+        plain = [w for w in new if w.isascii() and w or w and max(w) < LATIN]
+        ids = np.array(self.part.encode_ordinary(" " + " ".join(plain)) if plain else [], dtype="<u4")
+        coded, bounds = ids.tobytes(), [*(4 * np.flatnonzero(self.opens[ids])).tolist(), 4 * len(ids)]
+        self.next.update(zip(plain, map(coded.__getitem__, map(slice, bounds, bounds[1:])), strict=True))
+        if len(plain) < len(new):
+            self.next.update((w, self._word(" " + w)) for w in new.difference(plain))
+
     def _all(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
@@ -72,10 +90,11 @@ class Encoder:
         if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _OTHER_SPACE.search(text) or any(s in text for s in self.special):
             return self._all(text)
         out: list[bytes] = []
-        for k, line in enumerate(text.split("\n")):
+        lines = [line.split(" ") for line in text.split("\n")]
+        self._learn(set().union(*[words[1:] for words in lines]))
+        for k, words in enumerate(lines):
             if k:
                 out.append(self.first["\n"])
-            words = line.split(" ")
             out.append(self.first[words[0]])
             out.extend(map(self.next.__getitem__, words[1:]))
         return b"".join(out)
