@@ -382,3 +382,55 @@ def test_the_summary_computes_the_gauges_once(spark, monkeypatch):
     monkeypatch.setattr(core, "robustness_series", lambda s, d: s.createDataFrame([], "variant string, ord int, date date, value double"))
     core.queries()["validation_summary"](spark, "/root/testdata/sf0.001")
     assert len(calls) == 1
+
+
+def sorts_and_windows(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Sort ["), plan.count("Window [")
+
+
+def test_short_series_are_one_block_without_windows_over_blocks(spark):
+    rows = durable(panel(spark, noise(spark, days=60)).withColumn("index", F.lit("GLOBAL")))
+    long, short = (gauges.with_vol(rows, ["index"], F.lit(0.5), short=s) for s in (False, True))
+    seen = lambda x: {(r.market_id, r.date): r.vol for r in x.collect()}
+    got, want = seen(short), seen(long)
+    assert got.keys() == want.keys() and any(v is not None for v in want.values())
+    assert all(got[k] == pytest.approx(v, rel=1e-12) if v is not None else got[k] is None for k, v in want.items())
+    assert all(a < b for a, b in zip(sorts_and_windows(short), sorts_and_windows(long)))
+
+
+def test_long_series_still_are_blocks(spark):
+    """A half-life so short that the days are over 900 of it: 2^(days / half-life) would be no double."""
+    flagged = panel(spark, noise(spark, days=40))
+    got = by_index(gauges.universe_series(gauges.last_per_day(flagged), Params(ewma_halflife=0.02)))
+    want = {(r["index"], r.date): (r.turbulence, r.unresolvedness, r.n_constituents) for r in gauges.index_series(gauges.fan_out(flagged), ["index"], params=Params(ewma_halflife=0.02)).collect()}
+    assert got == want and any(v[0] is not None for v in want.values())
+
+
+def test_rows_of_one_a_day_are_not_grouped(spark, monkeypatch):
+    flagged = panel(spark, noise(spark, days=120) + [("n", day(3), float("nan"), 1.0, "WAR", True), ("n", day(4), 0.5, float("nan"), "WAR", True), ("n", day(5), 0.5, 1.0, "WAR", False)])
+    rows = lambda x: sorted((r["index"], r.date, r.gauge, r.raw, r.value) for r in x.collect())
+    want = [rows(gauges.compute_indices(flagged)[0].na.fill(-1.0))]
+    monkeypatch.setattr(gauges, "last_per_day", None)
+    assert [rows(gauges.compute_indices(flagged, one_a_day=True)[0].na.fill(-1.0))] == want
+
+
+def test_lines_of_a_day_are_sorted_once(spark, tmp_path):
+    """The last line by order counts, null keys before all others, with the sum of all prices."""
+    from tideglass.plans import demo
+
+    rng = np.random.default_rng(12)
+    one = lambda k: None if k == 3 else int(k)
+    lines = [(int(rng.integers(4)), dt.datetime(2024, 1, 1 + int(rng.integers(9))), one(rng.integers(4)), one(rng.integers(4)), one(rng.integers(4)), float(rng.integers(3)) + 0.25, float(rng.integers(1, 50))) for _ in range(600)]
+    spark.createDataFrame(lines, "l_suppkey long, l_shipdate timestamp, l_orderkey long, l_linenumber int, l_partkey long, l_extendedprice double, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    flagged = demo.lineitem_flagged(spark, str(tmp_path))
+    want: dict = {}
+    for s, d, *order in lines:
+        least = [-1 if x is None else x for x in order]
+        key, held = (f"s_{s}", d.date()), want.get((f"s_{s}", d.date()), ([-2], 0.0))
+        want[key] = (max(held[0], least), held[1] + order[3])
+    got = {(r.market_id, r.date): (r.close_prob, r.weight) for r in flagged.collect()}
+    assert got.keys() == want.keys() and flagged.count() == len(want)
+    assert all(got[k] == pytest.approx((order[-1] / 51.0, np.log1p(price))) for k, (order, price) in want.items())
+    plan = demo.lineitem_flagged(spark, str(tmp_path))
+    assert sorts_and_windows(plan) == (1, 1) and "SortAggregate" not in plan._jdf.queryExecution().executedPlan().toString()

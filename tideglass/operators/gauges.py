@@ -35,34 +35,40 @@ def innovations(rows: DataFrame, by: list[str], params: Params = Params(), spine
     priced = rows.where("close_prob is not null")
     if "ix" not in rows.columns:
         priced = priced.join(date_spine(rows, by), [*by, "date"]) if spine is None else priced.join(F.broadcast(spine), [c for c in spine.columns if c != "ix"])
-    w = W.partitionBy(*by, "market_id").orderBy("date")
+    w = W.partitionBy("market_id", *by).orderBy("date")
     x = priced.withColumn("logit", logit(F.col("close_prob"), params))
     return x.withColumn("innov", F.when(F.col("ix") - F.lag("ix").over(w) == 1, F.col("logit") - F.lag("logit").over(w))).drop("logit")
 
 
 #: Half-lives of one block of the EWMA's running sums, whose powers of two so stay finite.
 BLOCK_LIVES = 100.0
+#: Half-lives over which one block still is: 2^900 is a double.
+ONE_BLOCK = 900.0
 
 
-def with_vol(rows: DataFrame, by: list[str], halflife: Column, params: Params = Params(), spine: DataFrame | None = None) -> DataFrame:
+def with_vol(rows: DataFrame, by: list[str], halflife: Column, params: Params = Params(), spine: DataFrame | None = None, short: bool = False) -> DataFrame:
     """:func:`innovations` with ``vol``: root of the adjusted EWMA of squared innovations over valid ones.
 
     Weights of valid innovations are powers of two of their place from the start of a block of BLOCK_LIVES half-lives;
     a row's sum is its block's so far and those of the two blocks before, each scaled to the row (older ones
     weigh less than 2^-200). The weights' own sum is a geometric series. So no length of a series overflows.
+    ``short`` says that no series has more than ONE_BLOCK half-lives of days: it is one block, without windows over blocks.
     """
-    own = W.partitionBy(*by, "market_id")
+    own = W.partitionBy("market_id", *by)
     before = own.orderBy("date").rowsBetween(W.unboundedPreceding, 0)
     r, nth = F.col("innov"), F.col("nth")
     size = F.greatest(F.lit(1.0), F.floor(halflife * BLOCK_LIVES))
     x = innovations(rows, by, params, spine).withColumn("nth", F.count("innov").over(before))
-    x = x.withColumn("block", F.floor((nth - 1) / size).cast("int"))
+    x = x.withColumn("block", (F.lit(0) if short else F.floor((nth - 1) / size)).cast("int"))
     place = nth - 1 - F.col("block") * size
     x = x.withColumn("pull", F.when(r.isNotNull(), r * r * F.pow(F.lit(2.0), place / halflife)))
-    x = x.withColumn("within", F.sum("pull").over(W.partitionBy(*by, "market_id", "block").orderBy("date").rowsBetween(W.unboundedPreceding, 0)))
-    blocks = own.orderBy("block")  # rows are in this order already
-    last = lambda k: F.coalesce(F.sum("pull").over(blocks.rangeBetween(-k, -k)), F.lit(0.0)) * F.pow(F.lit(2.0), -k * size / halflife)
-    x = x.withColumn("carried", last(1) + last(2))
+    if short:
+        x = x.withColumn("within", F.sum("pull").over(before)).withColumn("carried", F.lit(0.0))
+    else:
+        x = x.withColumn("within", F.sum("pull").over(W.partitionBy("market_id", *by, "block").orderBy("date").rowsBetween(W.unboundedPreceding, 0)))
+        blocks = own.orderBy("block")  # rows are in this order already
+        last = lambda k: F.coalesce(F.sum("pull").over(blocks.rangeBetween(-k, -k)), F.lit(0.0)) * F.pow(F.lit(2.0), -k * size / halflife)
+        x = x.withColumn("carried", last(1) + last(2))
     x = x.withColumn("pulled", (F.col("within") + F.col("carried")) * F.pow(F.lit(2.0), -place / halflife))
     rate = -F.lit(math.log(2.0)) / halflife
     weights = F.expm1(rate * nth) / F.expm1(rate)
@@ -136,16 +142,16 @@ def spines(rows: DataFrame, universe: DataFrame) -> tuple[DataFrame, DataFrame]:
     return spine, durable(apart.join(F.broadcast(kinds), ["category", "apart"]).drop("apart"))
 
 
-def by_market(rows: DataFrame, universes: dict[str, tuple[str, ...]] = UNIVERSES) -> DataFrame:
+def by_market(rows: DataFrame, universes: dict[str, tuple[str, ...]] = UNIVERSES, known_spines: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Rows with a price and with ``ix``, each market's once for all indexes where their days allow, else once for each index.
 
     A market of one category whose numbers on all the spines it is on keep their distances over its whole life has the same gaps in each index, so the
-    same ``vol``. Its rows have no ``index``, but the category as ``of``; the others have an ``index`` and no ``of``. Rows travel once, to their market's task.
+    same ``vol``. Its rows have no ``index``, but the category as ``of``; the others have an ``index`` and no ``of``. Rows travel once, to their market's task,
+    and are sorted there by day: what windows over them sort again is in order already. ``known_spines`` are those of :func:`spines`, if they are made already.
     """
-    universe = index_universe(rows.sparkSession, universes)
-    spine, places = spines(rows, universe)
+    spine, places = known_spines or spines(rows, index_universe(rows.sparkSession, universes))
     own = W.partitionBy("market_id")
-    dealt = rows.where("close_prob is not null").repartition("market_id").join(F.broadcast(places), ["category", "date"])
+    dealt = rows.where("close_prob is not null").repartition("market_id").join(F.broadcast(places), ["category", "date"]).sortWithinPartitions("market_id", "date")
     dealt = dealt.withColumn("one", F.min("stretch").over(own) == F.max("stretch").over(own))
     feeds = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*[F.lit(i) for i in x]) for c in sorted({c for cs in universes.values() for c in cs}) for x in (c, [i for i, cs in universes.items() if c in cs])])
     each = dealt.withColumn("index", F.explode(F.when(F.col("one"), F.array(F.lit(None).cast("string"))).otherwise(F.element_at(feeds, F.col("category")))))
@@ -156,8 +162,10 @@ def by_market(rows: DataFrame, universes: dict[str, tuple[str, ...]] = UNIVERSES
 def universe_series(rows: DataFrame, params: Params = Params(), universes: dict[str, tuple[str, ...]] = UNIVERSES) -> DataFrame:
     """:func:`index_series` of every index over ``rows(market_id, date, category, close_prob, weight)``. Sums of markets that count once for all
     indexes (:func:`by_market`) are made by category, and added up for each index afterwards."""
-    keys = ["index", "of"]
-    sums = durable(gauge_sums(with_vol(by_market(rows, universes), keys, F.lit(float(params.ewma_halflife)), params), keys, params))
+    keys, halflife = ["index", "of"], float(params.ewma_halflife)
+    found = spines(rows, index_universe(rows.sparkSession, universes))
+    short = (found[0].agg(F.max("ix")).first()[0] or 0) <= ONE_BLOCK * halflife
+    sums = durable(gauge_sums(with_vol(by_market(rows, universes, found), keys, F.lit(halflife), params, short=short), keys, params))
     fed = sums.drop("index").join(F.broadcast(index_universe(rows.sparkSession, universes)), F.col("of") == F.col("category"))
     values = [c for c in sums.columns if c not in (*keys, "date")]
     both = sums.where("of is null").select("index", "date", *values).union(fed.select("index", "date", *values))
@@ -209,13 +217,15 @@ def last_per_day(rows: DataFrame, order: list[str] | None = None) -> DataFrame:
     return rows.groupBy("market_id", "date", "category").agg(last("close_prob"), last("weight"))
 
 
-def compute_indices(flagged: DataFrame, params: Params = Params(), universes: dict[str, tuple[str, ...]] = UNIVERSES) -> tuple[DataFrame, DataFrame]:
+def compute_indices(flagged: DataFrame, params: Params = Params(), universes: dict[str, tuple[str, ...]] = UNIVERSES, one_a_day: bool = False) -> tuple[DataFrame, DataFrame]:
     """``(indices, constituents)``; no eligible row gives two empty tables of the same columns.
 
-    A market that has several eligible rows on a day counts once, as :func:`last_per_day` tells. Eligible rows
+    A market that has several eligible rows on a day counts once, as :func:`last_per_day` tells; ``one_a_day`` says that
+    no market has several rows on a day, so that they need not be grouped. Eligible rows
     are read for the spine and again for the gauges, and both results come from one series; so the rows and the series (one row per index and day) are written to the shared folder.
     """
-    rows = durable(last_per_day(flagged.where("eligible")))
+    eligible = flagged.where("eligible")
+    rows = durable(eligible.select("market_id", "date", "category", *[known(F.col(c)).alias(c) for c in ("close_prob", "weight")]) if one_a_day else last_per_day(eligible))
     series = durable(universe_series(rows, params, universes))
     return tidy(series, ["index"], params.seed_days), series.select("date", "index", "n_constituents")
 
