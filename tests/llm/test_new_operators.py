@@ -279,3 +279,38 @@ def test_products_compose(spark):
     ns = [0, 1, 5, 63, 64, 100_000, 1 << 30]
     got = spark.createDataFrame([(n,) for n in ns], "n long").select("n", by.up(F.col("n")).alias("p")).collect()
     assert {r.n: r.p for r in got} == {n: pow(7, n, 1_000_003) for n in ns}
+
+
+def test_webp_depths_are_those_of_a_heap():
+    import heapq
+
+    from tideglass.llm import webp
+
+    rng = np.random.default_rng(21)
+    for n in (1, 2, 3, 19, 60, 280):
+        for top in (2, 5, 1000, 10**9):
+            weights = [int(w) for w in rng.integers(1, top, n)]
+            heap = [(w, k) for k, w in enumerate(weights)]
+            heapq.heapify(heap)
+            above = {}
+            for new in range(n, 2 * n - 1):
+                (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
+                above[x] = above[y] = new
+                heapq.heappush(heap, (a + b, new))
+            depth = lambda k: 1 + depth(above[k]) if k in above else 0
+            assert webp._depths(weights, 300) == ([depth(k) for k in range(n)] if n > 1 else [1])
+            short = webp._depths(weights, 15)
+            assert max(short) <= 15 and (n == 1 or sum(2.0**-d for d in short) == 1.0)
+
+
+def test_webp_headers_are_not_read_symbol_by_symbol(monkeypatch):
+    from tideglass.llm import webp
+
+    payload = webp.pad("The quick brown fox jumps over the lazy dog, 0123456789 times; WHY? " + "".join(chr(33 + k * 7 % 90) for k in range(300)))[0]
+    media, peeks, plain = webp.store(payload), [], webp.Bits.peek
+    monkeypatch.setattr(webp.Bits, "peek", lambda self, n: peeks.append(n) or plain(self, n))
+    assert webp.load(media) == payload
+    assert len(peeks) < 90
+    cut = media[:20] + media[20:60]
+    with pytest.raises(ValueError):
+        webp.load(cut[:4] + (len(cut) - 8).to_bytes(4, "little") + cut[8:16] + (len(cut) - 20).to_bytes(4, "little") + cut[20:])

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import heapq
 import struct
 import zlib
 from collections.abc import Iterator
@@ -46,16 +45,19 @@ class Bits:
 
     def __init__(self, data: bytes, at: int = 0):
         self.data, self.at = data, at
-        self.held: list[int] = []
-        self.base = 0
+        self.held, self.base, self.end = 0, 0, -1
 
     def peek(self, n: int) -> int:
         """The next ``n`` bits, 32 at most; past the end are zeros."""
-        k = self.at - self.base
-        if not 0 <= k < len(self.held):
-            self.base, k = self.at, 0
-            self.held = self.windows(min(1024, max(1, 8 * len(self.data) - self.at))).tolist()
-        return self.held[k] & ((1 << n) - 1)
+        if not self.base <= self.at <= self.end:
+            self.base = self.at & ~7
+            self.end, self.held = self.base + 1024, self.number(1024 + 32)
+        return self.held >> (self.at - self.base) & ((1 << n) - 1)
+
+    def number(self, n: int) -> int:
+        """At least the next ``n`` bits from the start of this byte on, as one number; past the end are zeros."""
+        first = self.at >> 3
+        return int.from_bytes(self.data[first : first + n // 8 + 2], "little")
 
     def read(self, n: int) -> int:
         value = self.peek(n)
@@ -120,6 +122,23 @@ class Code:
         return step >> 4
 
 
+@functools.cache
+def _places(depth: int) -> list[int]:
+    return _reversed(depth).tolist()
+
+
+def _kinds_table(kinds: list[int]) -> list[int]:
+    """The code of code lengths (at most 7 bits each): symbol and length for each value of the next bits."""
+    used = sorted((n, k) for k, n in enumerate(kinds) if n)
+    if len(used) < 2:
+        return [used[0][1] << 4 if used else 0]
+    depth = used[-1][0]
+    flat = [k << 4 | n for n, k in used for _ in range(1 << (depth - n))]
+    if len(flat) != 1 << depth:
+        raise ValueError("a prefix code is not complete")
+    return [flat[k] for k in _places(depth)]
+
+
 def _code(bits: Bits, alphabet: int) -> Code:
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
@@ -130,19 +149,32 @@ def _code(bits: Bits, alphabet: int) -> Code:
         lengths[[first, bits.read(8)]] = 1
         return Code(lengths)
     lengths: list[int] = []
-    kinds = np.zeros(19, dtype=np.int64)
+    kinds = [0] * 19
     for k in LENGTH_ORDER[: 4 + bits.read(4)]:
         kinds[k] = bits.read(3)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    code, last = Code(kinds), 8
+    table, last = _kinds_table(kinds), 8
+    mask = len(table) - 1
+    at = start = bits.at & 7
+    ahead = bits.number(14 * alphabet)  # of at most 7 bits and 7 more for a length
     while len(lengths) < alphabet and left:
         left -= 1
-        k = code.read(bits)
+        step = table[ahead >> at & mask]
+        at += step & 15
+        k = step >> 4
         if k < 16:
             lengths.append(k)
             last = k or last
+        elif k == 16:
+            lengths += [last] * (3 + (ahead >> at & 3))
+            at += 2
+        elif k == 17:
+            lengths += [0] * (3 + (ahead >> at & 7))
+            at += 3
         else:
-            lengths += [last] * (3 + bits.read(2)) if k == 16 else [0] * (3 + bits.read(3)) if k == 17 else [0] * (11 + bits.read(7))
+            lengths += [0] * (11 + (ahead >> at & 127))
+            at += 7
+    bits.skip(at - start)
     if len(lengths) > alphabet:
         raise ValueError("too many code lengths")
     return Code(np.array(lengths + [0] * (alphabet - len(lengths)), dtype=np.int64))
@@ -196,11 +228,11 @@ def _grey(bits: Bits, green: Code, distance: Code, width: int, n: int) -> np.nda
         symbol = green.symbol.take(key)
         following = step.take(key)
         following += np.arange(stop)
-        some = np.flatnonzero(symbol > 255)
+        some = (symbol > 255).nonzero()[0]
         following[some] += far_step.take(window.take(following[some]) & far_mask)
         one = np.append(np.minimum(following, stop), stop)
         two = one.take(one)
-        chain, at, jump = [], 0, two.take(two).tolist()  # every fourth of the chain, then those between
+        chain, at, jump = [], 0, memoryview(two.take(two))  # every fourth of the chain, then those between
         while at < stop:
             chain.append(at)
             at = jump[at]
@@ -208,7 +240,7 @@ def _grey(bits: Bits, green: Code, distance: Code, width: int, n: int) -> np.nda
         place = np.stack([place, one[place], two[place], one[two[place]]], axis=1).ravel()
         place = place[place < stop]
         symbol = symbol[place]
-        copy = np.flatnonzero(symbol > 255)
+        copy = (symbol > 255).nonzero()[0]
         lengths = np.ones(len(place), dtype=np.int64)
         start = place[copy]
         size = symbol[copy] - 256
@@ -428,34 +460,48 @@ def riff(bits: np.ndarray) -> bytes:
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
     """Lengths of a prefix code for symbols by their counts, none over ``limit``; symbols that don't occur have none."""
     lengths = np.zeros(len(counts), dtype=np.int64)
-    used = np.flatnonzero(counts)
-    if len(used) < 2:
-        lengths[used] = 1
-        return lengths
-    weights = counts[used].tolist()
+    used = counts.nonzero()[0]
+    lengths[used] = _depths(counts[used].tolist(), limit)
+    return lengths
+
+
+def _depths(weights: list[int], limit: int) -> list[int]:
+    """:func:`code_lengths` of symbols that all occur. Leaves by weight and nodes as they are made are two queues in order."""
+    n = len(weights)
+    if n < 2:
+        return [1] * n
     while True:
-        heap = [(w, k) for k, w in enumerate(weights)]
-        heapq.heapify(heap)
-        parent = [0] * (2 * len(used) - 1)
-        for new in range(len(used), 2 * len(used) - 1):
-            a, x = heapq.heappop(heap)
-            b, y = heap[0]
-            parent[x] = parent[y] = new
-            heapq.heapreplace(heap, (a + b, new))
+        leaves = sorted(range(n), key=weights.__getitem__)
+        light = [weights[k] for k in leaves]
+        light.append(1 << 62)
+        made: list[int] = []
+        parent = [0] * (2 * n - 1)
+        i = j = 0
+        for new in range(n, 2 * n - 1):
+            total = 0
+            for _ in (0, 1):
+                if j == len(made) or light[i] <= made[j]:
+                    total += light[i]
+                    parent[leaves[i]] = new
+                    i += 1
+                else:
+                    total += made[j]
+                    parent[n + j] = new
+                    j += 1
+            made.append(total)
         depth = [0] * len(parent)
         for k in range(len(parent) - 2, -1, -1):
             depth[k] = depth[parent[k]] + 1
-        if max(depth[: len(used)]) <= limit:
-            lengths[used] = depth[: len(used)]
-            return lengths
+        if max(depth[:n]) <= limit:
+            return depth[:n]
         weights = [(w + 1) // 2 for w in weights]
 
 
 def code_words(lengths: np.ndarray) -> np.ndarray:
     """The canonical code of each symbol, its first bit lowest."""
     words = np.zeros(len(lengths), dtype=np.int64)
-    used = np.flatnonzero(lengths)
-    order = used[np.argsort(lengths[used], kind="stable")]
+    used = lengths.nonzero()[0]
+    order = used[lengths[used].argsort(kind="stable")]
     size = lengths[order]
     room = 1 << (LONGEST - size)
     first = np.cumsum(room) - room
@@ -490,17 +536,16 @@ def copies(samples: np.ndarray) -> list[tuple[int, int, int]]:
     n = len(samples) - SHORT + 1
     if n < 2:
         return []
-    wide = samples.astype(np.uint64)
-    key = wide[:n].copy()
-    for k in range(1, SHORT):
-        key |= wide[k : n + k] << np.uint64(8 * k)
+    key = np.ndarray(n, dtype="<u8", buffer=samples.tobytes() + b"\0" * (8 - SHORT), strides=(1,)) & np.uint64((1 << 8 * SHORT) - 1)
     # short images are sorted by 16 bits of a hash, which is faster and misses hardly any
     order = np.argsort(key if n > 1 << 13 else (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.uint16), kind="stable")
-    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    ordered = key.take(order)
+    same = (ordered[1:] == ordered[:-1]).nonzero()[0]
     if not len(same):
         return []
     back = np.zeros(n, dtype=np.int64)
-    back[order[same + 1]] = order[same + 1] - order[same]
+    later = order.take(same + 1)
+    back[later] = later - order.take(same)
     starts = _run_starts(back)
     ends = np.append(starts[1:], n)
     kept = (back[starts] > 0) & (back[starts] <= FAR)
@@ -515,7 +560,10 @@ def copies(samples: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def _run_starts(x: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    new = np.empty(len(x), dtype=bool)
+    new[:1] = True
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return new.nonzero()[0]
 
 
 class _Out:
@@ -561,26 +609,33 @@ class _Out:
                 kind += [length] * n
                 value += [0] * n
                 bits += [0] * n
-        kind = np.array(kind)
-        kinds = code_lengths(np.bincount(kind, minlength=19), 7)
-        last = max(k for k, name in enumerate(LENGTH_ORDER) if kinds[name] or k == 3)
+        counts = [0] * 19
+        for k in kind:
+            counts[k] += 1
+        some = [k for k in range(19) if counts[k]]
+        kinds = dict(zip(some, _depths([counts[k] for k in some], 7), strict=True))
+        last = max(k for k, name in enumerate(LENGTH_ORDER) if name in kinds or k == 3)
         self.put(0, 1)
         self.put(last - 3, 4)
         for name in LENGTH_ORDER[: last + 1]:
-            self.put(int(kinds[name]), 3)
+            self.put(kinds.get(name, 0), 3)
         self.put(0, 1)
-        words, sizes = code_words(kinds), kinds if np.count_nonzero(kinds) > 1 else 0 * kinds
-        pairs = np.zeros((2, len(kind), 2), dtype=np.int64)
-        pairs[0, :, 0], pairs[0, :, 1], pairs[1, :, 0], pairs[1, :, 1] = words[kind], value, sizes[kind], bits
-        self.extend(pairs[0].ravel(), pairs[1].ravel())
+        words, place = {}, 0
+        for size, name in sorted((n, k) for k, n in kinds.items()):
+            words[name] = (_places(7)[place], size if len(kinds) > 1 else 0)
+            place += 1 << (7 - size)
+        for k, extra, size in zip(kind, value, bits, strict=True):
+            self.put(*words[k])
+            if size:
+                self.put(extra, size)
 
     def grey(self, samples: np.ndarray, width: int, rest: tuple[int, int, int], main: bool) -> None:
         """An image whose green channel is ``samples`` and whose red, blue and alpha are constant."""
         made = np.array(copies(samples), dtype=np.int64).reshape(-1, 3)
         covered = np.zeros(len(samples) + 1, dtype=np.int64)
         covered[made[:, 0]] += 1
-        np.add.at(covered, made[:, 0] + made[:, 1], -1)
-        literal = np.flatnonzero(np.cumsum(covered[:-1]) == 0)
+        covered[made[:, 0] + made[:, 1]] -= 1  # copies don't overlap: no place is the end of two
+        literal = (covered[:-1].cumsum() == 0).nonzero()[0]
         size, size_extra, size_bits = amounts(made[:, 1])
         keys, short = _short_codes(width)
         near = np.minimum(np.searchsorted(keys, made[:, 2]), len(keys) - 1)
@@ -595,22 +650,21 @@ class _Out:
             self.put(value, 8)
         self.code(distance)
         plain = lambda lengths: np.where(np.count_nonzero(lengths) > 1, lengths, 0)  # noqa: E731  (one symbol takes no bits)
-        sizes, values = np.zeros((len(symbols), 4), dtype=np.int64), np.zeros((len(symbols), 4), dtype=np.int64)
-        values[:, 0], sizes[:, 0] = code_words(green)[symbols], plain(green)[symbols]
         k = len(literal)
-        values[k:, 1], sizes[k:, 1] = size_extra, size_bits
-        values[k:, 2], sizes[k:, 2] = code_words(distance)[far], plain(distance)[far]
-        values[k:, 3], sizes[k:, 3] = far_extra, far_bits
-        order = np.argsort(np.concatenate([literal, made[:, 0]]), kind="stable")
-        self.extend(values[order].ravel(), sizes[order].ravel())
+        word, size = code_words(green)[symbols], plain(green)[symbols]
+        copied = np.stack([word[k:], size_extra, code_words(distance)[far], far_extra], axis=1).ravel()
+        taken = np.stack([size[k:], size_bits, plain(distance)[far], far_bits], axis=1).ravel()
+        order = np.concatenate([literal, made[:, 0].repeat(4)]).argsort(kind="stable")
+        self.extend(np.concatenate([word[:k], copied])[order], np.concatenate([size[:k], taken])[order])
 
     def bits(self) -> np.ndarray:
         self.extend(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))
         values, sizes = (np.concatenate([p[k] for p in self.parts]) for k in (0, 1))
         some = sizes > 0
         values, sizes = values[some], sizes[some]
-        place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        return (np.repeat(values, sizes) >> place & 1).astype(np.uint8)
+        ends = sizes.cumsum()
+        place = np.arange(int(ends[-1])) - (ends - sizes).repeat(sizes)
+        return (values.repeat(sizes) >> place & 1).astype(np.uint8)
 
 
 def forms(samples: np.ndarray, width: int = ROW) -> list[tuple[str, np.ndarray]]:
