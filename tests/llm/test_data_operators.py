@@ -133,6 +133,15 @@ def test_packed_pieces_give_the_documents_back(spark):
     assert packing.sequences(table, capacity=64).count() == len(by)
 
 
+def test_the_plan_goes_to_executors_without_python_rows(spark):
+    """Rows of Python objects would be a scan of an RDD that Python workers of a second kind read, on every executor."""
+    found = spark.range(40).selectExpr("id as doc_id", "0 as piece", "1 + id % 7 as length")
+    placed = packing.pack(found, 16)
+    assert "RDD" not in placed._jdf.queryExecution().analyzed().toString()
+    rows = placed.collect()
+    assert len(rows) == 40 and all(r.offset + r.length <= 16 for r in rows)
+
+
 def test_encoder_equals_the_tokenizer():
     import random
 

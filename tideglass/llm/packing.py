@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -260,6 +260,13 @@ def slots(kinds: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int,
     return rows
 
 
+def _table(spark: SparkSession, rows: list[tuple[int, ...]], names: list[str]) -> DataFrame:
+    """Whole numbers of the driver as a table. They go there in Arrow: rows of Python objects would be read by Python workers of another kind on
+    every executor, which stay there beside those that encode."""
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return spark.createDataFrame(pa.table({c: pa.array(x, pa.int64()) for c, x in zip(names, columns, strict=True)}))
+
+
 def pack(found: DataFrame, capacity: int = CAPACITY, parts: int = 1 << 15) -> DataFrame:
     """``found`` (doc_id, piece, length and others) with ``sequence_id`` and ``offset``.
 
@@ -270,9 +277,9 @@ def pack(found: DataFrame, capacity: int = CAPACITY, parts: int = 1 << 15) -> Da
     """
     spark = found.sparkSession
     counts = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    places = spark.createDataFrame(slots(plan(counts, capacity)), "slot_length bigint, low bigint, high bigint, sequence bigint, each bigint, at bigint")
+    places = _table(spark, slots(plan(counts, capacity)), ["slot_length", "low", "high", "sequence", "each", "at"])
     total = sum(counts.values())
-    share = spark.createDataFrame([(x, -(-n * parts // total)) for x, n in counts.items()], "length bigint, parts bigint")
+    share = _table(spark, [(x, -(-n * parts // total)) for x, n in counts.items()], ["length", "parts"])
     dealt = found.join(F.broadcast(share), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("parts"))).drop("parts")
     sizes = dealt.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.sum("n").over(W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1))
