@@ -49,3 +49,24 @@ def test_stages_on_odd_rows_and_on_none(spark):
                 assert out.groupBy("doc_id", "text").count().where("count > 1").isEmpty()
             docs = out
         assert n in (0, 6)
+
+
+def test_stages_hand_texts_to_python_in_small_batches(spark):
+    """A stage leaves batches of at most BATCH rows, and lower ones alone; the whole pipeline leaves the session as it was."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    docs = spark.createDataFrame([(k, "some words of a text " * 9, "en", "a", 1) for k in range(2500)], "doc_id long, text string, lang string, source string, n_chars int").coalesce(1)
+    try:
+        for stage in (corpus_pipeline.quality_stage, corpus_pipeline.near_stage, corpus_pipeline.pack_stage):
+            spark.conf.set(setting, before)
+            stage(spark, docs, SF)
+            sizes = docs.mapInArrow(lambda batches: (b.slice(0, 1) for b in batches), docs.schema).count()
+            assert int(spark.conf.get(setting)) == corpus_pipeline.BATCH and sizes == 3
+            spark.conf.set(setting, 7)
+            stage(spark, docs.limit(3), SF)
+            assert int(spark.conf.get(setting)) == 7
+        if os.path.isdir(SF):
+            spark.conf.set(setting, 5000)
+            assert corpus_pipeline.run(spark, SF).count() and int(spark.conf.get(setting)) == 5000
+    finally:
+        spark.conf.set(setting, before)
