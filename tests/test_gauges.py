@@ -434,3 +434,35 @@ def test_lines_of_a_day_are_sorted_once(spark, tmp_path):
     assert all(got[k] == pytest.approx((order[-1] / 51.0, np.log1p(price))) for k, (order, price) in want.items())
     plan = demo.lineitem_flagged(spark, str(tmp_path))
     assert sorts_and_windows(plan) == (1, 1) and "SortAggregate" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_are_sorted_by_one_number_first(spark):
+    from tideglass.plans import demo
+
+    plan = demo.lineitem_flagged(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [slot#" in plan and "decimal" not in plan.lower()
+
+
+def test_hundredths_are_those_of_decimals(spark):
+    from tideglass.plans import demo
+
+    rng = np.random.default_rng(13)
+    values = [None, 0.0, 1.005, 2.675, -1.005, 0.125, -0.125, 1e9 + 0.01, 123456789.995] + [float(v) for v in rng.uniform(-1e5, 1e5, 300)] + [round(float(v), 2) for v in rng.uniform(-1e5, 1e5, 300)] + [round(float(v), 3) for v in rng.uniform(-1e5, 1e5, 300)]
+    x = F.col("v")
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select(demo.hundredths(x).alias("got"), (x.cast("decimal(18,2)") * 100).cast("long").alias("want")).collect()
+    assert [r.got for r in rows] == [r.want for r in rows]
+
+
+@pytest.mark.parametrize("movers", [0, 2])
+def test_panels_with_prices_on_all_days_sort_a_market_once(spark, monkeypatch, movers):
+    """Markets of several categories alone are counted by index, in a pass of their own."""
+    rng = np.random.default_rng(14)
+    rows = [(f"m{m}", day(d), float(rng.uniform(0.02, 0.98)), float(rng.uniform(0, 15)), ("WAR", "CRYPTO")[(m + (m < movers and d > 20)) % 2], True) for m in range(8) for d in range(40) if m > 3 or rng.random() < 0.7]
+    flagged, seen, real = panel(spark, rows), [], gauges.by_market
+    want = by_index(gauges.index_series(gauges.fan_out(flagged), ["index"]))
+    monkeypatch.setattr(gauges, "by_market", lambda *a: seen.append(a) or real(*a))
+    daily = durable(gauges.last_per_day(flagged))
+    got = by_index(gauges.universe_series(daily))
+    assert got == want and any(v[0] is not None for v in want.values()) and len(seen) == (movers > 0)
+    once = gauges.once_by_market(daily, gauges.spines(daily, gauges.index_universe(spark))[1], F.lit(10.0), short=True)
+    assert sorts_and_windows(once)[0] == 1

@@ -78,11 +78,11 @@ def with_vol(rows: DataFrame, by: list[str], halflife: Column, params: Params =
 
 def exact_sum(x: Column) -> list[Column]:
     """Sum of ``x`` to 12 places as three sums of whole numbers: of the units, the millionths, and the millionths of those. They don't depend
-    on the order of rows, can be summed again, and cost less than decimals. :func:`total` is their value."""
+    on the order of rows, can be summed again, and cost less than decimals (which Spark's ``round`` of a double goes through too). :func:`total` is their value."""
     units = F.floor(x)
     fine = (x - units) * 1e6
     millionths = F.floor(fine)
-    return [F.sum(units), F.sum(millionths), F.sum(F.round((fine - millionths) * 1e6).cast("long"))]
+    return [F.sum(units), F.sum(millionths), F.sum(F.floor((fine - millionths) * 1e6 + 0.5))]
 
 
 def total(sums: list[Column]) -> Column:
@@ -142,6 +142,11 @@ def spines(rows: DataFrame, universe: DataFrame) -> tuple[DataFrame, DataFrame]:
     return spine, durable(apart.join(F.broadcast(kinds), ["category", "apart"]).drop("apart"))
 
 
+def deal(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """Rows with a price in their market's task, sorted there by day, with what :func:`spines` tells of their category's day. Rows travel once."""
+    return rows.where("close_prob is not null").repartition("market_id").join(F.broadcast(places), ["category", "date"]).sortWithinPartitions("market_id", "date")
+
+
 def by_market(rows: DataFrame, universes: dict[str, tuple[str, ...]] = UNIVERSES, known_spines: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Rows with a price and with ``ix``, each market's once for all indexes where their days allow, else once for each index.
 
@@ -151,21 +156,41 @@ def by_market(rows: DataFrame, universes: dict[str, tuple[str, ...]] = UNIVERSES
     """
     spine, places = known_spines or spines(rows, index_universe(rows.sparkSession, universes))
     own = W.partitionBy("market_id")
-    dealt = rows.where("close_prob is not null").repartition("market_id").join(F.broadcast(places), ["category", "date"]).sortWithinPartitions("market_id", "date")
-    dealt = dealt.withColumn("one", F.min("stretch").over(own) == F.max("stretch").over(own))
+    dealt = deal(rows, places).withColumn("one", F.min("stretch").over(own) == F.max("stretch").over(own))
     feeds = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*[F.lit(i) for i in x]) for c in sorted({c for cs in universes.values() for c in cs}) for x in (c, [i for i, cs in universes.items() if c in cs])])
     each = dealt.withColumn("index", F.explode(F.when(F.col("one"), F.array(F.lit(None).cast("string"))).otherwise(F.element_at(feeds, F.col("category")))))
     placed = each.join(F.broadcast(spine), ["index", "date"], "left")
     return placed.select("index", F.when(F.col("one"), F.col("category")).alias("of"), "market_id", "date", "close_prob", "weight", F.coalesce("ix", "first_ix").alias("ix"))
 
 
+def once_by_market(rows: DataFrame, places: DataFrame, halflife: Column, params: Params = Params(), short: bool = False) -> DataFrame:
+    """:func:`gauge_sums` of each category (``of``) and day as if every market were one series for all indexes, apart by ``one``, which tells
+    whether its market is. All windows have a market's rows by day, the order in which :func:`deal` leaves them: rows are sorted once."""
+    dealt = deal(rows, places).select(F.col("category").alias("of"), "market_id", "date", "close_prob", "weight", F.col("first_ix").alias("ix"), "stretch")
+    whole = W.partitionBy("market_id").orderBy("date").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    x = with_vol(dealt, [], halflife, params, short=short).withColumn("one", F.min("stretch").over(whole) == F.max("stretch").over(whole))
+    return gauge_sums(x, ["of", "one"], params)
+
+
 def universe_series(rows: DataFrame, params: Params = Params(), universes: dict[str, tuple[str, ...]] = UNIVERSES) -> DataFrame:
     """:func:`index_series` of every index over ``rows(market_id, date, category, close_prob, weight)``. Sums of markets that count once for all
-    indexes (:func:`by_market`) are made by category, and added up for each index afterwards."""
-    keys, halflife = ["index", "of"], float(params.ewma_halflife)
+    indexes (:func:`by_market`) are made by category, and added up for each index afterwards.
+
+    Where every category's days keep their distances on all its indexes, as on panels with prices on all days, only markets of several categories don't
+    count once. So all go once first (:func:`once_by_market`), and those markets, if there are any, by index in a second pass.
+    """
+    keys, halflife = ["index", "of"], F.lit(float(params.ewma_halflife))
     found = spines(rows, index_universe(rows.sparkSession, universes))
-    short = (found[0].agg(F.max("ix")).first()[0] or 0) <= ONE_BLOCK * halflife
-    sums = durable(gauge_sums(with_vol(by_market(rows, universes, found), keys, F.lit(halflife), params, short=short), keys, params))
+    short = (found[0].agg(F.max("ix")).first()[0] or 0) <= ONE_BLOCK * params.ewma_halflife
+    several = lambda x: gauge_sums(with_vol(x, keys, halflife, params, short=short), keys, params)
+    stretches, categories = found[1].agg(F.countDistinct("stretch"), F.countDistinct("category")).first()
+    if stretches == categories:
+        once = durable(once_by_market(rows, found[1], halflife, params, short))
+        sums = once.where("one").drop("one").withColumn("index", F.lit(None).cast("string"))
+        if not once.where("not one").isEmpty():
+            sums = sums.unionByName(durable(several(by_market(rows, universes, found).where("index is not null"))))
+    else:
+        sums = durable(several(by_market(rows, universes, found)))
     fed = sums.drop("index").join(F.broadcast(index_universe(rows.sparkSession, universes)), F.col("of") == F.col("category"))
     values = [c for c in sums.columns if c not in (*keys, "date")]
     both = sums.where("of is null").select("index", "date", *values).union(fed.select("index", "date", *values))

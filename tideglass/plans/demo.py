@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -60,13 +60,21 @@ def indices(spark: SparkSession, sf_dir: str, params: Params = DEMO) -> tuple[Da
     return gauges.compute_indices(flagged(spark, sf_dir, params)[0], params)
 
 
+def hundredths(x: Column) -> Column:
+    """``x`` as a whole number of hundredths, rounded as a decimal of two places is. Numbers that all but are such a number, as prices are, need no decimal."""
+    near = F.rint(x * 100)
+    return F.when(F.abs(x * 100 - near) < 0.01, near).otherwise(F.rint(F.round(x, 2) * 100)).cast("long")
+
+
 def lineitem_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A long, sparse panel: suppliers as markets, shipping days as dates; all rows eligible, weight from price; a row per
-    market and day, which has the quantity of the day's last line. Each line is sorted once, in its market's task; an aggregate with such an order sorts twice."""
-    day = W.partitionBy("l_suppkey", "date").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
+    market and day, which has the quantity of the day's last line. Each line is sorted once, in its market's task; an aggregate with such an order sorts twice.
+    The sort's first key is one number that tells market and day apart, so lines themselves are hardly ever compared; where numbers clash, market and day still decide."""
+    day = W.partitionBy("slot", "l_suppkey", "date").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
     whole = day.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     lines = read(spark, sf_dir, "lineitem").select("l_suppkey", F.to_date("l_shipdate").alias("date"), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity").repartition("l_suppkey")
-    q, price = F.last("l_quantity").over(whole), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).over(whole).cast("double")
+    lines = lines.withColumn("slot", F.shiftleft(F.col("l_suppkey").cast("long"), 20).bitwiseXOR(F.unix_date("date").cast("long")))
+    q, price = F.last("l_quantity").over(whole), F.sum(hundredths(F.col("l_extendedprice"))).over(whole) / 100.0
     rows = lines.select("l_suppkey", "date", q.alias("q"), price.alias("price"), F.row_number().over(day).alias("nth")).where("nth = 1")
     names = F.array(*[F.lit(c) for c in ("WAR", "ELECTIONS", "POLITICS", "ECON_FED", "CRYPTO", "TECH_AI", "CLIMATE")])
     return rows.select(F.concat(F.lit("s_"), F.col("l_suppkey").cast("string")).alias("market_id"), "date", (F.col("q") / 51.0).alias("close_prob"), F.log1p("price").alias("weight"), F.element_at(names, (F.col("l_suppkey") % 7 + 1).cast("int")).alias("category"), F.lit(True).alias("eligible"))
